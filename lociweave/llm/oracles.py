@@ -46,5 +46,69 @@ FROM words w LEFT JOIN hit h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
 
+OP1 = r"""
+WITH t AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    string_split(coalesce(text, ''), chr(10)) AS l
+  FROM documents
+), grams AS (
+  SELECT doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+  FROM t, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS p) u
+), again AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (
+    SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1
+  ) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, host, x AS line, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM (SELECT doc_id, host, unnest(l) AS x FROM t)
+), worded AS (
+  SELECT doc_id, host, line, len(w) AS n,
+    translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000') AS k
+  FROM lines WHERE len(w) > 0
+), dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY doc_id
+), own AS (
+  SELECT doc_id, host, k, sum(n) AS n FROM worded GROUP BY ALL
+), hosts AS (
+  SELECT host, count(*) AS n FROM t GROUP BY host
+), above AS (
+  SELECT o.host, o.k FROM own o JOIN hosts h ON o.host IS NOT DISTINCT FROM h.host
+  GROUP BY o.host, o.k, h.n HAVING count(*) >= 10 AND count(*) > 0.005 * h.n
+), lost AS (
+  SELECT doc_id, count(*) AS lines, sum(o.n) AS words FROM own o JOIN above a ON o.k = a.k AND o.host IS NOT DISTINCT FROM a.host GROUP BY doc_id
+), base AS (
+  SELECT t.doc_id, len(t.w)::BIGINT AS n_words, length(array_to_string(t.w, ''))::BIGINT AS word_chars,
+    (length(t.text) - length(regexp_replace(t.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(d.n, 0)::BIGINT AS n_dup_lines, coalesce(a.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(l.lines, 0)::BIGINT AS n_lines_removed, coalesce(l.words, 0)::BIGINT AS gone
+  FROM t LEFT JOIN dups d USING (doc_id) LEFT JOIN again a USING (doc_id) LEFT JOIN lost l USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, gone > 0.5 * n_words AS depleted FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_removed, n_words - gone AS n_words_left,
+  base_failed, depleted, NOT (base_failed OR depleted) AS kept
+FROM judged
+"""
+
+OP10 = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM t, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS p) u
+), firsts AS (
+  SELECT h, min(doc_id) AS lo FROM windows GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM windows JOIN firsts USING (h) WHERE doc_id > lo
+), words AS (
+  SELECT doc_id, u.q AS q, w[u.q] AS word FROM t, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS q) u
+), kept AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.q) AS s FROM words a ANTI JOIN gone g ON a.doc_id = g.doc_id AND a.q = g.q GROUP BY a.doc_id
+), n AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256
+FROM t LEFT JOIN kept k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op4_decontaminate": OP4}
+    return {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op4_decontaminate": OP4, "op10_substring_dedup": OP10}

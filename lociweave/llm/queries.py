@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from lociweave.llm.common import read_table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.quality_rules import quality_rules
+
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm.line_dedup import dedup_lines
 
@@ -25,6 +31,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.substring_dedup import dedup_substrings
+
+    out = dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit() and callable(fn)
