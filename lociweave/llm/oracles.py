@@ -89,6 +89,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 FROM judged
 """
 
+OP5 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[p:p + least(5, len(w)) - 1], ' ')) AS s
+  FROM t, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 4) + 1)) AS p) u WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes n ON n.doc_id = a.doc_id JOIN sizes m ON m.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, n.n, m.n HAVING 100 * count(*) >= 75 * (n.n + m.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least_id AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, t.doc_id = c.component_id AS kept
+FROM t LEFT JOIN sizes n USING (doc_id) JOIN least_id c USING (doc_id)
+"""
+
 OP10 = r"""
 WITH t AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -111,4 +132,4 @@ FROM t LEFT JOIN kept k USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op4_decontaminate": OP4, "op10_substring_dedup": OP10}
+    return {"op1_quality_rules": OP1, "op2_line_dedup": OP2, "op4_decontaminate": OP4, "op5_minhash_dedup": OP5, "op10_substring_dedup": OP10}
