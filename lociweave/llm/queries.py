@@ -37,6 +37,12 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm.substring_dedup import dedup_substrings
 
