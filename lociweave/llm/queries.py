@@ -23,6 +23,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.quality_classifier import fit, held_out, score_quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_quality(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm.decontaminate import mark_contamination
 
@@ -43,6 +51,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.license_scan import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm.substring_dedup import dedup_substrings
 
