@@ -57,6 +57,18 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.html_extract import extract_pages
+
+    return extract_pages(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.pii import mask_documents
+
+    return mask_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm.substring_dedup import dedup_substrings
 
