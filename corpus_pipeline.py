@@ -1,12 +1,79 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages from raw documents to packed training sequences.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next one's docs.
+All but the last return the columns of docs; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lociweave.llm.common import checkpoint_dir, read_table
+from lociweave.llm.decontaminate import mark_contamination
+from lociweave.llm.line_dedup import dedup_lines
+from lociweave.llm.near_dedup import near_duplicates
+from lociweave.llm.packing import pack_documents
+from lociweave.llm.quality_classifier import fit, score_quality
+
+
+def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, their n_chars counted anew."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels of docs, predicts as label 1."""
+    scored = score_quality(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.filter("predicted = 1").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that three documents or more share, but in the last document that has them."""
+    return _as_documents(dedup_lines(docs), docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    marked = mark_contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    return marked.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences with their token ids."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("minhash_dedup", near_stage),
+    ("decontaminate", benchmark_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Learnt scores and token ids can't be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order over documents; each result but the last is written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(at := f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(at)
+    return docs
