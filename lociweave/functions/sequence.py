@@ -68,11 +68,10 @@ def pair_members(x: Column) -> Column:
 
 def attributes(x: Column, pattern: str = r'([A-Za-z_][A-Za-z0-9_]*) "([^"]*)"') -> Column:
     """A map of key "value" attributes; of repeated keys the last counts."""
-    pairs = F.arrays_zip(F.regexp_extract_all(x, F.lit(pattern), 1).alias("k"), F.regexp_extract_all(x, F.lit(pattern), 2).alias("v"))
-    return F.aggregate(
-        pairs, F.expr("cast(map() AS map<string,string>)"),
-        lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p[0]), F.create_map(p[0], p[1])),
-    )
+    keys, values = (F.regexp_extract_all(x, F.lit(pattern), i) for i in (1, 2))
+    last = F.reverse(F.arrays_zip(keys.alias("k"), values.alias("v")))
+    first_of = F.filter(F.sequence(F.lit(0), F.size(last) - 1), lambda i: F.array_position(F.transform(last, lambda p: p["k"]), F.get(last, i)["k"]) == i + 1)
+    return F.when(F.size(keys) > 0, F.map_from_entries(F.transform(first_of, lambda i: F.get(last, i)))).otherwise(F.expr("cast(map() AS map<string,string>)"))
 
 
 def is_true(x: Column) -> Column:
