@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociweave.plans import loci_queries, sequence_queries  # noqa: F401
+from lociweave.plans import interval_queries, loci_queries, model_queries, sequence_queries  # noqa: F401
 from lociweave.plans.registry import ORACLES, QUERIES
 
 
