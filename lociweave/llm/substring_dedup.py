@@ -1,10 +1,14 @@
 r"""Operator 10, substring dedup: seed and extend.
 
 Seeds are winnowed anchors: of the hashes of each text's 10-word runs, the least in every 41 consecutive ones, so that each
-50-word window has exactly one anchor, chosen from its own words alone. Anchors found in two documents at least are joined back to
-their documents, and each such seed is extended to both sides to the 50-word windows that chose it. A 128-bit hash of a window
-then decides: a window whose least doc_id is smaller than the document's own is a repeat, and overlapping repeats merge into the
-maximal spans that are removed. No pairs of documents are made, so a passage shared by n documents costs n rows for each window.
+50-word window has exactly one anchor, chosen from its own words alone. Documents are joined on their anchors, and each
+seed is extended both ways in two steps. First by as far as any of its windows reaches, 40 words to either side (less at a
+text's ends): where a smaller document has the same extended seed, all windows of the seed are repeats at once. Only the
+first holders of different extensions of one anchor, which are the edges of maximal repeats, are then extended window by
+window: a 128-bit hash decides, and a window whose least doc_id is smaller than the document's own is a repeat. (A later
+holder of an extension adds nothing to compare with: its first holder has the same windows and a smaller id.)
+Overlapping repeats merge into the maximal spans that are removed. No pairs of documents are made: a passage shared by n
+documents costs n rows.
 
 Defined results: words are [^\x20\x09-\x0D]+; a null or empty text has none and stays empty; kept words are joined by one
 space; a text without a repeat keeps its words and order; rows with the same doc_id are the same document; a null doc_id is
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import (
-    add_columns, bounded_batches, map_batches, mix, shingle_hashes, space_words, text_bytes, word_hashes,
+    add_columns, bounded_batches, map_batches, materialise, mix, shingle_hashes, space_words, text_bytes, word_hashes,
 )
 
 WINDOW = 50
@@ -30,103 +34,133 @@ NULL_ID = -(1 << 63)
 
 
 def anchors(x: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of word hashes x: its anchor's hash, the least seed hash inside; and all seed hashes."""
-    s = shingle_hashes(x, seed, _B1)
-    return _sliding_min(s, window - seed + 1), s
-
+    """The seed hashes of word hashes x, and for each window the place of the least one inside, the first of equal ones.
 
-def _sliding_min(s: np.ndarray, w: int) -> np.ndarray:
-    """The minimum of each w consecutive values, by doubling."""
-    out, have = s, 1
+    The upper 32 bits are compared and the place rides in the lower ones, so that ties fall to the first place in any text.
+    """
+    s = shingle_hashes(x, seed, _B1)
+    place = np.uint64(0xFFFFFFFF)
+    best, have, w = (s & ~place) | np.arange(len(s), dtype=np.uint64), 1, window - seed + 1
     while have < w:
         step = min(have, w - have)
-        out = np.minimum(out[:-step], out[step:])
+        best = np.minimum(best[:-step], best[step:])
         have += step
-    return out
+    return s, (best & place).astype(np.int64)
+
+
+_powers_of: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    p = np.empty(n, np.uint64)
-    if n:
-        p[0] = 1
-        p[1:] = np.uint64(base)
-        np.multiply.accumulate(p, out=p)
-    return p
+    """The first n powers, kept for the longest text so far."""
+    have = _powers_of.get(base)
+    if have is None or len(have) < n:
+        have = np.empty(max(n, 4096), np.uint64)
+        have[0], have[1:] = 1, np.uint64(base)
+        np.multiply.accumulate(have, out=have)
+        _powers_of[base] = have
+    return have[:n]
+
+
+def range_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _B1, inverse: int = _I1) -> np.ndarray:
+    """A 64-bit hash of the words of each range, from prefix sums."""
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * _powers(base, len(x)), out=total[1:])
+    return mix((total[ends] - total[starts]) * _powers(inverse, len(x) + 1)[starts])
 
 
 def window_hashes(x: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the windows at starts, from prefix sums."""
-    out = []
-    for base, inverse, salt in ((_B1, _I1, 0), (_B2, _I2, 0xA5A5A5A5)):
-        y = mix(x ^ np.uint64(salt)) if salt else x
-        total = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum(y * _powers(base, len(x)), out=total[1:])
-        out.append(mix((total[starts + window] - total[starts]) * _powers(inverse, len(x))[starts]))
-    return tuple(out)
+    """Two independent 64-bit hashes of the windows at starts."""
+    ends = starts + window
+    return range_hashes(x, starts, ends), range_hashes(mix(x ^ np.uint64(0xA5A5A5A5)), starts, ends, _B2, _I2)
+
 
+def extended_seeds(x: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(at, a, e): each window's seed as a place, and at each place that is a seed its hash and its extension's hash.
 
-def _ids(batch: pa.RecordBatch) -> list[int]:
-    return batch.column("id").to_pylist()
+    Both together, 128 bits, stand for the extension: e is only compared among seeds of equal a.
+    """
+    s, at = anchors(x, window, seed)
+    place = np.flatnonzero(np.bincount(at, minlength=len(s)))
+    reach = window - seed
+    starts, ends = np.maximum(place - reach, 0), np.minimum(place + window, len(x))
+    # with the lengths of both sides, so that equal extensions have the same windows
+    sides = ((place - starts) << 32 | (ends - place)).astype(np.uint64)
+    return at, place, s[place], mix(range_hashes(x, starts, ends) ^ mix(sides))
 
 
 def _id() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(id, starts): the starts of each document's windows that also start in a document with a smaller id."""
-    texts = docs.select(_id(), "text").filter(F.length("text") >= 2 * window - 1)
+    """For docs with __id: (id, whole, starts): extended seeds all of whose windows, and starts of other windows, also start in a document with a smaller id."""
+    texts = docs.select(F.col("__id").alias("id"), "text").filter(F.length("text") >= 2 * window - 1)
+    join = lambda parts: np.concatenate(parts) if parts else []
 
     def seeds(batch: pa.RecordBatch) -> dict:
-        ids, found = [], []
-        for doc, text in zip(_ids(batch), text_bytes(batch, "text")):
+        out: dict[str, list] = {"id": [], "a": [], "e": []}
+        for doc, text in zip(batch.column("id").to_pylist(), text_bytes(batch, "text")):
             words = space_words(text)
             if len(words) >= window:
-                own = np.unique(anchors(word_hashes(words), window, seed)[0])
-                ids.append(np.full(len(own), doc, np.int64))
-                found.append(own.view(np.int64))
-        return {"id": np.concatenate(ids) if ids else [], "a": np.concatenate(found) if found else []}
-
-    found = map_batches(texts, seeds, "id long, a long")
-    shared = found.groupBy("a").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("a")
-    lists = found.join(shared, "a").groupBy("id").agg(F.collect_list("a").alias("seeds"))
+                _, place, a, e = extended_seeds(word_hashes(words), window, seed)
+                for name, values in (("id", np.full(len(place), doc, np.int64)), ("a", a.view(np.int64)), ("e", e.view(np.int64))):
+                    out[name].append(values)
+        return {name: join(parts) for name, parts in out.items()}
+
+    found = map_batches(texts, seeds, "id long, a long, e long")
+    heads = found.groupBy("a", "e").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    # an anchor is open if it has different extensions, first held by different documents
+    open_ = heads.groupBy("a").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x < y").select("a", F.lit(True).alias("open"))
+    marked = materialise(heads.join(open_, "a", "left").filter("lo < hi or open").select("a", "e", "lo", F.coalesce("open", F.lit(False)).alias("open")))
+    lists = found.join(marked, ["a", "e"]).filter("id > lo or open").select("id", "e", (F.col("id") > F.col("lo")).alias("whole"))
+    lists = materialise(lists.groupBy("id").agg(
+        F.collect_set(F.when(F.col("whole"), F.col("e"))).alias("whole"), F.collect_set(F.when(~F.col("whole"), F.col("e"))).alias("part")))
+    partly = lists.filter(F.size("part") > 0).select(F.col("id").alias("__id"), F.col("part").alias("__part"))
 
     def extend(batch: pa.RecordBatch) -> dict:
-        ids, at, one, two = [], [], [], []
-        for doc, text, own in zip(_ids(batch), text_bytes(batch, "text"), batch.column("seeds")):
+        out: dict[str, list] = {"id": [], "start": [], "h1": [], "h2": []}
+        for doc, text, own in zip(batch.column("__id").to_pylist(), text_bytes(batch, "text"), batch.column("__part").to_pylist()):
             x = word_hashes(space_words(text))
             if len(x) < window:
                 continue
-            own = np.sort(np.asarray(own.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
-            chosen = anchors(x, window, seed)[0]
-            k = np.minimum(np.searchsorted(own, chosen), len(own) - 1)
-            starts = np.flatnonzero(own[k] == chosen)
+            starts = _chosen(x, window, seed, own)
             if len(starts):
-                a, b = window_hashes(x, starts, window)
-                ids.append(np.full(len(starts), doc, np.int64))
-                at.append(starts.astype(np.int32))
-                one.append(a.view(np.int64))
-                two.append(b.view(np.int64))
-        join = lambda parts: np.concatenate(parts) if parts else []
-        return {"id": join(ids), "start": join(at), "h1": join(one), "h2": join(two)}
-
-    windows = map_batches(texts.join(lists, "id").select("id", "text", "seeds"), extend, "id long, start int, h1 long, h2 long")
+                h1, h2 = window_hashes(x, starts, window)
+                for name, values in (("id", np.full(len(starts), doc, np.int64)), ("start", starts.astype(np.int32)), ("h1", h1.view(np.int64)), ("h2", h2.view(np.int64))):
+                    out[name].append(values)
+        return {name: join(parts) for name, parts in out.items()}
+
+    # all columns of docs, as in the last join of the caller: both then read the same shuffled texts
+    windows = map_batches(docs.join(partly, "__id"), extend, "id long, start int, h1 long, h2 long")
     first = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
-    later = windows.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("lo"))
-    return later.groupBy("id").agg(F.collect_set("start").alias("starts"))
+    later = windows.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("lo")).groupBy("id").agg(F.collect_set("start").alias("starts"))
+    return lists.select("id", "whole").join(later, "id", "left").filter("size(whole) > 0 or starts is not null")
+
+
+def _chosen(x: np.ndarray, window: int, seed: int, extensions: list[int]) -> np.ndarray:
+    """Starts of the windows whose seeds have these extensions."""
+    at, place, _, e = extended_seeds(x, window, seed)
+    hit = np.zeros(place[-1] + 1, bool)
+    hit[place] = np.isin(e.view(np.int64), np.array(extensions, np.int64))
+    return np.flatnonzero(hit[at])
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """docs with text as its kept words, n_words, n_removed and removed, the merged word ranges [start, end)."""
     bounded_batches(docs.sparkSession)
-    found = repeats(docs, window, seed).withColumnsRenamed({"id": "__id", "starts": "__starts"})
-    joined = docs.withColumn("__id", _id()).join(found, "__id", "left")
+    docs = docs.withColumn("__id", _id())
+    found = repeats(docs, window, seed).withColumnsRenamed({"id": "__id", "whole": "__whole", "starts": "__starts"})
+    joined = docs.join(found, "__id", "left")
 
     def cut(batch: pa.RecordBatch) -> dict:
         cols: dict[str, list] = {"text": [], "n_words": [], "n_removed": [], "removed": []}
-        for text, starts in zip(text_bytes(batch, "text"), batch.column("__starts").to_pylist()):
+        for text, whole, starts in zip(text_bytes(batch, "text"), batch.column("__whole").to_pylist(), batch.column("__starts").to_pylist()):
             words, spans = space_words(text), []
-            for s in sorted(starts or ()):
+            starts = set(starts or ())
+            if whole and len(words) >= window:
+                starts.update(_chosen(word_hashes(words), window, seed, whole).tolist())
+            for s in sorted(starts):
                 if spans and s <= spans[-1]["end"]:
                     spans[-1]["end"] = s + window
                 else:
@@ -140,4 +174,4 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
             cols["removed"].append(spans)
         return cols
 
-    return add_columns(joined, ["text"], cut, "text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>", drop=("__id", "__starts"))
+    return add_columns(joined, ["text"], cut, "text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>", drop=("__id", "__whole", "__starts"))
