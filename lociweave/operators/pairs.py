@@ -93,7 +93,7 @@ def parse_tokens(x: Column) -> Column:
     """struct<tested, composite, spacing, specificity> of a cell: '0' is tested, empty or N/A isn't; tokens begin with '1-' or '2-'."""
     s = F.trim(x)
     no = s.isNull() | F.upper(s).isin("", "N/A", "NA", "SELF")
-    tokens = F.filter(F.transform(F.split(s, r"[,;/ ]+"), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(s, r"[,;/ ]+"), lambda t: F.trim(t)), lambda t: t != "")
     has = lambda p: F.coalesce(F.exists(tokens, lambda t: t.startswith(p)), F.lit(False)) & ~no
     kinds = F.array_sort(F.array_distinct(F.transform(F.filter(tokens, lambda t: t.rlike(r"^[12]-.")), lambda t: F.substring_index(t, "-", -1))))
     return F.struct((~no).alias("tested"), has("1-").alias("composite"), has("2-").alias("spacing"), F.when(no, F.array().cast("array<string>")).otherwise(kinds).alias("specificity"))
