@@ -30,28 +30,28 @@ _VERSIONED = (
     ("gpl", "general public", r"gnu general public", ("1 0", "2 0", "3 0")),
     ("lgpl", "general public", r"gnu (?:lesser|library) general public", ("2 0", "2 1", "3 0")),
     ("agpl", "general public", r"gnu affero general public", ("1 0", "3 0")),
-    ("gfdl", "documentation", r"gnu free documentation", ("1 1", "1 2", "1 3")),
+    ("gfdl", "gnu free documentation", r"gnu free documentation", ("1 1", "1 2", "1 3")),
     ("apache", "apache", r"apache(?: software)?", ("1 0", "1 1", "2 0")),
-    ("mpl", "mozilla", r"mozilla public", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", r"eclipse public", ("1 0", "2 0")),
+    ("mpl", "mozilla public", r"mozilla public", ("1 0", "1 1", "2 0")),
+    ("epl", "eclipse public", r"eclipse public", ("1 0", "2 0")),
     ("eupl", "european union", r"european union public", ("1 0", "1 1", "1 2")),
-    ("cddl", "distribution", r"common development and distribution", ("1 0", "1 1")),
-    ("artistic", "artistic", r"artistic", ("1 0", "2 0")),
+    ("cddl", "common development", r"common development and distribution", ("1 0", "1 1")),
+    ("artistic", "artistic licen", r"artistic", ("1 0", "2 0")),
     ("afl", "academic free", r"academic free", ("1 1", "1 2", "2 0", "2 1", "3 0")),
     ("osl", "open software", r"open software", ("1 0", "1 1", "2 0", "2 1", "3 0")),
-    ("zpl", "zope", r"zope public", ("1 1", "2 0", "2 1")),
-    ("php", "php", r"php", ("3 0", "3 01")),
-    ("lppl", "latex", r"latex project public", ("1 0", "1 1", "1 2", "1 3")),
+    ("zpl", "zope public", r"zope public", ("1 1", "2 0", "2 1")),
+    ("php", "php licen", r"php", ("3 0", "3 01")),
+    ("lppl", "latex project", r"latex project public", ("1 0", "1 1", "1 2", "1 3")),
     ("ofl", "open font", r"(?:sil )?open font", ("1 0", "1 1")),
-    ("odbl", "database", r"open (?:data commons open )?database", ("1 0",)),
+    ("odbl", "database licen", r"open (?:data commons open )?database", ("1 0",)),
     ("sspl", "server side", r"server side public", ("1 0",)),
     ("busl", "business source", r"business source", ("1 0", "1 1")),
-    ("elastic", "elastic", r"elastic", ("1 0", "2 0")),
+    ("elastic", "elastic licen", r"elastic", ("1 0", "2 0")),
     ("upl", "universal permissive", r"universal permissive", ("1 0",)),
     ("cpl", "common public", r"common public", ("1 0",)),
     ("ipl", "ibm public", r"ibm public", ("1 0",)),
     ("cecill", "cecill", r"cecill(?: free software)?", ("1 0", "1 1", "2 0", "2 1")),
-    ("mulan", "mulan", r"mulan permissive software", ("1 0", "2 0")),
+    ("mulan", "mulan permissive", r"mulan permissive software", ("1 0", "2 0")),
     ("blueoak", "blue oak", r"blue oak model", ("1 0 0",)),
 )
 
@@ -63,10 +63,10 @@ _SHORT = (
 
 #: Licenses without versions: label, keyword, pattern, priority.
 _PLAIN = (
-    ("mit", "mit", rf"(?:the )?mit {_LICENSE}", 60),
+    ("mit", "mit licen", rf"(?:the )?mit {_LICENSE}", 60),
     ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 70),
-    ("mit", "expat", rf"expat {_LICENSE}", 60),
-    ("x11", "x11", rf"x11 {_LICENSE}", 60),
+    ("mit", "expat licen", rf"expat {_LICENSE}", 60),
+    ("x11", "x11 licen", rf"x11 {_LICENSE}", 60),
     ("mit-0", "mit no attribution", rf"mit no attribution(?: {_LICENSE})?", 75),
     ("bsd-2-clause", "bsd", rf"(?:simplified|freebsd|2 clause|two clause) bsd(?: {_LICENSE})?", 75),
     ("bsd-2-clause", "bsd", rf"bsd (?:2|two) clause(?: {_LICENSE})?", 75),
@@ -78,25 +78,25 @@ _PLAIN = (
     ("0bsd", "zero clause", rf"zero clause bsd(?: {_LICENSE})?", 75),
     ("bsd", "bsd", rf"bsd (?:style )?{_LICENSE}", 50),
     ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", 65),
-    ("isc", "isc", rf"isc {_LICENSE}", 60),
+    ("isc", "isc licen", rf"isc {_LICENSE}", 60),
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 65),
     ("zlib", "zlib", rf"zlib(?: libpng)? {_LICENSE}", 60),
-    ("boost-1.0", "boost", rf"boost software {_LICENSE}", 60),
+    ("boost-1.0", "boost software", rf"boost software {_LICENSE}", 60),
     ("unlicense", "unlicense", r"(?:the )?unlicense", 60),
     ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain", 70),
     ("wtfpl", "wtfpl", r"wtfpl", 60),
     ("ncsa", "ncsa", rf"(?:university of illinois )?ncsa(?: open source)? {_LICENSE}", 60),
-    ("psf", "python", rf"python software foundation {_LICENSE}", 60),
-    ("postgresql", "postgresql", rf"postgresql {_LICENSE}", 60),
-    ("openssl", "openssl", rf"openssl {_LICENSE}", 60),
-    ("ruby", "ruby", rf"ruby {_LICENSE}", 50),
-    ("vim", "vim", rf"vim {_LICENSE}", 50),
-    ("ms-pl", "microsoft", rf"microsoft public {_LICENSE}", 60),
-    ("ms-rl", "microsoft", rf"microsoft reciprocal {_LICENSE}", 60),
+    ("psf", "python software foundation", rf"python software foundation {_LICENSE}", 60),
+    ("postgresql", "postgresql licen", rf"postgresql {_LICENSE}", 60),
+    ("openssl", "openssl licen", rf"openssl {_LICENSE}", 60),
+    ("ruby", "ruby licen", rf"ruby {_LICENSE}", 50),
+    ("vim", "vim licen", rf"vim {_LICENSE}", 50),
+    ("ms-pl", "microsoft public", rf"microsoft public {_LICENSE}", 60),
+    ("ms-rl", "microsoft reciprocal", rf"microsoft reciprocal {_LICENSE}", 60),
     ("qpl", "q public", rf"q public {_LICENSE}", 60),
     ("beerware", "beer", rf"beer ?ware {_LICENSE}", 60),
     ("ijg", "independent jpeg", rf"independent jpeg group {_LICENSE}", 60),
-    ("curl", "curl", rf"curl {_LICENSE}", 50),
+    ("curl", "curl licen", rf"curl {_LICENSE}", 50),
     ("hpnd", "historical permission", r"historical permission notice and disclaimer", 60),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 75),
     ("cc0", "creative commons", r"creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?", 80),
@@ -104,9 +104,9 @@ _PLAIN = (
     ("public-domain", "public domain", r"(?:dedicated to|released (?:in)?to|placed in(?:to)?|in) the public domain", 40),
     ("public-domain", "public domain", r"public domain dedication", 45),
     ("proprietary", "rights reserved", r"all rights reserved", 40),
-    ("proprietary", "proprietary", r"proprietary and confidential", 40),
+    ("proprietary", "proprietary and confidential", r"proprietary and confidential", 40),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution)(?: or (?:copying|distribution))? (?:of this \S+ )?is (?:strictly )?prohibited", 45),
-    ("proprietary", "end user", rf"end user {_LICENSE} agreement", 40),
+    ("proprietary", "end user licen", rf"end user {_LICENSE} agreement", 40),
 )
 
 
@@ -135,10 +135,10 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         rank = kind.count(" ")
         for v in _CC_VERSIONS:
             label = f"{stem}-{v.replace(' ', '.')}"
-            out.append((label, "cc", rf"cc {kind} {_VERSION}{spec(v)}", 90 + rank, 0.95))
+            out.append((label, "cc by", rf"cc {kind} {_VERSION}{spec(v)}", 90 + rank, 0.95))
             out.append((label, "creative commons", rf"creative commons {long} {_VERSION}{spec(v)}(?: (?:international|unported|generic))?(?: {_LICENSE})?", 90 + rank, 1.0))
             out.append((label, "creativecommons", rf"creativecommons org licenses {kind} {spec(v)}", 90 + rank, 1.0))
-        out.append((stem, "cc", rf"cc {kind}", 60 + rank, 0.8))
+        out.append((stem, "cc by", rf"cc {kind}", 60 + rank, 0.8))
         out.append((stem, "creative commons", rf"creative commons {long}(?: {_LICENSE})?", 60 + rank, 0.9))
     for label, keyword, pattern, priority in _PLAIN:
         out.append((label, keyword, pattern, priority, 0.5 + priority / 200))
@@ -156,7 +156,7 @@ def _text(s: str) -> str:
 
 
 _SPANS = r"""
-flatten(transform(filter({rules}, r -> contains(__s, concat(' ', r.keyword))), r ->
+flatten(transform(flatten(transform(filter({keywords}, k -> contains(__s, k)), k -> element_at({rules}, k))), r ->
   transform(regexp_extract_all(__s, r.pattern, 0), (m, i) -> struct(
     cast(aggregate(slice(split(__s, r.pattern, -1), 1, i + 1), 0, (a, p) -> a + length(p))
       + aggregate(slice(regexp_extract_all(__s, r.pattern, 0), 1, i), 0, (a, p) -> a + length(p)) AS int) AS a,
@@ -171,17 +171,19 @@ filter(__spans, x -> NOT exists(__spans, y -> y.a <= x.a AND y.a + y.n >= x.a +
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and detections."""
-    table = "array(" + ", ".join(
-        f"named_struct('label', {_text(a)}, 'keyword', {_text(b)}, 'pattern', {_text(c)}, 'priority', {d}, 'confidence', {e:.4f}D, 'rank', {i})"
-        for i, (a, b, c, d, e) in enumerate(rules())
-    ) + ")"
+    by_keyword: dict[str, list[str]] = {}
+    for i, (label, keyword, pattern, priority, confidence) in enumerate(rules()):
+        by_keyword.setdefault(f" {keyword}", []).append(
+            f"named_struct('label', {_text(label)}, 'pattern', {_text(pattern)}, 'priority', {priority}, 'confidence', {confidence:.4f}D, 'rank', {i})"
+        )
+    table = "map(" + ", ".join(f"{_text(k)}, array({', '.join(v)})" for k, v in by_keyword.items()) + ")"
+    keywords = "array(" + ", ".join(map(_text, by_keyword)) + ")"
     outputs = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # words with A-Z still in their own case: the class with A-Z besides a-z
     flat = F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
-    low, gate = F.concat(F.lit(" "), F.lower("__flat")), F.lit(False)
-    for k in _keywords():
-        gate |= F.contains(F.col("__low"), F.lit(k))
+    low = F.concat(F.lit(" "), F.lower("__flat"))
+    gate = F.rlike(F.col("__low"), F.lit(" (?:" + "|".join(k[1:] for k in _keywords()) + ")"))
     ascii_lower = F.translate("__flat", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = docs.withColumn("__flat", flat).withColumn("__low", low).withColumn("__s", F.when(gate, F.concat(F.lit(" "), ascii_lower, F.lit(" "))))
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
@@ -199,7 +201,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     out = out.withColumns({
         "__n": F.when(F.col("__flat") == "", 0).otherwise(spaces(F.col("__flat")) + 1).cast("long"),
         "__base": sum(counts[1:], counts[0]).cast("long"), "__first": F.least(*firsts).cast("long"), "__last": F.greatest(*lasts).cast("long"),
-        "__names": F.array_compact(F.array(*names)), "__spans": F.when(s.isNotNull(), F.expr(_SPANS.format(rules=table))),
+        "__names": F.array_compact(F.array(*names)), "__spans": F.when(s.isNotNull(), F.expr(_SPANS.format(rules=table, keywords=keywords))),
     })
     out = out.withColumn("__left", F.expr(_LEFT))
     word = "length(substring(__s, 1, x.a)) - length(replace(substring(__s, 1, x.a), ' ', '')) - 1"
