@@ -30,8 +30,8 @@ from lociweave.llm.common import add_columns, bounded_batches, map_batches, spac
 MOST = 8192
 TERMS = 1024
 DIMENSIONS = 48
-NEIGHBOURS = 25
-POWER = 8
+NEIGHBOURS = 15
+POWER = 16
 THRESHOLD = 0.3
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else 57 if 48 <= c <= 57 else 122 if c >= 128 else c for c in range(256))
 #: Letters with at most one mark behind them; steps of the shares that are terms of their own.
