@@ -47,12 +47,12 @@ def cross_fitted_residuals(df: DataFrame, value: str, monomers: list[str], fold:
     got = df.agg(*aggs, *[F.avg(F.when(F.col(fold) != k, F.col(value))).alias(f"m{i}") for i, k in enumerate(folds)]).first()
     edges = {(i, j): sorted(set(got[f"q{i}_{j}"] or ()))[1:-1] for i in range(len(folds)) for j in range(len(monomers))}
     names = [f"__bin{j}" for j in range(len(monomers))]
-    copies = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), *[bin_of(m, edges[i, j]).alias(names[j]) for j, m in enumerate(monomers)]) for i, k in enumerate(folds)]))
+    copies = F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(k).alias("__k"), *[bin_of(m, edges[i, j]).alias(names[j]) for j, m in enumerate(monomers)]) for i, k in enumerate(folds)]))
     spread = df.withColumn("__c", copies).select(*df.columns, "__c.*")
-    means = spread.filter(F.col(fold) != F.col("k")).groupBy("i", *names).agg(F.avg(value).alias("__mean"))
-    held = spread.filter(F.col(fold) == F.col("k"))
-    overall = F.coalesce(*[F.when(F.col("i") == i, F.lit(got[f"m{i}"])) for i in range(len(folds))])
-    joined = held.join(F.broadcast(means) if len(folds) * bins ** len(monomers) <= 100_000 else means, ["i", *names], "left")
+    means = spread.filter(F.col(fold) != F.col("__k")).groupBy("__i", *names).agg(F.avg(value).alias("__mean"))
+    held = spread.filter(F.col(fold) == F.col("__k"))
+    overall = F.coalesce(*[F.when(F.col("__i") == i, F.lit(got[f"m{i}"])) for i in range(len(folds))])
+    joined = held.join(F.broadcast(means) if len(folds) * bins ** len(monomers) <= 100_000 else means, ["__i", *names], "left")
     return joined.withColumn(out, F.col(value) - F.coalesce("__mean", overall)).select(*df.columns, out)
 
 

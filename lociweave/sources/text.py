@@ -12,6 +12,11 @@ from lociweave.operators.loci import chrom_number
 from lociweave.schemas import AUTOSOMES
 
 
+def _checked(df: DataFrame, ok: Column, message: str, keep: Column) -> DataFrame:
+    """The rows to keep; any row that isn't ok is an error, kept or not."""
+    return df.filter(F.when(F.coalesce(ok, F.lit(False)), keep).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
 def _guard(ok: Column, message: str, value: Column) -> Column:
     """value, or an error where ok is false or null."""
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)).cast("long"))
@@ -29,8 +34,8 @@ def narrowpeak(spark: SparkSession, path: str) -> DataFrame:
     p = raw.select(*cols)
     s, e, o = F.col("start"), F.col("end"), F.col("summit_offset")
     ok = (s >= 0) & (s < e) & (o.isNull() | (o < e - s))
-    p = p.withColumn("midpoint", _guard(ok, "invalid peak interval or summit", peak_midpoint(s, e, o)))
-    return p.filter(F.col("chrom").isin(AUTOSOMES))
+    p = _checked(p, ok, "invalid peak interval or summit", F.col("chrom").isin(AUTOSOMES))
+    return p.withColumn("midpoint", peak_midpoint(s, e, o))
 
 
 def magix_calls(rows: DataFrame, fdr_max: float = 0.05, require_positive: bool = True) -> DataFrame:
@@ -47,8 +52,8 @@ def magix(spark: SparkSession, path: str, fdr_max: float = 0.05, require_positiv
         F.col("`coefficient.ar`").alias("score"), "full_LL", "reduced_LL", "pvalue", "fdr",
     )
     ok = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("fdr").isNull() | F.col("fdr").between(0, 1) | F.isnan("fdr"))
-    p = p.withColumn("midpoint", _guard(ok, "invalid interval or fdr", F.expr("(start + end) div 2")))
-    p = magix_calls(p, fdr_max, require_positive).filter(F.col("chrom").isin(AUTOSOMES) & ~F.isnan("fdr"))
+    p = _checked(p, ok, "invalid interval or fdr", F.col("chrom").isin(AUTOSOMES) & ~F.isnan("fdr"))
+    p = magix_calls(p.withColumn("midpoint", F.expr("(start + end) div 2")), fdr_max, require_positive)
     return p.withColumnRenamed("score", "ght_score").withColumns({"ght_fdr_threshold": F.lit(fdr_max), "ght_positive_required": F.lit(require_positive)})
 
 
