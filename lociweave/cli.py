@@ -18,7 +18,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--ght", required=True)
     b.add_argument("--chip")
     b.add_argument("--sizes")
-    b.add_argument("--universe", default="ght_only")
+    b.add_argument("--universe", default="ght-only")
     b.add_argument("--width", type=int, default=200)
     b.add_argument("--out", required=True)
     b.add_argument("--manifest", required=True)

@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Aliases of factor symbols.
-ALIASES = {"RFXDC2": "RFX7", "RXF5": "RFX5", "OCT4": "POU5F1", "OCT1": "POU2F1", "OCT2": "POU2F2", "NRSF": "REST"}
+ALIASES = {"TP73L": "TP63", "RFXDC2": "RFX7", "RXF5": "RFX5", "POU5F1B": "POU5F1", "BHLHB2": "BHLHE40", "ZNF238": "ZBTB18"}
+#: Tokens of truth.
+TRUE_TOKENS = ("1", "true", "yes", "y", "+", "positive", "observed")
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
 
@@ -66,7 +68,7 @@ def pair_members(x: Column) -> Column:
     return F.when(at > 0, both)
 
 
-def attributes(x: Column, pattern: str = r'([A-Za-z_][A-Za-z0-9_]*) "([^"]*)"') -> Column:
+def attributes(x: Column, pattern: str = r'(\w+) "([^"]+)"') -> Column:
     """A map of key "value" attributes; of repeated keys the last counts."""
     keys, values = (F.regexp_extract_all(x, F.lit(pattern), i) for i in (1, 2))
     last = F.reverse(F.arrays_zip(keys.alias("k"), values.alias("v")))
@@ -77,7 +79,7 @@ def attributes(x: Column, pattern: str = r'([A-Za-z_][A-Za-z0-9_]*) "([^"]*)"')
 def is_true(x: Column) -> Column:
     """1 for a token of truth, numbers by their value, else 0."""
     s = F.lower(F.trim(x.cast("string")))
-    return F.when(s.isin("1", "true", "yes", "y", "t", "positive") | (F.coalesce(s.try_cast("double"), F.lit(0.0)) == 1.0), 1).otherwise(0)
+    return F.when(s.isin(*TRUE_TOKENS) | (F.coalesce(s.try_cast("double"), F.lit(0.0)) == 1.0), 1).otherwise(0)
 
 
 def implant(background: Column, motif: Column, start: Column | int) -> Column:

@@ -118,7 +118,11 @@ def verify_asset(path: str, size: int, digest: str) -> None:
         raise ValueError(f"{path} isn't the frozen asset")
 
 
-def assert_primary_asset_allowed(path: str, blocked: Iterable[str] = ("tops/", "outcome", "chip_selected")) -> None:
+#: Parts of the names of assets that are selected by the outcome.
+FORBIDDEN_ASSETS = ("TOPs", "CTOPs", "MOODS_Triple_Optimized", "Peaks_Triple_Optimized", "Peaks_Triple_Overlap")
+
+
+def assert_primary_asset_allowed(path: str, blocked: Iterable[str] = FORBIDDEN_ASSETS) -> None:
     if any(b in path.lower() for b in (x.lower() for x in blocked)):
         raise ValueError(f"{path} may not be a primary asset")
 

@@ -10,10 +10,10 @@ from lociweave.schemas import AUTOSOMES
 
 #: Of each universe the rules, and whether the outcome decides on selection and on centres.
 UNIVERSES = {
-    "ght_only": ("ght_tile", "fixed_tile_center", False, False),
-    "assay_union": ("chip_or_ght_tile", "fixed_tile_center", True, False),
-    "fixed_genome": ("all_full_tiles", "fixed_tile_center", False, False),
-    "legacy_assay_union": ("chip_or_ght_tile", "selected_peak_midpoint", True, True),
+    "ght-only": ("ght_tile_only", "fixed_tile_center", False, False),
+    "assay-union": ("chip_or_ght_tile", "fixed_tile_center", True, False),
+    "fixed-genome": ("all_full_autosomal_tiles", "fixed_tile_center", False, False),
+    "legacy-assay-union": ("chip_or_ght_tile_chip_priority", "legacy_selected_peak_midpoint", True, True),
 }
 
 
@@ -74,11 +74,11 @@ def finalize(tiles: DataFrame, focal_tf: str, width: int, universe: str, folds:
 
 
 def ght_only_loci(ght: DataFrame, focal_tf: str, width: int = 200, chip: DataFrame | None = None) -> DataFrame:
-    return finalize(membership(chip, ght, width).filter("ght_count > 0"), focal_tf, width, "ght_only")
+    return finalize(membership(chip, ght, width).filter("ght_count > 0"), focal_tf, width, "ght-only")
 
 
 def assay_union_loci(chip: DataFrame, ght: DataFrame, focal_tf: str, width: int = 200) -> DataFrame:
-    return finalize(membership(chip, ght, width), focal_tf, width, "assay_union")
+    return finalize(membership(chip, ght, width), focal_tf, width, "assay-union")
 
 
 def fixed_genome_tiles(sizes: DataFrame, width: int = 200) -> DataFrame:
@@ -93,7 +93,7 @@ def fixed_genome_tiles(sizes: DataFrame, width: int = 200) -> DataFrame:
 
 def fixed_genome_loci(sizes: DataFrame, chip: DataFrame, ght: DataFrame, focal_tf: str, width: int = 200) -> DataFrame:
     tiles = fixed_genome_tiles(sizes, width).join(membership(chip, ght, width), ["chrom", "tile"], "left")
-    return finalize(tiles.fillna(0, ["chip_count", "ght_count"]), focal_tf, width, "fixed_genome")
+    return finalize(tiles.fillna(0, ["chip_count", "ght_count"]), focal_tf, width, "fixed-genome")
 
 
 def fixed_loci(points: DataFrame, width: int = 200, source: str = "unknown") -> DataFrame:
@@ -117,7 +117,7 @@ def legacy_assay_union_loci(chip: DataFrame, ght: DataFrame, focal_tf: str, widt
     first = both.groupBy("chrom", "tile").agg(F.min(F.struct("source", "midpoint")).alias("f")).select("chrom", "tile", "f.midpoint")
     start = F.greatest(F.col("midpoint") - width // 2, F.lit(0))
     tiles = first.join(membership(chip, ght, width), ["chrom", "tile"]).withColumns({"start": start, "end": start + width})
-    return finalize(tiles, focal_tf, width, "legacy_assay_union")
+    return finalize(tiles, focal_tf, width, "legacy-assay-union")
 
 
 def attach_scores(loci: DataFrame, calls: DataFrame, width: int, order: list[Column]) -> DataFrame:

@@ -90,13 +90,19 @@ def unpivot_matrix(matrix: DataFrame, key: str, value: str = "value", name: str
 
 
 def parse_tokens(x: Column) -> Column:
-    """struct<tested, composite, spacing, specificity> of a cell: '0' is tested, empty or N/A isn't; tokens begin with '1-' or '2-'."""
-    s = F.trim(x)
-    no = s.isNull() | F.upper(s).isin("", "N/A", "NA", "SELF")
-    tokens = F.filter(F.transform(F.split(s, r"[,;/ ]+"), lambda t: F.trim(t)), lambda t: t != "")
-    has = lambda p: F.coalesce(F.exists(tokens, lambda t: t.startswith(p)), F.lit(False)) & ~no
-    kinds = F.array_sort(F.array_distinct(F.transform(F.filter(tokens, lambda t: t.rlike(r"^[12]-.")), lambda t: F.substring_index(t, "-", -1))))
-    return F.struct((~no).alias("tested"), has("1-").alias("composite"), has("2-").alias("spacing"), F.when(no, F.array().cast("array<string>")).otherwise(kinds).alias("specificity"))
+    """struct<tested, composite, spacing, specificity> of a cell.
+
+    '0' is tested and negative; N/A, self and null are untested; else comma-separated tokens begin with '1-' (composite) or '2-'
+    (spacing), one of which is needed, and what follows the dash is the specificity.
+    """
+    s = F.lower(F.trim(x))
+    no, zero = s.isNull() | s.isin("n/a", "self"), s == "0"
+    tokens = F.filter(F.transform(F.split(s, ","), lambda t: F.trim(t)), lambda t: t != "")
+    has = lambda p: F.coalesce(F.exists(tokens, lambda t: t.startswith(p)), F.lit(False))
+    kinds = F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.substr(t, F.locate("-", t) + 1))))
+    none = F.array().cast("array<string>")
+    known = F.when(no | zero, none).when(has("1-") | has("2-"), kinds).otherwise(F.raise_error(F.lit("unrecognised interaction value")).cast("array<string>"))
+    return F.struct((~no).alias("tested"), (has("1-") & ~no).alias("composite"), (has("2-") & ~no).alias("spacing"), known.alias("specificity"))
 
 
 def protein_features(pairs: DataFrame, k: int = 2) -> DataFrame:

@@ -21,9 +21,9 @@ def q47_unpivot_matrix(spark, sf_dir):
 _TOKENS = "CASE o_orderkey % 5 WHEN 0 THEN '0' WHEN 1 THEN 'N/A' ELSE o_orderpriority || ', 2-FR, 1-' || o_orderstatus END"
 
 
-@query(f"""WITH x AS (SELECT o_orderkey, {_TOKENS} AS s FROM orders), t AS (SELECT o_orderkey, s, list_filter(string_split_regex(s, '[,;/ ]+'), lambda x: x <> '') AS k FROM x)
-SELECT o_orderkey, s <> 'N/A' AS tested, s <> 'N/A' AND len(list_filter(k, lambda x: starts_with(x, '1-'))) > 0 AS composite, s <> 'N/A' AND len(list_filter(k, lambda x: starts_with(x, '2-'))) > 0 AS spacing,
- CASE WHEN s = 'N/A' THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(list_filter(k, lambda x: regexp_matches(x, '^[12]-.')), lambda x: substring(x, 3)))), ',') END AS specificity FROM t""")
+@query(f"""WITH x AS (SELECT o_orderkey, lower({_TOKENS}) AS s FROM orders), t AS (SELECT o_orderkey, s, list_transform(string_split(s, ','), lambda x: trim(x)) AS k FROM x)
+SELECT o_orderkey, s <> 'n/a' AS tested, s <> 'n/a' AND len(list_filter(k, lambda x: starts_with(x, '1-'))) > 0 AS composite, s <> 'n/a' AND len(list_filter(k, lambda x: starts_with(x, '2-'))) > 0 AS spacing,
+ CASE WHEN s IN ('n/a', '0') THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(k, lambda x: substring(x, instr(x, '-') + 1)))), ',') END AS specificity FROM t""")
 def q48_token_parse(spark, sf_dir):
     k = F.col("o_orderkey") % 5
     raw = F.when(k == 0, "0").when(k == 1, "N/A").otherwise(F.concat("o_orderpriority", F.lit(", 2-FR, 1-"), "o_orderstatus"))

@@ -49,13 +49,13 @@ def q02_membership(spark, sf_dir):
     return loci.membership(*_both(spark, sf_dir), WIDTH)
 
 
-@query(f"WITH {TILES} SELECT {locus_sql('ght_only')} FROM member WHERE ght_count > 0")
+@query(f"WITH {TILES} SELECT {locus_sql('ght-only')} FROM member WHERE ght_count > 0")
 def q03_ght_only_loci(spark, sf_dir):
     chip, ght = _both(spark, sf_dir)
     return loci.ght_only_loci(ght, "TF", WIDTH, chip)
 
 
-@query(f"WITH {TILES} SELECT {locus_sql('assay_union')} FROM member")
+@query(f"WITH {TILES} SELECT {locus_sql('assay-union')} FROM member")
 def q04_assay_union(spark, sf_dir):
     return loci.assay_union_loci(*_both(spark, sf_dir), "TF", WIDTH)
 
@@ -67,7 +67,7 @@ def q05_chrom_fold(spark, sf_dir):
 
 _LEGACY = f"""WITH {TILES}, firsts AS (
   SELECT chrom, midpoint // 200 AS tile, arg_min(midpoint, (CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END) * 10000000 + midpoint) AS m FROM pts WHERE l_returnflag IN ('A', 'R') GROUP BY ALL)
-SELECT {locus_sql('legacy_assay_union', start='greatest(m - 100, 0)', end='greatest(m - 100, 0) + 200', mid='m')} FROM firsts JOIN member USING (chrom, tile)"""
+SELECT {locus_sql('legacy-assay-union', start='greatest(m - 100, 0)', end='greatest(m - 100, 0) + 200', mid='m')} FROM firsts JOIN member USING (chrom, tile)"""
 
 
 @query(_LEGACY)
@@ -80,7 +80,7 @@ _SIZES = "sizes AS (SELECT 'chr' || (1 + l_suppkey % 22) AS chrom, max(floor(l_e
 
 @query(f"""WITH {TILES}, {_SIZES}, grid AS (SELECT chrom, unnest(range(0, size // 200)) AS tile FROM sizes),
  full_ AS (SELECT g.chrom, g.tile, coalesce(chip_count, 0) AS chip_count, coalesce(ght_count, 0) AS ght_count FROM grid g LEFT JOIN member m ON g.chrom = m.chrom AND g.tile = m.tile)
- SELECT {locus_sql('fixed_genome')} FROM full_""")
+ SELECT {locus_sql('fixed-genome')} FROM full_""")
 def q07_fixed_genome(spark, sf_dir):
     sizes = points(spark, sf_dir).groupBy("chrom").agg((F.max("midpoint") + 500).alias("size"))
     return loci.fixed_genome_loci(sizes, *_both(spark, sf_dir), "TF", WIDTH)

@@ -29,7 +29,7 @@ class Contract:
     least_partial_r2: float = 0.005
     most_p: float = 0.05
     passing_factors: int = 4
-    universe: str = "ght_only"
+    universe: str = "ght-only"
 
     def validate(self) -> None:
         loci.validate_width(self.width)
@@ -45,11 +45,11 @@ def build_loci(spark: SparkSession, focal_tf: str, ght: str, chip: str | None, o
     contract.validate()
     calls = text.magix(spark, ght, contract.fdr)
     peaks = text.narrowpeak(spark, chip) if chip else None
-    if contract.universe == "ght_only":
+    if contract.universe == "ght-only":
         table = loci.ght_only_loci(calls, focal_tf, contract.width, peaks)
-    elif contract.universe == "assay_union":
+    elif contract.universe == "assay-union":
         table = loci.assay_union_loci(peaks, calls, focal_tf, contract.width)
-    elif contract.universe == "legacy_assay_union":
+    elif contract.universe == "legacy-assay-union":
         table = loci.legacy_assay_union_loci(peaks, calls, focal_tf, contract.width)
     else:
         table = loci.fixed_genome_loci(text.chrom_sizes(spark, sizes), peaks, calls, focal_tf, contract.width)

@@ -157,7 +157,7 @@ def test_pairs(spark):
     with pytest.raises(ValueError):
         pairs.leave_one_out(inter, "Q")
     p = spark.createDataFrame([("0",), ("N/A",), ("1-FF, 2-FR",), (None,)], "x string").select(pairs.parse_tokens(F.col("x")).alias("t")).collect()
-    assert [(r.t.tested, r.t.composite, r.t.spacing, r.t.specificity) for r in p] == [(True, False, False, []), (False, False, False, []), (True, True, True, ["FF", "FR"]), (False, False, False, [])]
+    assert [(r.t.tested, r.t.composite, r.t.spacing, r.t.specificity) for r in p] == [(True, False, False, []), (False, False, False, []), (True, True, True, ["ff", "fr"]), (False, False, False, [])]
     rates = {r.bait: r.probability for r in pairs.apply_rates(inter, inter.filter("bait = 'A'"), ["bait"], "composite_motif").collect()}
     assert rates == {"A": 0.5, "B": 0.5}
     f = pairs.protein_features(d).first().kmers
