@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 ALIASES = {"TP73L": "TP63", "RFXDC2": "RFX7", "RXF5": "RFX5", "POU5F1B": "POU5F1", "BHLHB2": "BHLHE40", "ZNF238": "ZBTB18"}
 #: Tokens of truth.
 TRUE_TOKENS = ("1", "true", "yes", "y", "+", "positive", "observed")
+#: Prefixes and suffixes of symbols that name species and constructs.
+SYMBOL_PREFIX, SYMBOL_SUFFIX = r"^(HUMAN|HS)[_:.-]", r"[-_](FULL|EDBD|DBD|ISOFORM\d+)$"
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
 
 def normalize_symbol(x: Column, aliases: dict[str, str] | None = None) -> Column:
     """Upper-cased without spaces, species prefix and construct suffix, then the alias of the symbol."""
     s = F.regexp_replace(F.upper(F.trim(x)), " ", "")
-    s = F.regexp_replace(s, r"^(HUMAN|HS)[_:.-]", "")
-    s = F.regexp_replace(s, r"[-_](FULL|EDBD|DBD|ISOFORM\d+)$", "")
+    s = F.regexp_replace(F.regexp_replace(s, SYMBOL_PREFIX, ""), SYMBOL_SUFFIX, "")
     table = ALIASES if aliases is None else aliases
     if not table:
         return s
