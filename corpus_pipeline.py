@@ -68,12 +68,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents; each result but the last is written to the shared folder and read again."""
+    """All stages in order over documents; each result but the last is written to the shared folder and read again.
+
+    What a stage has read is deleted when its own result is written, but for the last one's, which the caller still reads.
+    """
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", ""
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(at := f"{folder}/{k}-{name}")
             docs = spark.read.parquet(at)
+            if before:
+                _delete(spark, before)
+            before = at
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
