@@ -108,7 +108,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
         return {"id": [ids[i] for i in hit], "h": [seq_hash(keys[i]) for i in hit]}
 
     found = materialise(map_batches(docs.select(_id(), "text"), suspects, "id long, h binary"))
-    flagged = (
+    # materialised, so that the join below has two plain shuffles and adaptive execution can split a hot line's rows
+    flagged = materialise(
         found.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h")
         .agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
     )
