@@ -111,7 +111,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     found = map_batches(texts, seeds, "id long, a long, e long")
     heads = found.groupBy("a", "e").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     # an anchor is open if it has different extensions, first held by different documents
-    open_ = heads.groupBy("a").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x < y").select("a", F.lit(True).alias("open"))
+    # (materialised, so that the join has two plain shuffles and adaptive execution can split a hot anchor's rows)
+    open_ = materialise(heads.groupBy("a").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x < y").select("a", F.lit(True).alias("open")))
     marked = materialise(heads.join(open_, "a", "left").filter("lo < hi or open").select("a", "e", "lo", F.coalesce("open", F.lit(False)).alias("open")))
     lists = found.join(marked, ["a", "e"]).filter("id > lo or open").select("id", "e", (F.col("id") > F.col("lo")).alias("whole"))
     lists = materialise(lists.groupBy("id").agg(
