@@ -108,27 +108,24 @@ def spaced_column(sequence: Column, focal: np.ndarray, partner: np.ndarray, gaps
     return scan(sequence)
 
 
-def offset_scores(sequence: Column, odds: np.ndarray) -> Column:
-    """array<double> of the scores at each offset as JVM expressions; -infinity for windows with another letter."""
-    n = len(odds)
-    tables = [F.create_map(*[F.lit(x) for b, v in zip(BASES, row) for x in (b, float(v))]) for row in odds]
-    up = F.upper(sequence)
-
-    def at(i: Column) -> Column:
-        total = None
-        for j, table in enumerate(tables):
-            v = F.coalesce(F.try_element_at(table, F.substr(up, i + j, F.lit(1))), F.lit(float("-inf")))
-            total = v if total is None else total + v
-        return total
-
-    return F.when(F.length(up) >= n, F.transform(F.sequence(F.lit(1), F.length(up) - n + 1), at)).otherwise(F.array().cast("array<double>"))
-
+def relational_scores(df: DataFrame, key: str, sequence: str, p: np.ndarray, out: str = "score") -> DataFrame:
+    """(key, score): the best offset of both strands without Python, for single short motifs; key must be unique.
 
-def relational_max_score(sequence: Column, p: np.ndarray) -> Column:
-    """The best score of both strands without Python, for single short motifs."""
+    Offsets are exploded and scored in generated code; rows of a sequence are reduced before they are shuffled.
+    """
     odds = log_odds(p)
-    both = [F.array_max(offset_scores(sequence, o)) for o in (odds, odds[::-1, ::-1])]
-    return F.coalesce(F.greatest(*both), F.lit(float("-inf")))
+    n, up = len(odds), F.upper(F.col(sequence))
+    spread = df.select(key, up.alias("__s"), F.explode_outer(F.when(F.length(up) >= n, F.sequence(F.lit(1), F.length(up) - n + 1))).alias("__i"))
+
+    def strand(m: np.ndarray) -> Column:
+        total = F.lit(0.0)
+        for j, row in enumerate(m):
+            letter = F.instr(F.lit(BASES), F.substr("__s", F.col("__i") + j, F.lit(1)))
+            total = total + F.element_at(F.array(*[F.lit(float(v)) for v in (-np.inf, *row)]), letter + 1)
+        return total
+
+    best = F.max(F.when(F.col("__i").isNotNull(), F.greatest(strand(odds), strand(odds[::-1, ::-1]))))
+    return spread.groupBy(key).agg(F.coalesce(best, F.lit(float("-inf"))).alias(out))
 
 
 def presence_scores(docs: DataFrame, sequence: str, a: np.ndarray, b: np.ndarray, gc: float = 0.5) -> DataFrame:

@@ -72,9 +72,13 @@ def pair_members(x: Column) -> Column:
 def attributes(x: Column, pattern: str = r'(\w+) "([^"]+)"') -> Column:
     """A map of key "value" attributes; of repeated keys the last counts."""
     keys, values = (F.regexp_extract_all(x, F.lit(pattern), i) for i in (1, 2))
-    last = F.reverse(F.arrays_zip(keys.alias("k"), values.alias("v")))
-    first_of = F.filter(F.sequence(F.lit(0), F.size(last) - 1), lambda i: F.array_position(F.transform(last, lambda p: p["k"]), F.get(last, i)["k"]) == i + 1)
-    return F.when(F.size(keys) > 0, F.map_from_entries(F.transform(first_of, lambda i: F.get(last, i)))).otherwise(F.expr("cast(map() AS map<string,string>)"))
+
+    def build(s: Column) -> Column:
+        names = F.array_distinct(s["k"])
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.get(s["v"], (F.size(s["k"]) - F.array_position(F.reverse(s["k"]), n)).cast("int"))))
+
+    # an array of one struct, so that the text is searched once and not for every key
+    return F.transform(F.array(F.struct(keys.alias("k"), values.alias("v"))), build)[0]
 
 
 def is_true(x: Column) -> Column:

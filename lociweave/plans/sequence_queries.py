@@ -85,7 +85,8 @@ SELECT q.doc_id, coalesce(round(max(s), 6), '-infinity'::DOUBLE) AS score FROM s
 
 @query(_SCAN)
 def q24_pwm_max_scan(spark, sf_dir):
-    return sequences(spark, sf_dir).select("doc_id", F.round(pwm.relational_max_score(F.col("seq"), pwm.probabilities(MOTIF)), 6).alias("score"))
+    out = pwm.relational_scores(sequences(spark, sf_dir), "doc_id", "seq", pwm.probabilities(MOTIF))
+    return out.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_SCAN)

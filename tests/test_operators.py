@@ -62,9 +62,11 @@ def test_pwm_scans_agree(spark):
     m = pwm.probabilities(np.eye(4)[[0, 0, 1]] * 0.96 + 0.01)
     c = pwm.probabilities(np.eye(4)[[1, 1, 1, 1]] * 0.96 + 0.01)
     seqs = [("TTTGTTAAA",), ("NNNAACNNN",), ("CCCCCCCCC",), ("NNNNNNNN",), ("A",), (None,)]
-    rows = spark.createDataFrame(seqs, "s string").select("s", pwm.relational_max_score(F.col("s"), m).alias("r"), pwm.scan_column(F.col("s"), {"m": m, "c": c}).alias("u")).collect()
+    df = spark.createDataFrame([(i, *s) for i, s in enumerate(seqs)], "i long, s string")
+    rows = df.join(pwm.relational_scores(df, "i", "s", m, "r"), "i").withColumn("u", pwm.scan_column(F.col("s"), {"m": m, "c": c})).orderBy("i").collect()
+    assert len(rows) == len(seqs)
     for r in rows:
-        assert (r.r is None and r.s is None) or r.r == pytest.approx(r.u["m"], rel=1e-9)
+        assert r.r == pytest.approx(r.u["m"], rel=1e-9)
     assert rows[3].r == -np.inf
     a3, c3 = (pwm.log_odds(pwm.probabilities(np.tile(np.eye(4)[k], (3, 1)) * 0.96 + 0.01)) for k in (0, 1))
     assert pwm.spaced_score("GGGAAATTCCCGGG", a3, c3, [2], ["FF"]) > pwm.spaced_score("GGGAAATTTTCCCG", a3, c3, [2], ["FF"])
