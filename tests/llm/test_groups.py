@@ -36,3 +36,17 @@ def test_near_dedup_group_against_brute_force(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == own
     assert len({c for i, c in own.items() if i < 100}) > 1  # some stay apart
+
+
+def test_components_of_chains(spark):
+    from lociweave.llm.near_dedup import components
+
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(0, 60) if i % 13 != 12] + [(rng.randrange(100, 130), rng.randrange(100, 130)) for _ in range(20)] + [(7, 7), (200, 201), (201, 200)]
+    own = {x: x for e in links for x in e}
+    for _ in own:
+        for a, b in links:
+            own[a] = own[b] = min(own[a], own[b])
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: c for x, c in own.items() if x != c}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
