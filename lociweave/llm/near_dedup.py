@@ -157,23 +157,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, chunk: int = 64) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): for each id in links (a, b) the least id that it reaches; large-star and small-star in turn."""
     edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = _signature(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = _signature(edges)
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
-def _signature(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each id below another has one edge (u, v), u > v, and none that leads to it."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("out")), F.struct(F.col("v").alias("x"), F.lit(0).alias("out")))).alias("e"))
+    by = ends.select("e.x", "e.out").groupBy("x").agg(F.sum("out").alias("out"), F.count("*").alias("n"))
+    return by.filter("out > 1 or (out = 1 and n > 1)").isEmpty()
 
 
 def _some_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
