@@ -100,6 +100,23 @@ def _card(text: str, key: bytes) -> str | None:
     return _into(text, body + str(-_luhn_sum(body + "0") % 10))
 
 
+#: Fixed values of the IBAN registry: the length by country.
+_IBAN_LENGTH = {
+    country: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,TL"
+        " 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT,ST 26:IS,TR 27:FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+    ).split())
+    for country in countries.split(",")
+}
+
+
+def _iban_candidates(text: str) -> list[str]:
+    """The match and its parts up to a space, as words behind a number may have been taken with it: the country's length first, then the longest."""
+    parts = [text[:i] for i in (len(text), *(k for k in range(len(text) - 1, 0, -1) if text[k] == " "))]
+    return sorted(parts, key=lambda x: len(x.replace(" ", "")) != _IBAN_LENGTH.get(text[:2]))
+
+
 def _iban_number(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s))
 
@@ -213,16 +230,21 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     if not _ANY.search(text):
         return text, counts
 
-    def swap(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = _DO[kind](m[0], key) if kind in _DO else _date(kind, m[0], key)
+    out, done, at = [], 0, 0
+    while m := _FOUND.search(text, at):
+        kind, found, at = m.lastgroup, m[0], m.end()
+        if kind == "iban":
+            new, found = next(((x, c) for c in _iban_candidates(found) if (x := _iban(c, key))), (None, found))
+            at = m.start() + (len(found) if new else 1)  # what was taken with it, or stands in it, is searched again
+        else:
+            new = _DO[kind](found, key) if kind in _DO else _date(kind, found, key)
         if new is None:
-            return m[0]
+            continue
+        out += [text[done : m.start()], new]
+        done = m.start() + len(found)
         kind = _KIND.get(kind, kind)
         counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return _FOUND.sub(swap, text), counts
+    return "".join([*out, text[done:]]), counts
 
 
 def mask_documents(docs: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -294,3 +294,23 @@ def test_pii(spark):
     by = {r.doc_id: r for r in got}
     assert by[1].text == by[4].text == new and by[1].n_pii == 10 and by[2].text is None and by[3].text == "" and by[None].n_pii == 0
     assert mask_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pii_iban_before_words():
+    from lociweave.llm.pii import _iban_number, pseudonymise
+
+    def valid(s):
+        return _iban_number(s[4:] + s[:4]) % 97 == 1
+
+    plain = "BE68539007547034"
+    pseudonym = pseudonymise(plain, b"k")[0]
+    assert pseudonym != plain and valid(pseudonym)
+    for iban, rest in (("BE68 5390 0754 7034", " EUR 100"), (plain, " EUR"), (plain, " A 2024 EUROS"), ("AT61 1904 3002 3457 3201", " USD"), ("ES91 2100 0418 4502 0005 1332", " OK."), ("NO9386011117947", " NOK")):
+        new, counts = pseudonymise(iban + rest, b"k")
+        got = new[: len(iban)]
+        assert counts == {"iban": 1} and new == got + rest and got != iban and valid(got.replace(" ", ""))
+        assert iban[:2] != "BE" or got.replace(" ", "") == pseudonym
+    # what was taken with a number, or with one that isn't valid, is searched as well
+    new, counts = pseudonymise("BE68539007547034 4111 1111 1111 1111 and REF DE12 4111 1111 1111 1111", b"k")
+    assert counts == {"iban": 1, "card": 2} and "4111" not in new
+    assert pseudonymise("BE68 5390 0754 7035 EUR", b"k") == ("BE68 5390 0754 7035 EUR", {})
