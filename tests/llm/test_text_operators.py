@@ -314,3 +314,22 @@ def test_pii_iban_before_words():
     new, counts = pseudonymise("BE68539007547034 4111 1111 1111 1111 and REF DE12 4111 1111 1111 1111", b"k")
     assert counts == {"iban": 1, "card": 2} and "4111" not in new
     assert pseudonymise("BE68 5390 0754 7035 EUR", b"k") == ("BE68 5390 0754 7035 EUR", {})
+
+
+def _extracted(spark, htmls, most=32 << 20):
+    from lociweave.llm.html_extract import extract_pages
+
+    pages = spark.createDataFrame([(i, f"http://one.example.com/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r.text for r in sorted(extract_pages(pages, most_bytes=most).collect(), key=lambda r: r.page_id)]
+
+
+def test_html_constants_inside_the_container(spark):
+    page = "<body><div><h1>Title {i}</h1><p>Of {i} there is much to be told here.</p>{more}<p>Read on with our <b>letter</b></p><p>yes</p></div></body>"
+    htmls = [page.format(i=i, more="<p>yes</p>" * (i % 3) + "<ul><li>Point</li></ul>" * (i == 5)) for i in range(12)]
+    for most in (32 << 20, 0):
+        for i, text in enumerate(_extracted(spark, htmls, most)):
+            assert text == "\n".join([f"Title {i}", f"Of {i} there is much to be told here.", *["yes"] * (i % 3), *["Point"] * (i == 5), "yes"])
+    # an article that was fetched several times isn't a template
+    same = [f"<body><div><h1>Title</h1><p>All the words of the same article.</p><p>{i} views</p></div></body>" for i in range(5)]
+    assert _extracted(spark, same) == [f"Title\nAll the words of the same article.\n{i} views" for i in range(5)]
+    assert _extracted(spark, same[:1] * 5) == ["Title\nAll the words of the same article.\n0 views"] * 5
