@@ -333,3 +333,12 @@ def test_html_constants_inside_the_container(spark):
     same = [f"<body><div><h1>Title</h1><p>All the words of the same article.</p><p>{i} views</p></div></body>" for i in range(5)]
     assert _extracted(spark, same) == [f"Title\nAll the words of the same article.\n{i} views" for i in range(5)]
     assert _extracted(spark, same[:1] * 5) == ["Title\nAll the words of the same article.\n0 views"] * 5
+
+
+def test_html_container_of_every_template(spark):
+    long = "word {i} " * 30
+    htmls = [f"<body><div><h1>Title {i}</h1><p>Short {i}</p><div><p>{long.format(i=i).strip()}</p></div></div></body>" for i in range(30)]
+    htmls.append("<body><div>promo</div><section><article><p>The article of another template.</p></article></section></body>")
+    got = _extracted(spark, htmls)
+    assert got[:30] == [f"Title {i}\nShort {i}\n{long.format(i=i).strip()}" for i in range(30)]
+    assert got[30] == "The article of another template."
