@@ -342,3 +342,14 @@ def test_html_container_of_every_template(spark):
     got = _extracted(spark, htmls)
     assert got[:30] == [f"Title {i}\nShort {i}\n{long.format(i=i).strip()}" for i in range(30)]
     assert got[30] == "The article of another template."
+
+
+def test_html_chrome_names(spark):
+    inner = "<article><h1>T {i}</h1><figure><pre>code {i}</pre><figcaption>Caption {i}</figcaption></figure><fieldset>Set {i}</fieldset><div class='ad'>Buy</div></article>"
+    want = "T {i}\ncode {i}\nCaption {i}\nSet {i}"
+    for name in ("page has-sidebar", "no-sidebar", "with-ads", "share-article"):
+        htmls = [f"<body><div class='{name}'>{inner.format(i=i)}</div><div class='sidebar'>Side {i}</div><div id='comments'><article>Much said of {i} by many</article></div></body>" for i in range(2)]
+        assert _extracted(spark, htmls) == [want.format(i=i) for i in range(2)]
+    # no article: the element with most of the text isn't chrome, a longer discussion is
+    assert _extracted(spark, ["<body><div class='menu-page'><p>Nearly all of the text</p></div><div class='menu'>x</div></body>"]) == ["Nearly all of the text"]
+    assert _extracted(spark, ["<body><div><p>The text</p></div><div class='comments-area'><p>More words than in the text</p></div></body>"]) == ["The text"]
