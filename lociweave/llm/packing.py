@@ -11,7 +11,8 @@ Ids are those of the byte-level BPE in the tokenizers file: its vocabulary is re
 which gives the same ids (a test compares them) in a fourth of the time.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; a null doc_id is kept; an empty
-table gives no pieces; other columns are not read. The strings of special tokens in a text are ordinary text.
+table gives no pieces; other columns are not read. The string of an added token in a text becomes that token's id with added_tokens, as the file's
+tokenizer does at its default settings, and is ordinary text without; the query and the pipeline set it.
 """
 
 from __future__ import annotations
@@ -56,9 +57,9 @@ def encoder(path: str | None = None):
         byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(rest)}
         with open(path or tokenizer_path(), encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", ())}
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        _encoders[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
@@ -121,7 +122,7 @@ def cut_last(pool: list[tuple]) -> list[tuple]:
     return pool + tail
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
     bounded_batches(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -129,7 +130,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        own = encoder(path)
+        encode = (lambda text: own.encode(text, allowed_special="all")) if added_tokens else own.encode_ordinary
         sequence = TaskContext.get().partitionId() << 32
         pool: list[tuple] = []
         held, rows = 0, {n: [] for n in names}

@@ -48,7 +48,7 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociweave.llm.packing import pack_documents
 
-    return pack_documents(read_table(spark, sf_dir, "documents"), with_ids=False)
+    return pack_documents(read_table(spark, sf_dir, "documents"), with_ids=False, added_tokens=True)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

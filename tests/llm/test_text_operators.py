@@ -353,3 +353,25 @@ def test_html_chrome_names(spark):
     # no article: the element with most of the text isn't chrome, a longer discussion is
     assert _extracted(spark, ["<body><div class='menu-page'><p>Nearly all of the text</p></div><div class='menu'>x</div></body>"]) == ["Nearly all of the text"]
     assert _extracted(spark, ["<body><div><p>The text</p></div><div class='comments-area'><p>More words than in the text</p></div></body>"]) == ["The text"]
+
+
+def test_packing_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from lociweave.llm.packing import tokenizer_path
+    from lociweave.llm.queries import op6_packing
+
+    t = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>  \n", "  <|endoftext|>'s", "<|endoftext| <|endoftext", "none it's", ""]
+    frame = spark.createDataFrame([(i, x, "en", "s", "x") for i, x in enumerate(texts)], DOCS)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 1]
+    joined = defaultdict(list)
+    for p in sorted(corpus_pipeline.packing_stage(spark, frame, str(tmp_path)).collect(), key=lambda p: p.start):
+        joined[p.doc_id] += p.ids
+    assert joined == want
+    for p in op6_packing(spark, str(tmp_path)).collect():
+        own = want[p.doc_id]
+        assert p.doc_tokens == len(own) and p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in own[p.start : p.start + p.length]))
