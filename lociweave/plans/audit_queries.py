@@ -65,15 +65,21 @@ def q51b_mapping_rate(spark, sf_dir):
 
 @query("""WITH e AS (SELECT n_name AS sample, p_brand AS partner, sum(l_quantity) AS tpm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE l_tax < 0.005 GROUP BY ALL)
 SELECT n_name AS sample, b.p_brand AS partner, round(coalesce(tpm, 0), 4) AS tpm, coalesce(tpm, 0) >= 60 AS supported FROM nation CROSS JOIN (SELECT DISTINCT p_brand FROM part) b LEFT JOIN e ON e.sample = n_name AND e.partner = b.p_brand""")
-def q52_partner_grid(spark, sf_dir):
+def q52_partner_grid(spark, sf_dir, rows_of="l_tax < 0.005"):
     nation, part = table(spark, sf_dir, "nation"), table(spark, sf_dir, "part")
-    rows = table(spark, sf_dir, "lineitem").filter("l_tax < 0.005").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").filter(rows_of).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     e = rows.select(F.col("n_name").alias("sample"), F.col("p_brand").alias("partner"), F.col("l_quantity").alias("tpm"))
     out = audit.partner_grid(nation.select(F.col("n_name").alias("sample")), part.select(F.col("p_brand").alias("partner")), e, 60.0)
     return out.select("sample", "partner", F.round("tpm", 4).alias("tpm"), "supported")
 
 
+@query()
+def q52_partner_grid_whole(spark, sf_dir):
+    """All rows of lineitem."""
+    return q52_partner_grid(spark, sf_dir, "true")
+
+
 @query("""SELECT n_name AS partner, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) THEN 'first' WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) THEN 'second' WHEN n_regionkey = 1 THEN 'third' END AS source FROM nation""")
 def q53_priority_source(spark, sf_dir):
     n = table(spark, sf_dir, "nation")

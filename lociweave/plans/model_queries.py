@@ -104,6 +104,18 @@ def q35_paired(spark, sf_dir):
     return metrics.paired(rows, "y", "p", "pair").select("pairs", F.round("pairwise_accuracy", 9).alias("pairwise_accuracy"), *[F.round(c, 4).alias(c) for c in ("counterfactual_delta", "counterfactual_delta_std")])
 
 
+@query()
+def q35_paired_whole(spark, sf_dir):
+    """Every order of a customer paired with the next, so that all orders of a customer with two or more take part."""
+    from pyspark.sql import Window as W
+
+    later = F.lead(F.struct("o_totalprice")).over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair"), F.col("o_totalprice").alias("own"), later.alias("later")).filter("later is not null")
+    sides = F.array(F.struct(F.lit(1).alias("y"), F.col("own").alias("p")), F.struct(F.lit(0).alias("y"), F.col("later.o_totalprice").alias("p")))
+    rows = x.select("pair", F.inline(sides))
+    return metrics.paired(rows, "y", "p", "pair").select("pairs", F.round("pairwise_accuracy", 9).alias("pairwise_accuracy"), *[F.round(c, 4).alias(c) for c in ("counterfactual_delta", "counterfactual_delta_std")])
+
+
 @query(f"""WITH {LABELLED}, c AS (SELECT sum(y * (p >= 0.05)::INTEGER)::DOUBLE AS tp, sum((1 - y) * (p >= 0.05)::INTEGER)::DOUBLE AS fp, sum((1 - y) * (p < 0.05)::INTEGER)::DOUBLE AS tn, sum(y * (p < 0.05)::INTEGER)::DOUBLE AS fn, avg((p - y) * (p - y)) AS brier FROM s)
 SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, tn::BIGINT AS tn, fn::BIGINT AS fn, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS balanced_accuracy, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 9) AS mcc, round(brier, 9) AS brier FROM c""")
 def q36_confusion_mcc(spark, sf_dir):
