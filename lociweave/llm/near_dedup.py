@@ -6,19 +6,21 @@ in round BINS + j all elements go to bin j, so that no coordinate stays empty af
 or a few rounds. Coordinates agree with the probability of the sets' similarity, with concentration bounds.
 
 Equal word sequences are one class, which its least doc_id stands for. Bands of ROWS coordinates put representatives
-into buckets. A bucket isn't expanded into pairs: first each member meets the bucket's least doc_id, and links
-are confirmed on full sets. Buckets whose members are in one component are settled. In the others the shingles that a
-member shares with any other open document bound its similarity, and members whose bound is too low are out. What is left is
-grouped over shared buckets, and within a group the members of different components meet in blocks, where the same
-bound and a finer sketch of 512 coordinates, six deviations wide (a miss of 1e-9 a pair), leave few pairs to confirm, on full
-sets in the same task. Nothing is capped. A group of n documents near one hub costs n comparisons; only what stays apart from the hub is
-compared with the group, in arrays.
-Components come from alternating large-star and small-star
-steps over the links. With 32 bands of 4 a pair of similarity 0.75 shares no bucket with probability 5e-6.
+into buckets. A bucket isn't expanded into pairs: first each member meets the bucket's least doc_id, its hub, and links
+are confirmed on full sets. Buckets whose members are in one component are settled. The members of the others form a group for each component of
+hubs: those inside the component and those beside it. In arrays of bounded size, dealt over as many tasks as the group needs, those beside meet all the group's
+members that aren't in their own component, by an index of shingles that gives exact intersections. Before that, groups
+with more than FINER shingles beside the component are dealt to the buckets of a further, independent sketch, up to LEVELS times, where the same
+steps find most links. Nothing is capped and no pair is left out by an estimate: what two documents that share a bucket have in common is always counted
+on full sets, unless a component already holds both. Components of up to MOST_LINKS links are found in one task, those of more by alternating large-star and small-star
+steps.
+
+With 32 bands of 4 a pair of similarity 0.75 shares no bucket with probability 5e-6, at each level that it goes through.
 
 Defined results: words are [^\x20\x09-\x0D]+ after A-Z are lower-cased; a text of fewer than 5 words has its whole sequence as one
 shingle; a null, empty or wordless text has an empty set and is linked with nothing; of rows with the same doc_id
-each has the component of its own text; a null doc_id counts as the smallest and is returned as null; an empty table gives an empty table.
+each has the component of its own text; a null doc_id counts as the smallest and is returned as null; an empty table gives an empty table; columns
+besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,17 +39,16 @@ SHINGLE = 5
 BINS = 128
 BITS = 7
 ROWS = 4
-#: The finer sketch for pairs inside a group: 2 ** FINE_BITS coordinates of a byte, a deviation of 0.019 at similarity 0.75,
-#: and the least share of equal ones: six deviations below.
-FINE_BITS = 9
-LEAST_EQUAL = 0.635
-#: Shingles of the part of a group that meets another as one block, 8 bytes each.
-BLOCK = 1 << 20
-#: Ids that may be broadcast, 8 bytes each.
-MOST_IDS = 250_000
+#: Shingles of a group's members that one task indexes, 16 bytes each, and of those that it looks up: the least, and the most when a group would have several
+#: blocks for every shuffle partition.
+BLOCK, MOST_BLOCK = 1 << 14, 1 << 20
+#: Shingles beside a group's component from which on a finer sketch comes first, and how often.
+FINER, LEVELS = 1 << 22, 2
+#: Rows of two or three numbers that may be broadcast, and links that one task may hold.
+MOST_IDS, MOST_LINKS = 250_000, 4_000_000
 NULL_ID = -(1 << 63)
 _BASE = 0xC2B2AE3D27D4EB4F
-_SEEDS = mix(np.arange(1, 2 * (1 << FINE_BITS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, (2 << 10) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -61,7 +62,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """2 ** bits values; all filled if there is an element."""
+    """2 ** bits values, up to 2 ** 10; all filled if there is an element."""
     bins = 1 << bits
     out = np.full(bins, _EMPTY)
     if not len(elements):
@@ -114,57 +115,106 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(_id(), "text"), run, "id long, n long, seq binary, keys array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, chunk: int = 64) -> DataFrame:
-    """Of pairs (a, b) those with 100 * intersection >= 75 * union.
+def _bounded(ids: DataFrame, most: int = MOST_IDS) -> DataFrame:
+    """A side to be joined: broadcast if its count, which is of bounded rows, allows that."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
 
-    A chunk holds one hub's text and those of at most some `chunk` of its partners, so a hub with any number of
-    partners is spread over many tasks, and no task holds more than the hub's set and one other.
+def _buckets(members: DataFrame) -> DataFrame:
+    """(key, id, n, hub, size) of members (key, id, n) whose bucket has two or more; the hub is its least id.
+
+    The counts are materialised, so that the join has two plain shuffles and adaptive execution can split a hot bucket's rows.
     """
-    size = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    dealt = pairs.join(size, "a").select(
-        "a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("m") / chunk)).cast("long")).alias("part")
-    )
+    sizes = materialise(members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1"))
+    return materialise(members.join(sizes, "key"))
+
+
+def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, own): the shingles of these ids' texts, 8 bytes each; a bounded list of ids is broadcast, so that no text is shuffled."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column("id"), "own": [shingles(_words(t)).tobytes() for t in text_bytes(batch, "text")]}
+
+    return materialise(map_batches(texts.join(_bounded(ids), "id", "left_semi"), run, "id long, own binary"))
+
+
+def _similar(both, m, n):
+    return 100 * both >= 75 * (m + n - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b) those with 100 * intersection >= 75 * union.
+
+    The partners of a hub are dealt by hash over several times as many parts as there are shuffle partitions, so that a hub with any number of
+    partners is spread over all tasks; a part holds the hub's set and one other at a time.
+    """
+    parts = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("part"))
     roles = dealt.select(F.col("a").alias("id"), "a", "part", F.lit(0).alias("role")).distinct().unionByName(
         dealt.select(F.col("b").alias("id"), "a", "part", F.lit(1).alias("role"))
     )
-    roles = materialise(roles)
-    rows = roles.join(_some_texts(texts, roles.select("id").distinct()), "id")
 
     def compare(batches):
         key, hubs = None, []
         for batch in batches:
             out_a, out_b = [], []
-            for a, part, role, doc, text in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "role", "id")), text_bytes(batch, "text")):
-                own = shingles(_words(text))
+            for a, part, role, doc, own in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "role", "id", "own"))):
+                own = np.frombuffer(own, np.uint64)
                 if (a, part) != key:
                     key, hubs = (a, part), []
                 if role == 0:
                     hubs.append(own)
                     continue
-                for hub in hubs:
-                    both = len(np.intersect1d(hub, own, assume_unique=True))
-                    if own.size and 100 * both >= 75 * (len(hub) + len(own) - both):
-                        out_a.append(a)
-                        out_b.append(doc)
-                        break
+                if any(_similar(len(np.intersect1d(hub, own, assume_unique=True)), len(hub), len(own)) for hub in hubs if len(own)):
+                    out_a.append(a)
+                    out_b.append(doc)
             if out_a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    ordered = rows.select("a", "part", "role", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    ordered = roles.join(sets, "id").select("a", "part", "role", "id", "own").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    return ordered.mapInArrow(compare, "a long, b long")
+
 
+def components(links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
+    """(id, component): for each id in links (a, b) that isn't least among those that it reaches, the least.
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): for each id in links (a, b) the least id that it reaches; large-star and small-star in turn."""
+    Up to so many links fit one task, 16 bytes each; more go through large-star and small-star steps in turn, each of which writes fewer.
+    """
     edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while not _are_stars(edges):
+    n = edges.count()
+    while n > most and not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        n = edges.count()
+    if n > most:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+    def solve(batches):
+        got = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if got:
+            u, v = (np.concatenate([x[k] for x in got]) for k in (0, 1))
+            ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            least = _least(at[: len(u)], at[len(u) :], len(ids))
+            moved = np.flatnonzero(least != np.arange(len(ids)))
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[moved], pa.int64()), "component": pa.array(ids[least[moved]], pa.int64())})
+
+    return materialise(edges.coalesce(1).mapInArrow(solve, "id long, component long"))
+
+
+def _least(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For 0..n-1 the least number that each reaches over the links (u, v)."""
+    to = np.arange(n)
+    while True:
+        a, b = to[u], to[v]
+        if (a == b).all():
+            return to
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        while (to[to] != to).any():
+            to = to[to]
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -174,114 +224,120 @@ def _are_stars(edges: DataFrame) -> bool:
     return by.filter("out > 1 or (out = 1 and n > 1)").isEmpty()
 
 
-def _some_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of these ids; a bounded list of ids is broadcast, so that no other text is shuffled."""
-    return texts.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "id", "left_semi")
-
-
-def _shared_counts(texts: DataFrame) -> DataFrame:
-    """(id, s): how many shingles of each text occur in a text with another id."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        ids, own = [], []
-        for doc, text in zip(batch.column("id").to_pylist(), text_bytes(batch, "text")):
-            x = shingles(_words(text))
-            ids.append(np.full(len(x), doc, np.int64))
-            own.append(x.view(np.int64))
-        return {"id": np.concatenate(ids) if ids else [], "h": np.concatenate(own) if own else []}
+def _apart(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(g, id, n, component, inside): members of buckets that hold more than one component.
 
-    all_ = map_batches(texts, run, "id long, h long")
-    shared = all_.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h")
-    return all_.join(shared, "h").groupBy("id").agg(F.count("*").alias("s"))
+    g is the component of a bucket's hub, and a member is inside or beside it. All buckets with hubs of one component are one group, so that a member meets
+    it once, however many buckets they share.
+    """
+    of = buckets.filter("size > 2").join(_bounded(comps), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = of.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("g")
+    )
+    spread = materialise(spread.filter("lo < hi").select("key", "g"))
+    of = of.join(_bounded(spread), "key")
+    return materialise(of.select("g", "id", "n", "component", (F.col("component") == F.col("g")).alias("inside")).distinct())
 
 
-def _within_groups(rows: DataFrame) -> DataFrame:
-    """Links (a, b) of rows (g, id, component, n, s, fine, own) with the same g and different components.
+def _meet(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between the rows at left and those at right whose components differ; components linked meanwhile count as one.
 
-    A group is cut into blocks of BLOCK shingles, and each two blocks meet in one task as arrays. The shared shingles s of either
-    bound the intersection, the share of equal bytes of the fine sketches estimates the similarity, and the pairs left are
-    confirmed on full sets there and then; only links become rows. Components that are linked meanwhile count as one.
+    The left shingles are an index, in which each right set finds its intersections with all left sets at once. A set is passed over if less
+    than three quarters of it occur in other sets there, as it can't reach the threshold.
     """
-    sizes = rows.groupBy("g").agg(F.sum("n").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    dealt = rows.join(sizes.select("g", F.ceil(F.col("m") / BLOCK).cast("long").alias("k")), "g")
-    dealt = dealt.withColumn("c", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("o", F.explode(F.expr("sequence(0L, k - 1)")))
-    dealt = dealt.select("g", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "component", "n", "s", "fine", "own")
-
-    def meet(block: list[tuple]) -> list[tuple[int, int]]:
-        c, ids, comp, n, s = (np.array([r[k] for r in block], np.int64) for k in range(5))
-        fine = np.frombuffer(b"".join(r[5] for r in block), np.uint8).reshape(len(block), -1)
-        sets = [np.frombuffer(r[6], np.uint64) for r in block]
-        left, right, links = np.flatnonzero(c == c.min()), np.flatnonzero(c == c.max()), []
-        for x in left:
-            y = right[(ids[right] > ids[x]) | (c[right] != c[x])]
-            both = np.minimum(s[y], s[x])
-            y = y[(comp[y] != comp[x]) & (100 * both >= 75 * (n[y] + n[x] - both))]
-            if not len(y):
-                continue
-            for z in y[(fine[y] == fine[x]).mean(1) >= LEAST_EQUAL]:
-                if comp[z] == comp[x]:
-                    continue
-                shared = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
-                if 100 * shared >= 75 * (len(sets[x]) + len(sets[z]) - shared):
-                    links.append((int(min(ids[x], ids[z])), int(max(ids[x], ids[z]))))
-                    comp[comp == comp[z]] = comp[x]
-        return links
+    n = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate([sets[x] for x in left]), np.repeat(left, n[left])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    is_left = np.zeros(len(ids), np.int64)
+    is_left[left] = 1
+    links = []
+    for y in right:
+        low, high = np.searchsorted(flat, sets[y], "left"), np.searchsorted(flat, sets[y], "right")
+        m = high - low
+        if 100 * np.count_nonzero(m > is_left[y]) < 75 * n[y]:
+            continue
+        at = np.repeat(low - np.cumsum(m) + m, m) + np.arange(m.sum())
+        both = np.bincount(owner[at], minlength=len(ids))
+        for x in np.flatnonzero(_similar(both, n, n[y]) & (both > 0) & (component != component[y])):
+            if component[x] != component[y]:
+                links.append((int(ids[x]), int(ids[y])))
+                component[component == component[x]] = component[y]
+    return links
+
+
+def _met(roles: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of a group that stand beside it and all of its members, of rows (g, id, n, component, inside).
+
+    All members are dealt over `rows` blocks, those beside over `cols` blocks as well, and each two blocks meet in one task. A group whose few others stand
+    beside a large component copies only these.
+    """
+    many = 4 * int(roles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.col("all") / many))
+    blocks = roles.groupBy("g").agg(F.sum("n").alias("all"), F.sum(F.when(~F.col("inside"), F.col("n"))).alias("beside"))
+    blocks = materialise(blocks.select("g", *(F.ceil((F.col(x) + 1) / block).cast("int").alias(y) for x, y in (("all", "rows"), ("beside", "cols")))))
+    row, col = F.pmod(F.xxhash64("id"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("cols")).cast("int")
+    dealt = roles.join(_bounded(blocks), "g").withColumn("own", F.struct(row.alias("i"), col.alias("j")))
+    cross = F.expr("array_distinct(concat(transform(sequence(0, cols - 1), x -> struct(own.i as i, x as j)), if(inside, array(), transform(sequence(0, rows - 1), x -> struct(x as i, own.j as j)))))")
+    dealt = dealt.select("g", F.explode(cross).alias("to"), F.col("own.i").alias("i"), F.col("own.j").alias("j"), "id", "component", "inside")
+    dealt = dealt.select("g", "to", (F.col("to.i") == F.col("i")).alias("left"), (~F.col("inside") & (F.col("to.j") == F.col("j"))).alias("right"), "id", "component")
 
     def run(batches):
         key, block, links = None, [], []
+
+        def settle():
+            if len(block) > 1:
+                ids, component = (np.array([r[k] for r in block], np.int64) for k in (0, 1))
+                left, right = (np.flatnonzero([r[k] for r in block]) for k in (2, 3))
+                if len(left) and len(right):
+                    links.extend(_meet(ids, component, [np.frombuffer(r[4], np.uint64) for r in block], left, right))
+
         for batch in batches:
-            cols = [batch.column(x).to_pylist() for x in ("g", "i", "j", "c", "id", "component", "n", "s", "fine", "own")]
-            for g, i, j, *row in zip(*cols):
+            for g, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("g", "i", "j", "id", "component", "left", "right", "own"))):
                 if (g, i, j) != key:
-                    links += meet(block) if len(block) > 1 else []
+                    settle()
                     key, block = (g, i, j), []
                 block.append(row)
-        links += meet(block) if len(block) > 1 else []
+        settle()
         yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "c").mapInArrow(run, "a long, b long")
-
-
-def link_representatives(reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of representatives (id, n, keys); texts: (id, text)."""
-    members = reps.select("id", "n", F.explode("keys").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).filter("size > 1")
-    members = materialise(members.join(sizes, "key"))
-    tested = materialise(members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    links = materialise(_verified(tested, texts))
-    comps = components(links)
-    # a bucket of two has had its only comparison
-    of = members.filter("size > 2").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = materialise(of.join(_unsettled(of), "key", "left_semi").select("key", "id", "n", "component"))
-    if open_.isEmpty():
-        return links, comps
-    bounds = _shared_counts(_some_texts(texts, open_.select("id").distinct()))
-    # a member is out if it can't reach any text that is as long as the bucket's shortest
-    open_ = open_.join(bounds, "id").join(open_.groupBy("key").agg(F.min("n").alias("short")), "key")
-    best = F.greatest(F.col("short"), F.least("s", "n"))
-    open_ = open_.filter(100 * F.least(F.col("s"), best) >= 75 * (F.col("n") + best - F.least(F.col("s"), best)))
-    open_ = materialise(open_)
-    open_ = materialise(open_.join(_unsettled(open_), "key", "left_semi"))
-    # buckets that share members are one group, so that two documents meet once however many buckets they share
-    stars = open_.join(open_.groupBy("key").agg(F.min("id").alias("first")), "key").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    groups = components(stars).withColumnRenamed("component", "g")
-    alive = open_.groupBy("id").agg(F.max("n").alias("n"), F.max("s").alias("s"), F.max("component").alias("component"))
-    alive = materialise(alive.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id")))
-
-    def fine(batch: pa.RecordBatch) -> dict:
-        own = [shingles(_words(t)) for t in text_bytes(batch, "text")]
-        made = [(mix(sketch(x, FINE_BITS)) & np.uint64(255)).astype(np.uint8).tobytes() for x in own]
-        return {"id": batch.column("id"), "fine": made, "own": [x.tobytes() for x in own]}
-
-    sets = map_batches(_some_texts(texts, alive.select("id")), fine, "id long, fine binary, own binary")
-    links = materialise(links.unionByName(_within_groups(alive.join(sets, "id")).distinct()))
-    return links, components(links)
-
-
-def _unsettled(members: DataFrame) -> DataFrame:
-    """The buckets with members of different components."""
-    spread = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return spread.filter("lo < hi").select("key")
+    rows = dealt.join(sets, "id").select("g", "to.i", "to.j", "id", "component", "left", "right", "own")
+    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _finer(roles: DataFrame, sets: DataFrame, level: int) -> DataFrame:
+    """Members (key, id, n) of the groups by bands of a further, independent sketch."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        turn = mix(np.array([level], np.uint64) * np.uint64(_BASE))
+        return {"id": batch.column("id"), "keys": [bands(sketch(mix(np.frombuffer(x, np.uint64) ^ turn))).view(np.int64) for x in batch.column("own").to_pylist()]}
+
+    keys = map_batches(sets.join(_bounded(materialise(roles.select("id").distinct())), "id", "left_semi"), run, "id long, keys array<long>")
+    return roles.join(keys, "id").select("g", "id", "n", F.explode("keys").alias("k")).select(F.xxhash64("g", "k").alias("key"), "id", "n")
+
+
+def link_representatives(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of members (key, id, n) of buckets; texts: (id, text)."""
+    buckets = _buckets(members)
+    sets = _sets(texts, materialise(buckets.select("id").distinct()))
+    links = None
+    for level in range(LEVELS + 1):
+        tested = buckets.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        found = _verified(tested, sets)
+        links = materialise(found if links is None else links.unionByName(found))
+        comps = components(links)
+        roles = _apart(buckets, comps)
+        if roles.isEmpty():
+            return links, comps
+        beside = roles.groupBy("g").agg(F.sum(F.when(~F.col("inside"), F.col("n"))).alias("w")).filter(F.col("w") > (FINER if level < LEVELS else 1 << 62))
+        large = materialise(beside.select("g"))
+        rest = large.isEmpty()
+        now = roles if rest else roles.join(_bounded(large), "g", "left_anti")
+        links = materialise(links.unionByName(_met(now, sets)))
+        if rest:
+            return links, components(links)
+        buckets = _buckets(_finer(roles.join(_bounded(large), "g", "left_semi"), sets, level + 1))
+    raise AssertionError
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -289,11 +345,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = materialise(_sketched(docs))
-    classes = rows.filter("n > 0").groupBy("seq").agg(F.min_by(F.struct("id", "n", "keys"), "id").alias("r")).select("seq", "r.id", "r.n", "r.keys")
-    reps = classes.groupBy("id").agg(F.max("n").alias("n"), F.flatten(F.collect_list("keys")).alias("keys"))
-    _, comps = link_representatives(reps, docs.select(_id(), "text"))
-    named = classes.select("seq", F.col("id").alias("rep")).join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("seq", F.coalesce("component", "rep").alias("component_id"))
+    classes = rows.filter("n > 0").groupBy("seq").agg(F.min_by(F.struct("id", "n", "keys"), "id").alias("r"))
+    classes = materialise(classes.select("seq", "r.id", "r.n", "r.keys"))
+    _, comps = link_representatives(classes.select("id", "n", F.explode("keys").alias("key")), docs.select(_id(), "text"))
+    named = classes.select("seq", "id").join(_bounded(comps), "id", "left")
+    named = materialise(named.select("seq", F.coalesce("component", "id").alias("component_id")))
     out = rows.select("id", "n", "seq").join(named, "seq", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(
         F.when(F.col("id") == NULL_ID, None).otherwise(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),

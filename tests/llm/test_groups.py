@@ -2,13 +2,20 @@
 
 import random
 
+import pytest
+
 from tests.llm.test_text_operators import words
 
 
-def test_near_dedup_group_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("block", "finer", "ids", "links"), [(4000, 1 << 22, 250_000, 4_000_000), (700, 500, 0, 0)])
+def test_near_dedup_group_against_brute_force(spark, monkeypatch, block, finer, ids, links):
+    """With several blocks; and with finer sketches first, nothing broadcast and components by steps."""
     from lociweave.llm import near_dedup
 
-    monkeypatch.setattr(near_dedup, "BLOCK", 4000)  # several blocks
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "FINER", finer)
+    monkeypatch.setattr(near_dedup._bounded, "__defaults__", (ids,))
+    monkeypatch.setattr(near_dedup.components, "__defaults__", (links,))
     rng = random.Random(7)
     base = [f"w{rng.randrange(400)}" for _ in range(140)]
     rows = [(0, " ".join(base))]
@@ -38,7 +45,8 @@ def test_near_dedup_group_against_brute_force(spark, monkeypatch):
     assert len({c for i, c in own.items() if i < 100}) > 1  # some stay apart
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components_of_chains(spark, most):
     from lociweave.llm.near_dedup import components
 
     rng = random.Random(3)
@@ -47,6 +55,6 @@ def test_components_of_chains(spark):
     for _ in own:
         for a, b in links:
             own[a] = own[b] = min(own[a], own[b])
-    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long"), most).collect()}
     assert got == {x: c for x, c in own.items() if x != c}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), most).count() == 0
