@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BASES = "ACGT"
 PSEUDOCOUNT = 1e-6
+#: The strands of a focal motif and of its partner.
+ORIENTATIONS = ("FF", "FR", "RF", "RR")
 _CODE = np.full(256, 4, np.uint8)
 for _i, _b in enumerate(BASES):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
@@ -55,55 +57,151 @@ def encode(sequence: str) -> np.ndarray:
 
 def score_offsets(sequence: str, odds: np.ndarray) -> np.ndarray:
     """The score at each offset; -inf where the window has another letter."""
-    code, n = encode(sequence), len(odds)
-    if len(code) < n:
-        return np.empty(0)
-    table = np.concatenate([odds, np.full((n, 1), -np.inf)], axis=1)
-    windows = np.lib.stride_tricks.sliding_window_view(code, n)
-    return table[np.arange(n), windows].sum(1)
+    return panel_offsets(encode(sequence), np.asarray(odds)[None])[0]
 
 
 def maximum_score(sequence: str | None, odds: np.ndarray) -> float:
     """The best offset of both strands, -inf if there is none."""
-    if sequence is None:
-        return -np.inf
-    both = [score_offsets(sequence, o) for o in (odds, odds[::-1, ::-1])]
-    return float(max((x.max() for x in both if len(x)), default=-np.inf))
+    return float(maximum_scores([sequence], [odds])[0, 0])
 
 
-def spaced_score(sequence: str | None, focal: np.ndarray, partner: np.ndarray, gaps: Sequence[int], orientations: Sequence[str] = ("FF", "FR", "RF", "RR")) -> float:
-    """The best focal score plus the partner's behind it, over orientations and gaps."""
-    best = -np.inf
-    if sequence is None:
-        return best
-    turn = {"F": lambda m: m, "R": lambda m: m[::-1, ::-1]}
-    for o in orientations:
-        a, b = score_offsets(sequence, turn[o[0]](focal)), score_offsets(sequence, turn[o[1]](partner))
-        for g in gaps:
-            at = len(focal) + g
-            n = min(len(a), len(b) - at)
-            if n > 0:
-                best = max(best, float((a[:n] + b[at : at + n]).max()))
+def spaced_score(sequence: str | None, focal: np.ndarray, partner: np.ndarray, gaps: Sequence[int], orientations: Sequence[str] = ORIENTATIONS) -> float:
+    return float(spaced_scores([sequence], focal, partner, gaps, orientations)[0])
+
+
+def joined_codes(sequences: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all sequences in one array, each with a 4 behind it, and where each begins. A window over two sequences has that 4 in it."""
+    parts = [(x or "").encode("ascii", "replace") + b"." for x in sequences]
+    starts = np.cumsum([0, *(len(x) for x in parts[:-1])]) if parts else np.empty(0, np.int64)
+    return _CODE[np.frombuffer(b"".join(parts), np.uint8)], np.asarray(starts, np.int64)
+
+
+def panel_offsets(codes: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Scores (motif, offset) of motifs (motif, place, base) of one length at every offset; -inf where the window has another letter."""
+    m, n, _ = odds.shape
+    if len(codes) < n:
+        return np.empty((m, 0))
+    table = np.concatenate([odds, np.full((m, n, 1), -np.inf)], axis=2)
+    out = table[:, 0, codes[: len(codes) - n + 1]]
+    for j in range(1, n):
+        out = out + table[:, j, codes[j : len(codes) - n + 1 + j]]
+    return out
+
+
+def _best_by_sequence(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(motif, sequence): the best offset of each sequence, whose windows begin in [start, end)."""
+    best = np.full((len(scores), len(starts)), -np.inf)
+    some = np.flatnonzero(ends > starts)
+    if len(some) and scores.shape[1]:
+        padded = np.concatenate([scores, np.full((len(scores), 1), -np.inf)], axis=1)
+        last = scores.shape[1]
+        at = np.minimum(np.stack([starts[some], ends[some]], axis=1), last).ravel()
+        best[:, some] = np.where(at[::2] < at[1::2], np.maximum.reduceat(padded, at, axis=1)[:, ::2], -np.inf)
     return best
 
 
+#: Codes scored at a time, so that scores take at most some 8 MB a motif.
+_PART = 1 << 20
+
+
+def maximum_scores(sequences: Sequence[str | None], matrices: Sequence[np.ndarray]) -> np.ndarray:
+    """(sequence, motif): the best offset of both strands, -inf if there is none. Motifs of equal length are scored together, all sequences in one pass."""
+    codes, starts = joined_codes(sequences)
+    lengths = np.diff(np.append(starts, len(codes))) - 1
+    out = np.full((len(sequences), len(matrices)), -np.inf)
+    for n in sorted({len(m) for m in matrices}):
+        group = [k for k, m in enumerate(matrices) if len(m) == n]
+        odds = np.stack([o for k in group for o in (matrices[k], matrices[k][::-1, ::-1])])
+        last = starts + np.maximum(lengths - n + 1, 0)
+        for at in range(0, max(1, len(codes)), _PART):
+            scores = panel_offsets(codes[at : at + _PART + n - 1], odds)
+            lo, hi = np.clip(starts - at, 0, _PART), np.clip(last - at, 0, _PART)
+            best = _best_by_sequence(scores, lo, hi)
+            out[:, group] = np.maximum(out[:, group], np.maximum(best[::2], best[1::2]).T)
+    return out
+
+
 def scan_column(sequence: Column, matrices: dict[str, np.ndarray]) -> Column:
-    """map<name, best score> by an Arrow UDF, for panels of many motifs."""
-    odds = {k: log_odds(p) for k, p in matrices.items()}
+    """map<name, best score> by an Arrow UDF, for panels of any number of motifs: each batch is scored as arrays."""
+    names, odds = list(matrices), [log_odds(p) for p in matrices.values()]
 
-    @F.pandas_udf("map<string,double>")
+    @F.pandas_udf("array<double>")
     def scan(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: {k: maximum_score(x, o) for k, o in odds.items()})
+        return pd.Series(list(maximum_scores(s.tolist(), odds)), index=s.index)
+
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), scan(sequence))
+
+
+def best_column(sequence: Column, matrix: np.ndarray) -> Column:
+    """The best score of one motif."""
+    odds = [log_odds(matrix)]
+
+    @F.pandas_udf("double")
+    def scan(s: pd.Series) -> pd.Series:
+        return pd.Series(maximum_scores(s.tolist(), odds)[:, 0], index=s.index)
 
     return scan(sequence)
 
 
-def spaced_column(sequence: Column, focal: np.ndarray, partner: np.ndarray, gaps: Sequence[int], orientations: Sequence[str] = ("FF", "FR", "RF", "RR")) -> Column:
+def spaced_scores(sequences: Sequence[str | None], focal: np.ndarray, partner: np.ndarray, gaps: Sequence[int], orientations: Sequence[str] = ORIENTATIONS) -> np.ndarray:
+    """The best focal score plus the partner's behind it, over orientations and gaps, for each sequence."""
+    codes, starts = joined_codes(sequences)
+    lengths = np.diff(np.append(starts, len(codes))) - 1
+    turn = {"F": lambda m: m, "R": lambda m: m[::-1, ::-1]}
+    out = np.full(len(sequences), -np.inf)
+    reach = len(focal) + max(gaps, default=0) + len(partner)
+    for at in range(0, max(1, len(codes)), _PART):
+        part = codes[at : at + _PART + reach]
+        scores = {(k, x): panel_offsets(part, turn[x](m)[None])[0] for k, m in enumerate((focal, partner)) for x in "FR"}
+        for o in orientations:
+            a, b = scores[0, o[0]], scores[1, o[1]]
+            for g in gaps:
+                n = min(len(a), len(b) - len(focal) - g)
+                if n > 0:
+                    # a pair within one sequence: its windows end before the sequence does
+                    last = starts + np.maximum(lengths - len(focal) - g - len(partner) + 1, 0)
+                    lo, hi = np.clip(starts - at, 0, _PART), np.clip(last - at, 0, _PART)
+                    out = np.maximum(out, _best_by_sequence((a[:n] + b[len(focal) + g : len(focal) + g + n])[None], lo, hi)[0])
+    return out
+
+
+class GrammarProfile:
+    """A pair of motifs with the gaps at which they act, not negative and each once, and the orientations."""
+
+    def __init__(self, name: str, focal: np.ndarray, partner: np.ndarray, gaps: Sequence[int], orientations: Sequence[str] = ORIENTATIONS) -> None:
+        if not name or not len(gaps) or any(int(g) != g or g < 0 for g in gaps) or len(set(gaps)) != len(gaps):
+            raise ValueError("a profile needs a name and gaps that aren't negative, each once")
+        if not orientations or set(orientations) - set(ORIENTATIONS):
+            raise ValueError("orientations are FF, FR, RF and RR")
+        self.name, self.focal, self.partner, self.gaps, self.orientations = name, np.asarray(focal), np.asarray(partner), tuple(gaps), tuple(orientations)
+
+
+def profile_lookup(profiles: Sequence[GrammarProfile]) -> dict[str, GrammarProfile]:
+    """Profiles by name; a repeated name is an error."""
+    out = {p.name: p for p in profiles}
+    if len(out) != len(profiles):
+        raise ValueError("profiles need names of their own")
+    return out
+
+
+def grammar_matrix(sequence: Column, profiles: Sequence[GrammarProfile]) -> Column:
+    """map<profile, score> for all profiles in one Arrow UDF."""
+    own = [(log_odds(p.focal), log_odds(p.partner), p.gaps, p.orientations) for p in profile_lookup(profiles).values()]
+    names = [p.name for p in profiles]
+
+    @F.pandas_udf("array<double>")
+    def scan(s: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack([spaced_scores(s.tolist(), *p) for p in own], axis=1)), index=s.index)
+
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), scan(sequence))
+
+
+def spaced_column(sequence: Column, focal: np.ndarray, partner: np.ndarray, gaps: Sequence[int], orientations: Sequence[str] = ORIENTATIONS) -> Column:
     a, b, gaps = log_odds(focal), log_odds(partner), list(gaps)
 
     @F.pandas_udf("double")
     def scan(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: spaced_score(x, a, b, gaps, orientations)).astype(float)
+        return pd.Series(spaced_scores(s.tolist(), a, b, gaps, orientations), index=s.index)
 
     return scan(sequence)
 
@@ -135,7 +233,7 @@ def presence_scores(docs: DataFrame, sequence: str, a: np.ndarray, b: np.ndarray
 
     @F.pandas_udf("double")
     def scan(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: min(maximum_score(x, o) for o in odds)).astype(float)
+        return pd.Series(maximum_scores(s.tolist(), odds).min(1), index=s.index)
 
     return docs.withColumn("score", scan(sequence))
 

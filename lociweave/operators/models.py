@@ -222,11 +222,22 @@ def permutation_p(null: list[float], observed: float) -> float:
     return (sum(x >= observed for x in null) + 1) / (len(null) + 1)
 
 
+#: The distribution function of Poisson weights of mean 1, at 0 to 7.
+POISSON = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(8)])
+
+
+def uniform(key: Column, draw: Column, seed: int = 0) -> Column:
+    """A number from 0 to 1 for each integer key and draw, by steps of a multiplicative generator, in any engine's 64-bit arithmetic."""
+    x = (key % 2147483647 * 48271 + (draw + 1) * 69621 + (seed + 1) * 16807) % 2147483647
+    for m in (16807, 39373, 48271):
+        x = ((x + 90211) * m) % 2147483647
+    return x / F.lit(2147483647.0)
+
+
 def bootstrap_mean(df: DataFrame, value: str, key: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """mean, low and high of the mean over Poisson bootstrap weights, which need no resampled copy on the driver."""
-    copies = df.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    steps = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) for k in range(8)])
-    weight = sum((F.when(u >= float(s), 1).otherwise(0) for s in steps), F.lit(0))
-    means = copies.groupBy("draw").agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias("m"))
+    """median, low and high of the mean over Poisson bootstrap weights, which need no resampled copy; key is an integer column that tells rows apart."""
+    copies = df.select(F.col(key).cast("long").alias("key"), F.col(value).alias("value"), F.explode(F.expr(f"sequence(0L, {draws - 1}L)")).alias("draw"))
+    u = uniform(F.col("key"), F.col("draw"), seed)
+    weight = sum((F.when(u >= float(s), 1).otherwise(0) for s in POISSON), F.lit(0))
+    means = copies.groupBy("draw").agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.5)).alias("median"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

@@ -76,3 +76,13 @@ def target_benchmark(genes: DataFrame, targets: DataFrame, added: str, folds: in
     marked = genes.join(F.broadcast(targets.select("gene").distinct().withColumn("__t", F.lit(1))), "gene", "left").withColumns({"y": F.coalesce("__t", F.lit(0)), "fold": chromosome_fold(F.col("chrom"), folds)}).drop("__t")
     scored = nested_binary(marked, "fold", baseline_features(genes), [added], "y")
     return scored.agg(F.count("*").alias("n"), F.sum("y").alias("positives"), metrics.log_loss(F.col("y"), F.col("p0")).alias("log_loss_m0"), metrics.log_loss(F.col("y"), F.col("p1")).alias("log_loss_m1"))
+
+
+def supported_aggregates(scores: DataFrame, support: DataFrame, locus: str, partner: str = "partner", score: str = "score", raw: str = "raw") -> DataFrame:
+    """(locus, pair_mean, partner_max) over the partners with expression: the mean over partners of each one's mean score, and the largest raw score.
+
+    scores: a row for each locus, partner and model. support: (partner, expression_supported), a short list; a partner that isn't in it is not supported.
+    """
+    own = scores.join(F.broadcast(support.filter("expression_supported").select(partner).distinct()), partner, "left_semi")
+    by = own.groupBy(locus, partner).agg(F.avg(score).alias("__m"), F.max(raw).alias("__r"))
+    return by.groupBy(locus).agg(F.avg("__m").alias("pair_mean"), F.max("__r").alias("partner_max"))

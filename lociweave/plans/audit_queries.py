@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociweave.operators import audit, pairs
+from lociweave.operators import audit, pairs, synth
 from lociweave.plans.loci_queries import PTS
 from lociweave.plans.model_queries import PAIRS, nation_pairs
 from lociweave.plans.registry import query, table
 
 
-@query(f"WITH {PAIRS} SELECT bait, prey, cooperative_signal::INTEGER AS value FROM pr WHERE prey IN (SELECT n_name FROM nation WHERE n_nationkey < 6)")
+@query(f"WITH {PAIRS} SELECT bait, prey, cooperative_signal::INTEGER AS value FROM pr")
 def q47_unpivot_matrix(spark, sf_dir):
     p = nation_pairs(spark, sf_dir)
-    names = sorted(r[0] for r in table(spark, sf_dir, "nation").filter("n_nationkey < 6").select("n_name").collect())
-    wide = p.filter(F.col("prey").isin(names)).groupBy("bait").pivot("prey", names).agg(F.max("cooperative_signal"))
+    names = sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_name").collect())  # the columns of the wide matrix
+    wide = p.groupBy("bait").pivot("prey", names).agg(F.max("cooperative_signal"))
     return pairs.unpivot_matrix(wide, "bait")
 
 
@@ -63,23 +63,17 @@ def q51b_mapping_rate(spark, sf_dir):
     return audit.mapping_rate(quant, names).withColumn("mapping_rate", F.round("mapping_rate", 9))
 
 
-@query("""WITH e AS (SELECT n_name AS sample, p_brand AS partner, sum(l_quantity) AS tpm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE l_tax < 0.005 GROUP BY ALL)
+@query("""WITH e AS (SELECT n_name AS sample, p_brand AS partner, sum(l_quantity) AS tpm FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT n_name AS sample, b.p_brand AS partner, round(coalesce(tpm, 0), 4) AS tpm, coalesce(tpm, 0) >= 60 AS supported FROM nation CROSS JOIN (SELECT DISTINCT p_brand FROM part) b LEFT JOIN e ON e.sample = n_name AND e.partner = b.p_brand""")
-def q52_partner_grid(spark, sf_dir, rows_of="l_tax < 0.005"):
+def q52_partner_grid(spark, sf_dir):
     nation, part = table(spark, sf_dir, "nation"), table(spark, sf_dir, "part")
-    rows = table(spark, sf_dir, "lineitem").filter(rows_of).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     e = rows.select(F.col("n_name").alias("sample"), F.col("p_brand").alias("partner"), F.col("l_quantity").alias("tpm"))
     out = audit.partner_grid(nation.select(F.col("n_name").alias("sample")), part.select(F.col("p_brand").alias("partner")), e, 60.0)
     return out.select("sample", "partner", F.round("tpm", 4).alias("tpm"), "supported")
 
 
-@query()
-def q52_partner_grid_whole(spark, sf_dir):
-    """All rows of lineitem."""
-    return q52_partner_grid(spark, sf_dir, "true")
-
-
 @query("""SELECT n_name AS partner, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) THEN 'first' WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) THEN 'second' WHEN n_regionkey = 1 THEN 'third' END AS source FROM nation""")
 def q53_priority_source(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
@@ -123,7 +117,8 @@ def q57_file_audit(spark, sf_dir):
     return audit.file_audit(rows, 100)
 
 
-@query("""SELECT conv_id, count(*)::BIGINT AS n, count(DISTINCT role)::BIGINT AS roles, count(DISTINCT turn)::BIGINT AS turns, count(*) = count(DISTINCT turn) AND min(turn) = 0 AND max(turn) = count(*) - 1 AS valid FROM conversations GROUP BY conv_id""")
+@query("""SELECT o_custkey AS pair_id, count(*) = 2 AND sum(o_orderkey % 2) = 1 AND count(DISTINCT o_orderstatus) = 1 AND count(DISTINCT o_orderkey % 3) = 1 AS valid FROM orders GROUP BY o_custkey""")
 def q60_pair_invariants(spark, sf_dir):
-    by = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("role").alias("roles"), F.count_distinct("turn").alias("turns"), F.min("turn").alias("lo"), F.max("turn").alias("hi"))
-    return by.select("conv_id", "n", "roles", "turns", ((F.col("n") == F.col("turns")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("valid"))
+    same = {c: F.lit("x") for c in ("orientation_a", "orientation_b", "motif_a_instance", "motif_b_instance")}
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("pair_id"), (F.col("o_orderkey") % 2).alias("label"), F.col("o_orderstatus").alias("start_a"), (F.col("o_orderkey") % 3).alias("background_sha256"))
+    return synth.validate_pairs(rows.withColumns(same))

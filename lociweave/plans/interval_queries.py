@@ -40,20 +40,20 @@ def q19_interval_mean(spark, sf_dir):
     return out.select("locus_id", F.round("signal", 6).alias("signal"))
 
 
-_LINKS = f"""{A}, {B}, p AS (SELECT 'g' || (id % 97) AS gene, chrom, s + 20 AS s, s + 200 AS e FROM a WHERE id % 3 = 0),
+_LINKS = f"""{A}, {B}, p AS (SELECT 'g' || (id % 97) AS gene, chrom, s + 20 AS s, s + 200 AS e FROM a),
  l AS (SELECT id, 'L' || id AS locus_id, chrom, s, e FROM a),
- loops AS (SELECT id, chrom AS c1, s AS s1, e AS e1, 'chr' || (1 + id % 22) AS c2, s + 5000 AS s2, s + 5600 AS e2, (id % 13)::DOUBLE AS score FROM b WHERE id % 7 = 0),
+ loops AS (SELECT id, chrom AS c1, s AS s1, e AS e1, 'chr' || (1 + id % 22) AS c2, s + 5000 AS s2, s + 5600 AS e2, (id % 13)::DOUBLE AS score FROM b),
  raw AS (
   SELECT p.gene, l.locus_id, true AS direct, NULL::DOUBLE AS score FROM l JOIN p ON l.chrom = p.chrom AND l.s < p.e AND p.s < l.e
   UNION ALL SELECT p.gene, l.locus_id, false, o.score FROM loops o JOIN l ON l.chrom = c1 AND l.s < e1 AND s1 < l.e JOIN p ON p.chrom = c2 AND p.s < e2 AND s2 < p.e
   UNION ALL SELECT p.gene, l.locus_id, false, o.score FROM loops o JOIN l ON l.chrom = c2 AND l.s < e2 AND s2 < l.e JOIN p ON p.chrom = c1 AND p.s < e1 AND s1 < p.e)"""
 
 
-def _links(spark, sf_dir, promoter_ids="id % 3 = 0", loop_ids="oid % 7 = 0"):
+def _links(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    promoters = parts.filter(promoter_ids).select(F.concat(F.lit("g"), (F.col("id") % 97).cast("string")).alias("gene"), "chrom", (F.col("start") + 20).alias("promoter_start"), (F.col("start") + 200).alias("promoter_end"))
+    promoters = parts.select(F.concat(F.lit("g"), (F.col("id") % 97).cast("string")).alias("gene"), "chrom", (F.col("start") + 20).alias("promoter_start"), (F.col("start") + 200).alias("promoter_end"))
     own = parts.select(F.concat(F.lit("L"), F.col("id").cast("string")).alias("locus_id"), "chrom", "start", "end")
-    loops = _orders(spark, sf_dir).filter(loop_ids).select(
+    loops = _orders(spark, sf_dir).select(
         F.col("chrom").alias("chrom1"), F.col("s_start").alias("start1"), F.col("s_end").alias("end1"), F.concat(F.lit("chr"), (1 + F.col("oid") % 22).cast("string")).alias("chrom2"),
         (F.col("s_start") + 5000).alias("start2"), (F.col("s_start") + 5600).alias("end2"), (F.col("oid") % 13).cast("double").alias("loop_score"),
     )
@@ -65,12 +65,6 @@ def q20_links_agg(spark, sf_dir):
     return _links(spark, sf_dir)[0]
 
 
-@query()
-def q20_links_agg_whole(spark, sf_dir):
-    """All parts are promoters and all orders are loops."""
-    return _links(spark, sf_dir, "true", "true")[0]
-
-
 @query("""WITH x AS (SELECT 'g' || (l_partkey % 211) AS gene, 'L' || l_suppkey AS locus_id, round(ln(1 + l_extendedprice), 9) AS v, l_orderkey, l_partkey, l_linenumber FROM lineitem),
  b AS (SELECT gene, locus_id, max(v) AS v FROM x GROUP BY ALL), n AS (SELECT gene, count(DISTINCT locus_id)::BIGINT AS linked_locus_count FROM b GROUP BY gene)
  SELECT gene, locus_id, v AS chip_mean_log1p, linked_locus_count FROM b JOIN n USING (gene) QUALIFY row_number() OVER (PARTITION BY gene ORDER BY v DESC, locus_id) = 1""")

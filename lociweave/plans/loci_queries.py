@@ -105,12 +105,12 @@ def q09_magix_filter(spark, sf_dir):
     return magix_calls(_calls(spark, sf_dir)).select("chrom", "midpoint", "l_orderkey", "l_partkey", F.col("l_linenumber").cast("long").alias("line"), "score", "fdr")
 
 
-@query(f"""WITH {PTS} SELECT chrom, midpoint // 200 AS tile, midpoint, l_orderkey, l_quantity - 10 AS score, l_discount AS fdr FROM pts
+@query(f"""WITH {PTS} SELECT chrom, midpoint // 200 AS tile, l_orderkey, l_quantity - 10 AS score, l_discount AS fdr FROM pts
  QUALIFY row_number() OVER (PARTITION BY chrom, midpoint // 200 ORDER BY l_quantity - 10 DESC, l_discount, l_tax, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) = 1""")
 def q10_top1_per_tile(spark, sf_dir):
-    calls = _calls(spark, sf_dir).withColumn("tile", F.expr(f"midpoint div {WIDTH}"))
-    best = loci.first_per_group(calls, ["chrom", "tile"], [F.desc("score"), F.asc("fdr"), F.asc("pvalue"), *KEY])
-    return best.select("chrom", "tile", "midpoint", "l_orderkey", "score", "fdr")
+    tiles = loci.tile_counts(points(spark, sf_dir).select("chrom", "midpoint"), WIDTH, "n")
+    best = loci.attach_scores(tiles, _calls(spark, sf_dir), WIDTH, [F.desc("score"), F.asc("fdr"), F.asc("pvalue"), *KEY])
+    return best.select("chrom", "tile", "l_orderkey", "score", "fdr")
 
 
 @query("""SELECT l_orderkey, l_partkey, l_linenumber::BIGINT AS line, CASE WHEN l_linenumber % 3 = 0 THEN (2 * s + 2 * w) // 2 ELSE s + l_linenumber * 7 END AS midpoint

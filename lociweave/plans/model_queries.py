@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociweave.operators import metrics, models, pairs
+from lociweave.operators import metrics, models, pairs, panel
 from lociweave.plans.loci_queries import KEY
 from lociweave.plans.registry import query, table
 
@@ -44,9 +44,11 @@ def q28_crossfit_residual(spark, sf_dir):
 @query("""SELECT l_orderkey, round(avg(v), 6) AS pair_mean, max(p) AS partner_max FROM (
  SELECT l_orderkey, l_suppkey % 5 AS pair, avg(l_quantity) AS v, max(l_extendedprice) AS p FROM lineitem WHERE l_suppkey % 5 <> 4 GROUP BY ALL) GROUP BY l_orderkey""")
 def q29_pair_balanced_mean(spark, sf_dir):
-    long = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 5).alias("pair"), "l_quantity", "l_extendedprice").filter("pair <> 4")
-    by = long.groupBy("l_orderkey", "pair").agg(F.avg("l_quantity").alias("v"), F.max("l_extendedprice").alias("p"))
-    return by.groupBy("l_orderkey").agg(F.round(F.avg("v"), 6).alias("pair_mean"), F.max("p").alias("partner_max"))
+    """Pairs are partners: those of class 4 lack expression."""
+    long = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 5).alias("partner"), F.col("l_quantity").alias("score"), F.col("l_extendedprice").alias("raw"))
+    support = spark.range(5).select(F.col("id").alias("partner"), (F.col("id") != 4).alias("expression_supported"))
+    out = panel.supported_aggregates(long, support, "l_orderkey")
+    return out.select("l_orderkey", F.round("pair_mean", 6).alias("pair_mean"), "partner_max")
 
 
 @query("SELECT min(o_totalprice) AS min, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, round(quantile_cont(o_totalprice, 0.99), 6) AS p99, max(o_totalprice) AS max FROM orders")
@@ -92,20 +94,9 @@ def q34_threshold(spark, sf_dir):
     return metrics.select_threshold(_labelled(spark, sf_dir), "y", "p").select("threshold", F.round("balanced_accuracy", 9).alias("balanced_accuracy"))
 
 
-@query("""WITH x AS (SELECT o_custkey AS pair, o_totalprice AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
- d AS (SELECT pair, max(s) FILTER (k = 1) - max(s) FILTER (k = 2) AS d FROM x WHERE k <= 2 GROUP BY pair HAVING count(*) = 2)
-SELECT count(*)::BIGINT AS pairs, round(avg(CASE WHEN d > 0 THEN 1.0 WHEN d = 0 THEN 0.5 ELSE 0.0 END), 9) AS pairwise_accuracy, round(avg(d), 4) AS counterfactual_delta, round(stddev_samp(d), 4) AS counterfactual_delta_std FROM d""")
+@query("""WITH x AS (SELECT o_totalprice - lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS d FROM orders)
+SELECT count(*)::BIGINT AS pairs, round(avg(CASE WHEN d > 0 THEN 1.0 WHEN d = 0 THEN 0.5 ELSE 0.0 END), 9) AS pairwise_accuracy, round(avg(d), 4) AS counterfactual_delta, round(stddev_samp(d), 4) AS counterfactual_delta_std FROM x WHERE d IS NOT NULL""")
 def q35_paired(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("o_custkey")
-    x = table(spark, sf_dir, "orders").withColumns({"k": F.row_number().over(w.orderBy("o_orderkey")), "n": F.count("*").over(w)}).filter("k <= 2 and n >= 2")
-    rows = x.select(F.col("o_custkey").alias("pair"), F.col("o_totalprice").alias("p"), F.when(F.col("k") == 1, 1).otherwise(0).alias("y"))
-    return metrics.paired(rows, "y", "p", "pair").select("pairs", F.round("pairwise_accuracy", 9).alias("pairwise_accuracy"), *[F.round(c, 4).alias(c) for c in ("counterfactual_delta", "counterfactual_delta_std")])
-
-
-@query()
-def q35_paired_whole(spark, sf_dir):
     """Every order of a customer paired with the next, so that all orders of a customer with two or more take part."""
     from pyspark.sql import Window as W
 
@@ -153,10 +144,10 @@ def q40_sse_by_chrom(spark, sf_dir):
     return models.sse_by_block(rows, "chrom", "g").select("chrom", *[F.round(F.col(c) / 1e6, 4).alias(c) for c in ("sse0", "sse1")])
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, 'chr' || (1 + l_suppkey % 22) AS chrom, l_quantity,
+@query("""WITH x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, (l_suppkey % 22)::BIGINT AS g, l_quantity,
   row_number() OVER (PARTITION BY l_suppkey % 22 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey % 22) AS n FROM lineitem),
- v AS (SELECT chrom, (i + 1 + length(chrom) * 17) % n AS i, l_quantity FROM x)
-SELECT x.l_orderkey, x.l_partkey, x.l_suppkey, x.l_linenumber::BIGINT AS line, x.l_extendedprice, v.l_quantity FROM x JOIN v ON x.chrom = v.chrom AND x.i = v.i""")
+ v AS (SELECT g * 100000000 + (i + 1 + length('chr' || (g + 1)) * 17) % n AS k, l_quantity FROM x)
+SELECT x.l_orderkey, x.l_partkey, x.l_suppkey, x.l_linenumber::BIGINT AS line, x.l_extendedprice, v.l_quantity FROM x JOIN v ON x.g * 100000000 + x.i = v.k""")
 def q41_shift_null(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(*KEY, F.concat(F.lit("chr"), (1 + F.col("l_suppkey") % 22).cast("string")).alias("chrom"), "l_quantity")
     shifts = spark.createDataFrame([(f"chr{i}", 1 + len(f"chr{i}") * 17) for i in range(1, 23)], "chrom string, shift int")
@@ -164,21 +155,20 @@ def q41_shift_null(spark, sf_dir):
     return out.select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("long").alias("line"), "l_extendedprice", "l_quantity")
 
 
-@query("""WITH x AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS i, sum(o_totalprice) AS s, count(*) AS c FROM (SELECT extract(year FROM o_orderdate)::BIGINT AS y, o_totalprice FROM orders) GROUP BY y),
- n AS (SELECT count(*) AS n FROM x), d AS (SELECT b.b, (b.b * 7919 + j.j * 104729 + b.b * j.j * 31) % n AS i FROM n, range(200) b(b), range(1000) j(j) WHERE j.j < n),
- m AS (SELECT b, sum(s) / sum(c) AS m FROM d JOIN x USING (i) GROUP BY b)
-SELECT round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.5), 4) AS median, round(quantile_cont(m, 0.975), 4) AS high FROM m""")
-def q42_bootstrap(spark, sf_dir):
-    from pyspark.sql import Window as W
+def _lehmer_sql(key: str, draw: str, seed: int) -> str:
+    """The uniform numbers of models.uniform."""
+    x = f"(({key} % 2147483647) * 48271 + ({draw} + 1) * 69621 + {seed + 1} * 16807) % 2147483647"
+    for m in (16807, 39373, 48271):
+        x = f"(({x} + 90211) * {m}) % 2147483647"
+    return f"({x}) / 2147483647.0::DOUBLE"
 
-    by = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("y")).agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("c"))
-    blocks = by.withColumns({"i": F.row_number().over(W.orderBy("y")) - 1, "n": F.count("*").over(W.partitionBy())})  # a row for each year
-    draws = spark.range(200).select(F.col("id").alias("b"))
-    at = (F.col("b") * 7919 + F.col("j") * 104729 + F.col("b") * F.col("j") * 31) % F.col("n")
-    size = blocks.agg(F.max("n").alias("n"))
-    drawn = draws.crossJoin(F.broadcast(size)).select("b", "n", F.explode(F.expr("sequence(0L, n - 1)")).alias("j")).select("b", at.alias("i"))
-    means = drawn.join(blocks.select("i", "s", "c"), "i").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"))
-    return means.agg(*[F.round(F.percentile("m", F.lit(q)), 4).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))])
+
+@query(f"""WITH d AS (SELECT c_acctbal AS v, {_lehmer_sql('c_custkey', 'b', 7)} AS u, b FROM customer, range(200) r(b)),
+ w AS (SELECT b, v, {' + '.join(f'(u >= {float(s)!r}::DOUBLE)::INTEGER' for s in models.POISSON)} AS w FROM d), m AS (SELECT b, sum(w * v) / sum(w) AS m FROM w GROUP BY b)
+SELECT round(quantile_cont(m, 0.5), 4) AS median, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m""")
+def q42_bootstrap(spark, sf_dir):
+    out = models.bootstrap_mean(table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey", 200, 7)
+    return out.select(*[F.round(c, 4).alias(c) for c in ("median", "low", "high")])
 
 
 PAIRS = """pr AS (SELECT cn.n_name AS bait, sn.n_name AS prey, any_value(cn.n_regionkey) AS bf, any_value(sn.n_regionkey) AS pf, max((l_discount > 0.09 AND l_quantity > 45)::INTEGER) AS cooperative_signal,

@@ -10,17 +10,12 @@ from lociweave.functions import pwm
 from lociweave.functions import sequence as S
 from lociweave.plans.registry import query, table
 
-SEQ = "seqs AS (SELECT doc_id, upper(regexp_replace(substring(text, 1, 400), '[^ACGTacgt]', 'N', 'g')) AS seq FROM documents)"
+SEQ = "seqs AS (SELECT doc_id, upper(regexp_replace(text, '[^ACGTacgt]', 'N', 'g')) AS seq FROM documents)"
 MOTIF = np.array([[6, 1, 1, 2], [1, 7, 1, 1], [2, 1, 1, 6]], float)
 PARTNER = np.array([[1, 1, 7, 1], [5, 3, 1, 1]], float)
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 characters of each text, as SEQ has them."""
-    return table(spark, sf_dir, "documents").select("doc_id", S.canonical(F.substring("text", 1, 400)).alias("seq"))
-
-
-def whole_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.canonical(F.col("text")).alias("seq"))
 
 
@@ -28,21 +23,21 @@ _RC = "reverse(translate(seq, 'ACGTN', 'TGCAN'))"
 
 
 @query(f"WITH {SEQ} SELECT doc_id, {_RC} AS rc, least(seq, {_RC}) AS invariant FROM seqs")
-def q12_revcomp(spark, sf_dir, source=sequences):
-    return source(spark, sf_dir).select("doc_id", S.reverse_complement(F.col("seq")).alias("rc"), S.strand_invariant(F.col("seq")).alias("invariant"))
+def q12_revcomp(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", S.reverse_complement(F.col("seq")).alias("rc"), S.strand_invariant(F.col("seq")).alias("invariant"))
 
 
 @query(f"""WITH {SEQ} SELECT doc_id, round(gc / greatest(acgt, 1), 9) AS gc_fraction, round(100.0::DOUBLE * cpg / greatest(n - 1, 1), 9) AS cpg_per_100bp, round((n - acgt) / greatest(n, 1), 9) AS n_fraction
  FROM (SELECT doc_id, length(seq)::DOUBLE AS n, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE AS gc, length(regexp_replace(seq, '[^ACGT]', '', 'g'))::DOUBLE AS acgt,
    ((length(seq) - length(replace(seq, 'CG', ''))) / 2)::DOUBLE AS cpg FROM seqs)""")
-def q13_seq_covariates(spark, sf_dir, source=sequences):
+def q13_seq_covariates(spark, sf_dir):
     s = F.col("seq")
-    return source(spark, sf_dir).select("doc_id", *[F.round(f(s), 9).alias(n) for n, f in (("gc_fraction", S.gc_fraction), ("cpg_per_100bp", S.cpg_per_100bp), ("n_fraction", S.n_fraction))])
+    return sequences(spark, sf_dir).select("doc_id", *[F.round(f(s), 9).alias(n) for n, f in (("gc_fraction", S.gc_fraction), ("cpg_per_100bp", S.cpg_per_100bp), ("n_fraction", S.n_fraction))])
 
 
 @query(f"WITH {SEQ} SELECT doc_id, list_max(list_transform(string_split_regex(seq, '[^ACGT]+'), lambda x: length(x)))::BIGINT AS longest_run FROM seqs")
-def q14_longest_run(spark, sf_dir, source=sequences):
-    return source(spark, sf_dir).select("doc_id", S.longest_canonical_run(F.col("seq")).cast("long").alias("longest_run"))
+def q14_longest_run(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", S.longest_canonical_run(F.col("seq")).cast("long").alias("longest_run"))
 
 
 @query(r"""SELECT p_partkey, CASE s WHEN 'BRAND11' THEN 'ALIAS' ELSE s END AS symbol FROM (
@@ -89,15 +84,14 @@ SELECT q.doc_id, coalesce(round(max(s), 6), '-infinity'::DOUBLE) AS score FROM s
 
 
 @query(_SCAN)
-def q24_pwm_max_scan(spark, sf_dir, source=sequences):
-    out = pwm.relational_scores(source(spark, sf_dir), "doc_id", "seq", pwm.probabilities(MOTIF))
-    return out.select("doc_id", F.round("score", 6).alias("score"))
+def q24_pwm_max_scan(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", F.round(pwm.best_column(F.col("seq"), pwm.probabilities(MOTIF)), 6).alias("score"))
 
 
 @query(_SCAN)
-def q24b_pwm_panel_scan(spark, sf_dir, source=sequences):
+def q24b_pwm_panel_scan(spark, sf_dir):
     scores = pwm.scan_column(F.col("seq"), {"m": pwm.probabilities(MOTIF), "p": pwm.probabilities(PARTNER)})
-    return source(spark, sf_dir).select("doc_id", scores.alias("s")).select("doc_id", F.round(F.col("s")["m"], 6).alias("score"))
+    return sequences(spark, sf_dir).select("doc_id", scores.alias("s")).select("doc_id", F.round(F.col("s")["m"], 6).alias("score"))
 
 
 _GAPS = (0, 2, 5)
@@ -109,9 +103,9 @@ _GAPS = (0, 2, 5)
  sb AS (SELECT doc_id, strand, i - j AS at, sum(w) AS s FROM letters l JOIN b ON l.base = b.base GROUP BY ALL HAVING count(*) = {len(PARTNER)}),
  both_ AS (SELECT sa.doc_id, sa.s + sb.s AS s FROM sa JOIN sb ON sa.doc_id = sb.doc_id AND sb.at - sa.at - {len(MOTIF)} IN {_GAPS})
 SELECT q.doc_id, coalesce(round(max(s), 6), '-infinity'::DOUBLE) AS score FROM seqs q LEFT JOIN both_ c ON q.doc_id = c.doc_id GROUP BY q.doc_id""")
-def q25_spaced_pair_scan(spark, sf_dir, source=sequences):
+def q25_spaced_pair_scan(spark, sf_dir):
     score = pwm.spaced_column(F.col("seq"), pwm.probabilities(MOTIF), pwm.probabilities(PARTNER), _GAPS)
-    return source(spark, sf_dir).select("doc_id", F.round(score, 6).alias("score"))
+    return sequences(spark, sf_dir).select("doc_id", F.round(score, 6).alias("score"))
 
 
 @query("""WITH p AS (SELECT p_partkey, regexp_replace(upper(p_name || p_type), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM part)
@@ -133,21 +127,11 @@ def q61_pwm_algebra(spark, sf_dir):
 
 
 @query(f"""WITH {SEQ} SELECT doc_id, substring(seq, 1, 20) || 'CCGCGNGG' || substring(seq, 29) AS implanted, (doc_id % 37) % 10 IN (0, 1, 9) AS positive FROM seqs WHERE length(seq) >= 40""")
-def q62_implant(spark, sf_dir, source=sequences):
-    s = source(spark, sf_dir).filter(F.length("seq") >= 40)
+def q62_implant(spark, sf_dir):
+    s = sequences(spark, sf_dir).filter(F.length("seq") >= 40)
     return s.select("doc_id", S.implant(F.col("seq"), F.lit("CCGCGNGG"), 20).alias("implanted"), S.rule_is_positive(F.col("doc_id") % 37).alias("positive"))
 
 
 @query(f"WITH {SEQ} SELECT doc_id, sha256(seq) AS digest FROM seqs")
-def q63_digest(spark, sf_dir, source=sequences):
-    return source(spark, sf_dir).select("doc_id", S.digest(F.col("seq")).alias("digest"))
-
-
-def _over_whole_texts(fn):
-    whole = lambda spark, sf_dir: fn(spark, sf_dir, whole_sequences)
-    whole.__name__ = f"{fn.__name__}_whole"
-    return query()(whole)
-
-
-for _fn in (q12_revcomp, q13_seq_covariates, q14_longest_run, q24_pwm_max_scan, q24b_pwm_panel_scan, q25_spaced_pair_scan, q62_implant, q63_digest):
-    _over_whole_texts(_fn)
+def q63_digest(spark, sf_dir):
+    return sequences(spark, sf_dir).select("doc_id", S.digest(F.col("seq")).alias("digest"))

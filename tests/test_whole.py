@@ -1,4 +1,4 @@
-"""Queries over the whole input, whose SQL twins read a part of it, against brute force."""
+"""Queries over whole texts and whole tables against brute force."""
 
 import hashlib
 import itertools
@@ -62,16 +62,15 @@ def _covariates(s):
 )
 def test_whole_texts(spark, texts, name, want):
     at, seqs = texts
-    got = {r[0]: tuple(r)[1:] for r in entry.queries()[f"{name}_whole"](spark, at).collect()}
+    got = {r[0]: tuple(r)[1:] for r in entry.queries()[name](spark, at).collect()}
     assert got.keys() == seqs.keys()
     for i, s in seqs.items():
         assert got[i] == (pytest.approx(want(s), abs=2e-6) if isinstance(got[i][0], float) else want(s)), i
-    assert f"{name}_whole" not in entry.oracle_sql()
 
 
 def test_whole_implant(spark, texts):
     at, seqs = texts
-    got = {r.doc_id: (r.implanted, r.positive) for r in entry.queries()["q62_implant_whole"](spark, at).collect()}
+    got = {r.doc_id: (r.implanted, r.positive) for r in entry.queries()["q62_implant"](spark, at).collect()}
     assert got == {i: (s[:20] + "CCGCGNGG" + s[28:], i % 37 % 10 in (0, 1, 9)) for i, s in seqs.items() if len(s) >= 40}
 
 
@@ -93,7 +92,7 @@ def test_whole_links(spark, tmp_path):
             if rows:
                 want.setdefault((f"g{g % 97}", f"L{k}"), []).extend(rows)
     want = {key: (any(d for d, _ in rows), len(rows), max(x for _, x in rows)) for key, rows in want.items()}
-    got = {(r.gene, r.locus_id): (r.direct, r.loop_count, r.loop_score) for r in entry.queries()["q20_links_agg_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.gene, r.locus_id): (r.direct, r.loop_count, r.loop_score) for r in entry.queries()["q20_links_agg"](spark, str(tmp_path)).collect()}
     assert got == want and len({g for g, _ in got}) > 30
 
 
@@ -105,7 +104,7 @@ def test_whole_pairs(spark, tmp_path):
     for c in {c for _, c, _ in orders}:
         own = [p for _, x, p in sorted(orders) if x == c]
         d += [a - b for a, b in zip(own, own[1:])]
-    r = entry.queries()["q35_paired_whole"](spark, str(tmp_path)).first()
+    r = entry.queries()["q35_paired"](spark, str(tmp_path)).first()
     assert r.pairs == len(d) == len(orders) - len({c for _, c, _ in orders})
     assert r.pairwise_accuracy == pytest.approx(sum(1.0 if x > 0 else 0.5 * (x == 0) for x in d) / len(d), abs=1e-8)
     assert r.counterfactual_delta == pytest.approx(np.mean(d), abs=1e-4) and r.counterfactual_delta_std == pytest.approx(np.std(d, ddof=1), abs=1e-4)
@@ -117,6 +116,6 @@ def test_whole_partner_grid(spark, tmp_path):
     make("supplier", [(1, 0), (2, 1)], "s_suppkey long, s_nationkey int")
     make("part", [(1, "B1"), (2, "B2")], "p_partkey long, p_brand string")
     make("lineitem", [(1, 1, 40.0, 0.0), (1, 1, 30.0, 0.08), (2, 2, 50.0, 0.04)], "l_partkey long, l_suppkey long, l_quantity double, l_tax double")
-    got = {(r["sample"], r.partner): (r.tpm, r.supported) for r in entry.queries()["q52_partner_grid_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["sample"], r.partner): (r.tpm, r.supported) for r in entry.queries()["q52_partner_grid"](spark, str(tmp_path)).collect()}
     want = {(n, b): (0.0, False) for n in ("N0", "N1", "N2") for b in ("B1", "B2")}
     assert got == want | {("N0", "B1"): (70.0, True), ("N1", "B2"): (50.0, False)}
