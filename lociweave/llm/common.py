@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Whole texts travel in Arrow batches of at most so many rows, which bounds a Python worker's memory.
+#: Whole texts travel in Arrow batches of at most so many rows, which Spark also ends at spark.sql.execution.arrow.maxBytesPerBatch (64 MiB unless set); both bound a
+#: Python worker's memory.
 BATCH_ROWS = 256
 
 #: Bytes of the class [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z are lower-cased stay, others become a space.
@@ -26,7 +29,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Holds the session's Arrow batches within the bound; a smaller setting of the session stays. Other plans of the session get the same batches."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def space_words(text: bytes) -> list[bytes]:
@@ -89,14 +94,35 @@ def add_columns(
     return map_batches(docs, run, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has, in any case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__{name}"
+        while name in have:
+            name += "_"
+        have.add(name)
+        out.append(name)
+    return out
+
+
+def actual_name(df: DataFrame, name: str) -> str:
+    """The column's name as df spells it."""
+    return next(c for c in df.columns if c.lower() == name.lower())
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
+    """The shared folder the cluster names; a folder of our own only where none is set and all tasks run in the driver's process, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not at:
         at = context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lociweave-checkpoint-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         context.setCheckpointDir(at)
     elif not context.getCheckpointDir():
         context.setCheckpointDir(at)
