@@ -2,10 +2,11 @@
 
 Each text becomes token ids with an end id. Whole windows are cut from long documents; what is left of each
 waits in a pool. When the pool holds GROUP windows less a little slack, its last document is cut there and the pool is
-divided. A sixteenth of it is cut into small pieces first, which level the sums. Every item begins as a partial partition of one filled and k - 1 empty windows, and the two partial partitions
+divided. Every item begins as a partial partition of one filled and k - 1 empty windows, and the two partial partitions
 with the largest imbalance are merged, the fullest window of one on the emptiest of the other, until one is left. Its windows are
-near-equal; if one exceeds the capacity, the division is made again with one window more. The pool at the end of a partition
-is divided alike. Pools are local to a task and bounded, so nothing is shuffled, and a lost task repeats the same work.
+near-equal. What exceeds the capacity of one, LEAST tokens at least, is cut off its largest item and goes to the windows that follow, the next pool's; so at
+most one cut a window is made for that, and the count of windows rises by what didn't fit. The pool at the end of a partition
+is divided alike, until nothing is left over. Pools are local to a task and bounded, so nothing is shuffled, and a lost task repeats the same work.
 
 Ids are those of the byte-level BPE in the tokenizers file: its vocabulary is read from there and applied by tiktoken,
 which gives the same ids (a test compares them) in a fourth of the time.
@@ -34,8 +35,8 @@ WINDOW = 2048
 END_ID = 1
 #: Windows of one pool, and tokens of each that are left free when a pool is cut off.
 GROUP, SLACK = 128, 2
-#: The share of a pool's tokens that is cut into pieces of GRAIN tokens.
-FILL, GRAIN = 16, 32
+#: The least tokens of a piece that is cut for a window's capacity, and of what it leaves.
+LEAST = 64
 #: Fixed value: the pre-tokenisation pattern of the byte-level BPE vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict = {}
@@ -108,18 +109,21 @@ def divide(sizes: list[int], window: int) -> list[list[int]]:
         k += 1
 
 
-def cut_last(pool: list[tuple]) -> list[tuple]:
-    """The pool with its last FILL-th of tokens in pieces of GRAIN, which even out the sums."""
-    left, tail = sum(len(p[2]) for p in pool) // FILL, []
-    pool = list(pool)
-    while left > 0:
-        doc, start, ids, n = pool.pop()
-        keep = max(0, len(ids) - left)
-        left -= len(ids) - keep
-        tail += [(doc, start + i, ids[i : i + GRAIN], n) for i in range(keep, len(ids), GRAIN)]
-        if keep:
-            pool.append((doc, start, ids[:keep], n))
-    return pool + tail
+def fit(pieces: list[tuple], window: int, least: int = LEAST) -> tuple[list[tuple], list[tuple]]:
+    """Pieces (doc, start, ids, n) cut down to the window, and what was cut off."""
+    pieces, over, left = list(pieces), sum(len(p[2]) for p in pieces) - window, []
+    while over > 0:
+        i = max(range(len(pieces)), key=lambda k: len(pieces[k][2]))
+        doc, start, ids, n = pieces[i]
+        cut = max(over, least)
+        if len(ids) - cut >= least:
+            pieces[i] = (doc, start, ids[:-cut], n)
+            left.append((doc, start + len(ids) - cut, ids[-cut:], n))
+        else:
+            cut = len(ids)
+            left.append(pieces.pop(i))
+        over -= cut
+    return pieces, left
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = True, added_tokens: bool = False) -> DataFrame:
@@ -143,15 +147,18 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
                 rows[name].append(v)
 
         def flush(pool):
+            """Puts the pool's windows; what they can't hold is left over."""
             nonlocal sequence
-            pool = cut_last(pool)
-            for own in divide([len(p[2]) for p in pool], window):
+            left = []
+            for own in difference([len(p[2]) for p in pool], -(-sum(len(p[2]) for p in pool) // window)):
+                pieces, over = fit([pool[i] for i in sorted(own)], window)
+                left += over
                 offset = 0
-                for i in sorted(own):
-                    doc, start, ids, n = pool[i]
+                for doc, start, ids, n in pieces:
                     put(doc, start, ids, n, sequence, offset)
                     offset += len(ids)
-                sequence += 1
+                sequence += bool(pieces)
+            return left
 
         def out():
             arrays = {n: pa.array(rows[n], id_type if n == "doc_id" else pa.list_(pa.int32()) if n == "ids" else pa.int64()) for n in names}
@@ -173,12 +180,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
                     pool.append((doc, start, ids[start : start + take].copy(), n))
                     held, start = held + take, start + take
                     if held == target:
-                        flush(pool)
-                        pool, held = [], 0
+                        pool = flush(pool)
+                        held = sum(len(p[2]) for p in pool)
             if len(rows["doc_id"]) >= 1024:
                 yield out()
-        if pool:
-            flush(pool)
+        while pool:
+            pool = flush(pool)
         if rows["doc_id"]:
             yield out()
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -375,3 +375,25 @@ def test_packing_added_tokens(spark, tmp_path):
     for p in op6_packing(spark, str(tmp_path)).collect():
         own = want[p.doc_id]
         assert p.doc_tokens == len(own) and p.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in own[p.start : p.start + p.length]))
+
+
+def test_packing_pieces_and_padding(spark):
+    """Ids of the unmodified tokenizer; hardly any small pieces, little padding."""
+    from tokenizers import Tokenizer
+
+    from lociweave.llm.packing import pack_documents, tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "<|endoftext|>", "naïve", "x1", "it's"]) for _ in range(int(rng.lognormvariate(5.8, 1)))) for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pieces = pack_documents(frame, added_tokens=True).collect()
+    joined, fill = defaultdict(list), Counter()
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == len(joined[p.doc_id])
+        joined[p.doc_id] += p.ids
+        fill[p.sequence_id] += p.length
+    assert joined == {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    assert max(fill.values()) <= 2048 and sum(fill.values()) >= 0.98 * 2048 * (len(fill) - 1)
+    small = [p for p in pieces if p.length < 64 and p.length < p.doc_tokens and p.start + p.length < p.doc_tokens]
+    assert len(small) < 0.05 * len(pieces) and len(pieces) < len(texts) + 2 * len(fill)
