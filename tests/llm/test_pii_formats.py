@@ -1,0 +1,113 @@
+"""Every kind in every spelling, between many neighbours: no value stays, equal values stay linked, the inverse restores the text, clean texts are left alone."""
+
+import random
+import re
+from datetime import date, timedelta
+
+import pytest
+
+from lociweave.llm import pii
+
+KEY = b"another key"
+BEFORE = ["", "AND ", "(", "tel. ", "x ", "No 7, ", "\u00fc ", "\n", "12 ", "EUR "]
+AFTER = ["", " AND", ")", ".", ", 5", " X", " EUR 100", "\n2", " \u00e9", "!!", "%%%", "###"]
+
+
+def _luhn(rng, prefix, n):
+    body = prefix + "".join(str(rng.randrange(10)) for _ in range(n - len(prefix) - 1))
+    return body + str(-pii._luhn_sum(body + "0") % 10)
+
+
+def _iban(rng, country, n):
+    body = "".join(str(rng.randrange(10)) for _ in range(n - 4))
+    return f"{country}{98 - pii._iban_number(body + country + '00') % 97:02d}{body}"
+
+
+def _cases(rng):
+    """(kind, spellings of one value)."""
+    for prefix, n in (("4", 16), ("51", 16), ("37", 15), ("6011", 16), ("2221", 16), ("4", 13), ("6759", 19)):
+        c = _luhn(rng, prefix, n)
+        yield "card", [c, *(["-".join(re.findall("....", c)), " ".join(re.findall("....", c))] if n == 16 else [f"{c[:4]} {c[4:10]} {c[10:]}"] if n == 15 else [])]
+    for country, n in (("BE", 16), ("NO", 15), ("DE", 22), ("ES", 24), ("FR", 27), ("AT", 20)):
+        b = _iban(rng, country, n)
+        yield "iban", [b, " ".join(re.findall(".{1,4}", b))]
+    d = [rng.randrange(2, 9) for _ in range(10)]
+    a, b, c = ("".join(map(str, d[i:j])) for i, j in ((0, 3), (3, 6), (6, 10)))
+    yield "phone", [f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"+1{a}{b}{c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"{a}.{b}.{c}"]
+    yield "phone", [f"+4420{b}{a}{b[:2]}", f"+44 20 {b} {a} {b[:2]}", f"+44 (0)20 {b} {a} {b[:2]}", f"+44-20-{b}-{a}-{b[:2]}"]
+    yield "phone", [f"+353 {a} {c}", f"+353{a}{c}"]
+    yield "ip", [f"{rng.randrange(11, 99)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(1, 255)}"]
+    yield "ip", [f"192.168.{rng.randrange(10)}.{rng.randrange(256)}"]
+    yield "ssn", [f"{rng.randrange(1, 600):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}"]
+    t = date(1950, 1, 1) + timedelta(rng.randrange(30_000))
+    more = [f"{t.month:02d}/{t.day:02d}/{t.year}"] if t.day > 12 else []
+    yield "date", [f"{t:%Y-%m-%d}", f"{t:%Y/%m/%d}", f"{t:%d.%m.%Y}", f"{t:%d/%m/%Y}", f"{t.day} {t:%B} {t.year}", f"{t:%B} {t.day}, {t.year}", *more]
+    yield "date", [f"{t.year - 300}-{t.month:02d}-{t.day:02d}"]
+    yield "email", [f"a{rng.randrange(999)}.b@mail.example.com", ]
+    yield "secret", ["".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a1"]
+
+
+def _bare(kind, text):
+    if kind == "date":
+        months = {m: f"{k:02d}" for k, m in enumerate(pii._MONTHS, 1)}
+        if found := re.search("[A-Z][a-z]+", text):
+            day, year = sorted(re.findall(r"\d+", text), key=len)
+            return f"{year}{months[found[0]]}{int(day):02d}"
+        x = re.findall(r"\d+", text)
+        if len(x[0]) == 4:
+            return "".join(x)
+        return x[2] + (x[0] + x[1] if int(x[1]) > 12 else x[1] + x[0])
+    text = text.replace("(0)", "")
+    if kind == "phone":
+        digits = re.sub(r"\D", "", text)
+        return digits if text[0] == "+" else "1" + digits
+    return re.sub("[ -]", "", text) if kind in ("card", "iban", "ssn") else text
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_formats(seed):
+    rng = random.Random(seed)
+    for kind, spellings in _cases(rng):
+        linked = set()
+        for text in spellings:
+            for before, after in [("", "")] + [(rng.choice(BEFORE), rng.choice(AFTER)) for _ in range(6)]:
+                whole = before + text + after
+                new, counts = pii.pseudonymise(whole, KEY)
+                assert counts == {kind: 1}, (whole, new, counts)
+                got = new[len(before) : len(new) - len(after)]
+                assert new.startswith(before) and new.endswith(after) and got != text
+                linked.add(_bare(kind, got))
+                if kind not in ("email", "date"):
+                    assert len(got) == len(text)
+                if kind != "email":
+                    assert pii.invert(new, KEY) == whole
+                if kind == "card":
+                    assert pii.luhn(re.sub(r"\D", "", got)) and pii._issued(re.sub(r"\D", "", got))
+        assert len(linked) == 1, (kind, spellings, linked)
+
+
+def test_clean_texts_are_left_alone():
+    rng = random.Random(1)
+    texts = ["1.2.3", "v10.20.30", "10.1.2.300", "1.2.3.4.5", "13/13/2000", "2000-02-30", "000-12-3456", "9999999999999999", "4111111111111112", "BE68 5390 0754 7035", "a@b", "x@y.1",
+             "deadbeef", "1" * 5000, "+1 23", "12:30", "3.14159265358979", "007.1.1.1", "\u00b2\u00b3 \u0661\u0662", "ISBN 978-3-16-148410-0x", "abc" * 1000]
+    texts += [_luhn(rng, p, 16) for p in ("0", "1", "7", "8", "9")]  # by chance right, but no issuer's
+    for text in texts:
+        assert pii.pseudonymise(text, KEY) == (text, {}), text
+
+
+def test_digits_of_other_scripts():
+    got = pii.pseudonymise("4" + "1" * 15, KEY)
+    assert got == pii.pseudonymise("\u0664" + "\u0661" * 15, KEY) and got[1] == {"card": 1}
+
+
+def test_key_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "4111 1111 1111 1111", None), (1, "4111 1111 1111 1111", "x")], "doc_id long, text string, N_pii_ string")
+    plain = [r.text for r in pii.mask_documents(docs).collect()]
+    spark.conf.set(pii.KEY_SETTING, "of the session")
+    try:
+        other = [r.text for r in pii.mask_documents(docs).collect()]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert len(set(plain)) == len(set(other)) == 1 and plain != other
+    assert other[0] == pii.pseudonymise("4111 1111 1111 1111", b"of the session")[0]
+    assert pii.mask_documents(docs).select("N_pii_").collect()[1][0] == "x"
