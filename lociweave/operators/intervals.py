@@ -21,9 +21,13 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[st
     a = left.withColumn("__bin", _bins(*l, bin_size))
     b = right.withColumn("__bin", _bins(*r, bin_size))
     if how == "left":
-        a = left.withColumn("__row", F.monotonically_increasing_id())
-        inner = overlap_join(a.select("__row", *keys, *l), right, keys, l, r, bin_size=bin_size)
-        return a.join(inner.drop(*keys, *l), "__row", "left").drop("__row")
+        # rows without a partner by their keys and interval, which decide; a row number could change when a lost task is run again
+        inner = overlap_join(left, right, keys, l, r, bin_size=bin_size)
+        found = overlap_join(left.select(*keys, *l).distinct(), right, keys, l, r, bin_size=bin_size).select(*keys, *l).distinct().alias("f")
+        same = F.lit(True)
+        for c in (*keys, *l):
+            same &= F.col(f"x.{c}").eqNullSafe(F.col(f"f.{c}"))
+        return inner.unionByName(left.alias("x").join(found, same, "left_anti"), allowMissingColumns=True)
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [
         F.col("a.__bin") == F.col("b.__bin"), F.col(f"a.{l[0]}") < F.col(f"b.{r[1]}"), F.col(f"b.{r[0]}") < F.col(f"a.{l[1]}"),
         F.expr(f"greatest(a.{l[0]}, b.{r[0]}) div {bin_size}") == F.col("a.__bin"),
@@ -79,11 +83,13 @@ def link_loci_to_promoters(loci: DataFrame, promoters: DataFrame, loops: DataFra
     own = loci.select("locus_id", "chrom", "start", "end")
     direct = overlap_join(own, p, ["chrom"], ("start", "end"), ("promoter_start", "promoter_end"), bin_size=bin_size)
     rows = direct.select("gene", "locus_id", F.lit(True).alias("direct"), F.lit(None).cast("double").alias("loop_score"))
-    ends = loops.withColumn("loop_id", F.monotonically_increasing_id())
+    # equal loops have one key and are followed as often as they occur; a row number could change when a lost task is run again
+    names = ["chrom1", "start1", "end1", "chrom2", "start2", "end2", "loop_score"]
+    ends = loops.groupBy(*names).agg(F.count("*").alias("copies")).withColumn("loop_id", F.struct(*names))
     for a, b in (("1", "2"), ("2", "1")):
-        la = ends.select("loop_id", "loop_score", F.col(f"chrom{a}").alias("chrom"), F.col(f"start{a}").alias("a_start"), F.col(f"end{a}").alias("a_end"))
+        la = ends.select("loop_id", "loop_score", "copies", F.col(f"chrom{a}").alias("chrom"), F.col(f"start{a}").alias("a_start"), F.col(f"end{a}").alias("a_end"))
         lb = ends.select("loop_id", F.col(f"chrom{b}").alias("chrom"), F.col(f"start{b}").alias("a_start"), F.col(f"end{b}").alias("a_end"))
-        at_locus = overlap_join(own, la, ["chrom"], ("start", "end"), ("a_start", "a_end"), bin_size=bin_size).select("loop_id", "locus_id", "loop_score")
+        at_locus = overlap_join(own, la, ["chrom"], ("start", "end"), ("a_start", "a_end"), bin_size=bin_size).select("loop_id", "locus_id", "loop_score", F.explode(F.expr("array_repeat(1, int(copies))")).alias("copy"))
         at_gene = overlap_join(p, lb, ["chrom"], ("promoter_start", "promoter_end"), ("a_start", "a_end"), bin_size=bin_size).select("loop_id", "gene")
         rows = rows.unionByName(at_locus.join(at_gene, "loop_id").select("gene", "locus_id", F.lit(False).alias("direct"), "loop_score"))
     return rows.groupBy("gene", "locus_id").agg(
