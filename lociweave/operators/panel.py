@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -86,3 +87,12 @@ def supported_aggregates(scores: DataFrame, support: DataFrame, locus: str, part
     own = scores.join(F.broadcast(support.filter("expression_supported").select(partner).distinct()), partner, "left_semi")
     by = own.groupBy(locus, partner).agg(F.avg(score).alias("__m"), F.max(raw).alias("__r"))
     return by.groupBy(locus).agg(F.avg("__m").alias("pair_mean"), F.max("__r").alias("partner_max"))
+
+
+def count_columns(df: DataFrame, wild: int = 4, knocked_out: int = 2) -> list[str]:
+    """The columns of counts of the wild type (WT in the name) and of the knock-out (KO), in this order; any other number of them is an error."""
+    named = lambda mark: [c for c in df.columns if re.search(rf"(?:^|[^A-Za-z]){mark}(?:[^A-Za-z]|$)", c, re.I)]
+    wt, ko = named("WT"), named("KO")
+    if len(wt) != wild or len(ko) != knocked_out or set(wt) & set(ko):
+        raise ValueError(f"{wild} WT and {knocked_out} KO columns are needed, there are {len(wt)} and {len(ko)}")
+    return wt + ko

@@ -16,12 +16,16 @@ import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _CHUNK = 1 << 16
+#: Data blocks of a bigWig file that one task reads.
+_BLOCKS = 256
 
 
 def archive_members(spark: SparkSession, path: str, pattern: str = ".*", names: list[str] | None = None) -> DataFrame:
@@ -144,22 +148,24 @@ class BigWigFile:
                 else:
                     yield from self.blocks(chrom, offset)
 
+    def columns(self, chrom: int, offset: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(starts, ends, values) of a data block, or None if it is another chromosome's."""
+        self.f.seek(offset)
+        data = self.f.read(size)
+        data = zlib.decompress(data) if self.packed else data
+        own, start, _, step, span, kind, _, n = struct.unpack(self.e + "IIIIIBBH", data[:24])
+        if own != chrom:
+            return None
+        integer, real = f"{self.e}u4", f"{self.e}f4"
+        fields = {1: [("s", integer), ("t", integer), ("v", real)], 2: [("s", integer), ("v", real)]}.get(kind, [("v", real)])
+        rows = np.frombuffer(data, np.dtype(fields), n, 24)
+        starts = rows["s"].astype(np.int64) if kind in (1, 2) else start + step * np.arange(n, dtype=np.int64)
+        return starts, rows["t"].astype(np.int64) if kind == 1 else starts + span, rows["v"].astype(np.float64)
+
     def values(self, chrom: int) -> Iterator[tuple[int, int, float]]:
-        for offset, size in list(self.blocks(chrom)):
-            self.f.seek(offset)
-            data = self.f.read(size)
-            data = zlib.decompress(data) if self.packed else data
-            own, start, _, step, span, kind, _, n = struct.unpack(self.e + "IIIIIBBH", data[:24])
-            if own != chrom:
-                continue
-            if kind == 1:
-                yield from struct.iter_unpack(self.e + "IIf", data[24 : 24 + 12 * n])
-            elif kind == 2:
-                for s, v in struct.iter_unpack(self.e + "If", data[24 : 24 + 8 * n]):
-                    yield s, s + span, v
-            else:
-                for i, (v,) in enumerate(struct.iter_unpack(self.e + "f", data[24 : 24 + 4 * n])):
-                    yield start + i * step, start + i * step + span, v
+        for at in list(self.blocks(chrom)):
+            if found := self.columns(chrom, *at):
+                yield from zip(*(x.tolist() for x in found))
 
 
 class _Part(InputPartition):
@@ -168,7 +174,7 @@ class _Part(InputPartition):
 
 
 class BigWigSource(DataSource):
-    """spark.read.format('bigwig').load(path): chrom, s_start, s_end, value; a partition for each file and chromosome."""
+    """spark.read.format('bigwig').load(path): chrom, s_start, s_end, value; a partition for BLOCKS data blocks of a file's chromosome."""
 
     @classmethod
     def name(cls) -> str:
@@ -186,11 +192,20 @@ class _BigWigReader(DataSourceReader):
         self.paths = sorted(glob.glob(options["path"]))
 
     def partitions(self):
-        return [_Part(p, c, k) for p in self.paths for c, (k, _) in BigWigFile(p).chroms.items()]
+        parts = []
+        for p in self.paths:
+            f = BigWigFile(p)
+            for c, (k, _) in f.chroms.items():
+                blocks = list(f.blocks(k))
+                parts += [_Part(p, c, k, *(x for b in blocks[i : i + _BLOCKS] for x in b)) for i in range(0, len(blocks), _BLOCKS)]
+        return parts
 
     def read(self, part):
-        for s, e, v in BigWigFile(part.path).values(part.rest[0]):
-            yield part.name, s, e, float(v)
+        f, (chrom, *at) = BigWigFile(part.path), part.rest
+        for offset, size in zip(at[::2], at[1::2]):
+            if found := f.columns(chrom, offset, size):
+                starts, ends, values = found
+                yield pa.RecordBatch.from_arrays([pa.array([part.name] * len(starts), pa.string()), pa.array(starts), pa.array(ends), pa.array(values)], names=["chrom", "s_start", "s_end", "value"])
 
 
 # --- 2bit

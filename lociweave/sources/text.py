@@ -196,3 +196,31 @@ def resolve_column(df: DataFrame, synonyms: list[str]) -> str:
         if c.strip().lower() in names:
             return c
     raise ValueError(f"no column is named like {', '.join(synonyms)}")
+
+
+def delimited(spark: SparkSession, path: str, candidates: str = "\t,;|") -> DataFrame:
+    """A table with a header whose delimiter is the one of the candidates that the header line has most of; an error if it has none."""
+    head = next((r.value for r in spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()), "")
+    best = max(candidates, key=head.count)
+    if not head.count(best):
+        raise ValueError(f"the header has none of the delimiters {candidates!r}")
+    return spark.read.csv(path, sep=best, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+
+
+def mex_matrices(spark: SparkSession, path: str, pseudocount: float = 1e-6) -> DataFrame:
+    """(motif, symbol, probabilities) of text records: '>' and a name, lines 'key: value', a header of bases, and a row for each position.
+
+    Columns may stand in any order of A, C, G and T. Rows become shares with the pseudocount; a record without rows, or with a row that isn't four numbers at or above 0, is an error.
+    """
+    r = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^>")).alias("r")).filter(F.trim("r") != "")
+    lines = F.filter(F.transform(F.split("r", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    r = r.select(lines.alias("l")).select(F.col("l")[0].alias("motif"), F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))).alias("l"))
+    is_head = lambda x: F.upper(x).rlike(r"^([ACGT]\s+){3}[ACGT]$")
+    symbol = F.regexp_extract(F.coalesce(F.get(F.filter("l", lambda x: x.rlike(r"(?i)^symbol:")), F.lit(0)), F.lit("")), r"(?i)^symbol:\s*(.*)$", 1)
+    head = F.split(F.upper(F.get(F.filter("l", is_head), F.lit(0))), r"\s+")
+    rows = F.transform(F.filter("l", lambda x: x.rlike(r"^[-+0-9.eE\s]+$")), lambda x: F.transform(F.split(x, r"\s+"), lambda v: v.try_cast("double")))
+    p = r.select("motif", symbol.alias("symbol"), head.alias("h"), rows.alias("rows"))
+    ok = p.select("motif", "symbol", "h", "rows", (F.col("h").isNotNull() & (F.size("rows") > 0) & F.forall("rows", lambda x: (F.size(x) == 4) & F.forall(x, lambda v: v.isNotNull() & (v >= 0)))).alias("ok"))
+    share = lambda x: F.transform(F.array(*[F.lit(b) for b in "ACGT"]), lambda b: (F.get(x, (F.array_position(F.col("h"), b) - 1).cast("int")) + pseudocount) / (F.aggregate(x, F.lit(0.0), lambda a, v: a + v) + 4 * pseudocount))
+    kind = "array<array<double>>"
+    return ok.select("motif", F.when(F.col("symbol") != "", F.col("symbol")).alias("symbol"), F.when(F.coalesce("ok", F.lit(False)), F.transform("rows", share)).otherwise(F.raise_error(F.lit("incomplete matrix")).cast(kind)).alias("probabilities"))
