@@ -3,11 +3,12 @@
 Two Bloom filters hold the hashes of lines seen once and seen twice. Every task fills its own pair; the pairs
 are merged by position (a bit set in the once filters of two tasks counts as seen twice), so the merged twice filter has
 no false negatives. Only lines that it suspects are shuffled; a 128-bit hash group then confirms the number of documents
-and chooses the keeper. A full filter only means that more lines are shuffled: results never depend on its size.
+and chooses the keeper. A full filter only means that more lines are shuffled: results never depend on its size. Confirmed keys with their keepers are broadcast
+while they are few, so that no text is shuffled; beyond that each document gets its own by a join.
 
 Defined results: a null or empty text is one empty line; documents are told apart by doc_id, rows with the same doc_id
 count as one document and each of them is filtered; a null doc_id counts as one document, smaller than all others; an
-empty table gives an empty table; extra columns are kept, but for those named as an output, which are replaced.
+empty table gives an empty table; extra columns are kept, whatever their names, but for those named as an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import add_columns, bounded_batches, map_batches, materialise, seq_hash, text_bytes
+from lociweave.llm.common import add_columns, bounded_batches, map_batches, materialise, seq_hash, text_bytes, unused
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 #: The filters have 160 bits a document, between these powers of two: 2 MiB and, as a bound on what is broadcast, 64 MiB.
 LEAST_BITS, MOST_BITS, BITS_A_DOCUMENT = 1 << 24, 1 << 29, 160
 CHUNK = 1 << 17
+#: Confirmed keys that are broadcast, some 200 bytes each in a Python worker; beyond that each document's are joined to it.
+MOST_FLAGGED = 100_000
 NULL_ID = -(1 << 63)
 
 
@@ -91,8 +94,8 @@ def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> bytes:
     return bloom.tobytes()
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, drops): for each document the 16-byte hashes of the keys that it loses."""
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(id, h) of the lines that the filter suspects, and (h, keeper) of the keys in so many documents, as 16-byte hashes."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(twice_filter(docs, filter_bits(docs.count()), min_chars))
 
@@ -108,38 +111,47 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
         return {"id": [ids[i] for i in hit], "h": [seq_hash(keys[i]) for i in hit]}
 
     found = materialise(map_batches(docs.select(_id(), "text"), suspects, "id long, h binary"))
-    # materialised, so that the join below has two plain shuffles and adaptive execution can split a hot line's rows
+    # materialised, so that a join with it has two plain shuffles and adaptive execution can split a hot line's rows
     flagged = materialise(
         found.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h")
         .agg(F.count("*").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
     )
-    lost = found.join(flagged, "h").filter(F.col("id") < F.col("keeper"))
-    return lost.groupBy("id").agg(F.collect_set("h").alias("drops"))
+    return found, flagged
 
 
 def _id() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, most: int = MOST_FLAGGED) -> DataFrame:
     """docs with text without its repeated lines, n_lines and n_dropped."""
     bounded_batches(docs.sparkSession)
-    drops = repeated_lines(docs, min_chars, min_docs).withColumnsRenamed({"id": "__id", "drops": "__drops"})
-    joined = docs.withColumn("__id", _id()).join(drops, "__id", "left")
+    found, flagged = repeated_lines(docs, min_chars, min_docs)
+    key, lost = unused(docs, "id", "lost")
+    rows = docs.withColumn(key, _id())
+    if flagged.count() <= most:
+        shared = docs.sparkSession.sparkContext.broadcast({bytes(r.h): r.keeper for r in flagged.toLocalIterator()})
+    else:
+        shared = None
+        drops = found.join(flagged, "h").filter(F.col("id") < F.col("keeper")).groupBy(F.col("id").alias(key)).agg(F.collect_set("h").alias(lost))
+        rows = rows.join(drops, key, "left")
 
     def cut(batch: pa.RecordBatch) -> dict:
         texts, lines_n, dropped = [], [], []
-        for text, drop in zip(text_bytes(batch, "text"), batch.column("__drops").to_pylist()):
+        gone = [None] * batch.num_rows if shared else batch.column(lost).to_pylist()
+        for doc, text, own in zip(batch.column(key).to_pylist(), text_bytes(batch, "text"), gone):
             lines = text.split(b"\n")
             lines_n.append(len(lines))
-            if drop:
-                gone = set(drop)
-                kept = [x for x in lines if not ((k := line_key(x, min_chars)) and seq_hash(k) in gone)]
-                dropped.append(len(lines) - len(kept))
-                text = b"\n".join(kept)
+            if shared:
+                keepers = shared.value
+                kept = [x for x in lines if not ((k := line_key(x, min_chars)) and keepers.get(seq_hash(k), doc) > doc)] if keepers else lines
+            elif own:
+                own = set(own)
+                kept = [x for x in lines if not ((k := line_key(x, min_chars)) and seq_hash(k) in own)]
             else:
-                dropped.append(0)
-            texts.append(text.decode())
+                kept = lines
+            dropped.append(len(lines) - len(kept))
+            texts.append((b"\n".join(kept) if len(kept) < len(lines) else text).decode())
         return {"text": texts, "n_lines": lines_n, "n_dropped": dropped}
 
-    return add_columns(joined, ["text", "__drops"], cut, "text string, n_lines long, n_dropped long", drop=("__id", "__drops"))
+    return add_columns(rows, ["text"], cut, "text string, n_lines long, n_dropped long", drop=(key, lost))
