@@ -99,3 +99,14 @@ def rule_is_positive(gap: Column, period: int = 10, phases: tuple[int, ...] = (0
 
 def digest(x: Column) -> Column:
     return F.sha2(x, 256)
+
+
+def one_hot(x: Column) -> Column:
+    """A row of A, C, G, T as 0 and 1 for each base; another letter is an error."""
+    rows = F.transform(F.filter(F.split(F.upper(x), ""), lambda c: c != ""), lambda c: F.array(*[(c == b).cast("int") for b in "ACGT"]))
+    return F.when(F.upper(x).rlike("^[ACGT]*$"), rows).otherwise(F.raise_error(F.lit("only A, C, G and T can be encoded")).cast("array<array<int>>"))
+
+
+def ordered_pair(x: Column) -> Column:
+    """A pair's normalised members in order, joined; null for a single one."""
+    return F.array_join(F.array_sort(pair_members(x)), "_")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -112,6 +113,44 @@ def audit_asset(path: str) -> dict[str, object]:
     return {"path": path, "size_bytes": os.path.getsize(path), "sha256": sha256_file(path)}
 
 
+def asset_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(name, size_bytes, sha256) of the files that a path, folder or glob names, in any store that Spark reads; a file is one task's."""
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify_manifest(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The found assets; a missing, an unexpected or a changed one is an error."""
+    both = found.alias("f").join(wanted.alias("w"), F.col("f.name") == F.col("w.name"), "full")
+    same = (F.col("f.size_bytes") == F.col("w.size_bytes")) & (F.col("f.sha256") == F.col("w.sha256"))
+    name = F.coalesce("f.name", "w.name")
+    checked = F.when(F.coalesce(same, F.lit(False)), name).otherwise(F.raise_error(F.concat(F.lit("not the frozen asset: "), name)).cast("string"))
+    return both.select(checked.alias("name"), F.col("f.size_bytes").alias("size_bytes"), F.col("f.sha256").alias("sha256"))
+
+
+def exact_members(found: list[str], wanted: list[str], what: str = "assets") -> None:
+    """An error unless both have the same members, each once."""
+    if len(set(found)) != len(found) or set(found) != set(wanted):
+        raise ValueError(f"{what} differ: missing {sorted(set(wanted) - set(found))}, not expected {sorted(set(found) - set(wanted))}, repeated {sorted({x for x in found if found.count(x) > 1})}")
+
+
+def replicate_assets(records: list[dict], replicates: tuple[int, ...] = (1, 2)) -> dict[int, dict]:
+    """Asset records by replicate; there must be exactly these."""
+    exact_members([str(r["replicate"]) for r in records], [str(r) for r in replicates], "replicates")
+    return {int(r["replicate"]): r for r in records}
+
+
+def session_versions(text: str, wanted: dict[str, str]) -> dict[str, str]:
+    """The versions of R and of packages in the text of its session information; another version, or none, is an error."""
+    found = {}
+    for name, version in wanted.items():
+        m = re.search(rf"R version (\S+)" if name == "R" else rf"(?<![\w.]){re.escape(name)}_(\S+)", text)
+        found[name] = m[1] if m else ""
+        if found[name] != version:
+            raise ValueError(f"{name} must have version {version}, not {found[name] or 'none'}")
+    return found
+
+
 def verify_asset(path: str, size: int, digest: str) -> None:
     got = audit_asset(path)
     if got["size_bytes"] != size or got["sha256"] != digest:

@@ -193,6 +193,12 @@ def sse_by_block(df: DataFrame, block: str, outcome: str, p0: str = "p0", p1: st
     return df.groupBy(block).agg(F.sum((F.col(outcome) - F.col(p0)) ** 2).alias("sse0"), F.sum((F.col(outcome) - F.col(p1)) ** 2).alias("sse1"))
 
 
+def coefficient_summary(coefficients: DataFrame) -> DataFrame:
+    """(feature, folds, median, all_positive) of (fold, feature, coefficient)."""
+    c = F.col("coefficient")
+    return coefficients.groupBy("feature").agg(F.count("*").alias("folds"), F.percentile(c, F.lit(0.5)).alias("median"), F.bool_and(c > 0).alias("all_positive"))
+
+
 def block_bootstrap(df: DataFrame, block: str, outcome: str, draws: int = 2000, seed: int = 0) -> dict[str, float]:
     """Percentiles of partial R2 over resampled blocks; the driver holds one row for each chromosome."""
     rows = sorted(sse_by_block(df, block, outcome).collect())

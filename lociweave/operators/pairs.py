@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,23 +63,56 @@ def eligible_panel(pairs: DataFrame, least: tuple[int, int, int] = (10, 5, 5)) -
 
 def leave_one_out(pairs: DataFrame, tf: str) -> tuple[DataFrame, DataFrame]:
     """(train, test): test has the pairs with the factor; an error if there are none."""
-    hit = (F.col("bait") == tf) | (F.col("prey") == tf)
-    test = pairs.filter(hit)
+    test = with_factor(pairs, tf)
     if test.isEmpty():
         raise ValueError(f"no pair has {tf}")
-    return pairs.filter(~hit), test
+    return pairs.filter((F.col("bait") != tf) & (F.col("prey") != tf)), test
+
+
+def evaluable(interactions: DataFrame) -> DataFrame:
+    """Tested interactions between two different known factors."""
+    return interactions.filter(F.col("tested") & F.col("bait").isNotNull() & F.col("prey").isNotNull() & (F.col("bait") != F.col("prey")))
+
+
+def is_positive(composite: Column, spacing: Column) -> Column:
+    """Whether an interaction has a composite motif, or a spacing or orientation."""
+    return F.coalesce(composite, F.lit(False)) | F.coalesce(spacing, F.lit(False))
+
+
+def with_factor(pairs: DataFrame, tf: str) -> DataFrame:
+    """The pairs with a factor on either side."""
+    return pairs.filter((F.col("bait") == tf) | (F.col("prey") == tf))
+
+
+def _drawn(value: Column, seed: int) -> Column:
+    """What a seeded draw is ordered by: a hash that any engine can make."""
+    return F.md5(F.concat(value.cast("string"), F.lit(f"|{seed}")))
 
 
 def assign_split(pairs: DataFrame, by: str, fraction: float = 0.2, seed: int = 0) -> DataFrame:
-    """pairs with split 'train' or 'test': groups, sorted, are drawn without replacement, max(1, round(n * fraction)) of them."""
-    members = {"pair": [F.col("directed_pair")], "family_pair": [F.col("family_pair")], "tf": [F.col("bait"), F.col("prey")]}[by]
-    groups = sorted(r[0] for r in pairs.select(F.explode(F.array(*members))).distinct().collect())  # factors or pairs of them
-    n = max(1, round(len(groups) * fraction))
-    held = sorted(np.random.default_rng(seed).choice(np.array(groups, object), n, replace=False).tolist())
-    hit = F.lit(False)
-    for m in members:
-        hit |= m.isin(held)
-    return pairs.withColumn("split", F.when(hit, "test").otherwise("train"))
+    """pairs with split 'train' or 'test': of the groups, max(1, round(n * fraction)) are drawn without replacement, those with the least seeded hashes.
+
+    A pair is in the test split if any of its groups is drawn: itself, its pair of families, or either factor.
+    """
+    members = {"pair": ["directed_pair"], "family_pair": ["family_pair"], "tf": ["bait", "prey"]}[by]
+    groups = pairs.select(F.explode(F.array(*members)).alias("g")).distinct()
+    n = max(1, round(groups.count() * fraction))
+    held = groups.orderBy(_drawn(F.col("g"), seed), "g").limit(n)
+    out, hit = pairs, F.lit(False)
+    for k, m in enumerate(members):
+        out = out.join(held.select(F.col("g").alias(m), F.lit(True).alias(f"__{k}")), m, "left")
+        hit |= F.coalesce(f"__{k}", F.lit(False))
+    return out.withColumn("split", F.when(hit, "test").otherwise("train")).select(*pairs.columns, "split")
+
+
+def random_split(df: DataFrame, key: str, shares: tuple[float, ...] = (0.7, 0.15, 0.15), names: tuple[str, ...] = ("train", "validation", "test"), seed: int = 0) -> DataFrame:
+    """df with split, drawn for each row by a seeded hash of its key."""
+    u = F.conv(F.substr(_drawn(F.col(key), seed), F.lit(1), F.lit(8)), 16, 10).cast("long") / float(1 << 32)
+    out, upto = None, 0.0
+    for name, share in list(zip(names, shares))[:-1]:
+        upto += share
+        out = F.when(u < upto, name) if out is None else out.when(u < upto, name)
+    return df.withColumn("split", out.otherwise(names[-1]) if out is not None else F.lit(names[-1]))
 
 
 def unpivot_matrix(matrix: DataFrame, key: str, value: str = "value", name: str = "prey") -> DataFrame:

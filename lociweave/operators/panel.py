@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lociweave.functions.sequence import AMINO_ACIDS
 from lociweave.operators import metrics
-from lociweave.operators.loci import chromosome_fold
-from lociweave.operators.models import nested_binary, nested_continuous
+from lociweave.operators.loci import chromosome_fold, require_columns
+from lociweave.operators.models import cross_fitted_residuals, nested_binary, nested_continuous
 from lociweave.operators.pairs import apply_rates, eligible_panel, identity_baseline, leave_one_out, protein_features
 
 #: Columns that are, or begin like, baseline features.
@@ -66,9 +66,35 @@ def baseline_features(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint") and c.startswith(BASELINE_PREFIXES)]
 
 
+def continuous_frame(genes: DataFrame, results: DataFrame, added: str, outcome: str = "gcm1_dependence", folds: int = 5) -> DataFrame:
+    """Gene features with a finite expression outcome and the chromosome fold; genes without results go, a missing added column is an error."""
+    require_columns(genes, ["gene", "chrom", added], "gene features")
+    return genes.join(results.select("gene", outcome), "gene").filter(metrics.finite(F.col(outcome))).withColumn("fold", chromosome_fold(F.col("chrom"), folds))
+
+
+def grammar_score(df: DataFrame, profiles: list[str], focal: str, partners: list[str], fold: str, bins: int = 20, out: str = "grammar_score") -> DataFrame:
+    """df with the mean over profiles of what is left of each when the monomers in its bins of focal and own partner are taken out, cross-fitted over folds."""
+    rest = []
+    for k, (profile, partner) in enumerate(zip(profiles, partners, strict=True)):
+        df = cross_fitted_residuals(df, profile, [focal, partner], fold, bins, f"__r{k}")
+        rest.append(F.col(f"__r{k}"))
+    return df.withColumn(out, sum(rest[1:], rest[0]) / len(rest)).drop(*(f"__r{k}" for k in range(len(rest))))
+
+
+def profile_scores(scores: DataFrame, locus: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """(locus, pair, mechanism, score): the best model of each pair and mechanism. scores has a column for each model; columns: model to (pair, mechanism)."""
+    rows = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(m).alias("mechanism"), F.col(f"`{c}`").alias("score")) for c, (p, m) in columns.items()])
+    return scores.select(locus, F.explode(rows).alias("x")).groupBy(locus, "x.pair", "x.mechanism").agg(F.max("x.score").alias("score"))
+
+
+def pair_balanced(profiles: DataFrame, locus: str) -> DataFrame:
+    """(locus, score): the mean over pairs of the mean over a pair's mechanisms."""
+    return profiles.groupBy(locus, "pair").agg(F.avg("score").alias("m")).groupBy(locus).agg(F.avg("m").alias("score"))
+
+
 def continuous_benchmark(genes: DataFrame, results: DataFrame, added: str, outcome: str = "gcm1_dependence", folds: int = 5) -> tuple[DataFrame, dict]:
     """Gene features joined with an expression outcome: nested models over chromosome folds."""
-    rows = genes.join(results.select("gene", outcome), "gene").filter(metrics.finite(F.col(outcome))).withColumn("fold", chromosome_fold(F.col("chrom"), folds))
+    rows = continuous_frame(genes, results, added, outcome, folds)
     return nested_continuous(rows, "fold", baseline_features(genes), [added], outcome)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociweave.plans import audit_queries, interval_queries, loci_queries, model_queries, reader_queries, sequence_queries  # noqa: F401
+from lociweave.plans import audit_queries, interval_queries, loci_queries, model_queries, panel_queries, reader_queries, sequence_queries  # noqa: F401
 from lociweave.plans.registry import ORACLES, QUERIES
 
 

@@ -120,16 +120,6 @@ def q37_fold_moments(spark, sf_dir):
     return out.select("fold", "n", *[F.round(c, 4).alias(c) for c in out.columns if c[0] in "sg"])
 
 
-def _model_rows(spark, sf_dir):
-    return _rows(spark, sf_dir).withColumns({"gs": F.col("g") / 10_000, "y": F.col("g") / 10_000 + F.col("d") * 3 + F.col("m") * F.col("t")})
-
-
-@query()
-def q38_nested_ridge(spark, sf_dir):
-    predicted, summary = models.nested_continuous(_model_rows(spark, sf_dir), "fold", ["gs", "m"], ["d"], "y")
-    return predicted.select("l_orderkey", "l_partkey", "line", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"), F.lit(round(summary["partial_r2"], 9)).alias("partial_r2"))
-
-
 @query()
 def q39_nested_logistic(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.log1p("n_chars").alias("a"), (F.length(F.regexp_replace("text", "[^#*$%&|!]", "")) / (1 + F.col("n_chars"))).alias("b"))
