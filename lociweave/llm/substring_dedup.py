@@ -12,7 +12,7 @@ documents costs n rows.
 
 Defined results: words are [^\x20\x09-\x0D]+; a null or empty text has none and stays empty; kept words are joined by one
 space; a text without a repeat keeps its words and order; rows with the same doc_id are the same document; a null doc_id is
-smaller than all others; an empty table gives an empty table; extra columns are kept, but for those named as an output.
+smaller than all others; an empty table gives an empty table; extra columns are kept, whatever their names, but for those named as an output.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import (
-    add_columns, bounded_batches, map_batches, materialise, mix, shingle_hashes, space_words, text_bytes, word_hashes,
+    add_columns, bounded_batches, map_batches, materialise, mix, shingle_hashes, space_words, text_bytes, unused, word_hashes,
 )
 
 WINDOW = 50
@@ -93,9 +93,9 @@ def _id() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """For docs with __id: (id, whole, starts): extended seeds all of whose windows, and starts of other windows, also start in a document with a smaller id."""
-    texts = docs.select(F.col("__id").alias("id"), "text").filter(F.length("text") >= 2 * window - 1)
+def repeats(docs: DataFrame, key: str, part: str, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """For docs with ids in column key: (id, whole, starts): extended seeds all of whose windows, and starts of other windows, also start in a document with a smaller id."""
+    texts = docs.select(F.col(key).alias("id"), "text").filter(F.length("text") >= 2 * window - 1)
     join = lambda parts: np.concatenate(parts) if parts else []
 
     def seeds(batch: pa.RecordBatch) -> dict:
@@ -108,7 +108,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
                     out[name].append(values)
         return {name: join(parts) for name, parts in out.items()}
 
-    found = map_batches(texts, seeds, "id long, a long, e long")
+    found = materialise(map_batches(texts, seeds, "id long, a long, e long"))
     heads = found.groupBy("a", "e").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     # an anchor is open if it has different extensions, first held by different documents
     # (materialised, so that the join has two plain shuffles and adaptive execution can split a hot anchor's rows)
@@ -117,11 +117,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     lists = found.join(marked, ["a", "e"]).filter("id > lo or open").select("id", "e", (F.col("id") > F.col("lo")).alias("whole"))
     lists = materialise(lists.groupBy("id").agg(
         F.collect_set(F.when(F.col("whole"), F.col("e"))).alias("whole"), F.collect_set(F.when(~F.col("whole"), F.col("e"))).alias("part")))
-    partly = lists.filter(F.size("part") > 0).select(F.col("id").alias("__id"), F.col("part").alias("__part"))
+    partly = lists.filter(F.size("part") > 0).select(F.col("id").alias(key), F.col("part").alias(part))
 
     def extend(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"id": [], "start": [], "h1": [], "h2": []}
-        for doc, text, own in zip(batch.column("__id").to_pylist(), text_bytes(batch, "text"), batch.column("__part").to_pylist()):
+        for doc, text, own in zip(batch.column(key).to_pylist(), text_bytes(batch, "text"), batch.column(part).to_pylist()):
             x = word_hashes(space_words(text))
             if len(x) < window:
                 continue
@@ -133,7 +133,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
         return {name: join(parts) for name, parts in out.items()}
 
     # all columns of docs, as in the last join of the caller: both then read the same shuffled texts
-    windows = map_batches(docs.join(partly, "__id"), extend, "id long, start int, h1 long, h2 long")
+    windows = map_batches(docs.join(partly, key), extend, "id long, start int, h1 long, h2 long")
     first = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi")
     later = windows.join(first, ["h1", "h2"]).filter(F.col("id") > F.col("lo")).groupBy("id").agg(F.collect_set("start").alias("starts"))
     return lists.select("id", "whole").join(later, "id", "left").filter("size(whole) > 0 or starts is not null")
@@ -150,13 +150,14 @@ def _chosen(x: np.ndarray, window: int, seed: int, extensions: list[int]) -> np.
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """docs with text as its kept words, n_words, n_removed and removed, the merged word ranges [start, end)."""
     bounded_batches(docs.sparkSession)
-    docs = docs.withColumn("__id", _id())
-    found = repeats(docs, window, seed).withColumnsRenamed({"id": "__id", "whole": "__whole", "starts": "__starts"})
-    joined = docs.join(found, "__id", "left")
+    key, part, all_, some = unused(docs, "id", "part", "whole", "starts")
+    docs = docs.withColumn(key, _id())
+    found = repeats(docs, key, part, window, seed).withColumnsRenamed({"id": key, "whole": all_, "starts": some})
+    joined = docs.join(found, key, "left")
 
     def cut(batch: pa.RecordBatch) -> dict:
         cols: dict[str, list] = {"text": [], "n_words": [], "n_removed": [], "removed": []}
-        for text, whole, starts in zip(text_bytes(batch, "text"), batch.column("__whole").to_pylist(), batch.column("__starts").to_pylist()):
+        for text, whole, starts in zip(text_bytes(batch, "text"), batch.column(all_).to_pylist(), batch.column(some).to_pylist()):
             words, spans = space_words(text), []
             starts = set(starts or ())
             if whole and len(words) >= window:
@@ -175,4 +176,4 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
             cols["removed"].append(spans)
         return cols
 
-    return add_columns(joined, ["text"], cut, "text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>", drop=("__id", "__whole", "__starts"))
+    return add_columns(joined, ["text"], cut, "text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>", drop=(key, all_, some))
