@@ -166,6 +166,11 @@ def assert_primary_asset_allowed(path: str, blocked: Iterable[str] = FORBIDDEN_A
         raise ValueError(f"{path} may not be a primary asset")
 
 
+def json_text(payload: object) -> str:
+    """Keys in order, two spaces, a newline at the end."""
+    return json.dumps(payload, sort_keys=True, indent=2) + "\n"
+
+
 def write_json(payload: object, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(payload, sort_keys=True, indent=2) + "\n")
+        f.write(json_text(payload))

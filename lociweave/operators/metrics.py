@@ -88,7 +88,7 @@ def select_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     ends = total.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"tp{int(t)}").alias("tp"), F.col(f"fp{int(t)}").alias("fp")) for t in (0.0, 1.0)])).alias("e")).select("e.*")
     all_ = c.select(F.col("p").alias("t"), "tp", "fp").unionByName(ends).distinct().crossJoin(F.broadcast(total.select("pos", "n")))
     ba = (F.col("tp") / F.col("pos") + 1 - F.col("fp") / (F.col("n") - F.col("pos"))) / 2
-    return all_.select(F.col("t").alias("threshold"), ba.alias("balanced_accuracy")).orderBy(F.desc("balanced_accuracy"), F.abs(F.col("threshold") - 0.5), "threshold").limit(1)
+    return all_.select(F.col("t").alias("threshold"), ba.alias("balanced_accuracy")).orderBy(F.desc(F.round("balanced_accuracy", 12)), F.abs(F.col("threshold") - 0.5), "threshold").limit(1)
 
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:

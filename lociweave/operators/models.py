@@ -108,20 +108,16 @@ def mse(m: Moments, coefficients: np.ndarray, intercept: float) -> float:
     return float((w @ m.g @ w - 2 * intercept * (w @ m.s) + m.n * intercept**2) / m.n)
 
 
-def nested_continuous(df: DataFrame, fold: str, baseline: list[str], added: list[str], outcome: str) -> tuple[DataFrame, dict]:
-    """Chromosome-held-out M0 (baseline) and M1 (with added features): out-of-fold predictions p0 and p1, and a summary.
-
-    Fold i is tested, fold i + 1 chooses alpha, the others train. One pass gives all moments, one more predicts.
-    """
-    features = [*baseline, *added]
-    by = moments_by_fold(df, fold, features, outcome)
+def _nested_fits(by: dict[int, Moments], baseline: int, added: int) -> tuple[dict[str, list], dict[str, list[float]], list[list[float]], dict[str, float]]:
+    """Of each outer fold the models p0 and p1, their penalties, the added columns' standardised coefficients, and both held-out sums of squares."""
     folds = sorted(by)
     if folds != list(range(len(folds))) or len(folds) < 3:
         raise ValueError("folds must be 0, 1, 2, ... and three at least")
-    sets = {"p0": [*range(len(baseline)), len(features)], "p1": list(range(len(features) + 1))}
-    models: dict[str, list] = {"p0": [], "p1": []}
+    sets = {"p0": [*range(baseline), baseline + added], "p1": list(range(baseline + added + 1))}
+    fits: dict[str, list] = {"p0": [], "p1": []}
     chosen: dict[str, list[float]] = {"p0": [], "p1": []}
-    added_coefficients = []
+    squares = {"p0": 0.0, "p1": 0.0}
+    coefficients = []
     for i in folds:
         check = (i + 1) % len(folds)
         train = None
@@ -133,10 +129,34 @@ def nested_continuous(df: DataFrame, fold: str, baseline: list[str], added: list
             losses = [mse(valid, *ridge(own, a)[:2]) for a in ALPHAS]
             alpha = ALPHAS[int(np.argmin(losses))]
             c, b, standard = ridge(own, alpha)
-            models[name].append((c, b))
+            fits[name].append((c, b))
             chosen[name].append(alpha)
+            held = by[i].only(at)
+            squares[name] += mse(held, c, b) * held.n
             if name == "p1":
-                added_coefficients.append(standard[len(baseline) :].tolist())
+                coefficients.append(standard[baseline:].tolist())
+    return fits, chosen, coefficients, squares
+
+
+def nested_from_moments(by: dict[int, Moments], baseline: int, added: int) -> dict:
+    """The summary of nested models from moments alone, without predictions."""
+    _, chosen, coefficients, squares = _nested_fits(by, baseline, added)
+    n = sum(m.n for m in by.values())
+    return {
+        "n": int(n), "mse_m0": squares["p0"] / n, "mse_m1": squares["p1"] / n, "partial_r2": 1 - squares["p1"] / squares["p0"], "alphas_m0": chosen["p0"], "alphas_m1": chosen["p1"],
+        "added_coefficients": coefficients, "median_added_coefficients": np.median(np.array(coefficients), axis=0).tolist(), "all_positive": all(x > 0 for r in coefficients for x in r),
+    }
+
+
+def nested_continuous(df: DataFrame, fold: str, baseline: list[str], added: list[str], outcome: str) -> tuple[DataFrame, dict]:
+    """Chromosome-held-out M0 (baseline) and M1 (with added features): out-of-fold predictions p0 and p1, and a summary.
+
+    Fold i is tested, fold i + 1 chooses alpha, the others train. One pass gives all moments, one more predicts.
+    """
+    features = [*baseline, *added]
+    by = moments_by_fold(df, fold, features, outcome)
+    models, chosen, added_coefficients, _ = _nested_fits(by, len(baseline), len(added))
+    folds = sorted(by)
 
     def prediction(name: str, names: list[str]) -> Column:
         out = None

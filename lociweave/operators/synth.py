@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.functions.pwm import tempered
+
 SCHEMA = "pair_id long, label int, gap int, phase int, start_a int, end_a int, start_b int, end_b int, orientation_a string, orientation_b string, motif_a_instance string, motif_b_instance string, background_sha256 string, sequence string"
 _TURN = str.maketrans("ACGT", "TGCA")
 
@@ -34,10 +36,11 @@ def sample_motif(rng: np.random.Generator, p: np.ndarray) -> str:
     return "".join("ACGT"[rng.choice(4, p=row)] for row in p)
 
 
-def matched_pairs(spark: SparkSession, a: np.ndarray, b: np.ndarray, pairs: int, length: int = 160, gaps: tuple[int, int] = (0, 60), gc: float = 0.5, persistence: float = 0.0, reverse: bool = True, period: int = 10, phases: tuple[int, ...] = (0, 1, 9), seed: int = 0) -> DataFrame:
+def matched_pairs(spark: SparkSession, a: np.ndarray, b: np.ndarray, pairs: int, length: int = 160, gaps: tuple[int, int] = (0, 60), gc: float = 0.5, persistence: float = 0.0, reverse: bool = True, period: int = 10, phases: tuple[int, ...] = (0, 1, 9), seed: int = 0, temperature: float = 1.0, anchors: tuple[int, int] | None = None) -> DataFrame:
     """Two rows for each pair: equal background, motif instances, orientations and start, one gap of an allowed phase, one not.
 
-    Every pair has a generator of its own, seeded by its number, so that any partitioning gives the same rows.
+    Every pair has a generator of its own, seeded by its number, so that any partitioning gives the same rows. Motifs are drawn from their matrices at a
+    temperature; the first one begins within the anchors if they are given.
     """
     allowed = sorted({x % period for x in phases})
     if period < 2 or not allowed or len(allowed) == period:
@@ -48,6 +51,8 @@ def matched_pairs(spark: SparkSession, a: np.ndarray, b: np.ndarray, pairs: int,
     if not good or not bad or len(a) + len(b) + hi > length:
         raise ValueError("the gap range has no pair of gaps, or the motifs don't fit")
 
+    a, b = (m if temperature == 1 else tempered(np.asarray(m), temperature) for m in (a, b))
+
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
@@ -58,7 +63,9 @@ def matched_pairs(spark: SparkSession, a: np.ndarray, b: np.ndarray, pairs: int,
                 oa, ob = (("+", "-")[int(rng.integers(2))] if reverse else "+" for _ in range(2))
                 ia, ib = (m if o == "+" else m[::-1].translate(_TURN) for m, o in ((ma, oa), (mb, ob)))
                 pick = {1: int(rng.choice(good)), 0: int(rng.choice(bad))}
-                start = int(rng.integers(0, length - len(ia) - len(ib) - max(pick.values()) + 1))
+                last = length - len(ia) - len(ib) - max(pick.values())
+                least, most = (0, last) if anchors is None else (min(anchors[0], last), min(anchors[1], last))
+                start = int(rng.integers(least, most + 1))
                 for label, gap in pick.items():
                     at = start + len(ia) + gap
                     seq = base[:start] + ia + base[start + len(ia) : at] + ib + base[at + len(ib) :]

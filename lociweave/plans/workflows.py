@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,19 +25,42 @@ class Contract:
     fdr: float = 0.05
     bins: int = 20
     permutations: int = 100
+    final_permutations: int = 1000
     draws: int = 2000
     least_partial_r2: float = 0.005
     most_p: float = 0.05
     passing_factors: int = 4
     universe: str = "ght-only"
-
-    def validate(self) -> None:
+    calls_version: str = "codebook-v2"
+    calls_format: str = "magix"
+    positive_calls: bool = True
+    pipeline: str = "Toronto_GPZN"
+    replicates: int = 2
+    confirm_direction: bool = True
+
+    def validate(self, primary: bool = False) -> None:
+        """The rules of every analysis, and with primary those of the primary one, whose sources are fixed."""
         loci.validate_width(self.width)
         loci.validate_width(self.context)
-        if self.universe not in loci.UNIVERSES:
-            raise ValueError(f"no such universe: {self.universe}")
-        if self.folds < 3 or not 0 < self.fdr <= 1 or self.bins < 2 or self.permutations < 1 or self.draws < 1 or not 0 < self.most_p < 1:
-            raise ValueError("a contract value is out of its range")
+        rules = [
+            (self.universe in loci.UNIVERSES, f"no such universe: {self.universe}"), (self.context >= self.width, "the context must hold the locus"), (self.folds >= 3, "there must be three folds at least"),
+            (0 <= self.fdr <= 1, "the false discovery rate lies between 0 and 1"), (self.bins >= 2, "there must be two bins at least"), (self.permutations >= 1, "there must be a permutation at least"),
+            (self.final_permutations >= self.permutations, "the final null has no fewer permutations than screening"), (self.draws >= 1, "there must be a draw at least"), (0 < self.most_p < 1, "a p value lies between 0 and 1"),
+        ]
+        if primary:
+            rules += [
+                (not loci.UNIVERSES.get(self.universe, ("", "", True, True))[2], "the primary universe is selected without the outcome"), (self.universe == "ght-only", "the primary universe is ght-only"),
+                (self.calls_version == "codebook-v2", "the primary calls are of the corrected release"), (self.calls_format == "magix", "the primary calls have the magix format"), (self.positive_calls, "primary calls are positive"),
+                (self.pipeline == "Toronto_GPZN", "primary outcomes come from one pipeline"), (self.replicates == 2, "the primary outcome has two replicates"), (self.confirm_direction, "both replicates must confirm the direction"),
+            ]
+        for ok, message in rules:
+            if not ok:
+                raise ValueError(message)
+
+    def text(self) -> str:
+        """As JSON, if it is valid."""
+        self.validate()
+        return audit.json_text(asdict(self))
 
 
 def build_loci(spark: SparkSession, focal_tf: str, ght: str, chip: str | None, out: str, contract: Contract = Contract(), sizes: str | None = None) -> dict:
@@ -75,20 +98,11 @@ def feature_table(table: DataFrame, genome: DataFrame, focal: np.ndarray, partne
 
 
 def screening(features: DataFrame, baseline: list[str], added: str, outcome: str, contract: Contract = Contract(), seed: int = 0) -> dict:
-    """Partial R2 of an added column over chromosome folds, its bootstrap interval, the shift null and the gate."""
-    rows = features.withColumn("fold", loci.chromosome_fold(F.col("chrom"), contract.folds)).select("locus_id", "chrom", "start", "fold", *baseline, added, outcome)
-    predicted, summary = models.nested_continuous(rows, "fold", baseline, [added], outcome)
-    interval = models.block_bootstrap(predicted, "chrom", outcome, contract.draws, seed)
-    sizes = {(r.chrom,): r.n for r in rows.groupBy("chrom").agg(F.count("*").alias("n")).orderBy(loci.chrom_number(F.col("chrom"))).collect()}
-    null = []
-    for k in range(contract.permutations):
-        drawn = models.draw_shifts(sizes, models.stable_seed(seed, "shift", k))
-        shifts = features.sparkSession.createDataFrame([(c[0], n) for c, n in drawn.items()], "chrom string, shift int")
-        moved = models.shift_within(rows, ["chrom"], ["start", "locus_id"], [added], shifts)
-        null.append(models.nested_continuous(moved, "fold", baseline, [added], outcome)[1]["partial_r2"])
-    p = models.permutation_p(null, summary["partial_r2"])
-    passed = audit.primary_gate(summary["partial_r2"], p, summary["median_added_coefficients"], contract.least_partial_r2, contract.most_p)
-    return summary | {"bootstrap": interval, "p": p, "null": null, "passed": passed}
+    """Partial R2 of an added column over chromosome folds, its bootstrap interval, the shift null, all permutations in one job, and the gate."""
+    from lociweave.plans import flows
+
+    out = flows.screen(features, baseline, added, outcome, (), contract, seed)
+    return out | {"null": out["permutation"]["null"]}
 
 
 def presence_benchmark(spark: SparkSession, a: np.ndarray, b: np.ndarray, pairs: int, seed: int = 0) -> dict:
