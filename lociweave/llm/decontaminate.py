@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import add_columns, alnum_words, bounded_batches, materialise, text_bytes
+from lociweave.llm.common import add_columns, alnum_words, bounded_batches, materialise, text_bytes, unused
 
 WINDOW = 10
 #: Characters of windows in one automaton.
@@ -87,7 +87,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and hit_spans, character ranges [start, end)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    added = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:long,end:long>>, __words array<struct<start:long,end:long>>, __items array<string>"
+    own_words, own_items = unused(docs, "words", "items")
+    added = f"n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<start:long,end:long>>, {own_words} array<struct<start:long,end:long>>, {own_items} array<string>"
     out, pieces = docs, _pieces(benchmark, window, most_chars)
     first = next(pieces)
     more = next(pieces, None)
@@ -97,8 +98,8 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
         def scan(batch: pa.RecordBatch, shared=shared, key=key, again=k > 0) -> dict:
             automaton = _automaton(shared, key)
-            cols = {x: [] for x in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", "__words", "__items")}
-            before = zip(batch.column("__words").to_pylist(), batch.column("__items").to_pylist()) if again else ((None, None) for _ in range(batch.num_rows))
+            cols = {x: [] for x in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans", own_words, own_items)}
+            before = zip(batch.column(own_words).to_pylist(), batch.column(own_items).to_pylist()) if again else ((None, None) for _ in range(batch.num_rows))
             for raw, (ranges, items) in zip(text_bytes(batch, "text"), before):
                 words = alnum_words(raw)
                 ranges = [(x["start"], x["end"]) for x in ranges or ()]
@@ -117,7 +118,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                     ("n_words", len(words)), ("n_hit", sum(b - a for a, b in ranges)), ("n_items", len(names)),
                     ("items_sha256", hashlib.sha256(",".join(names).encode()).hexdigest()), ("contaminated", bool(ranges)),
                     ("hit_spans", [{"start": a, "end": b} for a, b in _spans(raw.decode(), ranges)] if ranges else []),
-                    ("__words", [{"start": a, "end": b} for a, b in ranges]), ("__items", names),
+                    (own_words, [{"start": a, "end": b} for a, b in ranges]), (own_items, names),
                 ):
                     cols[name].append(value)
             return cols
@@ -126,4 +127,4 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         if more is not None:
             out = materialise(out)
         first, more, k = more, next(pieces, None) if more is not None else None, k + 1
-    return out.drop("__words", "__items")
+    return out.drop(own_words, own_items)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import add_columns, bounded_batches, map_batches, materialise, space_words, text_bytes
+from lociweave.llm.common import add_columns, bounded_batches, map_batches, materialise, space_words, text_bytes, unused
 
 MIN_WORDS = 50
 MIN_DOCS = 10
@@ -111,19 +111,20 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOC
 def strip_frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, depleted: float = DEPLETED) -> DataFrame:
     """docs without the lines above their host's limits and without depleted documents; failed base rules are not judged."""
     bounded_batches(docs.sparkSession)
-    rows = materialise(docs.withColumn("__rid", F.monotonically_increasing_id()))
+    rid, gone_, lost_, words_ = unused(docs, "rid", "h", "lost", "n")
+    rows = materialise(docs.withColumn(rid, F.monotonically_increasing_id()))
     measured = materialise(map_batches(
-        rows.select(F.col("__rid").alias("rid"), "doc_id", F.col(host).cast("string").alias("host"), "text"), _measure,
+        rows.select(F.col(rid).alias("rid"), "doc_id", F.col(host).cast("string").alias("host"), "text"), _measure,
         f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, {_STATS}, h array<long>, w array<long>"))
-    lost = _removed(measured, min_docs, share).groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("h").alias("__h"), F.sum("w").alias("__lost"))
-    sizes = measured.select(F.col("rid").alias("__rid"), F.col("n_words").alias("__n"))
-    joined = rows.join(lost, "__rid", "left").join(sizes, "__rid").filter(F.coalesce("__lost", F.lit(0)) <= depleted * F.col("__n"))
+    lost = _removed(measured, min_docs, share).groupBy(F.col("rid").alias(rid)).agg(F.collect_list("h").alias(gone_), F.sum("w").alias(lost_))
+    sizes = measured.select(F.col("rid").alias(rid), F.col("n_words").alias(words_))
+    joined = rows.join(lost, rid, "left").join(sizes, rid).filter(F.coalesce(lost_, F.lit(0)) <= depleted * F.col(words_))
 
     def cut(batch: pa.RecordBatch) -> dict:
         out = []
-        for is_null, text, gone in zip(batch.column("text").is_null().to_pylist(), text_bytes(batch, "text"), batch.column("__h").to_pylist()):
+        for is_null, text, gone in zip(batch.column("text").is_null().to_pylist(), text_bytes(batch, "text"), batch.column(gone_).to_pylist()):
             gone = set(gone or ())
             out.append(None if is_null else b"\n".join(x for x in text.split(b"\n") if not gone or line_hash(x) not in gone).decode())
         return {"text": out}
 
-    return add_columns(joined, ["text"], cut, "text string", drop=("__rid", "__h", "__lost", "__n")).select(*docs.columns)
+    return add_columns(joined, ["text"], cut, "text string", drop=(rid, gone_, lost_, words_)).select(*docs.columns)
