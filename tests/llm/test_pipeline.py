@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tests.llm.test_text_operators import WORDS
 
 
@@ -66,3 +68,24 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/none/{t}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_stages_with_clashing_columns_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    make(tmp_path, spark)
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = plain.unionByName(plain.filter("doc_id in (3, 9, 500)"))
+    for c in ("score", "Predicted", "n_words", "contaminated", "kept", "n_shingles", "__id", "component_id", "n_dropped", "kept_0"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    columns, schema = docs.columns, docs.schema
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == columns and [f.dataType for f in docs.schema] == [f.dataType for f in schema]
+        for r in docs.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in columns[5:])
+        ids = [r.doc_id for r in docs.collect()]
+        assert ids.count(3) == 2 and ids.count(500) == 2
+    assert 9 not in ids
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(p.doc_id == 500 for p in pieces) == 2
