@@ -41,7 +41,7 @@ BITS = 7
 ROWS = 4
 #: Shingles of a group's members that one task indexes, 16 bytes each, and of those that it looks up: the least, and the most when a group would have several
 #: blocks for every shuffle partition.
-BLOCK, MOST_BLOCK = 1 << 14, 1 << 20
+BLOCK, MOST_BLOCK = 1 << 15, 1 << 20
 #: Shingles beside a group's component from which on a finer sketch comes first, and how often.
 FINER, LEVELS = 1 << 22, 2
 #: Rows of two or three numbers that may be broadcast, and links that one task may hold.
@@ -269,18 +269,21 @@ def _meet(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], left:
 def _met(roles: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between the members of a group that stand beside it and all of its members, of rows (g, id, n, component, inside).
 
-    All members are dealt over `rows` blocks, those beside over `cols` blocks as well, and each two blocks meet in one task. A group whose few others stand
-    beside a large component copies only these.
+    Those inside are dealt over `rows` blocks, those beside over `cols` blocks; each block inside meets each beside in one task, and each two blocks beside in another. A
+    group whose few others stand beside a large component copies only these.
     """
     many = 4 * int(roles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.col("all") / many))
-    blocks = roles.groupBy("g").agg(F.sum("n").alias("all"), F.sum(F.when(~F.col("inside"), F.col("n"))).alias("beside"))
-    blocks = materialise(blocks.select("g", *(F.ceil((F.col(x) + 1) / block).cast("int").alias(y) for x, y in (("all", "rows"), ("beside", "cols")))))
-    row, col = F.pmod(F.xxhash64("id"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("cols")).cast("int")
-    dealt = roles.join(_bounded(blocks), "g").withColumn("own", F.struct(row.alias("i"), col.alias("j")))
-    cross = F.expr("array_distinct(concat(transform(sequence(0, cols - 1), x -> struct(own.i as i, x as j)), if(inside, array(), transform(sequence(0, rows - 1), x -> struct(x as i, own.j as j)))))")
-    dealt = dealt.select("g", F.explode(cross).alias("to"), F.col("own.i").alias("i"), F.col("own.j").alias("j"), "id", "component", "inside")
-    dealt = dealt.select("g", "to", (F.col("to.i") == F.col("i")).alias("left"), (~F.col("inside") & (F.col("to.j") == F.col("j"))).alias("right"), "id", "component")
+    inner, outer = F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n")))
+    blocks = roles.groupBy("g").agg(inner.alias("rows"), outer.alias("cols"))
+    block = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), (F.col("rows") + F.col("cols")) / many))
+    blocks = materialise(blocks.select("g", *(F.ceil((F.col(x) + 1) / block).cast("int").alias(x) for x in ("rows", "cols"))))
+    dealt = roles.join(_bounded(blocks), "g").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("rows")).otherwise(F.col("cols"))).cast("int"))
+    to = F.expr("""if(inside, transform(sequence(0, cols - 1), x -> struct(true as across, own as i, x as j)),
+        concat(transform(sequence(0, rows - 1), x -> struct(true as across, x as i, own as j)), transform(sequence(0, cols - 1), x -> struct(false as across, least(x, own) as i, greatest(x, own) as j))))""")
+    dealt = dealt.select("g", F.explode(to).alias("to"), "own", "id", "component", "inside")
+    left = F.when(F.col("to.across"), F.col("inside")).otherwise(F.col("to.i") == F.col("own"))
+    right = F.when(F.col("to.across"), ~F.col("inside")).otherwise(F.col("to.j") == F.col("own"))
+    dealt = dealt.select("g", "to", left.alias("left"), right.alias("right"), "id", "component")
 
     def run(batches):
         key, block, links = None, [], []
@@ -293,16 +296,17 @@ def _met(roles: DataFrame, sets: DataFrame) -> DataFrame:
                     links.extend(_meet(ids, component, [np.frombuffer(r[4], np.uint64) for r in block], left, right))
 
         for batch in batches:
-            for g, i, j, *row in zip(*(batch.column(x).to_pylist() for x in ("g", "i", "j", "id", "component", "left", "right", "own"))):
-                if (g, i, j) != key:
+            for *at, row in zip(*(batch.column(x).to_pylist() for x in ("g", "across", "i", "j")), zip(*(batch.column(x).to_pylist() for x in ("id", "component", "left", "right", "own")))):
+                if at != key:
                     settle()
-                    key, block = (g, i, j), []
+                    key, block = at, []
                 block.append(row)
         settle()
         yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    rows = dealt.join(sets, "id").select("g", "to.i", "to.j", "id", "component", "left", "right", "own")
-    return rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+    at = ("g", "across", "i", "j")
+    rows = dealt.join(sets, "id").select("g", "to.across", "to.i", "to.j", "id", "component", "left", "right", "own")
+    return rows.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, "a long, b long")
 
 
 def _finer(roles: DataFrame, sets: DataFrame, level: int) -> DataFrame:

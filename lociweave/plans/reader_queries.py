@@ -289,3 +289,71 @@ def q98_count_columns(spark, sf_dir):
     frame = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("gene"), *[F.col("c_nationkey").alias(n) for n in names[1:]])
     found = panel.count_columns(frame)
     return frame.select(F.col("gene").alias("row"), F.lit(",".join(sorted(found))).alias("columns"))
+
+
+def _book(spark: SparkSession, head: list[str], rows: list[list]) -> DataFrame:
+    """Rows of a workbook's table below its header, read back."""
+    book = writers.workbook_bytes({"S": [["title"], head, *rows]})
+    return binary.header_table(binary.xlsx_rows(spark, _one(spark, book, "t.xlsx"), "S"), 2, head)
+
+
+@query("""SELECT 'E' || s_nationkey AS experiment, string_agg(s_suppkey || ':R' || s_suppkey, ',' ORDER BY s_suppkey) AS runs FROM supplier GROUP BY s_nationkey""")
+def q123_run_inventory(spark, sf_dir):
+    rows = [[f"E{r.s_nationkey}", r.s_suppkey, f"R{r.s_suppkey}"] for r in table(spark, sf_dir, "supplier").collect() for _ in range(2)]
+    out = supplements.run_inventory(_book(spark, ["experiment", "cycle", "run"], rows))
+    return out.select("experiment", F.array_join(F.transform("runs", lambda x: F.concat(x["cycle"].cast("string"), F.lit(":"), x["run"])), ",").alias("runs"))
+
+
+_EXPERIMENTS = "SELECT 'X' || n_nationkey || CASE n_nationkey % 3 WHEN 0 THEN '_b' WHEN 1 THEN '_12' ELSE '' END AS experiment, 'TF' || n_regionkey AS tf, 'B' || n_regionkey || CASE WHEN n_nationkey % 3 = 0 THEN 'B' ELSE '' END AS batch, n_nationkey % 4 = 1 AS approved FROM nation WHERE n_nationkey % 2 = 1"
+
+
+def _experiments(spark, sf_dir):
+    suffix = ("_b", "_12", "")
+    flag = ("NO", "yes", None, "")
+    rows = [[f"X{r.n_nationkey}{suffix[r.n_nationkey % 3]}", f"tf{r.n_regionkey}-dbd", f"B{r.n_regionkey}", "GHT" if r.n_nationkey % 2 else "ChIP", flag[r.n_nationkey % 4]] for r in table(spark, sf_dir, "nation").collect()]
+    return supplements.experiments(_book(spark, ["experiment", "tf", "batch", "assay", "approved"], rows), "ght")
+
+
+@query(_EXPERIMENTS)
+def q124_experiments(spark, sf_dir):
+    return _experiments(spark, sf_dir)
+
+
+@query(f"""WITH e AS ({_EXPERIMENTS}) SELECT tf, 'R' || experiment AS run, experiment, 2::INTEGER AS cycle, tf || '_MAGIX.bed' AS peak_file FROM e WHERE tf IN ('TF1', 'TF3') AND approved""")
+def q125_selected_runs(spark, sf_dir):
+    e = _experiments(spark, sf_dir)
+    records = e.filter("approved").select(F.lower("tf").alias("tf"), F.concat(F.lit("R"), "experiment").alias("run"), "experiment", F.lit("2").alias("cycle"), F.concat("tf", F.lit("_MAGIX.bed")).alias("peak_file"))
+    return supplements.agree(supplements.selected_runs(records.unionByName(records.withColumn("peak_file", F.lit("other.bed"))), ["TF1", "TF3"]), e)
+
+
+@query("SELECT s_name AS filename, md5(s_suppkey::VARCHAR) AS md5 FROM supplier WHERE s_suppkey % 5 <> 0")
+def q126_expected_hashes(spark, sf_dir):
+    import hashlib
+
+    rows = [[r.s_name, hashlib.md5(str(r.s_suppkey).encode()).hexdigest().upper() if r.s_suppkey % 5 else None] for r in table(spark, sf_dir, "supplier").collect()]
+    book = writers.workbook_bytes({"S": [*([f"note {k}"] for k in range(8)), *rows]})
+    return supplements.expected_hashes(binary.xlsx_rows(spark, _one(spark, book, "m.xlsx"), "S"), 8)
+
+
+@query("""WITH r AS (SELECT 'TF' || (s_suppkey % 40) AS tf, 'F' || s_nationkey AS family, upper(replace(s_name, '#', '')) AS protein_sequence, s_suppkey FROM supplier) SELECT tf, family, protein_sequence FROM r QUALIFY row_number() OVER (PARTITION BY tf ORDER BY s_suppkey) = 1""")
+def q127_constructs(spark, sf_dir):
+    rows = [[f"tf{r.s_suppkey % 40}", f"F{r.s_nationkey}", r.s_name.replace("#", "")] for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect()]
+    return supplements.constructs(_book(spark, ["TF_name", "DBD", "Sequence"], rows))
+
+
+@query("""SELECT 'TF' || (s_suppkey % 10) AS bait, 'TF' || s_nationkey AS prey, arg_max(s_suppkey, s_suppkey)::VARCHAR AS value FROM supplier GROUP BY 1, 2""")
+def q128_interaction_table(spark, sf_dir):
+    rows = [[f"tf{r.s_suppkey % 10}", f"tf{r.s_nationkey}", r.s_suppkey] for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect()]
+    return supplements.interaction_table(_book(spark, ["TF1", "TF2", "signal"], rows), "row_no")
+
+
+@query("""SELECT DISTINCT s_name AS gene FROM supplier WHERE s_suppkey % 3 = 1""")
+def q129_target_genes(spark, sf_dir):
+    rows = [[("ST", "EVT", "x")[r.s_suppkey % 3], f" {r.s_name} "] for r in table(spark, sf_dir, "supplier").collect() for _ in range(2)]
+    return supplements.target_genes(_book(spark, ["Cell_state", "Target"], rows), "evt")
+
+
+@query("""SELECT s_name AS gene, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey::DOUBLE END AS "WT_1", s_nationkey::DOUBLE AS "KO_1" FROM supplier""")
+def q130_count_table(spark, sf_dir):
+    rows = [[r.s_name, "na" if r.s_suppkey % 4 == 0 else r.s_suppkey, r.s_nationkey] for r in table(spark, sf_dir, "supplier").collect()]
+    return supplements.count_table(_book(spark, ["GeneID", "WT_1", "KO_1"], rows))

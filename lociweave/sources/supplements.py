@@ -117,3 +117,130 @@ def rebuild_audit(runs: DataFrame, experiments: DataFrame, files: DataFrame, foc
     if missing:
         raise ValueError(f"no runs of {', '.join(missing)}")
     return rows.groupBy("scope").agg(F.count("*").alias("runs"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes")).withColumn("gib", F.round(F.col("bytes") / (1 << 30), 3))
+
+
+# --- run inventories, experiments and tables of constructs, interactions, counts and targets
+
+
+def _only(rows: DataFrame, keys: list[str], values: list[str], message: str) -> DataFrame:
+    """The distinct rows, an error where equal keys have different values."""
+    found = rows.select(*keys, *values).distinct()
+    clash = found.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.min(v).alias(v) for v in values])
+    first = values[0]
+    kind = clash.schema[first].dataType.simpleString()
+    wrong = F.raise_error(F.concat(F.lit(f"{message}: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in keys]))).cast(kind)
+    return clash.withColumn(first, F.when(F.col("__n") == 1, F.col(first)).otherwise(wrong)).select(*keys, *values)
+
+
+def repeated_header(rows: DataFrame, header_row: int) -> dict[str, list[int]]:
+    """The places of each column name in a header row, as names may be repeated."""
+    out: dict[str, list[int]] = {}
+    for i, c in enumerate(rows.filter(F.col("row_no") == header_row).first().cells):
+        if c is not None and str(c).strip():
+            out.setdefault(str(c).strip(), []).append(i)
+    return out
+
+
+def expected_hashes(rows: DataFrame, skip: int, name: int = 0, digest: int = 1) -> DataFrame:
+    """(filename, md5) of the rows behind so many; rows without either are left out, a file of two hashes is an error."""
+    found = rows.filter(F.col("row_no") > skip).select(_cell(name).alias("filename"), F.lower(_cell(digest)).alias("md5")).dropna()
+    return _only(found, ["filename"], ["md5"], "a file has two hashes")
+
+
+def run_inventory(records: DataFrame) -> DataFrame:
+    """(experiment, runs): the runs of each experiment in the order of cycles, of rows (experiment, cycle, run); a cycle of two runs is an error."""
+    own = _only(records, ["experiment", "cycle"], ["run"], "a cycle has two runs")
+    return own.groupBy("experiment").agg(F.array_sort(F.collect_list(F.struct(F.col("cycle").cast("int").alias("cycle"), "run"))).alias("runs"))
+
+
+def batch_key(batch: Column, experiment: Column) -> Column:
+    """The batch, and behind it the letter that ends an experiment's last part of one letter."""
+    last = F.substring_index(experiment, "_", -1)
+    return F.concat(F.trim(batch.cast("string")), F.when(last.rlike("^[A-Za-z]$") & (F.instr(experiment, "_") > 0), F.upper(last)).otherwise(""))
+
+
+def optional_flag(x: Column) -> Column:
+    """YES or NO in any case as a boolean, nothing as null; anything else is an error."""
+    v = F.upper(F.trim(x))
+    return F.when(v.isNull() | (v == ""), F.lit(None).cast("boolean")).when(v.isin("YES", "NO"), v == "YES").otherwise(F.raise_error(F.concat(F.lit("not YES or NO: "), v)).cast("boolean"))
+
+
+def experiments(records: DataFrame, assay: str) -> DataFrame:
+    """(experiment, tf, batch, approved) of one assay, of rows (experiment, tf, batch, assay, approved); an experiment with two entries is an error."""
+    own = records.filter(F.lower(F.trim("assay")) == assay.lower())
+    own = own.select("experiment", normalize_symbol(F.col("tf")).alias("tf"), batch_key(F.col("batch"), F.col("experiment")).alias("batch"), F.coalesce(optional_flag(F.col("approved")), F.lit(False)).alias("approved"))
+    n = own.groupBy("experiment").agg(F.count("*").alias("__n"))
+    checked = F.when(F.col("__n") == 1, F.col("approved")).otherwise(F.raise_error(F.concat(F.lit("two entries of experiment "), "experiment")).cast("boolean"))
+    return own.join(n, "experiment").withColumn("approved", checked).drop("__n")
+
+
+def selected_runs(records: DataFrame, focal: list[str], pattern: str = r"(?i)magix") -> DataFrame:
+    """(tf, run, experiment, cycle, peak_file) of the focal factors whose file name a pattern matches, in order; a factor without any is an error."""
+    own = records.filter(F.col("peak_file").rlike(pattern)).withColumn("tf", normalize_symbol(F.col("tf"))).filter(F.col("tf").isin(*focal))
+    missing = sorted(set(focal) - {r.tf for r in own.select("tf").distinct().collect()})
+    if missing:
+        raise ValueError(f"no selected runs of {', '.join(missing)}")
+    return own.select("tf", "run", "experiment", F.col("cycle").cast("int").alias("cycle"), "peak_file").orderBy("tf", "experiment", "cycle", "run")
+
+
+def agree(runs: DataFrame, experiments_: DataFrame) -> DataFrame:
+    """The runs; one whose experiment is unknown, of another factor or not approved is an error."""
+    both = runs.join(experiments_.select("experiment", F.col("tf").alias("__tf"), "approved"), "experiment", "left")
+    ok = F.coalesce((F.col("__tf") == F.col("tf")) & F.col("approved"), F.lit(False))
+    return both.withColumn("run", F.when(ok, F.col("run")).otherwise(F.raise_error(F.concat(F.lit("a run disagrees with its experiment: "), "run")).cast("string"))).drop("__tf", "approved").select(*runs.columns)
+
+
+def constructs(table: DataFrame) -> DataFrame:
+    """(tf, family, protein_sequence), the first row of each factor; columns are found by their synonyms, family and sequence may be absent."""
+    from lociweave.operators.loci import first_per_group
+    from lociweave.sources.text import resolve_column
+
+    def pick(names: list[str], default: str | None) -> Column:
+        try:
+            return F.col(f"`{resolve_column(table, names)}`")
+        except ValueError:
+            if default is None:
+                raise
+            return F.lit(default)
+
+    order = "row_no" if "row_no" in table.columns else None
+    rows = table.select(
+        normalize_symbol(pick(["tf", "symbol", "gene", "protein", "tf_name", "hgnc symbol"], None)).alias("tf"), F.coalesce(F.trim(pick(["family", "tf_family", "dbd", "class"], "unknown")), F.lit("unknown")).alias("family"),
+        F.coalesce(F.upper(F.trim(pick(["protein_sequence", "sequence", "aa_sequence", "construct_sequence"], ""))), F.lit("")).alias("protein_sequence"), *([F.col(order)] if order else []),
+    )
+    keys = [F.asc(order)] if order else [F.asc("family"), F.asc("protein_sequence")]
+    return first_per_group(rows.filter("tf is not null and tf <> ''"), ["tf"], keys).select("tf", "family", "protein_sequence")
+
+
+def interaction_table(table: DataFrame, order: str) -> DataFrame:
+    """(bait, prey, value) of a long table with columns found by their synonyms, of repeated pairs the last by the order column; or of a wide matrix, its first column the bait."""
+    from lociweave.operators.loci import first_per_group
+    from lociweave.operators.pairs import unpivot_matrix
+    from lociweave.sources.text import resolve_column
+
+    try:
+        bait, prey, value = (resolve_column(table, names) for names in (["bait", "tf1", "source", "tf_1"], ["prey", "tf2", "target", "tf_2"], ["value", "cooperative_signal", "signal", "interaction", "positive"]))
+    except ValueError:
+        first = next(c for c in table.columns if c != order)
+        wide = table.drop(order).withColumnRenamed(first, "bait")
+        long = unpivot_matrix(wide.select("bait", *[F.col(f"`{c}`").cast("string").alias(c) for c in wide.columns if c != "bait"]), "bait")
+        return long.select(normalize_symbol(F.col("bait")).alias("bait"), normalize_symbol(F.col("prey")).alias("prey"), "value")
+    rows = table.select(normalize_symbol(F.col(f"`{bait}`")).alias("bait"), normalize_symbol(F.col(f"`{prey}`")).alias("prey"), F.col(f"`{value}`").cast("string").alias("value"), order)
+    return first_per_group(rows, ["bait", "prey"], [F.desc(order)]).select("bait", "prey", "value")
+
+
+def target_genes(table: DataFrame, state: str) -> DataFrame:
+    """The distinct genes of one state."""
+    from lociweave.sources.text import resolve_column
+
+    own = table.filter(F.lower(F.trim(F.col(f"`{resolve_column(table, ['state', 'cell_state', 'cell type'])}`"))) == state.lower())
+    return own.select(F.trim(F.col(f"`{resolve_column(table, ['gene', 'target', 'symbol', 'gene_name'])}`")).alias("gene")).filter("gene is not null and gene <> ''").distinct()
+
+
+def count_table(table: DataFrame) -> DataFrame:
+    """Counts with the gene's column, found by its synonyms, named gene; other columns as numbers where they are."""
+    from lociweave.sources.text import resolve_column
+
+    name = resolve_column(table, ["gene", "gene_id", "symbol", "gene_name", "geneid"])
+    rest = [c for c in table.columns if c not in (name, "row_no")]
+    return table.select(F.trim(F.col(f"`{name}`")).alias("gene"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in rest])
