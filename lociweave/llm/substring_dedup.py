@@ -104,11 +104,12 @@ def repeats(docs: DataFrame, key: str, part: str, window: int = WINDOW, seed: in
             words = space_words(text)
             if len(words) >= window:
                 _, place, a, e = extended_seeds(word_hashes(words), window, seed)
-                for name, values in (("id", np.full(len(place), doc, np.int64)), ("a", a.view(np.int64)), ("e", e.view(np.int64))):
+                for name, values in (("id", doc), ("a", a.view(np.int64)), ("e", e.view(np.int64))):
                     out[name].append(values)
-        return {name: join(parts) for name, parts in out.items()}
+        return out
 
-    found = materialise(map_batches(texts, seeds, "id long, a long, e long"))
+    # a row for each document, as a row for each seed takes more than twice the room
+    found = materialise(map_batches(texts, seeds, "id long, a array<long>, e array<long>")).select("id", F.inline(F.arrays_zip("a", "e")))
     heads = found.groupBy("a", "e").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     # an anchor is open if it has different extensions, first held by different documents
     # (materialised, so that the join has two plain shuffles and adaptive execution can split a hot anchor's rows)
