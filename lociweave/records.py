@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, fields
 
 import numpy as np
@@ -138,6 +138,14 @@ class Monomer:
     matrix: Matrix
 
 
+def monomers_by_id(monomers: Iterable[Monomer]) -> dict[str, Monomer]:
+    """Monomers by their source's id, of which each may have one."""
+    monomers = tuple(monomers)
+    found = {m.source_id: m for m in monomers}
+    _need(len(found) == len(monomers), "ids of monomers must be unique")
+    return found
+
+
 @dataclass(frozen=True)
 class Interaction(FromMapping):
     raw_bait: str

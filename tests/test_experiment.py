@@ -85,3 +85,12 @@ def test_chart_without_values():
 
     text = bar_chart(pd.DataFrame({"g": ["a", "b"], "s": ["x<", "x<"], "v": [0.5, float("nan")], "d": [0.1, 0.0]}), "g", "s", "v", "d", "t & u")
     assert "x&lt;" in text and "t &amp; u" in text and text.count("<title>") == 1
+
+
+def test_monomers_by_id():
+    m = records.Matrix("m", np.ones((3, 4)))
+    x, y = records.Monomer("x", "A", m), records.Monomer("y", "A", m)
+    assert records.monomers_by_id([x, y]) == {"x": x, "y": y}
+    assert records.monomers_by_id([]) == {}
+    with pytest.raises(ValueError):
+        records.monomers_by_id([x, y, records.Monomer("x", "B", m)])
