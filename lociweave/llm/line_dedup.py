@@ -1,8 +1,8 @@
 """Operator 2, line dedup.
 
-Two Bloom filters hold the hashes of lines seen once and seen twice. Every task fills its own pair; the pairs
-are merged by position (a bit set in the once filters of two tasks counts as seen twice), so the merged twice filter has
-no false negatives. Only lines that it suspects are shuffled; a 128-bit hash group then confirms the number of documents
+Two Bloom filters hold the hashes of lines seen once and seen twice. Every task fills its own pair from a bounded number of documents; the pairs
+are merged by position in two steps, first those of tasks alike modulo FAN (a bit set in the once filters of two tasks counts as seen twice), so the merged twice
+filter has no false negatives and no task holds more than a part of the pairs. Only lines that it suspects are shuffled; a 128-bit hash group then confirms the number of documents
 and chooses the keeper. A full filter only means that more lines are shuffled: results never depend on its size. Confirmed keys with their keepers are broadcast
 while they are few, so that no text is shuffled; beyond that each document gets its own by a join.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ MIN_DOCS = 3
 #: The filters have 160 bits a document, between these powers of two: 2 MiB and, as a bound on what is broadcast, 64 MiB.
 LEAST_BITS, MOST_BITS, BITS_A_DOCUMENT = 1 << 24, 1 << 29, 160
 CHUNK = 1 << 17
+#: Documents that a task fills a pair of filters from, where there are more than the cluster's tasks at once get through, and pairs that the last step merges.
+TASK_DOCUMENTS, FAN = 1 << 21, 64
 #: Confirmed keys that are broadcast, some 200 bytes each in a Python worker; beyond that each document's are joined to it.
 MOST_FLAGGED = 100_000
 NULL_ID = -(1 << 63)
@@ -60,11 +63,15 @@ def filter_bits(n_docs: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (n_docs * BITS_A_DOCUMENT).bit_length()))
 
 
-def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> bytes:
-    """The merged filter of keys that occur in two documents at least; bits / 8 bytes."""
-    spark = docs.sparkSession
+def filter_tasks(n_docs: int, at_once: int) -> int:
+    """Tasks that fill filters: twice those that run at once, or more where that would give one too many documents to fill from or to lose."""
+    return max(2 * max(2, at_once), -(-n_docs // TASK_DOCUMENTS))
+
 
+def twice_filter(docs: DataFrame, bits: int, min_chars: int, tasks: int) -> bytes:
+    """The merged filter of keys that occur in two documents at least; bits / 8 bytes."""
     def build(batches):
+        group = TaskContext.get().partitionId() % FAN
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             hashes = []
@@ -76,20 +83,23 @@ def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> bytes:
         for k in range(0, bits // 8, CHUNK):
             a, b = once[k : k + CHUNK], twice[k : k + CHUNK]
             if a.any():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k // CHUNK], pa.int32()), "a": [a.tobytes()], "b": [b.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"g": pa.array([group], pa.int32()), "k": pa.array([k // CHUNK], pa.int32()), "a": [a.tobytes()], "b": [b.tobytes()]})
 
     def merge(table: pa.Table) -> pa.Table:
         once, twice = None, None
         for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
             a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
             once, twice = (a.copy(), b.copy()) if once is None else (once | a, twice | b | (once & a))
-        return pa.table({"k": pa.array([table.column("k")[0].as_py()], pa.int32()), "b": [twice.tobytes()]})
-
-    # as many pairs as the cluster runs tasks at once, twice over: what is merged doesn't grow with the input
-    tasks = 2 * max(2, spark.sparkContext.defaultParallelism)
-    made = docs.select("text").coalesce(tasks).mapInArrow(build, "k int, a binary, b binary")
+        own = {c: table.column(c).slice(0, 1) for c in ("g", "k")}
+        return pa.table(own | {"a": [once.tobytes()], "b": [twice.tobytes()]})
+
+    schema = "g int, k int, a binary, b binary"
+    made = docs.select("text").coalesce(tasks).mapInArrow(build, schema)
+    if tasks > FAN:  # up to FAN pairs the second step alone has no more to merge
+        made = made.groupBy("g", "k").applyInArrow(merge, schema)
+    merged = made.groupBy("k").applyInArrow(merge, schema).select("k", "b")
     bloom = np.zeros(bits // 8, np.uint8)
-    for row in made.groupBy("k").applyInArrow(merge, "k int, b binary").toLocalIterator():
+    for row in merged.toLocalIterator():
         bloom[row.k * CHUNK : (row.k + 1) * CHUNK] = np.frombuffer(row.b, np.uint8)
     return bloom.tobytes()
 
@@ -97,7 +107,9 @@ def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> bytes:
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """(id, h) of the lines that the filter suspects, and (h, keeper) of the keys in so many documents, as 16-byte hashes."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(twice_filter(docs, filter_bits(docs.count()), min_chars))
+    n = docs.count()
+    tasks = filter_tasks(n, spark.sparkContext.defaultParallelism)
+    shared = spark.sparkContext.broadcast(twice_filter(docs, filter_bits(n), min_chars, tasks))
 
     def suspects(batch: pa.RecordBatch) -> dict:
         bloom = np.frombuffer(shared.value, np.uint8)

@@ -63,3 +63,19 @@ def test_strip_frequent_lines_against_brute_force(spark):
         if n - sum(len(x.split()) for x in left) <= 0.5 * n:
             want.append((i, None if text is None else "\n".join(left), host))
     assert sorted(map(str, (tuple(r) for r in strip_frequent_lines(docs).collect()))) == sorted(map(str, want))
+
+
+def test_filters_merged_in_two_steps_miss_no_repeat(spark):
+    """Every key in two documents is in the merged filter, with the pairs of few tasks and of more than the last step merges; other keys hardly are."""
+    import numpy as np
+    import xxhash
+    from lociweave.llm import line_dedup as op
+
+    rows = [(i, f"a line of its own, number {i:05d}\na line that two documents hold {i // 2:05d}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = lambda texts: np.array([xxhash.xxh3_64_intdigest(t.encode()) for t in texts], np.uint64)
+    for tasks in (2, 3 * op.FAN):
+        bloom = np.frombuffer(op.twice_filter(docs.repartition(tasks), op.LEAST_BITS, op.MIN_CHARS, tasks), np.uint8)
+        assert op._test(bloom, keys(f"a line that two documents hold {i:05d}" for i in range(300))).all()
+        assert op._test(bloom, keys(f"a line of its own, number {i:05d}" for i in range(600))).sum() < 6
+    assert op.filter_tasks(1000, 6) == 12 and op.filter_tasks(100 * op.TASK_DOCUMENTS + 1, 6) == 101
