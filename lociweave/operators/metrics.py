@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociweave.operators.scale import running_sums
+from lociweave.operators.scale import quantiles, running_sums
 
 
 def finite(x: Column) -> Column:
@@ -40,8 +40,9 @@ def replicate_qc(df: DataFrame, first: str, second: str) -> DataFrame:
     logs = ok.select("a", "b", F.log1p("a").alias("la"), F.log1p("b").alias("lb"))
     stats = logs.agg(
         F.count("*").alias("n"), F.avg((F.col("a") == 0).cast("double")).alias("zero_first"), F.avg((F.col("b") == 0).cast("double")).alias("zero_second"),
-        F.percentile(F.abs(F.col("la") - F.col("lb")), F.lit(0.5)).alias("median_abs_log1p_difference"),
     )
+    median = quantiles(logs, F.abs(F.col("la") - F.col("lb")), [0.5])["all"][0]
+    stats = stats.withColumn("median_abs_log1p_difference", F.lit(median).cast("double"))
     return stats.crossJoin(spearman(logs, "la", "lb"))
 
 
@@ -126,8 +127,8 @@ def paired(df: DataFrame, label: str, score: str, pair: str) -> DataFrame:
 
 def quantile_summary(df: DataFrame, column: str) -> DataFrame:
     """min, median, p90, p99 and max, exact and linearly interpolated."""
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.0, 0.5, 0.9, 0.99, 1.0)]))
-    return df.agg(q.alias("q")).select(*[F.col("q")[i].alias(n) for i, n in enumerate(("min", "median", "p90", "p99", "max"))])
+    q = quantiles(df, column, [0.0, 0.5, 0.9, 0.99, 1.0])["all"]
+    return df.sparkSession.range(1).select(*[F.lit(x).cast("double").alias(n) for n, x in zip(("min", "median", "p90", "p99", "max"), q)])
 
 
 def continuous(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -139,9 +140,10 @@ def continuous(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def robust_scale(df: DataFrame, column: str) -> DataFrame:
     """center (median) and scale (1.4826 times the median absolute deviation, 1e-6 at least)."""
-    center = df.agg(F.percentile(column, F.lit(0.5)).alias("center"))
-    gap = df.crossJoin(F.broadcast(center)).select("center", F.abs(F.col(column) - F.col("center")).alias("gap"))
-    return gap.groupBy("center").agg(F.greatest(1.4826 * F.percentile("gap", F.lit(0.5)), F.lit(1e-6)).alias("scale"))
+    center = quantiles(df, column, [0.5])["all"][0]
+    gap = quantiles(df, F.abs(F.col(column) - F.lit(center).cast("double")), [0.5])["all"][0]
+    scale = None if gap is None else max(1.4826 * gap, 1e-6)
+    return df.sparkSession.range(1).select(F.lit(center).cast("double").alias("center"), F.lit(scale).cast("double").alias("scale"))
 
 
 def summarise(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociweave.operators.scale import quantiles
+
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 
@@ -17,8 +19,11 @@ ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """The distinct interior edges of equal-frequency bins, exact and interpolated."""
-    q = df.agg(F.percentile(column, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("q")).first().q
-    return sorted(set(q))[1:-1] if q else []
+    return _interior(quantiles(df, column, [k / bins for k in range(bins + 1)])["all"])
+
+
+def _interior(q: list[float | None]) -> list[float]:
+    return sorted(set(q) - {None})[1:-1]
 
 
 def bin_of(column: str, edges: list[float]) -> Column:
@@ -40,12 +45,12 @@ def binned_residuals(df: DataFrame, value: str, monomers: list[str], train: str,
 
 
 def cross_fitted_residuals(df: DataFrame, value: str, monomers: list[str], fold: str, bins: int = 20, out: str = "residual") -> DataFrame:
-    """For every fold the residuals of its rows, learnt from the other folds' rows; two jobs over the data in all."""
+    """For every fold the residuals of its rows, learnt from the other folds' rows; all folds together in every pass."""
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    probabilities = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    aggs = [F.percentile(F.when(F.col(fold) != k, F.col(m)), probabilities).alias(f"q{i}_{j}") for i, k in enumerate(folds) for j, m in enumerate(monomers)]
-    got = df.agg(*aggs, *[F.avg(F.when(F.col(fold) != k, F.col(value))).alias(f"m{i}") for i, k in enumerate(folds)]).first()
-    edges = {(i, j): sorted(set(got[f"q{i}_{j}"] or ()))[1:-1] for i in range(len(folds)) for j in range(len(monomers))}
+    others = {str(i): F.col(fold) != k for i, k in enumerate(folds)}
+    got = df.agg(*[F.avg(F.when(c, F.col(value))).alias(f"m{i}") for i, c in others.items()]).first() if folds else None
+    cuts = [quantiles(df, m, [k / bins for k in range(bins + 1)], others) if folds else {} for m in monomers]
+    edges = {(i, j): _interior(cuts[j][str(i)]) for i in range(len(folds)) for j in range(len(monomers))}
     names = [f"__bin{j}" for j in range(len(monomers))]
     copies = F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(k).alias("__k"), *[bin_of(m, edges[i, j]).alias(names[j]) for j, m in enumerate(monomers)]) for i, k in enumerate(folds)]))
     spread = df.withColumn("__c", copies).select(*df.columns, "__c.*")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,3 +25,37 @@ def running_sums(df: DataFrame, value: str, columns: dict[str, str], descending:
     own = W.partitionBy("__b").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(W.unboundedPreceding, 0)
     out = dealt.join(F.broadcast(starts), "__b")
     return out.select(*df.columns, *[(F.col(f"__s_{r}") + F.sum(c).over(own)).alias(r) for r, c in columns.items()])
+
+
+def _inside(start: Column, end: Column) -> Callable[[Column], Column]:
+    return lambda rank: (rank >= start) & (rank < end)
+
+
+def quantiles(df: DataFrame, column: str | Column, probabilities: list[float], parts: dict[str, Column] | None = None) -> dict[str, list[float | None]]:
+    """Exact quantiles, linearly interpolated, of a number's values that aren't null: {part: quantiles of the rows where its condition holds}.
+
+    Without parts there is one, "all". No task holds more than a bucket of the distinct values; the driver gets two rows at most for each quantile
+    of each part. A part without values has None for each.
+    """
+    parts = parts or {"all": F.lit(True)}
+    names = list(parts)
+    rows = df.select((F.col(column) if isinstance(column, str) else column).cast("double").alias("v"), *[c.alias(f"c{i}") for i, c in enumerate(parts.values())])
+    by = rows.filter(F.col("v").isNotNull()).groupBy("v").agg(*[F.count_if(f"c{i}").alias(f"n{i}") for i in range(len(names))])
+    totals = by.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(names))]).first()
+    at = {i: [p * (totals[f"n{i}"] - 1) for p in probabilities] for i in range(len(names)) if totals[f"n{i}"]}
+    ranks = {i: sorted({r for x in places for r in (math.floor(x), math.ceil(x))}) for i, places in at.items()}
+    if not ranks:
+        return {n: [None] * len(probabilities) for n in names}
+    run = running_sums(by, "v", {f"upto{i}": f"n{i}" for i in ranks})
+    hit = F.lit(False)
+    for i, wanted in ranks.items():
+        upto = F.col(f"upto{i}")
+        hit |= F.exists(F.array(*[F.lit(r).cast("long") for r in wanted]), _inside(upto - F.col(f"n{i}"), upto))
+    found = [r.asDict() for r in run.filter(hit).collect()]
+    value = {(i, k): r["v"] for i, rs in ranks.items() for k in rs for r in found if r[f"upto{i}"] - r[f"n{i}"] <= k < r[f"upto{i}"]}
+
+    def between(i: int, x: float) -> float:
+        low, high = math.floor(x), math.ceil(x)
+        return value[i, low] if low == high else (high - x) * value[i, low] + (x - low) * value[i, high]
+
+    return {n: [between(i, x) for x in at[i]] if i in at else [None] * len(probabilities) for i, n in enumerate(names)}

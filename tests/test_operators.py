@@ -190,3 +190,25 @@ def test_synthetic_pairs(spark):
     assert synth.one_hot("ACGT").tolist() == np.eye(4).tolist()
     with pytest.raises(ValueError):
         synth.one_hot("N")
+
+
+def test_quantiles_are_exact_in_buckets(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from lociweave.operators.metrics import quantile_summary, robust_scale
+    from lociweave.operators.scale import quantiles
+
+    rng = np.random.default_rng(5)
+    values = [float(x) for x in np.round(rng.exponential(10, 3000), 1)] + [None] * 7 + [4.0] * 900
+    rows = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v double, k int").repartition(5)
+    p = [0.0, 0.05, 0.5, 0.93, 1.0]
+    got = quantiles(rows, "v", p, {"all": F.lit(True), "one": F.col("k") == 1, "not two": F.col("k") != 2, "none": F.col("k") == 9})
+    for name, keep in (("all", {0, 1, 2}), ("one", {1}), ("not two", {0, 1})):
+        own = [v for i, v in enumerate(values) if v is not None and i % 3 in keep]
+        assert np.allclose(got[name], np.quantile(own, p), rtol=1e-12)
+    assert got["none"] == [None] * 5
+    own = np.array([v for v in values if v is not None])
+    r = robust_scale(rows, "v").first()
+    assert np.isclose(r.center, np.median(own)) and np.isclose(r.scale, 1.4826 * np.median(np.abs(own - np.median(own))))
+    assert quantile_summary(rows.filter("v is null"), "v").first() == (None,) * 5
+    assert robust_scale(rows.limit(0), "v").first() == (None, None)
