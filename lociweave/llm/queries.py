@@ -76,6 +76,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.tandem_runs import find_runs, repeat_ends, summarise
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return summarise(find_runs(repeat_ends(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit() and callable(fn)
