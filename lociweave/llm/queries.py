@@ -83,6 +83,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise(find_runs(repeat_ends(docs)))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociweave.llm.fingerprints import edit_and_compare
+
+    return edit_and_compare(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit() and callable(fn)
