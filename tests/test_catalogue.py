@@ -16,7 +16,7 @@ def norm(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith("q")))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if n.startswith(("q", "job"))))
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
