@@ -15,13 +15,10 @@ AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
 
 def normalize_symbol(x: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Upper-cased without spaces, species prefix and construct suffix, then the alias of the symbol."""
+    """Upper-cased without spaces, species prefix and construct suffix, then the alias of the symbol: a given one, or else a built-in one."""
     s = F.regexp_replace(F.upper(F.trim(x)), " ", "")
     s = F.regexp_replace(F.regexp_replace(s, SYMBOL_PREFIX, ""), SYMBOL_SUFFIX, "")
-    table = ALIASES if aliases is None else aliases
-    if not table:
-        return s
-    pairs = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
+    pairs = F.create_map(*[F.lit(v) for kv in (ALIASES | (aliases or {})).items() for v in kv])
     return F.coalesce(F.try_element_at(pairs, s), s)
 
 

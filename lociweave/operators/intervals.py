@@ -53,27 +53,55 @@ def interval_mean(loci: DataFrame, signal: DataFrame, column: str, statistic: st
     return out.withColumn(column, F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v))
 
 
-def bedgraph_summary(signal: DataFrame) -> DataFrame:
-    """records, covered_bases and weighted_sum of signal intervals."""
+def bedgraph_summary(signal: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """records, covered_bases and weighted_sum of signal intervals, of all or by keys."""
     width = F.col("s_end") - F.col("s_start")
-    return signal.agg(F.count("*").alias("records"), F.sum(width).alias("covered_bases"), F.sum(width * F.col("value")).alias("weighted_sum"))
+    return signal.groupBy(*(keys or [])).agg(F.count("*").alias("records"), F.sum(width).alias("covered_bases"), F.sum(width * F.col("value")).alias("weighted_sum"))
 
 
-def liftover(loci: DataFrame, blocks: DataFrame) -> DataFrame:
-    """loci with mapped, mapped_chrom, mapped_start and mapped_end by chain blocks (chrom, b_start, b_end, to_chrom, to_start).
+def liftover(loci: DataFrame, blocks: DataFrame, least: float = 0.95, unique: bool = False) -> DataFrame:
+    """loci with mapped, mapped_chrom, mapped_start, mapped_end, mapped_strand and mapped_bases, by the blocks of chains between two assemblies.
 
-    A locus maps if one block holds it whole; of several the one with the least target is taken.
+    blocks: (chrom, b_start, b_end, to_chrom, to_start), both on the forward strand, with strand (forward if there is none), and with chain_id and score, which
+    the blocks of a chain have in common; without chain_id each block is a chain. A chain maps a locus if its blocks hold at least this share of the bases; the
+    target spans all of these, with the gaps between them. Of several chains that map a locus the one with the highest score counts, then the least chain_id; with
+    unique such a locus stays unmapped, as does one that no chain maps.
     """
-    found = overlap_join(loci.select("locus_id", "chrom", "start", "end"), blocks, ["chrom"], ("start", "end"), ("b_start", "b_end"))
-    whole = found.filter("b_start <= start and end <= b_end")
-    best = whole.groupBy("locus_id").agg(F.min(F.struct("to_chrom", (F.col("to_start") + F.col("start") - F.col("b_start")).alias("at"), (F.col("end") - F.col("start")).alias("w"))).alias("m"))
-    out = loci.join(best, "locus_id", "left")
+    have = {c.lower() for c in blocks.columns}
+    whole = F.struct("chrom", "b_start", "b_end", "to_chrom", "to_start")
+    own = blocks.select(
+        "chrom", "b_start", "b_end", "to_chrom", F.col("to_start").alias("__t"), (F.col("strand") if "strand" in have else F.lit("+")).alias("__strand"),
+        (F.col("chain_id") if "chain_id" in have else whole).alias("__chain"), (F.col("score") if "score" in have else F.lit(0)).cast("double").alias("__score"),
+    )
+    found = overlap_join(loci.select("locus_id", "chrom", "start", "end"), own, ["chrom"], ("start", "end"), ("b_start", "b_end"))
+    a, b = F.greatest("start", "b_start"), F.least("end", "b_end")
+    at = F.col("__t") + F.when(F.col("__strand") == "-", F.col("b_end") - b).otherwise(a - F.col("b_start"))
+    chains = found.select("locus_id", "chrom", "start", "end", "to_chrom", "__strand", "__chain", "__score", at.alias("__from"), (b - a).alias("__n"))
+    chains = chains.groupBy("locus_id", "chrom", "start", "end", "__chain", "to_chrom", "__strand", "__score").agg(F.sum("__n").alias("__n"), F.min("__from").alias("__from"), F.max(F.col("__from") + F.col("__n")).alias("__to"))
+    enough = chains.filter(F.col("__n") >= F.lit(float(least)) * (F.col("end") - F.col("start")))
+    best = enough.groupBy("locus_id", "chrom", "start", "end").agg(F.min(F.struct((-F.col("__score")).alias("s"), "__chain", "to_chrom", "__from", "__to", "__strand", "__n")).alias("m"), F.count("*").alias("__hits"))
+    if unique:
+        best = best.filter("__hits = 1")
+    out = loci.join(best.drop("__hits"), ["locus_id", "chrom", "start", "end"], "left")
     return out.select(
-        *loci.columns, F.col("m").isNotNull().alias("mapped"), F.col("m.to_chrom").alias("mapped_chrom"),
-        F.col("m.at").alias("mapped_start"), (F.col("m.at") + F.col("m.w")).alias("mapped_end"),
+        *loci.columns, F.col("m").isNotNull().alias("mapped"), F.col("m.to_chrom").alias("mapped_chrom"), F.col("m.__from").alias("mapped_start"),
+        F.col("m.__to").alias("mapped_end"), F.col("m.__strand").alias("mapped_strand"), F.col("m.__n").alias("mapped_bases"),
     )
 
 
+def cross_assembly_signal(loci: DataFrame, signal: DataFrame, blocks: DataFrame, sizes: DataFrame, column: str, assembly: str) -> DataFrame:
+    """loci with the mean signal of another assembly over each one's place there, whether it has one, and the place.
+
+    sizes: (chrom, size) of that assembly; a locus that isn't mapped, or beyond a chromosome's end, has nulls; one that is mapped but without signal 0.
+    """
+    moved = liftover(loci.select("locus_id", "chrom", "start", "end"), blocks).filter("mapped and mapped_start >= 0 and mapped_end > mapped_start")
+    inside = moved.join(sizes.select(F.col("chrom").alias("mapped_chrom"), "size"), "mapped_chrom").filter("mapped_end <= size")
+    places = inside.select("locus_id", F.col("mapped_chrom").alias("chrom"), F.col("mapped_start").alias("start"), F.col("mapped_end").alias("end"))
+    means = interval_mean(places, signal, column)
+    own = means.select("locus_id", F.col(column).alias(column), F.lit(True).alias(f"{column}_mapped"), *[F.col(c).alias(f"{column}_{assembly}_{c}") for c in ("chrom", "start", "end")])
+    return loci.join(own, "locus_id", "left").withColumn(f"{column}_mapped", F.coalesce(f"{column}_mapped", F.lit(False)))
+
+
 def link_loci_to_promoters(loci: DataFrame, promoters: DataFrame, loops: DataFrame, bin_size: int = 10_000) -> DataFrame:
     """(gene, locus_id, direct, loop_count, loop_score): promoter overlaps, and links through either side of a loop.
 

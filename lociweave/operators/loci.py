@@ -33,9 +33,9 @@ def chrom_number(chrom: Column) -> Column:
 
 
 def chromosome_fold(chrom: Column, folds: int = 5) -> Column:
-    """(n - 1) mod folds for chr1 to chr22; an error otherwise."""
-    n = chrom_number(chrom)
-    return F.when(n.between(1, 22), F.pmod(n - 1, F.lit(folds))).otherwise(F.raise_error(F.concat(F.lit("not an autosome: "), F.coalesce(chrom, F.lit("null")))).cast("int"))
+    """(n - 1) mod folds for chr1 to chr22, also without chr; an error otherwise."""
+    n = F.regexp_extract(chrom.cast("string"), r"^(?:chr)?(\d+)$", 1).try_cast("int")
+    return F.when(n.between(1, 22), F.pmod(n - 1, F.lit(folds))).otherwise(F.raise_error(F.concat(F.lit("not an autosome: "), F.coalesce(chrom.cast("string"), F.lit("null")))).cast("int"))
 
 
 def tile_counts(points: DataFrame, width: int, count: str = "count") -> DataFrame:

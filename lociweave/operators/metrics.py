@@ -35,12 +35,13 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> Da
 
 
 def replicate_qc(df: DataFrame, first: str, second: str) -> DataFrame:
-    """n, spearman of log1p, zero shares of both and the median absolute difference of log1p, over finite pairs."""
+    """n, spearman of log1p, zero shares of both and the median absolute difference of log1p, over finite pairs; values below 0 count as 0 in logs. Fewer than three pairs are an error."""
     ok = df.filter(finite(F.col(first)) & finite(F.col(second))).select(F.col(first).alias("a"), F.col(second).alias("b"))
-    logs = ok.select("a", "b", F.log1p("a").alias("la"), F.log1p("b").alias("lb"))
+    logs = ok.select("a", "b", *[F.log1p(F.greatest(F.col(c), F.lit(0))).alias(f"l{c}") for c in "ab"])
     stats = logs.agg(
         F.count("*").alias("n"), F.avg((F.col("a") == 0).cast("double")).alias("zero_first"), F.avg((F.col("b") == 0).cast("double")).alias("zero_second"),
     )
+    stats = stats.withColumn("n", F.when(F.col("n") >= 3, F.col("n")).otherwise(F.raise_error(F.lit("three finite pairs are needed at least")).cast("long")))
     median = quantiles(logs, F.abs(F.col("la") - F.col("lb")), [0.5])["all"][0]
     stats = stats.withColumn("median_abs_log1p_difference", F.lit(median).cast("double"))
     return stats.crossJoin(spearman(logs, "la", "lb"))

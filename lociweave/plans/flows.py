@@ -205,7 +205,7 @@ def benchmark_states(genes: dict[str, DataFrame], results: dict[str, DataFrame],
 
 
 def lift_signal(signal: DataFrame, blocks: DataFrame) -> tuple[DataFrame, dict]:
-    """Signal intervals (chrom, s_start, s_end, value) moved to another assembly, sorted, and their summaries before and after. Intervals that no block holds whole are left out."""
+    """Signal intervals (chrom, s_start, s_end, value) moved to another assembly, sorted, and their summaries before and after. Intervals of which a chain maps less than its least share are left out."""
     named = signal.select(F.concat_ws(":", "chrom", "s_start", "s_end").alias("locus_id"), "chrom", F.col("s_start").alias("start"), F.col("s_end").alias("end"), "value")
     moved = intervals.liftover(named, blocks).filter("mapped").select(F.col("mapped_chrom").alias("chrom"), F.col("mapped_start").alias("s_start"), F.col("mapped_end").alias("s_end"), "value")
     report = {"before": intervals.bedgraph_summary(signal).first().asDict(), "after": intervals.bedgraph_summary(moved).first().asDict()}

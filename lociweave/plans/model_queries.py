@@ -57,12 +57,13 @@ def q30_quantiles(spark, sf_dir):
 
 
 
-@query("""WITH x AS (SELECT ln(1 + l_quantity) AS a, ln(1 + l_discount * 10) AS b, l_quantity AS q, l_discount AS d FROM lineitem),
+@query("""WITH x AS (SELECT ln(1 + greatest(l_quantity - 5, 0)) AS a, ln(1 + l_discount * 10) AS b, l_quantity - 5 AS q, l_discount AS d FROM lineitem),
  r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ka, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS kb FROM x)
 SELECT count(*)::BIGINT AS n, avg((q = 0)::INTEGER) AS zero_first, avg((d = 0)::INTEGER) AS zero_second, round(median(abs(a - b)), 6) AS median_abs_log1p_difference, round(corr(ka, kb), 6) AS spearman FROM r""")
 def q31_replicate_qc(spark, sf_dir):
-    x = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_discount") * 10).alias("b"))
-    return metrics.replicate_qc(x, "l_quantity", "b").select("n", "zero_first", "zero_second", *[F.round(c, 6).alias(c) for c in ("median_abs_log1p_difference", "spearman")])
+    """Values below 0 count as 0 in the logs."""
+    x = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") - 5).alias("a"), (F.col("l_discount") * 10).alias("b"))
+    return metrics.replicate_qc(x, "a", "b").select("n", "zero_first", "zero_second", *[F.round(c, 6).alias(c) for c in ("median_abs_log1p_difference", "spearman")])
 
 
 LABELLED = "s AS (SELECT doc_id, quality AS y, round(1.0::DOUBLE / (1.0 + n_chars % 100), 6) AS p FROM documents JOIN labels USING (doc_id))"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociweave.functions import pwm
 from lociweave.functions import sequence as S
 from lociweave.operators import audit, intervals, metrics, models, pairs, panel, synth
+from lociweave.plans.interval_queries import A, LIFTED, _parts, chain_rows
 from lociweave.plans.model_queries import _FOLDS, PAIRS, ROWS, _rows, nation_pairs
 from lociweave.plans.registry import query, table
 from lociweave.plans.sequence_queries import _GAPS, MOTIF, PARTNER, SEQ, _matrix_sql, sequences
@@ -217,20 +218,20 @@ def q118_matched_pairs(spark, sf_dir):
     return synth.validate_pairs(made).join(right, "pair_id").select("pair_id", (F.col("valid") & F.col("rule")).alias("valid"))
 
 
-@query("""WITH b AS (SELECT 'chr' || (1 + s_suppkey % 22) AS chrom, 80000 + s_suppkey * 900 AS s, 80700 + s_suppkey * 900 AS e, 'new' || (s_nationkey % 5) AS c2, s_suppkey * 1000 AS t FROM supplier),
- a AS (SELECT p_partkey AS id, 'chr' || (1 + p_partkey % 22) AS chrom, (p_retailprice * 100)::BIGINT AS s, (p_retailprice * 100)::BIGINT + 50 + p_size AS e FROM part),
- hit AS (SELECT a.id, min({'c': c2, 'at': t + a.s - b.s, 'w': a.e - a.s}) AS m FROM a JOIN b ON a.chrom = b.chrom AND b.s <= a.s AND a.e <= b.e GROUP BY a.id)
-SELECT a.id AS locus_id, m IS NOT NULL AS mapped, m.c AS mapped_chrom, m.at::BIGINT AS mapped_start FROM a LEFT JOIN hit USING (id)""")
+@query(f"WITH {A}, {LIFTED}")
 def q119_read_chain(spark, sf_dir):
-    from lociweave.plans.interval_queries import _parts
-
-    lines = []
-    for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect():  # the lines of one chain file
-        s, t = 80_000 + r.s_suppkey * 900, r.s_suppkey * 1000
-        lines += [f"chain 1 chr{1 + r.s_suppkey % 22} 900000000 + {s} {s + 700} new{r.s_nationkey % 5} 900000000 + {t} {t + 700} {r.s_suppkey}", "700", ""]
-    blocks = binary.chain_blocks(spark, writers.put(spark, f"{writers.shared_folder(spark)}/a.chain", "\n".join(lines).encode()))
-    out = intervals.liftover(_parts(spark, sf_dir).withColumnRenamed("id", "locus_id"), blocks)
-    return out.select("locus_id", "mapped", "mapped_chrom", "mapped_start")
+    """Chain files written by a job, a record for each chain, and read again in splits."""
+    size = 100_000_000
+    rows = chain_rows(spark, sf_dir).groupBy("chain_id", "chrom", "to_chrom", "strand", "score").agg(F.array_sort(F.collect_list(F.struct("b_start", "b_end", "to_start"))).alias("b"))
+    # on the reverse strand places count from the chromosome's end, so that they rise along the chain
+    q = lambda x: F.when(F.col("strand") == "-", size - x["to_start"] - (x["b_end"] - x["b_start"])).otherwise(x["to_start"])
+    first, last = F.col("b")[0], F.element_at("b", -1)
+    end = lambda x: q(x) + x["b_end"] - x["b_start"]
+    head = F.concat_ws(" ", F.lit("chain"), F.col("score").cast("string"), "chrom", F.lit(str(size)), F.lit("+"), first["b_start"], last["b_end"], "to_chrom", F.lit(str(size)), "strand", q(first), end(last), "chain_id")
+    line = lambda x, i: F.concat_ws(" ", x["b_end"] - x["b_start"], F.get("b", i + 1)["b_start"] - x["b_end"], q(F.get("b", i + 1)) - end(x))
+    text = F.concat(head, F.lit("\n"), F.array_join(F.transform("b", line), "\n"), F.lit("\n"))
+    at = writers.put_lines(rows.select(text.alias("value")), f"{writers.shared_folder(spark)}/chains")
+    return intervals.liftover(_parts(spark, sf_dir).withColumnRenamed("id", "locus_id"), binary.chain_blocks(spark, at)).drop("chrom", "start", "end")
 
 
 @query(f"""WITH {PAIRS}, tr AS (SELECT * FROM pr WHERE bait <> 'NATION_3' AND prey <> 'NATION_3'), r AS (SELECT bf, pf, (sum(cooperative_signal) + 1.0::DOUBLE) / (count(*) + 2) AS rate FROM tr GROUP BY ALL)

@@ -40,12 +40,14 @@ def q14_longest_run(spark, sf_dir):
     return sequences(spark, sf_dir).select("doc_id", S.longest_canonical_run(F.col("seq")).cast("long").alias("longest_run"))
 
 
-@query(r"""SELECT p_partkey, CASE s WHEN 'BRAND11' THEN 'ALIAS' ELSE s END AS symbol FROM (
- SELECT p_partkey, regexp_replace(regexp_replace(replace(upper(trim(' hs_' || p_brand || '-dbd ')), ' ', ''), '^(HUMAN|HS)[_:.-]', ''), '[-_](FULL|EDBD|DBD|ISOFORM[0-9]+)$', '') AS t,
-  replace(t, '#', '') AS s FROM part)""")
+@query(r"""SELECT p_partkey, CASE s WHEN 'BRAND11' THEN 'ALIAS' WHEN 'RFX5' THEN 'OWN' WHEN 'RFXDC2' THEN 'RFX7' ELSE s END AS symbol FROM (
+ SELECT p_partkey, replace(regexp_replace(regexp_replace(replace(upper(trim(' hs_' || CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'Rfxdc2' ELSE 'rfx 5' END || '-dbd ')), ' ', ''), '^(HUMAN|HS)[_:.-]', ''),
+  '[-_](FULL|EDBD|DBD|ISOFORM[0-9]+)$', ''), '#', '') AS s FROM part)""")
 def q15_normalize_symbol(spark, sf_dir):
-    raw = F.concat(F.lit(" hs_"), "p_brand", F.lit("-dbd "))
-    return table(spark, sf_dir, "part").select("p_partkey", S.normalize_symbol(F.replace(S.normalize_symbol(raw, {}), F.lit("#"), F.lit("")), {"BRAND11": "ALIAS"}).alias("symbol"))
+    """Given aliases stand beside the built-in ones, and before them."""
+    k = F.col("p_partkey") % 3
+    raw = F.concat(F.lit(" hs_"), F.replace(F.when(k == 0, F.col("p_brand")).when(k == 1, "Rfxdc2").otherwise("rfx 5"), F.lit("#"), F.lit("")), F.lit("-dbd "))
+    return table(spark, sf_dir, "part").select("p_partkey", S.normalize_symbol(raw, {"BRAND11": "ALIAS", "RFX5": "OWN"}).alias("symbol"))
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '([a-z]+)="([^"]*)"'))::BIGINT AS n_attributes,

@@ -306,7 +306,10 @@ def contexts(loci: DataFrame, genome: DataFrame, width: int = 400) -> DataFrame:
 
 
 def chain_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, b_start, b_end, to_chrom, to_start, strand, chain_id) of the ungapped blocks of chain files."""
+    """(chrom, b_start, b_end, to_chrom, to_start, strand, score, chain_id) of the ungapped blocks of chain files; both places are on the forward strand.
+
+    Chains end with a blank line, so a row is a chain and an unpacked file is read in splits. A chain without an id has its header as one.
+    """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -314,17 +317,21 @@ def chain_blocks(spark: SparkSession, path: str) -> DataFrame:
                 rows, head = [], None
                 for line in text.splitlines():
                     x = line.split()
-                    if not x:
+                    if not x or x[0].startswith("#"):
                         continue
                     if x[0] == "chain":
-                        head = x
+                        head, name = x, x[12] if len(x) > 12 else line
                         t, q = int(x[5]), int(x[10])
                         continue
+                    if head is None:
+                        raise ValueError(f"a block before its chain: {line}")
                     n = int(x[0])
                     start = q if head[9] == "+" else int(head[8]) - q - n
-                    rows.append((head[2], t, t + n, head[7], start, head[9], head[12] if len(head) > 12 else "0"))
+                    rows.append((head[2], t, t + n, head[7], start, head[9], float(head[1]), name))
                     if len(x) == 3:
                         t, q = t + n + int(x[1]), q + n + int(x[2])
-                yield pd.DataFrame(rows, columns=["chrom", "b_start", "b_end", "to_chrom", "to_start", "strand", "chain_id"])
+                for k in range(0, len(rows), 65_536):
+                    yield pd.DataFrame(rows[k : k + 65_536], columns=["chrom", "b_start", "b_end", "to_chrom", "to_start", "strand", "score", "chain_id"])
 
-    return spark.read.text(path, wholetext=True).mapInPandas(parse, "chrom string, b_start long, b_end long, to_chrom string, to_start long, strand string, chain_id string")
+    chains = spark.read.option("lineSep", "\n\n").text(path).filter(F.trim("value") != "")
+    return chains.mapInPandas(parse, "chrom string, b_start long, b_end long, to_chrom string, to_start long, strand string, score double, chain_id string")

@@ -24,7 +24,7 @@ def test_universes(spark):
     sizes = spark.createDataFrame([("chr1", 450), ("chr2", 210)], "chrom string, size long")
     grid = loci.fixed_genome_loci(sizes, points(spark, [("chr1", 210)]), points(spark, [("chr2", 100)]), "TF").collect()
     assert {(r.chrom, r.start, r.chip_count, r.ght_count) for r in grid} == {("chr1", 0, 0, 0), ("chr1", 200, 1, 0), ("chr2", 0, 0, 1)}
-    assert {r.f for r in spark.createDataFrame([("chr1",), ("chr6",)], "c string").select(loci.chromosome_fold(F.col("c")).alias("f")).collect()} == {0}
+    assert {r.f for r in spark.createDataFrame([("chr1",), ("chr6",), ("1",), ("21",)], "c string").select(loci.chromosome_fold(F.col("c")).alias("f")).collect()} == {0}
     with pytest.raises(Exception, match="not an autosome"):
         spark.createDataFrame([("chrX",)], "c string").select(loci.chromosome_fold(F.col("c"))).collect()
     with pytest.raises(ValueError):
@@ -54,6 +54,7 @@ def test_sequences(spark):
     r = d.select(S.gc_fraction(F.col("s")).alias("g"), S.cpg_per_100bp(F.col("s")).alias("c"), S.n_fraction(F.col("s")).alias("n"), S.reverse_complement(F.col("s")).alias("r")).collect()
     assert r[0].g == pytest.approx(4 / 6) and r[0].c == pytest.approx(200 / 7) and r[0].n == 0.25 and r[1].r == "NACGT"
     names = [(" hs_RFXDC2-DBD ",), ("HUMAN:fli1_ISOFORM2",), ("RXF5",)]
+    assert [x[0] for x in spark.createDataFrame([("RFXDC2",), ("x",), ("RXF5",)], "s string").select(S.normalize_symbol(F.col("s"), {"X": "Y", "RXF5": "Z"})).collect()] == ["RFX7", "Y", "Z"]
     assert [x[0] for x in spark.createDataFrame(names, "s string").select(S.normalize_symbol(F.col("s"))).collect()] == ["RFX7", "FLI1", "RFX5"]
     assert pwm.encode("ACGTN").tolist() == pwm.encode("acgt-").tolist() == [0, 1, 2, 3, 4]
 
@@ -129,6 +130,10 @@ def test_metrics(spark):
         metrics.paired(pair.filter("p > 0.3"), "y", "p", "pair").collect()
     q = spark.createDataFrame([(float(i), 2.0 * i) for i in range(10)], "a double, b double")
     assert metrics.replicate_qc(q, "a", "b").first().spearman == pytest.approx(1)
+    below = metrics.replicate_qc(spark.createDataFrame([(-3.0, 1.0), (2.0, 2.0), (3.0, 5.0), (4.0, 4.0), (float("nan"), 1.0)], "a double, b double"), "a", "b").first()
+    assert below.n == 4 and below.spearman == pytest.approx(0.8) and below.median_abs_log1p_difference == pytest.approx(0.20273, abs=1e-5)
+    with pytest.raises(Exception, match="three finite pairs"):
+        metrics.replicate_qc(q.limit(2), "a", "b").collect()
     ece = metrics.calibration_error(spark.createDataFrame([(1, 0.3), (1, 1.0)], "y int, p double"), "y", "p").first().ece
     assert ece == pytest.approx(0.35)
     assert metrics.continuous(q, "a", "a").first().r2 == 1

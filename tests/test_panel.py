@@ -41,6 +41,6 @@ def test_left_out_baselines(spark):
     rng = random.Random(4)
     tfs = {f"T{i}": (f"F{i % 3}", "".join(rng.choice("ACDEFGHIKL") for _ in range(30))) for i in range(9)}
     rows = [(a, b, int((i * 7 + j) % 3 == 0), 1, 1, tfs[a][0], tfs[b][0], tfs[a][1], tfs[b][1]) for i, a in enumerate(tfs) for j, b in enumerate(tfs)]
-    pairs = spark.createDataFrame(rows, "bait string, prey string, cooperative_signal int, composite_motif int, spacing_or_orientation int, bait_family string, prey_family string, bait_sequence string, prey_sequence string").cache()
+    pairs = spark.createDataFrame(rows, "bait string, prey string, cooperative_signal int, composite_motif int, spacing_or_orientation int, bait_family string, prey_family string, bait_sequence string, prey_sequence string")
     out = panel.evaluate_left_out(pairs, "T1", "cooperative_signal")
     assert [r["model"] for r in out] == ["family_rate", "tf_identity", "protein_kmer"] and all(r["n"] == 17 and 0 <= r["auroc"] <= 1 for r in out)

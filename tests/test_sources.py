@@ -141,6 +141,42 @@ def test_bigwig_means_and_twobit_contexts(spark, tmp_path):
     assert out == {"a": (True, "new1", 600), "b": (False, None, None), "c": (False, None, None), "d": (False, None, None)}
 
 
+def test_liftover_over_gaps_strands_and_chains(spark, tmp_path):
+    """Places worked out by hand."""
+    from lociweave.operators.intervals import cross_assembly_signal, liftover
+
+    chains = [
+        "## a comment",
+        "chain 900 chr1 1000 + 100 300 new1 1000 - 500 690 1\n100 10 0\n90\n",  # reverse: 100-200 to 400-500, 210-300 to 310-400
+        "chain 500 chr1 1000 + 400 600 new2 1000 + 0 205 2\n50 0 5\n150\n",  # 400-450 to 0-50, 450-600 to 55-205
+        "chain 700 chr1 1000 + 550 700 new3 1000 + 10 160\n150\n",  # without an id: 550-700 to 10-160
+        "chain 700 chr2 1000 + 0 100 new1 1000 + 700 800 9\n100\n",
+    ]
+    (tmp_path / "c.chain").write_text("\n".join(chains))
+    blocks = binary.chain_blocks(spark, str(tmp_path / "c.chain"))
+    assert blocks.count() == 6
+    want = {
+        ("chr1", 110, 120): ("new1", 480, 490, "-", 10), ("chr1", 100, 200): ("new1", 400, 500, "-", 100),
+        ("chr1", 150, 250): None,  # 90 of 100 bases
+        ("chr1", 90, 300): None, ("chr1", 101, 299): ("new1", 311, 499, "-", 188) if 188 >= 0.95 * 198 else None,
+        ("chr1", 440, 460): ("new2", 40, 65, "+", 20), ("chr1", 400, 600): ("new2", 0, 205, "+", 200),
+        ("chr1", 560, 590): ("new3", 20, 50, "+", 30),  # both chains hold it, the better one counts
+        ("chr1", 548, 588): ("new2", 153, 193, "+", 40),  # 38 of 40 by the better one is enough, see below
+        ("chr1", 800, 900): None, ("chr2", 0, 100): ("new1", 700, 800, "+", 100), ("chr3", 0, 100): None,
+    }
+    want["chr1", 548, 588] = ("new3", 10, 48, "+", 38)
+    loci = spark.createDataFrame([(f"{c}:{a}", c, a, b) for c, a, b in want], "locus_id string, chrom string, start long, end long")
+    get = lambda df: {(r.chrom, r.start, r.end): (r.mapped_chrom, r.mapped_start, r.mapped_end, r.mapped_strand, r.mapped_bases) if r.mapped else None for r in df.collect()}
+    assert get(liftover(loci, blocks)) == want
+    assert get(liftover(loci, blocks, least=0.9))["chr1", 150, 250] == ("new1", 360, 450, "-", 90)
+    assert {k for k, v in get(liftover(loci, blocks, unique=True)).items() if v is None and want[k]} == {("chr1", 560, 590), ("chr1", 548, 588)}
+    signal = spark.createDataFrame([("new1", 480, 485, 4.0), ("new1", 485, 486, 10.0), ("new3", 0, 15, 2.0)], "chrom string, s_start long, s_end long, value double")
+    sizes = spark.createDataFrame([("new1", 790), ("new3", 1000)], "chrom string, size long")
+    got = {(r.chrom, r.start, r.end): (r.s_mapped, r.s, r.s_old_chrom, r.s_old_start, r.s_old_end) for r in cross_assembly_signal(loci, signal, blocks, sizes, "s", "old").collect()}
+    assert got["chr1", 110, 120] == (True, 5.0, "new1", 480, 490) and got["chr1", 548, 588] == (True, 2.0, "new3", 10, 48) and got["chr1", 560, 590] == (True, 0.0, "new3", 20, 50)
+    assert got["chr2", 0, 100] == got["chr1", 440, 460] == got["chr3", 0, 100] == (False, None, None, None, None)  # beyond the end, not there, not mapped
+
+
 def test_sinks(spark, tmp_path):
     from lociweave.operators.sinks import count_export, write_tsv
 
