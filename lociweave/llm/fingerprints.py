@@ -65,14 +65,18 @@ def _nothing() -> Column:
     return _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0))
 
 
-def sketch(keys: Column, width: int = WIDTH, salt: int = 0) -> Column:
-    """The cells of digests: three rows, one after the other."""
+def sketch(keys: Column, width: int = WIDTH, salt: int = 0, sign: Column | None = None) -> Column:
+    """The cells of digests: three rows, one after the other. sign: of each digest; a sketch is linear, so the difference of two is that of all digests with their signs."""
+    placed = places(keys, width, salt)
+    if sign is not None:
+        placed = F.zip_with(placed, sign, lambda e, q: e.withField("sign", q))
+    one = (lambda e: e.sign) if sign is not None else lambda e: F.lit(1)
 
     def row(placed: Column, r: str) -> Column:
-        gather = lambda s, e: _cell(s.n + 1, s.key.bitwiseXOR(e.key), s.check.bitwiseXOR(e.check))
+        gather = lambda s, e: _cell(s.n + one(e), s.key.bitwiseXOR(e.key), s.check.bitwiseXOR(e.check))
         return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(placed, lambda e: e[r] == i), _nothing(), gather))
 
-    return let(places(keys, width, salt), lambda p: F.concat(*[row(p, r) for r in "abc"]))
+    return let(placed, lambda p: F.concat(*[row(p, r) for r in "abc"]))
 
 
 def subtract(mine: Column, other: Column) -> Column:
@@ -110,7 +114,8 @@ def difference(mine: Column, other: Column) -> Column:
     """The digests (key, sign) of only one of two sorted arrays of digests, by sketches of growing size."""
 
     def table(a: Column, b: Column) -> Column:
-        tries = [peel(subtract(sketch(a, w, w), sketch(b, w, w)), w, w) for w in GROWTH]
+        signs = F.concat(F.array_repeat(F.lit(1), F.size(a)), F.array_repeat(F.lit(-1), F.size(b)))
+        tries = [peel(sketch(F.concat(a, b), w, w, signs), w, w) for w in GROWTH]
         signed = lambda keys, sign: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(sign).alias("sign")))
         return F.when(a == b, F.array().cast("array<struct<key: bigint, sign: int>>")).otherwise(F.coalesce(*tries, F.concat(signed(F.array_except(a, b), 1), signed(F.array_except(b, a), -1))))
 
@@ -131,26 +136,26 @@ def likeness(mine: Column, other: Column) -> Column:
     return let(differ, lambda d: F.when(total == 0, 1.0).otherwise((total - d) / (total + d)))
 
 
-def sketched(text: Column) -> Column:
-    """(keys, cells) of a text."""
-    return let(digests(text), lambda keys: F.struct(keys.alias("keys"), sketch(keys).alias("cells")))
+def sketched(keys: Column) -> Column:
+    """(keys, cells) of a text's digests."""
+    return let(keys, lambda k: F.struct(k.alias("keys"), sketch(k).alias("cells")))
 
 
 def written(cells: Column) -> Column:
     """Cells as a string: the count, 16 and 8 hexadecimal digits for each that isn't empty, and a full stop behind each."""
-    digits = lambda c: F.concat(c.n.cast("string"), F.lit(":"), F.lower(F.lpad(F.hex(c.key), 16, "0")), F.lower(F.lpad(F.hex(c.check.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
-    return F.array_join(F.transform(cells, lambda c: F.when(c.n == 0, "").otherwise(digits(c))), ".")
+    digits = lambda c: F.concat(c.n.cast("string"), F.lit(":"), F.lpad(F.hex(c.key), 16, "0"), F.lpad(F.hex(c.check.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return F.lower(F.array_join(F.transform(cells, lambda c: F.when(c.n == 0, "").otherwise(digits(c))), "."))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """docs with fingerprint, the written sketch of each text, and paragraphs, its distinct digests."""
     keep = [c for c in docs.columns if c.lower() not in ("fingerprint", "paragraphs")]
-    own = let(sketched(F.coalesce("text", F.lit(""))), lambda s: F.struct(written(s.cells).alias("fingerprint"), s["keys"].alias("paragraphs")))
+    own = let(sketched(digests(F.coalesce("text", F.lit("")))), lambda s: F.struct(written(s.cells).alias("fingerprint"), s["keys"].alias("paragraphs")))
     return docs.select(*keep, F.inline(F.array(own)))
 
 
-def with_next(docs: DataFrame, out: str) -> DataFrame:
-    """docs with the text of the next document by doc_id, the first one's behind the last."""
+def with_next(docs: DataFrame, out: str, *columns: str) -> DataFrame:
+    """docs with a struct of the text and other columns of the next document by doc_id, the first one's behind the last."""
     bucket, guest, key, tie = unused(docs, "bucket", "guest", "key", "tie")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -171,17 +176,18 @@ def with_next(docs: DataFrame, out: str) -> DataFrame:
     # xxhash64 orders the rows of one doc_id; the first of a range stands behind all of the range before it
     rows = keyed.withColumn(tie, F.xxhash64("text")).select("*", F.inline(F.filter(F.array(own, ahead), lambda x: x.isNotNull())))
     w = W.partitionBy(bucket).orderBy(guest, key, tie)
-    return rows.withColumn(out, F.lead("text").over(w)).filter(~F.col(guest)).drop(bucket, guest, key, tie)
+    return rows.withColumn(out, F.lead(F.struct("text", *columns)).over(w)).filter(~F.col(guest)).drop(bucket, guest, key, tie)
 
 
 def edit_and_compare(docs: DataFrame) -> DataFrame:
     """docs with n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next; the edited text has the next document's beginning as its last quarter."""
     keep = [c for c in docs.columns if c.lower() not in ADDED]
-    (after,) = unused(docs, "next")
-    plain = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    text, following = F.col("text"), F.coalesce(F.col(after), F.lit(""))
+    after, own = unused(docs, "next", "digests")
+    # digests go with the texts, so that each text is cut once for itself and the document before it
+    plain = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn(own, digests(F.col("text")))
+    text, following = F.col("text"), F.col(after)
     quarter = F.floor(F.length(text) / 4).cast("int")
-    edited = F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(following, F.lit(1), quarter))
+    edited = F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(following["text"], F.lit(1), quarter))
 
     def compare(x: Column) -> Column:
         return F.struct(
@@ -189,5 +195,5 @@ def edit_and_compare(docs: DataFrame) -> DataFrame:
             likeness(x.mine, x.other).alias("near_edited"), likeness(x.mine, x.following).alias("near_next"),
         )
 
-    both = let(edited, lambda e: F.struct(e.alias("edited"), sketched(text).alias("mine"), sketched(e).alias("other"), sketched(following).alias("following")))
-    return with_next(plain, after).select(*keep, F.inline(F.array(let(both, compare))))
+    both = let(edited, lambda e: F.struct(e.alias("edited"), sketched(F.col(own)).alias("mine"), sketched(digests(e)).alias("other"), sketched(following[own]).alias("following")))
+    return with_next(plain, after, own).select(*keep, F.inline(F.array(let(both, compare))))

@@ -72,7 +72,7 @@ def test_next_document(spark, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
-        got = {r.doc_id: r.after for r in with_next(docs, "after").collect()}
+        got = {r.doc_id: r.after.text for r in with_next(docs, "after").collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {i: str(ids[(k + 1) % len(ids)]) for k, i in enumerate(ids)}
