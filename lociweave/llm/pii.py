@@ -1,14 +1,15 @@
 """Operator 9, PII: format-preserving Feistel pseudonyms.
 
 Card numbers (issuer and Luhn), account numbers (IBAN, mod 97), social security numbers, telephone numbers (country code and length), IPv4 addresses and dates are
-found and validated, then permuted within their format by a keyed Feistel network: a value stays valid, and its separators stay. The
+found and validated, then permuted within their format by a keyed Feistel network: a value stays valid (a telephone number of country code 1 whose area or exchange
+begins with 0 or 1 stays such a one, and is found behind +1 only), and its separators stay. The
 permutation acts on the bare value, so one value has one pseudonym in every document and every spelling: a telephone number with or without its separators, its
 country code 1 or a trunk prefix (0), an account number with or without spaces, a date in any order. Values are as long as they were, but for days and months written without
 leading zeros, and month names. Cards stay an issuer's, addresses public or not, dates in their century. Mail
-addresses and long hexadecimal secrets get keyed pseudonyms as well, mail by a keyed hash, secrets by the same network. Numbers that fail validation are left as they are.
-invert() gives the values back to who has the key, but for mail.
+addresses, access key ids and long hexadecimal secrets get keyed pseudonyms as well, mail by a keyed hash, the others by the same network. Numbers that fail validation are left as they are.
+invert() gives the values back to who has the key, but for mail, and for the full or short form of a month where a pseudonym falls in May.
 
-The key is an argument, or else the session's setting spark.lociweave.pii.key.
+The key is an argument, or else the session's setting spark.lociweave.pii.key; without either there is a key for tests in local mode, and an error elsewhere.
 
 Texts are rewritten where they stand, without a shuffle. Defined results: a null text stays null with no finds, an empty one stays
 empty; repeated rows get equal results; an empty table gives an empty table; extra columns are kept, but for those named as an output; digits of any script count as
@@ -21,6 +22,7 @@ import base64
 import hashlib
 import ipaddress
 import logging
+import math
 import re
 from datetime import date
 
@@ -29,24 +31,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lociweave.llm.common import add_columns, bounded_batches
 
-#: Used where neither an argument nor the setting KEY_SETTING gives a key; anyone can invert it.
+#: Used in local mode where neither an argument nor the setting KEY_SETTING gives a key; anyone can invert it.
 KEY = b"a key for tests; pass your own"
 KEY_SETTING = "spark.lociweave.pii.key"
 ROUNDS = 10
 KINDS = ("email", "secret", "iban", "ip", "phone", "card", "ssn", "date")
 _MONTHS = "January February March April May June July August September October November December".split()
+#: Names of months as they are written, with the month: in full, and in three letters, or four for September.
+_MONTH = {m: k for k, m in enumerate(_MONTHS, 1)} | {m[:3]: k for k, m in enumerate(_MONTHS, 1)} | {"Sept": 9}
+_WRITTEN = "|".join(sorted(_MONTH, key=len, reverse=True))
 _FOUND = re.compile(
-    r"(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?![\w]))"
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]++@(?:[\w-]+\.)+[^\W\d_]{2,}(?![\w]))"
     r"|(?<![\w])(?:"
-    r"(?P<secret>[0-9a-fA-F]{32,128})(?!\w)"
+    r"(?P<secret>[0-9a-fA-F]{32,})(?!\w)"
+    r"|(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)"
     r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?P<ip>(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?P<iso>\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2})(?!\w)"
     r"|(?P<dmy>\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?!\w)"
-    rf"|(?P<word>(?:\d{{1,2}} (?:{'|'.join(_MONTHS)}) \d{{4}}|(?:{'|'.join(_MONTHS)}) \d{{1,2}}, \d{{4}}))(?!\w)"
+    rf"|(?P<word>(?:\d{{1,2}} (?:{_WRITTEN})\.? \d{{4}}|(?:{_WRITTEN})\.? \d{{1,2}}, \d{{4}}))(?!\w)"
     r"|(?P<card>\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?![\w]|-\d)"
     r"|(?P<local>\d{3}[-. ]\d{3}[-. ]\d{4})(?!\w)"
+    r"|(?P<trunk>0[1-9]\d{1,3}[ -]\d{3,4}[ -]\d{3,4})(?!\w|[ -]\d)"
     r")"
     r"|(?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w))"
     r"|(?P<abroad>(?<![\w+])\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\w|[ .-]?\d))"
@@ -55,17 +62,19 @@ _FOUND = re.compile(
 
 
 def _round(key: bytes, i: int, n: int, value: int, tweak: bytes) -> int:
-    h = hashlib.blake2b(b"%d|%d|%d|" % (i, n, value) + tweak, key=key[:64], digest_size=16)
-    return int.from_bytes(h.digest(), "big")
+    """A keyed number, of at least 64 bits more than the one that it is taken modulo, which has as many as n or value."""
+    if n.bit_length() <= 64 and value.bit_length() <= 64:
+        return int.from_bytes(hashlib.blake2b(b"%d|%d|%d|" % (i, n, value) + tweak, key=key[:64], digest_size=16).digest(), "big")
+    size = (max(n.bit_length(), value.bit_length()) >> 3) + 9
+    own = hashlib.blake2b(b"%d|" % i + tweak, key=key[:64]).digest()
+    return int.from_bytes(hashlib.shake_256(own + n.to_bytes(size, "big") + value.to_bytes(size, "big")).digest(size), "big")
 
 
 def feistel(value: int, size: int, key: bytes, tweak: bytes = b"", back: bool = False) -> int:
     """A keyed permutation of range(size), or its inverse: a Feistel network on two halves, walked along its cycle."""
     if size < 2:
         return value
-    a = max(2, int(size**0.5))
-    while a * a < size:
-        a += 1
+    a = max(2, math.isqrt(size - 1) + 1)
     b = -(-size // a)  # a * b >= size
     while True:
         left, right = divmod(value, b)  # left < a, right < b
@@ -197,8 +206,16 @@ def _ip(text: str, key: bytes, back: bool = False) -> str | None:
 _CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
+def _dialled(digits: str) -> bool:
+    """Whether a national number of code 1 can be dialled: neither area nor exchange begins with 0 or 1."""
+    return digits[0] > "1" and digits[3] > "1"
+
+
 def _phone(text: str, key: bytes, back: bool = False) -> str | None:
-    """The national number permuted; a number without a country code counts as one of code 1. A trunk prefix (0) stays."""
+    """The national number permuted among those that can be dialled, or those that can't. A trunk prefix (0) stays.
+
+    A number without a country code counts as one of code 1, and must be one that can be dialled.
+    """
     head, trunk, tail = text.partition("(0)") if text[0] == "+" else (text, "", "")
     digits = _digits(head + tail)
     code = "1"
@@ -207,11 +224,28 @@ def _phone(text: str, key: bytes, back: bool = False) -> str | None:
         digits = digits[len(code) :]
     if not (len(digits) == 10 if code == "1" else 5 <= len(digits) <= 15 - len(code)):
         return None
-    new = f"{feistel(int(digits), 10 ** len(digits), key, b'phone' + code.encode(), back):0{len(digits)}d}"
+    valid = code != "1" or _dialled(digits)
+    if not valid and text[0] != "+":
+        return None
+    new = digits
+    while True:
+        new = f"{feistel(int(new), 10 ** len(digits), key, b'phone' + code.encode(), back):0{len(digits)}d}"
+        if code != "1" or _dialled(new) == valid:
+            break
     new = _into(head + tail, (code if text[0] == "+" else "") + new)
     return new[: len(head)] + trunk + new[len(head) :]
 
 
+def _trunk(text: str, key: bytes, back: bool = False) -> str | None:
+    """A national number behind its trunk prefix 0, of ten or eleven digits with it, permuted among those that begin with 1 to 9."""
+    digits = _digits(text)[1:]
+    if not 9 <= len(digits) <= 10:
+        return None
+    low, new = 10 ** (len(digits) - 1), int(digits)
+    new = low + feistel(new - low, 9 * low, key, b"trunk", back)
+    return _into(text, f"0{new}")
+
+
 def _ssn_valid(digits: str) -> bool:
     return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
 
@@ -256,11 +290,14 @@ def _date(kind: str, text: str, key: bytes, back: bool = False) -> str | None:
         new = _day(y, a if first else b, b if first else a, key, back)
         mark = re.search(r"\D", text)[0]
         return new and mark.join([two(new.month), two(new.day)][:: 1 if first else -1] + [f"{new.year:04d}"])
-    name = re.search(r"[A-Z][a-z]+", text)[0]
-    new = _day(numbers[1], _MONTHS.index(name) + 1, numbers[0], key, back)
+    name = re.search(r"[A-Z][a-z]+\.?", text)[0]
+    new = _day(numbers[1], _MONTH[name.rstrip(".")], numbers[0], key, back)
     if not new:
         return None
-    return f"{_MONTHS[new.month - 1]} {new.day}, {new.year}" if text[0].isalpha() else f"{new.day} {_MONTHS[new.month - 1]} {new.year}"
+    # May is written in full and in short alike: it is taken for short only before a full stop
+    short = name[-1] == "." or name.rstrip(".") not in _MONTHS
+    month = _MONTHS[new.month - 1][: 3 if short else None] + ("." if name[-1] == "." else "")
+    return f"{month} {new.day}, {new.year}" if text[0].isalpha() else f"{new.day} {month} {new.year}"
 
 
 def _secret(text: str, key: bytes, back: bool = False) -> str | None:
@@ -270,6 +307,15 @@ def _secret(text: str, key: bytes, back: bool = False) -> str | None:
     return new.upper() if text.upper() == text else new
 
 
+def _key_id(text: str, key: bytes, back: bool = False) -> str:
+    """An access key id with its first four letters as they are."""
+    value, out = feistel(int(text[4:], 36), 36**16, key, b"key", back), ""
+    for _ in range(16):
+        value, d = divmod(value, 36)
+        out = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[d] + out
+    return text[:4] + out
+
+
 def _tag(data: str, key: bytes, n: int) -> str:
     h = hashlib.blake2b(data.lower().encode(), key=key[:64], digest_size=15).digest()
     return base64.b32encode(h).decode().lower()[:n]
@@ -281,9 +327,9 @@ def _email(text: str, key: bytes, back: bool = False) -> str:
     return f"u{_tag(text, key, 14)}@d{_tag(text.rpartition('@')[2], key, 9)}.invalid"
 
 
-_DO = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "phone": _phone, "abroad": _phone, "local": _phone, "area": _phone, "card": _card, "ssn": _ssn}
-_KIND = {"abroad": "phone", "local": "phone", "area": "phone", "iso": "date", "dmy": "date", "word": "date"}
-_ANY = re.compile(r"[\d@]")
+_DO = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "phone": _phone, "abroad": _phone, "local": _phone, "area": _phone, "trunk": _trunk, "key": _key_id, "card": _card, "ssn": _ssn}
+_KIND = {"abroad": "phone", "local": "phone", "area": "phone", "trunk": "phone", "key": "secret", "iso": "date", "dmy": "date", "word": "date"}
+_ANY = re.compile(r"[\d@]|A[KS]IA")
 
 
 def invert(text: str, key: bytes) -> str:
@@ -315,9 +361,12 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The key of the setting KEY_SETTING; without it the key for tests, with a warning."""
+    """The key of the setting KEY_SETTING; without it the key for tests, with a warning, in local mode, and an error elsewhere."""
     if found := spark.conf.get(KEY_SETTING, None):
         return found.encode()
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set {KEY_SETTING} or pass a key")
     logging.getLogger(__name__).warning("%s isn't set: pseudonyms are made with the key for tests and can be inverted", KEY_SETTING)
     return KEY
 

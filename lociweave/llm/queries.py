@@ -64,9 +64,11 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lociweave.llm.pii import mask_documents
+    from lociweave.llm.pii import KEY, KEY_SETTING, mask_documents
 
-    return mask_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the tables are made up, so the key for tests will do where the session has none
+    key = spark.conf.get(KEY_SETTING, None)
+    return mask_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), key.encode() if key else KEY)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
