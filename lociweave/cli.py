@@ -50,9 +50,12 @@ def _table(spark: SparkSession, path: str) -> DataFrame:
     return found.select(*[(F.col(f"`{c}`").cast("double") if numbers[c] == 0 else F.col(f"`{c}`")).alias(c) for c in found.columns])
 
 
+_BIGWIG = (".bw", ".bigWig", ".bigwig")
+
+
 def _signal(spark: SparkSession, path: str) -> DataFrame:
     """A bigWig file, or bedGraph text."""
-    if path.endswith((".bw", ".bigWig", ".bigwig")):
+    if path.endswith(_BIGWIG):
         binary.register(spark)
         return spark.read.format("bigwig").load(path)
     return spark.read.csv(path, sep="\t", comment="#", schema="chrom string, s_start long, s_end long, value double")
@@ -167,11 +170,10 @@ def _build_features(spark, args, flows):
     from lociweave.operators.sinks import write_tsv
     from lociweave.plans.workflows import feature_table
 
-    binary.register(spark)
     own = _table(spark, args.loci)
     own = own.select(*[F.col(c).cast("long").alias(c) if c in ("start", "end", "midpoint") else F.col(c) for c in own.columns])
     partners = {p: _motif(spark, args.motifs, p) for p in args.partner}
-    out = feature_table(own, spark.read.format("twobit").load(args.genome), _motif(spark, args.motifs, args.focal), partners, {n: _signal(spark, p) for n, p in args.signal})
+    out = feature_table(own, args.genome, _motif(spark, args.motifs, args.focal), partners, {n: p if p.endswith(_BIGWIG) else _signal(spark, p) for n, p in args.signal})
     return {"counts": write_tsv(out.drop("sequence"), args.table, gzip=True), "columns": out.columns}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,14 +208,19 @@ def q89_read_spacing(spark, sf_dir):
  l AS (SELECT p_partkey AS locus_id, 'chr' || (1 + p_partkey % 22) AS chrom, p_partkey * 53 AS a, p_partkey * 53 + 2000 AS b FROM part)
 SELECT locus_id, round(coalesce(sum(v * (least(b, e) - greatest(a, s))) / sum(least(b, e) - greatest(a, s)), 0), 6) AS signal FROM l LEFT JOIN s ON l.chrom = s.chrom AND a < e AND s < b GROUP BY locus_id""")
 def q90_read_bigwig(spark, sf_dir):
-    binary.register(spark)
-    signal: dict[str, tuple[int, list]] = {}
-    for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect():  # a file's writer holds the file
-        signal.setdefault(f"chr{1 + r.s_nationkey % 22}", (1 << 30, []))[1].append((r.s_suppkey * 1000, r.s_suppkey * 1000 + 100 + r.s_nationkey, float(r.s_nationkey + 1)))
-    at = _one(spark, writers.bigwig_bytes(signal, 4), "s.bw").removeprefix("file:").replace("///", "/")
+    """A bigWig file for each chromosome, made and read by tasks."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("long")
+    rows = s.select(F.concat(F.lit("chr"), (1 + F.col("s_nationkey") % 22).cast("string")).alias("chrom"), (k * 1000).alias("a"), (k * 1000 + 100 + F.col("s_nationkey")).alias("b"), (F.col("s_nationkey") + 1).cast("double").alias("v"))
+
+    def make(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.sort_values("a")
+        return pd.DataFrame({"content": [writers.bigwig_bytes({own["chrom"].iloc[0]: (1 << 30, list(zip(own["a"], own["b"], own["v"])))}, 4, 8)]})
+
+    signal = binary.bigwig_content(rows.groupBy("chrom").applyInPandas(make, "content binary"))
     k = F.col("p_partkey")
     own = table(spark, sf_dir, "part").select(k.alias("locus_id"), F.concat(F.lit("chr"), (1 + k % 22).cast("string")).alias("chrom"), (k * 53).alias("start"), (k * 53 + 2000).alias("end"))
-    return intervals.interval_mean(own, spark.read.format("bigwig").load(at), "signal").select("locus_id", F.round("signal", 6).alias("signal"))
+    return intervals.interval_mean(own, signal, "signal").select("locus_id", F.round("signal", 6).alias("signal"))
 
 
 _GENOME = "'ACGTTGCANGGC'"
@@ -224,12 +230,18 @@ _GENOME = "'ACGTTGCANGGC'"
  l AS (SELECT p_partkey AS locus_id, 'chr' || (1 + p_partkey % 25) AS chrom, p_partkey * 7 % 520 AS mid FROM part)
 SELECT locus_id, substring(repeat('N', 20) || seq || repeat('N', 400), (mid + 1)::BIGINT, 40) AS sequence FROM l JOIN g USING (chrom)""")
 def q91_read_genome_contexts(spark, sf_dir):
-    binary.register(spark)
-    genome = {f"chr{r.n_nationkey + 1}": _GENOME.strip("'") * (20 + r.n_nationkey) for r in table(spark, sf_dir, "nation").collect()}
-    at = _one(spark, writers.twobit_bytes(genome), "g.2bit").removeprefix("file:").replace("///", "/")
+    """A 2bit file for each chromosome, made and read by tasks."""
+    n = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("chr"), (n + 1).cast("string")).alias("chrom"), F.repeat(F.lit(_GENOME.strip("'")), (20 + n).cast("int")).alias("seq"))
+
+    def make(frames):
+        for frame in frames:
+            yield pd.DataFrame({"content": [writers.twobit_bytes({c: s}) for c, s in zip(frame["chrom"], frame["seq"])]})
+
+    genome = binary.twobit_content(rows.mapInPandas(make, "content binary"))
     k = F.col("p_partkey")
     own = table(spark, sf_dir, "part").select(k.alias("locus_id"), F.concat(F.lit("chr"), (1 + k % 25).cast("string")).alias("chrom"), (k * 7 % 520).alias("midpoint"))
-    return binary.contexts(own, spark.read.format("twobit").load(at), 40).select("locus_id", "sequence")
+    return binary.contexts(own, genome, 40).select("locus_id", "sequence")
 
 
 @query("""SELECT s_suppkey::VARCHAR AS s_suppkey, rtrim(rtrim(round(s_acctbal, 2)::DECIMAL(18, 2)::VARCHAR, '0'), '.') AS s_acctbal, (s_suppkey % 2 = 0)::VARCHAR AS flag FROM supplier""")

@@ -12,7 +12,7 @@ from lociweave.functions import pwm
 from lociweave.functions import sequence as S
 from lociweave.operators import audit, intervals, loci, metrics, models, synth
 from lociweave.operators.sinks import write_tsv
-from lociweave.sources import binary, text
+from lociweave.sources import binary, random_access, text
 
 
 @dataclass(frozen=True)
@@ -79,15 +79,18 @@ def build_loci(spark: SparkSession, focal_tf: str, ght: str, chip: str | None, o
     return write_tsv(table, out, gzip=True)
 
 
-def feature_table(table: DataFrame, genome: DataFrame, focal: np.ndarray, partners: dict[str, np.ndarray], signals: dict[str, DataFrame], contract: Contract = Contract()) -> DataFrame:
-    """Loci with sequence covariates, motif scores, interval signals and the log mean outcome of the signals named chip_rep*."""
+def feature_table(table: DataFrame, genome: DataFrame | str, focal: np.ndarray, partners: dict[str, np.ndarray], signals: dict[str, DataFrame | str], contract: Contract = Contract()) -> DataFrame:
+    """Loci with sequence covariates, motif scores, interval signals and the log mean outcome of the signals named chip_rep*.
+
+    genome: the path of a 2bit file, or its chunks; a signal: the path of a bigWig file, or intervals. Of files only what the loci need is read.
+    """
     s = F.col("sequence")
-    out = binary.contexts(table, genome, contract.context)
+    out = random_access.twobit_contexts(table, genome, contract.context) if isinstance(genome, str) else binary.contexts(table, genome, contract.context)
     scores = pwm.scan_column(s, {"focal": focal, **partners})
     out = out.withColumns({"gc_fraction": S.gc_fraction(s), "cpg_per_100bp": S.cpg_per_100bp(s), "n_fraction": S.n_fraction(s), "__m": scores})
     out = out.withColumns({"focal_monomer_score": F.col("__m")["focal"]} | {f"partner_raw::{p}": F.col("__m")[p] for p in partners}).drop("__m")
     for name, signal in signals.items():
-        out = intervals.interval_mean(out, signal, name)
+        out = random_access.bigwig_statistic(out, signal, name) if isinstance(signal, str) else intervals.interval_mean(out, signal, name)
     reps = [n for n in signals if n.startswith("chip_rep")]
     if reps:
         logs = [F.log1p(F.col(r)) for r in reps]

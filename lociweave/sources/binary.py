@@ -1,13 +1,15 @@
 """Readers of binary formats: archives, workbooks, bigWig signal, 2bit genomes, and chain files.
 
 Archives and workbooks come through Spark's binaryFile source, so any store works; one file is one task. bigWig and 2bit files are
-read in parts, by seeking, through the Python Data Source API: their paths must be readable on the executors.
+read in parts, by seeking (sources.random_access): as tables through the Python Data Source API, with the filters on places pushed down to the index, or at the
+places of loci, whose number decides how much is read.
 """
 
 from __future__ import annotations
 
-import glob
+import bisect
 import io
+import itertools
 import re
 import struct
 import tarfile
@@ -21,7 +23,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+
+from lociweave.sources.random_access import expand, open_file
 
 _CHUNK = 1 << 16
 #: Data blocks of a bigWig file that one task reads.
@@ -108,16 +112,17 @@ def header_table(rows: DataFrame, header_row: int, columns: list[str]) -> DataFr
 
 
 class BigWigFile:
-    """Random access to a bigWig file's chromosomes and data blocks."""
+    """Random access to a bigWig file's chromosomes and data blocks; file: a path or an open file."""
 
-    def __init__(self, path: str) -> None:
-        self.f = open(path, "rb")  # noqa: SIM115
+    def __init__(self, file: str | io.IOBase) -> None:
+        self.f = open_file(file) if isinstance(file, str) else file
         head = self.f.read(64)
-        self.e = "<" if struct.unpack("<I", head[:4])[0] == 0x888FFC26 else ">"
-        if struct.unpack(self.e + "I", head[:4])[0] != 0x888FFC26:
-            raise ValueError(f"{path} isn't a bigWig file")
+        self.e = "<" if len(head) == 64 and struct.unpack("<I", head[:4])[0] == 0x888FFC26 else ">"
+        if len(head) < 64 or struct.unpack(self.e + "I", head[:4])[0] != 0x888FFC26:
+            raise ValueError(f"{file} isn't a bigWig file")
         _, _, tree, _, self.index, _, _, _, _, self.packed = struct.unpack(self.e + "HHQQQHHQQI", head[4:56])
         self.chroms: dict[str, tuple[int, int]] = {}
+        self.read_blocks = 0
         self.f.seek(tree)
         _, _, key, _, _, _ = struct.unpack(self.e + "IIIIQQ", self.f.read(32))
         self._chroms(tree + 32, key)
@@ -133,25 +138,26 @@ class BigWigFile:
             else:
                 self._chroms(struct.unpack(self.e + "Q", item[key:])[0], key)
 
-    def blocks(self, chrom: int, at: int | None = None) -> Iterator[tuple[int, int]]:
-        """(offset, size) of the data blocks with a chromosome's values."""
+    def blocks(self, chrom: int, start: int = 0, end: int = 1 << 32, at: int | None = None) -> Iterator[tuple[int, int]]:
+        """(offset, size) of the data blocks that may hold values of a chromosome's range, down the branches of the index that overlap it."""
         at = self.index + 48 if at is None else at
         self.f.seek(at)
         leaf, _, n = struct.unpack(self.e + "BBH", self.f.read(4))
         width = 32 if leaf else 24
         data = self.f.read(n * width)
         for k in range(n):
-            lo, _, hi, _, offset = struct.unpack(self.e + "IIIIQ", data[k * width : k * width + 24])
-            if lo <= chrom <= hi:
+            lo, first, hi, last, offset = struct.unpack(self.e + "IIIIQ", data[k * width : k * width + 24])
+            if (lo, first) < (chrom, end) and (hi, last) > (chrom, start):
                 if leaf:
                     yield offset, struct.unpack(self.e + "Q", data[k * width + 24 : (k + 1) * width])[0]
                 else:
-                    yield from self.blocks(chrom, offset)
+                    yield from self.blocks(chrom, start, end, offset)
 
     def columns(self, chrom: int, offset: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """(starts, ends, values) of a data block, or None if it is another chromosome's."""
         self.f.seek(offset)
         data = self.f.read(size)
+        self.read_blocks += 1
         data = zlib.decompress(data) if self.packed else data
         own, start, _, step, span, kind, _, n = struct.unpack(self.e + "IIIIIBBH", data[:24])
         if own != chrom:
@@ -174,7 +180,10 @@ class _Part(InputPartition):
 
 
 class BigWigSource(DataSource):
-    """spark.read.format('bigwig').load(path): chrom, s_start, s_end, value; a partition for BLOCKS data blocks of a file's chromosome."""
+    """spark.read.format('bigwig').load(path): chrom, s_start, s_end, value; a partition for _BLOCKS data blocks of a file's chromosome.
+
+    Equality and lists of chrom and bounds of s_start and s_end are pushed down: only blocks whose range in the index overlaps are read.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -189,33 +198,82 @@ class BigWigSource(DataSource):
 
 class _BigWigReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.paths = sorted(glob.glob(options["path"]))
+        self.path = options["path"]
+        self.chroms: set[str] | None = None
+        # of a value's start and end: the least and the largest
+        self.bounds = {"s_start": [0, 1 << 33], "s_end": [0, 1 << 33]}
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = f.attribute[-1] if len(getattr(f, "attribute", ())) == 1 else None
+            if isinstance(f, IsNotNull) and name != "value":
+                continue
+            if name == "chrom" and isinstance(f, (EqualTo, In)):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.chroms = own if self.chroms is None else self.chroms & own
+            elif name in self.bounds and isinstance(f, (EqualTo, LessThan, LessThanOrEqual, GreaterThan, GreaterThanOrEqual)):
+                low, high = self.bounds[name]
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    low = max(low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    high = min(high, f.value - isinstance(f, LessThan))
+                self.bounds[name] = [low, high]
+            else:
+                yield f
 
     def partitions(self):
         parts = []
-        for p in self.paths:
+        # a block's range is that of its values: from the first start to the last end
+        start, end = self.bounds["s_end"][0] - 1, self.bounds["s_start"][1] + 1
+        for p in expand(self.path):
             f = BigWigFile(p)
             for c, (k, _) in f.chroms.items():
-                blocks = list(f.blocks(k))
-                parts += [_Part(p, c, k, *(x for b in blocks[i : i + _BLOCKS] for x in b)) for i in range(0, len(blocks), _BLOCKS)]
-        return parts
+                if self.chroms is None or c in self.chroms:
+                    blocks = list(f.blocks(k, start, end))
+                    parts += [_Part(p, c, k, *(x for b in blocks[i : i + _BLOCKS] for x in b)) for i in range(0, len(blocks), _BLOCKS)]
+        return parts or [_Part("", "", 0)]
 
     def read(self, part):
+        if not part.rest[1:]:
+            return
         f, (chrom, *at) = BigWigFile(part.path), part.rest
         for offset, size in zip(at[::2], at[1::2]):
             if found := f.columns(chrom, offset, size):
-                starts, ends, values = found
-                yield pa.RecordBatch.from_arrays([pa.array([part.name] * len(starts), pa.string()), pa.array(starts), pa.array(ends), pa.array(values)], names=["chrom", "s_start", "s_end", "value"])
+                keep = np.ones(len(found[0]), bool)
+                for x, (low, high) in zip(found, self.bounds.values()):
+                    keep &= (x >= low) & (x <= high)
+                yield _signal_batch(part.name, *(x[keep] for x in found))
+
+
+def _signal_batch(chrom: str, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chrom] * len(starts), pa.string()), pa.array(starts), pa.array(ends), pa.array(values)], names=["chrom", "s_start", "s_end", "value"])
+
+
+def bigwig_content(files: DataFrame) -> DataFrame:
+    """(chrom, s_start, s_end, value) of bigWig files in a column content, as Spark's binaryFile source gives them from any store; one file is one task, and at most 2 GiB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                f = BigWigFile(io.BytesIO(content.as_py()))
+                for c, (k, _) in f.chroms.items():
+                    for at in list(f.blocks(k)):
+                        if found := f.columns(k, *at):
+                            yield _signal_batch(c, *found)
+
+    return files.select("content").mapInArrow(run, "chrom string, s_start long, s_end long, value double")
 
 
 # --- 2bit
 
 
 class TwoBitFile:
-    """Random access to the sequences of a 2bit file."""
+    """Random access to the sequences of a 2bit file; file: a path or an open file."""
 
-    def __init__(self, path: str) -> None:
-        self.f = open(path, "rb")  # noqa: SIM115
+    def __init__(self, path: str | io.IOBase) -> None:
+        self.f = open_file(path) if isinstance(path, str) else path
+        self.read_bytes = 0
+        self._heads: dict[str, tuple[int, list, int]] = {}
         head = self.f.read(16)
         self.e = "<" if struct.unpack("<I", head[:4])[0] == 0x1A412743 else ">"
         mark, _, n, _ = struct.unpack(self.e + "IIII", head)
@@ -236,19 +294,29 @@ class TwoBitFile:
         return struct.unpack(self.e + "I", self.f.read(4))[0]
 
     def sequence(self, name: str, start: int, end: int) -> str:
-        size = self.size(name)
-        unknown, _ = self._ranges(), self._ranges()
-        self.f.read(4)
-        base, start, end = self.f.tell(), max(0, start), min(end, size)
+        """The bases of a range, as far as it is inside; N where they are unknown. Only the range's bytes are read, and a sequence's unknown ranges once."""
+        if name not in self._heads:
+            size = self.size(name)
+            unknown, _ = self._ranges(), self._ranges()
+            self.f.read(4)
+            self._heads[name] = size, unknown, self.f.tell()
+        size, unknown, base = self._heads[name]
+        start, end = max(0, start), min(end, size)
+        if start >= end:
+            return ""
         self.f.seek(base + start // 4)
         data = self.f.read((end + 3) // 4 - start // 4)
-        text = "".join(_FOUR[b] for b in data)[start % 4 :][: end - start]
-        out = list(text)
-        for s, n in unknown:
-            a, b = max(s, start), min(s + n, end)
-            if a < b:
-                out[a - start : b - start] = "N" * (b - a)
-        return "".join(out)
+        self.read_bytes += len(data)
+        text = "".join([_FOUR[b] for b in data])[start % 4 :][: end - start]
+        first = max(0, bisect.bisect_right(unknown, (start, 1 << 32)) - 1)
+        if first < len(unknown) and unknown[first][0] < end:
+            out = list(text)
+            for s, n in itertools.takewhile(lambda x: x[0] < end, itertools.islice(unknown, first, None)):
+                a, b = max(s, start), min(s + n, end)
+                if a < b:
+                    out[a - start : b - start] = "N" * (b - a)
+            text = "".join(out)
+        return text
 
 
 _FOUR = ["".join("TCAG"[b >> s & 3] for s in (6, 4, 2, 0)) for b in range(256)]
@@ -270,11 +338,11 @@ class TwoBitSource(DataSource):
 
 class _TwoBitReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.paths = sorted(glob.glob(options["path"]))
+        self.path = options["path"]
 
     def partitions(self):
         parts = []
-        for p in self.paths:
+        for p in expand(self.path):
             f = TwoBitFile(p)
             for name in f.at:
                 n = -(-f.size(name) // _CHUNK)
@@ -287,7 +355,23 @@ class _TwoBitReader(DataSourceReader):
             yield part.name, k, k * _CHUNK, f.sequence(part.name, k * _CHUNK, (k + 1) * _CHUNK)
 
 
+def twobit_content(files: DataFrame) -> DataFrame:
+    """(chrom, chunk, start, sequence) of 2bit files in a column content; one file is one task, and at most 2 GiB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                f = TwoBitFile(io.BytesIO(content.as_py()))
+                for name in f.at:
+                    for k in range(-(-f.size(name) // _CHUNK)):
+                        yield pa.RecordBatch.from_pydict({"chrom": [name], "chunk": [k], "start": [k * _CHUNK], "sequence": [f.sequence(name, k * _CHUNK, (k + 1) * _CHUNK)]})
+
+    return files.select("content").mapInArrow(run, "chrom string, chunk long, start long, sequence string")
+
+
 def register(spark: SparkSession) -> None:
+    """Makes the sources known to a session, and lets Spark push filters down to sources in Python, which it refuses for them otherwise."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BigWigSource)
     spark.dataSource.register(TwoBitSource)
 

@@ -78,23 +78,38 @@ def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
     return zip_bytes({n: c.encode() for n, c in files.items()})
 
 
-def bigwig_bytes(signal: dict[str, tuple[int, list[tuple[int, int, float]]]], items: int = 512) -> bytes:
-    """A bigWig file of {chromosome: (size, sorted disjoint intervals)}: uncompressed blocks, one tree of chromosomes and one leaf of blocks."""
+def bigwig_bytes(signal: dict[str, tuple[int, list[tuple[int, int, float]]]], items: int = 512, fan: int = 256) -> bytes:
+    """A bigWig file of {chromosome: (size, sorted disjoint intervals)}: uncompressed blocks of so many intervals, one tree of chromosomes, and a tree of blocks of that fan."""
     names, width = sorted(signal), max((len(n) for n in signal), default=1)
     tree = struct.pack("<IIIIQQ", 0x78CA8C91, len(names), width, 8, len(names), 0) + struct.pack("<BBH", 1, 0, len(names))
     tree += b"".join(n.encode().ljust(width, b"\0") + struct.pack("<II", k, signal[n][0]) for k, n in enumerate(names))
-    at, data, leaves = 64 + len(tree), b"", b""
-    count = 0
+    at, data = 64 + len(tree), b""
+    level: list[tuple] = []  # of each block or node: its range, and its offset and size, or its bytes
     for k, n in enumerate(names):
         values = signal[n][1]
         for i in range(0, len(values), items):
             part = values[i : i + items]
             block = struct.pack("<IIIIIBBH", k, part[0][0], part[-1][1], 0, 0, 1, 0, len(part)) + b"".join(struct.pack("<IIf", *v) for v in part)
-            leaves += struct.pack("<IIIIQQ", k, part[0][0], k, part[-1][1], at + len(data), len(block))
+            level.append(((k, part[0][0], k, part[-1][1]), at + len(data), len(block)))
             data += block
-            count += 1
-    index = struct.pack("<IIQIIIIQII", 0x2468ACE0, max(1, count), count, 0, 0, len(names), 0, at + len(data), items, 0) + struct.pack("<BBH", 1, 0, count) + leaves
-    return struct.pack("<IHHQQQHHQQIQ", 0x888FFC26, 4, 0, 64, at, at + len(data), 0, 0, 0, 0, 0, 0) + tree + data + index
+    count, leaf, nodes, begin = len(level), 1, b"", at + len(data) + 48
+    head = struct.pack("<IIQIIIIQII", 0x2468ACE0, max(1, count), count, 0, 0, len(names), 0, at + len(data), items, 0)
+    # nodes are laid out from the leaves up, but the root stands first: places are known once all are counted
+    tiers = [[level[i : i + fan] for i in range(0, count, fan)] or [[]]]
+    while len(tiers[-1]) > 1:
+        below = tiers[-1]
+        tiers.append([[((*x[0][0][:2], *x[-1][0][2:]), j + i) for j, x in enumerate(below[i : i + fan])] for i in range(0, len(below), fan)])
+    places, to = {}, begin
+    for t in range(len(tiers) - 1, -1, -1):
+        for j, x in enumerate(tiers[t]):
+            places[t, j] = to
+            to += 4 + len(x) * (24 if t else 32)
+    for t in range(len(tiers) - 1, -1, -1):
+        leaf = int(not t)
+        for x in tiers[t]:
+            nodes += struct.pack("<BBH", leaf, 0, len(x))
+            nodes += b"".join(struct.pack("<IIIIQQ", *own[0], own[1], own[2]) if leaf else struct.pack("<IIIIQ", *own[0], places[t - 1, own[1]]) for own in x)
+    return struct.pack("<IHHQQQHHQQIQ", 0x888FFC26, 4, 0, 64, at, at + len(data), 0, 0, 0, 0, 0, 0) + tree + data + head + nodes
 
 
 _TWO = np.zeros(256, np.uint8)
