@@ -1,8 +1,8 @@
 """Readers of binary formats: archives, workbooks, bigWig signal, 2bit genomes, and chain files.
 
 Archives and workbooks come through Spark's binaryFile source, so any store works; one file is one task. bigWig and 2bit files are
-read in parts, by seeking (sources.random_access): as tables through the Python Data Source API, with the filters on places pushed down to the index, or at the
-places of loci, whose number decides how much is read.
+read in parts, by seeking (sources.random_access): as tables through the Python Data Source API, of ranges that are options, or at the places of loci, whose
+number decides how much is read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lociweave.sources.random_access import expand, open_file
 
@@ -182,7 +182,9 @@ class _Part(InputPartition):
 class BigWigSource(DataSource):
     """spark.read.format('bigwig').load(path): chrom, s_start, s_end, value; a partition for _BLOCKS data blocks of a file's chromosome.
 
-    Equality and lists of chrom and bounds of s_start and s_end are pushed down: only blocks whose range in the index overlaps are read.
+    Options chrom (names with commas between), start and end keep the intervals that overlap these ranges; only blocks whose range in the index overlaps are read.
+    They are options, as Spark 4.1 keeps what it has pushed down to a source in Python with the table: another use of the same DataFrame, without filters or
+    with others, then gets the rows of the first one's.
     """
 
     @classmethod
@@ -199,37 +201,16 @@ class BigWigSource(DataSource):
 class _BigWigReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.path = options["path"]
-        self.chroms: set[str] | None = None
-        # of a value's start and end: the least and the largest
-        self.bounds = {"s_start": [0, 1 << 33], "s_end": [0, 1 << 33]}
-
-    def pushFilters(self, filters):
-        for f in filters:
-            name = f.attribute[-1] if len(getattr(f, "attribute", ())) == 1 else None
-            if isinstance(f, IsNotNull) and name != "value":
-                continue
-            if name == "chrom" and isinstance(f, (EqualTo, In)):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.chroms = own if self.chroms is None else self.chroms & own
-            elif name in self.bounds and isinstance(f, (EqualTo, LessThan, LessThanOrEqual, GreaterThan, GreaterThanOrEqual)):
-                low, high = self.bounds[name]
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    low = max(low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    high = min(high, f.value - isinstance(f, LessThan))
-                self.bounds[name] = [low, high]
-            else:
-                yield f
+        self.chroms = {c.strip() for c in options["chrom"].split(",")} if options.get("chrom") else None
+        self.start, self.end = int(options.get("start", 0)), int(options.get("end", 1 << 32))
 
     def partitions(self):
         parts = []
-        # a block's range is that of its values: from the first start to the last end
-        start, end = self.bounds["s_end"][0] - 1, self.bounds["s_start"][1] + 1
         for p in expand(self.path):
             f = BigWigFile(p)
             for c, (k, _) in f.chroms.items():
                 if self.chroms is None or c in self.chroms:
-                    blocks = list(f.blocks(k, start, end))
+                    blocks = list(f.blocks(k, self.start, self.end))
                     parts += [_Part(p, c, k, *(x for b in blocks[i : i + _BLOCKS] for x in b)) for i in range(0, len(blocks), _BLOCKS)]
         return parts or [_Part("", "", 0)]
 
@@ -239,9 +220,7 @@ class _BigWigReader(DataSourceReader):
         f, (chrom, *at) = BigWigFile(part.path), part.rest
         for offset, size in zip(at[::2], at[1::2]):
             if found := f.columns(chrom, offset, size):
-                keep = np.ones(len(found[0]), bool)
-                for x, (low, high) in zip(found, self.bounds.values()):
-                    keep &= (x >= low) & (x <= high)
+                keep = (found[0] < self.end) & (found[1] > self.start)
                 yield _signal_batch(part.name, *(x[keep] for x in found))
 
 
@@ -370,8 +349,7 @@ def twobit_content(files: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the sources known to a session, and lets Spark push filters down to sources in Python, which it refuses for them otherwise."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes the sources known to a session."""
     spark.dataSource.register(BigWigSource)
     spark.dataSource.register(TwoBitSource)
 
