@@ -240,7 +240,18 @@ def presence_scores(docs: DataFrame, sequence: str, a: np.ndarray, b: np.ndarray
 
 def kmer_columns(protein: Column, k: int = 2, alphabet: str = "ACDEFGHIKLMNPQRSTVWY") -> Column:
     """map<k-mer, share>; letters outside the alphabet go before windows are formed."""
-    s = F.regexp_replace(F.upper(protein), f"[^{alphabet}]", "")
-    n = F.length(s) - (k - 1)
-    mers = F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.map_from_entries(F.transform(F.array_distinct(mers), lambda m: F.struct(m, F.size(F.filter(mers, lambda x: x == m)) / n)))
+    def shares(mers: Column) -> Column:
+        names = F.array_distinct(mers)
+        first = F.transform(names, lambda m: F.array_position(mers, m))
+        return F.transform(F.array(F.struct(names.alias("names"), first.alias("first"))), lambda x: F.map_from_entries(
+            F.transform(x.names, lambda m, i: F.struct(m, (F.coalesce(F.get(x["first"], i + 1), F.size(mers) + F.lit(1)) - F.get(x["first"], i)) / F.size(mers)))
+        ))[0]
+
+    def windows(s: Column) -> Column:
+        n = F.length(s) - (k - 1)
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    # the letters, and the windows in order, are bound to lambdas' variables, so that each is worked out once; equal windows stand together
+    clean = F.regexp_replace(F.upper(protein), f"[^{alphabet}]", "")
+    sorted_ = F.transform(F.array(clean), lambda s: F.sort_array(windows(s)))
+    return F.transform(sorted_, shares)[0]

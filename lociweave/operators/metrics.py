@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociweave.operators.scale import quantiles, running_sums
@@ -17,11 +16,7 @@ def average_rank(df: DataFrame, value: str, out: str, keys: list[str] | None = N
     """df with the mean rank of equal values. Ranks come from counts of distinct values, summed over ranges of values."""
     keys = keys or []
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    if keys:
-        w = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        ranks = counts.withColumn("__upto", F.sum("__n").over(w))
-    else:
-        ranks = running_sums(counts, value, {"__upto": "__n"})
+    ranks = running_sums(counts, value, {"__upto": "__n"}, keys=keys)
     ranks = ranks.select(*keys, F.col(value).alias("__v"), (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
     cond = F.col(value) == F.col("__v")
     for k in keys:
@@ -47,17 +42,19 @@ def replicate_qc(df: DataFrame, first: str, second: str) -> DataFrame:
     return stats.crossJoin(spearman(logs, "la", "lb"))
 
 
-def _curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """(score, pos, neg, tp, fp) by distinct score, cumulated from the highest."""
-    by = df.groupBy(F.col(score).alias("p")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
+def _curve(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, score, pos, neg, tp, fp) by distinct score, cumulated from the highest."""
+    keys = keys or []
+    by = df.groupBy(*keys, F.col(score).alias("p")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
     by = by.withColumn("neg", F.col("n") - F.col("pos"))
-    return running_sums(by, "p", {"tp": "pos", "fp": "neg"}, descending=True)
+    return running_sums(by, "p", {"tp": "pos", "fp": "neg"}, descending=True, keys=keys)
 
 
-def auroc_ap(df: DataFrame, label: str, score: str) -> DataFrame:
-    """n, positives, prevalence, auroc, auprc (average precision), auprc_minus_prevalence and auprc_ratio, in one row."""
-    c = _curve(df, label, score)
-    s = c.agg(
+def auroc_ap(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
+    """n, positives, prevalence, auroc, auprc (average precision), auprc_minus_prevalence and auprc_ratio, in one row, or a row for each group of keys, all in one job."""
+    keys = keys or []
+    c = _curve(df, label, score, keys)
+    s = c.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("pos").alias("positives"),
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
     )
@@ -67,7 +64,7 @@ def auroc_ap(df: DataFrame, label: str, score: str) -> DataFrame:
         "auroc": F.when(both, F.col("area") / (F.col("positives") * (F.col("n") - F.col("positives")))),
         "auprc": F.when(F.col("positives") > 0, F.col("ap") / F.col("positives")),
     })
-    return s.select("n", "positives", "prevalence", "auroc", "auprc", (F.col("auprc") - F.col("prevalence")).alias("auprc_minus_prevalence"), (F.col("auprc") / F.col("prevalence")).alias("auprc_ratio"))
+    return s.select(*keys, "n", "positives", "prevalence", "auroc", "auprc", (F.col("auprc") - F.col("prevalence")).alias("auprc_minus_prevalence"), (F.col("auprc") / F.col("prevalence")).alias("auprc_ratio"))
 
 
 def calibration_error(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:

@@ -6,10 +6,9 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociweave.operators.scale import quantiles
+from lociweave.operators.scale import positions, quantiles, quantiles_of
 
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 
@@ -35,7 +34,8 @@ def binned_residuals(df: DataFrame, value: str, monomers: list[str], train: str,
     """value less the mean of the training rows in the same bins of all monomers, or their total mean where a bin has none."""
     training = df.filter(F.col(train))
     names = [f"__bin{i}" for i in range(len(monomers))]
-    edges = [quantile_edges(training, m, bins) for m in monomers]
+    cuts = quantiles_of(training, {m: m for m in monomers}, [k / bins for k in range(bins + 1)])
+    edges = [_interior(cuts[m]["all"]) for m in monomers]
     binned = df.withColumns({n: bin_of(m, e) for n, m, e in zip(names, monomers, edges)})
     means = binned.filter(F.col(train)).groupBy(*names).agg(F.avg(value).alias("__mean"))
     overall = training.agg(F.avg(value).alias("m")).first().m
@@ -49,8 +49,8 @@ def cross_fitted_residuals(df: DataFrame, value: str, monomers: list[str], fold:
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     others = {str(i): F.col(fold) != k for i, k in enumerate(folds)}
     got = df.agg(*[F.avg(F.when(c, F.col(value))).alias(f"m{i}") for i, c in others.items()]).first() if folds else None
-    cuts = [quantiles(df, m, [k / bins for k in range(bins + 1)], others) if folds else {} for m in monomers]
-    edges = {(i, j): _interior(cuts[j][str(i)]) for i in range(len(folds)) for j in range(len(monomers))}
+    cuts = quantiles_of(df, {m: m for m in monomers}, [k / bins for k in range(bins + 1)], others) if folds else {}
+    edges = {(i, j): _interior(cuts[m][str(i)]) for i in range(len(folds)) for j, m in enumerate(monomers)}
     names = [f"__bin{j}" for j in range(len(monomers))]
     copies = F.explode(F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(k).alias("__k"), *[bin_of(m, edges[i, j]).alias(names[j]) for j, m in enumerate(monomers)]) for i, k in enumerate(folds)]))
     spread = df.withColumn("__c", copies).select(*df.columns, "__c.*")
@@ -236,8 +236,7 @@ def block_bootstrap(df: DataFrame, block: str, outcome: str, draws: int = 2000,
 
 def shift_within(df: DataFrame, group: list[str], order: list[str], columns: list[str], shifts: DataFrame) -> DataFrame:
     """df with columns rolled within groups: row i takes the values of row i - shift. shifts: (group..., shift)."""
-    w = W.partitionBy(*group).orderBy(*order)
-    numbered = df.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count("*").over(W.partitionBy(*group))})
+    numbered = positions(df, group, order, "__i", "__n")
     moved = numbered.join(F.broadcast(shifts), group, "left").withColumn("__to", F.pmod(F.col("__i") + F.coalesce("shift", F.lit(0)), F.col("__n")))
     values = moved.select(*group, F.col("__to").alias("__i"), *columns)
     return numbered.drop(*columns, "__n").join(values, [*group, "__i"]).drop("__i")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociweave.operators.scale import at_ranks
+
 TARGETS = ("cooperative_signal", "composite_motif", "spacing_or_orientation")
 
 
@@ -95,9 +97,13 @@ def assign_split(pairs: DataFrame, by: str, fraction: float = 0.2, seed: int = 0
     A pair is in the test split if any of its groups is drawn: itself, its pair of families, or either factor.
     """
     members = {"pair": ["directed_pair"], "family_pair": ["family_pair"], "tf": ["bait", "prey"]}[by]
-    groups = pairs.select(F.explode(F.array(*members)).alias("g")).distinct()
+    groups = pairs.select(F.explode(F.array(*members)).alias("g")).distinct().withColumn("h", _drawn(F.col("g"), seed))
+    # the first 52 bits of the hashes, as numbers, give the n-th least; only those that share them with it are told apart by the whole hash
+    own = groups.withColumn("u", F.conv(F.substr("h", F.lit(1), F.lit(13)), 16, 10).cast("double"))
     n = max(1, round(groups.count() * fraction))
-    held = groups.orderBy(_drawn(F.col("g"), seed), "g").limit(n)
+    last = at_ranks(own, {"u": F.col("u")}, {("u", "all"): [n - 1]}, {"all": F.lit(True)})["u", "all", n - 1]
+    ties = sorted((r.h, r.g) for r in own.filter(F.col("u") == last).collect())[: n - own.filter(F.col("u") < last).count()]
+    held = own.filter((F.col("u") < last) | F.col("g").isin([g for _, g in ties])).select("g")
     out, hit = pairs, F.lit(False)
     for k, m in enumerate(members):
         out = out.join(held.select(F.col("g").alias(m), F.lit(True).alias(f"__{k}")), m, "left")
@@ -141,12 +147,16 @@ def protein_features(pairs: DataFrame, k: int = 2) -> DataFrame:
     """pairs with kmers: map of features of both sides, their absolute difference and product."""
     from lociweave.functions.pwm import kmer_columns
 
-    a, b = kmer_columns(F.col("bait_sequence"), k), kmer_columns(F.col("prey_sequence"), k)
-    out = pairs.withColumns({"__a": a, "__b": b}).withColumn("__k", F.array_union(F.map_keys("__a"), F.map_keys("__b")))
-    at = lambda m, key: F.coalesce(F.try_element_at(F.col(m), key), F.lit(0.0))
-    part = lambda p, f: F.transform("__k", lambda key: F.struct(F.concat(F.lit(p), key), f(key)))
-    rows = F.concat(part("a:", lambda x: at("__a", x)), part("b:", lambda x: at("__b", x)), part("d:", lambda x: F.abs(at("__a", x) - at("__b", x))), part("p:", lambda x: at("__a", x) * at("__b", x)))
-    return out.withColumn("kmers", F.map_from_entries(rows)).drop("__a", "__b", "__k")
+    def both(s: Column) -> Column:
+        at = lambda m, key: F.coalesce(F.try_element_at(m, key), F.lit(0.0))
+        keys = F.array_union(F.map_keys(s.a), F.map_keys(s.b))
+        rows = F.transform(keys, lambda key: F.struct(key.alias("key"), at(s.a, key).alias("a"), at(s.b, key).alias("b")))
+        part = lambda p, f: F.transform(rows, lambda r: F.struct(F.concat(F.lit(p), r.key).alias("key"), f(r.a, r.b).alias("value")))
+        return F.map_from_entries(F.concat(part("a:", lambda x, _: x), part("b:", lambda _, y: y), part("d:", lambda x, y: F.abs(x - y)), part("p:", lambda x, y: x * y)))
+
+    # both sides' maps are bound to a lambda's variable, so that each is worked out once
+    sides = F.struct(kmer_columns(F.col("bait_sequence"), k).alias("a"), kmer_columns(F.col("prey_sequence"), k).alias("b"))
+    return pairs.withColumn("kmers", F.transform(F.array(sides), both)[0])
 
 
 def identity_baseline(train: DataFrame, test: DataFrame, target: str, c: float = 1.0) -> DataFrame:

@@ -3,59 +3,167 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rank error of the sketches that brackets are made of, as a share; distinct values in brackets that the driver takes at once.
+ERROR, MOST = 1e-4, 200_000
 
-def running_sums(df: DataFrame, value: str, columns: dict[str, str], descending: bool = False, buckets: int = 64) -> DataFrame:
-    """df with running sums over the order of a number: {result: summed column}, each inclusive of its row.
 
-    The order is cut at approximate quantiles into buckets; each bucket is summed on its own, after the sums of the buckets
-    before it, a table of at most that many rows. value must be unique, as after a groupBy.
+def kept(df: DataFrame) -> DataFrame:
+    """df as files in the shared folder: what is costly to work out and read several times is worked out once, and survives a lost executor."""
+    from lociweave.sources.writers import shared_folder
+
+    at = shared_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def _buckets(df: DataFrame, value: str, buckets: int | None) -> Column:
+    """The number of a value's range among ranges cut at approximate quantiles, some for each shuffle partition."""
+    n = buckets or max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(df.approxQuantile(value, [k / n for k in range(1, n)], 0.25 / n)))
+    if not cuts:
+        return F.lit(0)
+    # two steps of the square root's size each
+    step = math.isqrt(len(cuts)) or 1
+    array = lambda values: F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    v = F.col(value).cast("double")
+    below = lambda some: F.size(F.filter(some, lambda e: e <= v))
+    coarse = F.transform(F.array(below(array(cuts[step - 1 :: step]))), lambda c: c * step + below(F.slice(array(cuts), c * step + 1, step)))
+    return F.coalesce(coarse[0], F.lit(-1))
+
+
+def running_sums(df: DataFrame, value: str, columns: dict[str, str], descending: bool = False, buckets: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """df with running sums over the order of a number: {result: summed column}, each inclusive of its row; with keys, within these.
+
+    The order is cut at approximate quantiles into buckets; each bucket of each key is summed on its own, after the sums of the key's buckets
+    before it, so that neither a key nor the whole is in one task. value must be unique within keys, as after a groupBy.
     """
-    cuts = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01)))
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda e: e <= F.col(value).cast("double"))) if cuts else F.lit(0)
+    keys = keys or []
+    bucket = _buckets(df, value, buckets)
     dealt = df.withColumn("__b", (-bucket if descending else bucket))
-    sums = dealt.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{r}") for r, c in columns.items()])
-    before = W.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("__b", *[F.coalesce(F.sum(f"__t_{r}").over(before), F.lit(0)).alias(f"__s_{r}") for r in columns])
-    own = W.partitionBy("__b").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(W.unboundedPreceding, 0)
-    out = dealt.join(F.broadcast(starts), "__b")
+    sums = dealt.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{r}") for r, c in columns.items()])
+    # a row for each bucket of each key
+    before = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{r}").over(before), F.lit(0)).alias(f"__s_{r}") for r in columns])
+    own = W.partitionBy(*keys, "__b").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(W.unboundedPreceding, 0)
+    if keys:
+        starts = starts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__c"), *[f"__s_{r}" for r in columns])
+        same = F.col("__b") == F.col("__c")
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+        out = dealt.join(starts, same)
+    else:
+        out = dealt.join(F.broadcast(starts), "__b")
     return out.select(*df.columns, *[(F.col(f"__s_{r}") + F.sum(c).over(own)).alias(r) for r, c in columns.items()])
 
 
-def _inside(start: Column, end: Column) -> Callable[[Column], Column]:
-    return lambda rank: (rank >= start) & (rank < end)
+def positions(df: DataFrame, group: list[str], order: list[str], index: str, total: str, buckets: int | None = None) -> DataFrame:
+    """df with each row's place in its group, from 0, and the group's size.
+
+    The first column of order is a number; order ends in a unique key. Rows are numbered within ranges of that number, after the rows of
+    the group's ranges before, so a group needs no task of its own.
+    """
+    dealt = df.withColumn("__b", _buckets(df, order[0], buckets))
+    counts = dealt.groupBy(*group, "__b").agg(F.count("*").alias("__n"))
+    every = W.partitionBy(*group)
+    starts = counts.select(*group, "__b", F.coalesce(F.sum("__n").over(every.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__s"), F.sum("__n").over(every).alias(total))
+    own = W.partitionBy(*group, "__b").orderBy(*order)
+    out = dealt.join(starts, [*group, "__b"])
+    return out.select(*df.columns, (F.col("__s") + F.row_number().over(own) - 1).alias(index), total)
+
+
+def at_ranks(df: DataFrame, columns: dict[str, Column], wanted: dict[tuple[str, str], list[int]], parts: dict[str, Column], sizes: dict[tuple[str, str], int] | None = None) -> dict[tuple[str, str, int], float]:
+    """The values at ranks, from 0, of several columns' values that aren't null, in several parts of the rows: {(column, part, rank): value}.
+
+    One aggregate of sketches brackets every rank by two values; a second counts what lies below the brackets, and a third the distinct values in them. Brackets
+    that hold more than MOST values together are bracketed anew among their own values, so the driver never takes more.
+    """
+    names, conds = list(columns), list(parts)
+    rows = df.select(*[c.cast("double").alias(f"v{i}") for i, c in enumerate(columns.values())], *[c.alias(f"c{j}") for j, c in enumerate(parts.values())])
+    sizes = sizes or part_sizes(df, columns, parts)
+    inside = {k: (-math.inf, math.inf) for k in wanted for _ in wanted[k]}
+    ranges = {(*k, r): inside[k] for k, rs in wanted.items() for r in rs}
+    below = dict.fromkeys(ranges, 0)
+    within = {(*k, r): sizes[k] for k, rs in wanted.items() for r in rs}
+    value = {k: F.when(F.col(f"c{conds.index(k[1])}"), F.col(f"v{names.index(k[0])}")) for k in wanted}
+    while True:
+        aggregates, spans = [], {}
+        for n, (at, (low, high)) in enumerate(ranges.items()):
+            own = value[at[:2]]
+            if (low, high) != (-math.inf, math.inf):
+                own = F.when((own >= low) & (own <= high), own)
+            p = (at[2] - below[at]) / max(1, within[at] - 1)
+            spans[at] = n
+            aggregates.append(F.percentile_approx(own, [max(0.0, p - 2 * ERROR), min(1.0, p + 2 * ERROR)], int(1 / ERROR)).alias(f"q{n}"))
+            aggregates += [F.min(own).alias(f"l{n}"), F.max(own).alias(f"h{n}")]
+        got = rows.agg(*aggregates).first()
+        for at, n in spans.items():
+            p = (at[2] - below[at]) / max(1, within[at] - 1)
+            ranges[at] = (got[f"l{n}"] if p <= 2 * ERROR else got[f"q{n}"][0], got[f"h{n}"] if p >= 1 - 2 * ERROR else got[f"q{n}"][1])
+        counts = rows.agg(*[f.alias(f"{x}{n}") for n, (at, (low, high)) in enumerate(ranges.items()) for own in [value[at[:2]]] for x, f in (("b", F.count_if(own < low)), ("w", F.count_if((own >= low) & (own <= high))))]).first()
+        for n, at in enumerate(ranges):
+            below[at], within[at] = counts[f"b{n}"], counts[f"w{n}"]
+        near = {k: F.lit(False) for k in names}
+        for (c, p, _), (low, high) in ranges.items():
+            near[c] |= value[c, p].between(low, high)
+        long = F.explode(F.array_compact(F.array(*[F.when(near[c], F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"))) for i, c in enumerate(names)])))
+        found = rows.select(long.alias("x"), *[f"c{j}" for j in range(len(conds))]).groupBy("x.i", "x.v").agg(*[F.count_if(f"c{j}").alias(f"n{j}") for j in range(len(conds))])
+        # few values, or so few left in each bracket that another round wouldn't narrow it
+        few = found.limit(MOST + 1).collect()
+        if len(few) <= MOST or all(low == high for low, high in ranges.values()):
+            break
+    out = {}
+    by: dict[int, list] = {}
+    for r in few:
+        by.setdefault(r["i"], []).append(r)
+    for own in by.values():
+        own.sort(key=lambda r: r["v"])
+    lists = {i: [r["v"] for r in own] for i, own in by.items()}
+    for (c, p, rank), (low, _) in ranges.items():
+        i, upto = names.index(c), below[c, p, rank]
+        j = f"n{conds.index(p)}"
+        if low == ranges[c, p, rank][1]:
+            out[c, p, rank] = low
+            continue
+        for r in by[i][bisect_left(lists[i], low) :]:
+            upto += r[j]
+            if upto > rank:
+                out[c, p, rank] = r["v"]
+                break
+    return out
+
+
+def part_sizes(df: DataFrame, columns: dict[str, Column], parts: dict[str, Column]) -> dict[tuple[str, str], int]:
+    """How many values that aren't null each column has in each part."""
+    got = df.agg(*[F.count(F.when(p, c)).alias(f"{i}_{j}") for i, c in enumerate(columns.values()) for j, p in enumerate(parts.values())]).first()
+    return {(c, p): got[f"{i}_{j}"] for i, c in enumerate(columns) for j, p in enumerate(parts)}
 
 
 def quantiles(df: DataFrame, column: str | Column, probabilities: list[float], parts: dict[str, Column] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles, linearly interpolated, of a number's values that aren't null: {part: quantiles of the rows where its condition holds}.
 
-    Without parts there is one, "all". No task holds more than a bucket of the distinct values; the driver gets two rows at most for each quantile
-    of each part. A part without values has None for each.
+    Without parts there is one, "all". A part without values has None for each.
     """
+    return quantiles_of(df, {"v": column}, probabilities, parts)["v"]
+
+
+def quantiles_of(df: DataFrame, columns: dict[str, str | Column], probabilities: list[float], parts: dict[str, Column] | None = None) -> dict[str, dict[str, list[float | None]]]:
+    """The same of several columns, together: {column: {part: quantiles}}."""
     parts = parts or {"all": F.lit(True)}
-    names = list(parts)
-    rows = df.select((F.col(column) if isinstance(column, str) else column).cast("double").alias("v"), *[c.alias(f"c{i}") for i, c in enumerate(parts.values())])
-    by = rows.filter(F.col("v").isNotNull()).groupBy("v").agg(*[F.count_if(f"c{i}").alias(f"n{i}") for i in range(len(names))])
-    totals = by.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(names))]).first()
-    at = {i: [p * (totals[f"n{i}"] - 1) for p in probabilities] for i in range(len(names)) if totals[f"n{i}"]}
-    ranks = {i: sorted({r for x in places for r in (math.floor(x), math.ceil(x))}) for i, places in at.items()}
-    if not ranks:
-        return {n: [None] * len(probabilities) for n in names}
-    run = running_sums(by, "v", {f"upto{i}": f"n{i}" for i in ranks})
-    hit = F.lit(False)
-    for i, wanted in ranks.items():
-        upto = F.col(f"upto{i}")
-        hit |= F.exists(F.array(*[F.lit(r).cast("long") for r in wanted]), _inside(upto - F.col(f"n{i}"), upto))
-    found = [r.asDict() for r in run.filter(hit).collect()]
-    value = {(i, k): r["v"] for i, rs in ranks.items() for k in rs for r in found if r[f"upto{i}"] - r[f"n{i}"] <= k < r[f"upto{i}"]}
-
-    def between(i: int, x: float) -> float:
+    own = {n: F.col(c) if isinstance(c, str) else c for n, c in columns.items()}
+    sizes = part_sizes(df, own, parts)
+    at = {k: [p * (n - 1) for p in probabilities] for k, n in sizes.items() if n}
+    ranks = {k: sorted({r for x in xs for r in (math.floor(x), math.ceil(x))}) for k, xs in at.items()}
+    value = at_ranks(df, own, ranks, parts, sizes) if ranks else {}
+
+    def between(k: tuple[str, str], x: float) -> float:
         low, high = math.floor(x), math.ceil(x)
-        return value[i, low] if low == high else (high - x) * value[i, low] + (x - low) * value[i, high]
+        a, b = value[*k, low], value[*k, high]
+        return a if low == high or a == b else (high - x) * a + (x - low) * b
 
-    return {n: [between(i, x) for x in at[i]] if i in at else [None] * len(probabilities) for i, n in enumerate(names)}
+    return {c: {p: [between((c, p), x) for x in at[c, p]] if (c, p) in at else [None] * len(probabilities) for p in parts} for c in columns}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.operators import audit, intervals, loci, metrics, models, pairs, panel
+from lociweave.operators.scale import positions
 from lociweave.operators.sinks import write_tsv
 from lociweave.plans.workflows import Contract
 from lociweave.sources import binary, supplements, text
@@ -109,13 +110,10 @@ def shifted_moments(rows: DataFrame, fold: str, baseline: list[str], added: str,
     shifts: (chrom, permutation, shift). Only a row's number and its added value are copied for each permutation; the copies are joined by chromosome and
     number, summed to a row for each permutation and fold before they are shuffled.
     """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("chrom")
-    keep = rows.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
+    keep = positions(rows, ["chrom"], order, "__i", "__n")
     by = shifts.groupBy("chrom").agg(F.collect_list(F.struct("permutation", "shift")).alias("__s"))  # a row for each chromosome
     moved = keep.select("chrom", "__i", "__n", F.col(added).alias("__v")).join(F.broadcast(by), "chrom").select("chrom", F.explode("__s").alias("s"), "__i", "__n", "__v")
-    moved = moved.select("chrom", "s.permutation", F.pmod(F.col("__i") + F.col("s.shift"), F.col("__n")).cast("int").alias("__i"), "__v")
+    moved = moved.select("chrom", "s.permutation", F.pmod(F.col("__i") + F.col("s.shift"), F.col("__n")).alias("__i"), "__v")
     joined = keep.select("chrom", "__i", F.col(fold).alias("fold"), *baseline, outcome).join(moved, ["chrom", "__i"])
     names = [*baseline, "__v", outcome]
     sums = [F.sum(c).alias(f"s_{i}") for i, c in enumerate(names)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociweave.functions import pwm
 from lociweave.functions import sequence as S
 from lociweave.operators import audit, intervals, metrics, models, pairs, panel, synth
+from lociweave.operators.scale import kept
 from lociweave.plans.interval_queries import A, LIFTED, _parts, chain_rows
 from lociweave.plans.model_queries import _FOLDS, PAIRS, ROWS, _rows, nation_pairs
 from lociweave.plans.registry import query, table
@@ -113,7 +114,7 @@ def q108_pair_members(spark, sf_dir):
 @query(f"""WITH {SEQ}, s AS (SELECT doc_id, replace(seq, 'N', '') AS s FROM seqs) SELECT doc_id, coalesce(array_to_string(list_transform(string_split(s, ''), lambda c: CASE c WHEN 'A' THEN '1000' WHEN 'C' THEN '0100' WHEN 'G' THEN '0010' WHEN 'T' THEN '0001' END), ''), '') AS code FROM s""")
 def q109_one_hot(spark, sf_dir):
     s = sequences(spark, sf_dir).withColumn("s", F.replace("seq", F.lit("N"), F.lit("")))
-    return s.select("doc_id", F.array_join(F.transform(S.one_hot(F.col("s")), lambda r: F.array_join(r.cast("array<string>"), "")), "").alias("code"))
+    return s.select("doc_id", S.one_hot_text(F.col("s")).alias("code"))
 
 
 _LETTERS = "letters AS (SELECT doc_id, i - 1 AS i, seq[i] AS base FROM seqs, LATERAL (SELECT unnest(range(1, length(seq) + 1)) AS i) u)"
@@ -154,7 +155,7 @@ _LN = 0.6931471805599453
 SELECT doc_id, round(s, 5) AS score, round(1 / (1 + exp(-greatest(least((s - c) / w, 30), -30))), 5) AS p FROM p, d""")
 def q112_presence(spark, sf_dir):
     a, b = pwm.probabilities(MOTIF), pwm.probabilities(PARTNER)
-    scored = pwm.presence_scores(sequences(spark, sf_dir), "seq", a, b).filter(metrics.finite(F.col("score")))
+    scored = kept(pwm.presence_scores(sequences(spark, sf_dir), "seq", a, b).filter(metrics.finite(F.col("score"))).select("doc_id", "score"))
     scale = metrics.robust_scale(scored, "score").first()
     z = F.least(F.greatest((F.col("score") - scale.center) / scale.scale, F.lit(-30.0)), F.lit(30.0))
     return scored.select("doc_id", F.round("score", 5).alias("score"), F.round(1 / (1 + F.exp(-z)), 5).alias("p"))

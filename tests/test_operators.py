@@ -217,3 +217,67 @@ def test_quantiles_are_exact_in_buckets(spark):
     assert np.isclose(r.center, np.median(own)) and np.isclose(r.scale, 1.4826 * np.median(np.abs(own - np.median(own))))
     assert quantile_summary(rows.filter("v is null"), "v").first() == (None,) * 5
     assert robust_scale(rows.limit(0), "v").first() == (None, None)
+
+
+def test_exact_quantiles_against_numpy(spark, monkeypatch):
+    from lociweave.operators import scale
+
+    rng = np.random.default_rng(5)
+    n = 3000
+    rows = [(float(a) if rng.random() > 0.05 else None, float(b), int(k)) for a, b, k in zip(rng.normal(size=n), rng.integers(0, 6, n), rng.integers(0, 4, n))]
+    df = spark.createDataFrame(rows, "a double, b double, k int").repartition(5)
+    ps = [0, 0.01, 0.25, 0.5, 0.77, 0.999, 1]
+    parts = {"all": F.lit(True), "k0": F.col("k") == 0, "not1": F.col("k") != 1, "none": F.col("k") == 9}
+    for most in (200_000, 40):  # what the driver takes at once; the smaller one takes several rounds
+        monkeypatch.setattr(scale, "MOST", most)
+        monkeypatch.setattr(scale, "ERROR", 1e-4 if most > 40 else 0.02)
+        got = scale.quantiles_of(df, {"a": "a", "b": F.col("b") * 2}, ps, parts)
+        for p, keep in (("all", lambda k: True), ("k0", lambda k: k == 0), ("not1", lambda k: k != 1)):
+            assert got["a"][p] == pytest.approx(np.quantile([x for x, _, k in rows if x is not None and keep(k)], ps).tolist(), abs=1e-12)
+            assert got["b"][p] == pytest.approx(np.quantile([2 * y for _, y, k in rows if keep(k)], ps).tolist(), abs=1e-12)
+        assert got["a"]["none"] == [None] * len(ps)
+    one = spark.createDataFrame([(3.0,)], "v double")
+    assert scale.quantiles(one, "v", [0.0, 0.3, 1.0]) == {"all": [3.0] * 3}
+
+
+def test_positions_and_keyed_running_sums(spark):
+    from lociweave.operators import scale
+
+    rng = np.random.default_rng(6)
+    rows = [(int(i), f"c{g}", int(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 500), rng.integers(0, 90, 500)))]
+    df = spark.createDataFrame(rows, "i int, g string, v int").repartition(4)
+    want = {}
+    for g in ("c0", "c1", "c2"):
+        own = sorted((v, i) for i, h, v in rows if h == g)
+        want |= {i: (k, len(own)) for k, (_, i) in enumerate(own)}
+    for buckets in (2, 7, 400):
+        assert {r.i: (r.at, r.n) for r in scale.positions(df, ["g"], ["v", "i"], "at", "n", buckets).collect()} == want
+        by = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+        got = {(r.g, r.v): r.upto for r in scale.running_sums(by, "v", {"upto": "n"}, True, buckets, ["g"]).collect()}
+        assert got == {(g, v): sum(1 for _, h, w in rows if h == g and w >= v) for _, g, v in rows}
+    scored = spark.createDataFrame([(g, int(v > 50 and i % 3 > 0), float(v)) for i, g, v in rows], "g string, y int, p double")
+    keyed = {r.g: (r.n, r.auroc, r.auprc) for r in metrics.auroc_ap(scored, "y", "p", ["g"]).collect()}
+    for g, found in keyed.items():
+        one = metrics.auroc_ap(scored.filter(F.col("g") == g), "y", "p").first()
+        assert found == pytest.approx((one.n, one.auroc, one.auprc))
+    ranked = {r.g: r.spearman for r in metrics.spearman(scored, "y", "p", ["g"]).collect()}
+    assert ranked["c1"] == pytest.approx(metrics.spearman(scored.filter("g = 'c1'"), "y", "p").first().spearman)
+
+
+def test_kmers_and_one_hot(spark):
+    from collections import Counter
+
+    from lociweave.operators import pairs
+
+    rows = [("ACDACDAC", "acx*"), ("A", ""), (None, "WWWWW"), ("MKTAYIAKQRQISFVKSHFSRQ" * 20, "ACD")]
+    out = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, bait_sequence string, prey_sequence string")
+    for r in pairs.protein_features(out, 2).collect():
+        clean = ["".join(c for c in (x or "").upper() if c in "ACDEFGHIKLMNPQRSTVWY") for x in rows[r.i]]
+        sides = [Counter(s[k : k + 2] for k in range(len(s) - 1)) for s in clean]
+        share = [{m: v / sum(c.values()) for m, v in c.items()} for c in sides]
+        want = {f"{p}:{m}": v for m in {*share[0], *share[1]} for x, y in [(share[0].get(m, 0.0), share[1].get(m, 0.0))] for p, v in (("a", x), ("b", y), ("d", abs(x - y)), ("p", x * y))}
+        assert dict(r.kmers) == pytest.approx(want)
+    r = spark.createDataFrame([("ACgt",), ("",)], "s string").select(S.one_hot_text(F.col("s")).alias("t"), S.one_hot(F.col("s")).alias("h")).collect()
+    assert r[0].t == "1000010000100001" == "".join(str(x) for row in r[0].h for x in row) and r[1].t == ""
+    with pytest.raises(Exception, match="can be encoded"):
+        spark.createDataFrame([("AN",)], "s string").select(S.one_hot_text(F.col("s"))).collect()
