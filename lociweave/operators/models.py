@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,16 +87,40 @@ class Moments:
         return Moments(self.n, self.s[at], self.g[np.ix_(at, at)])
 
 
+def gram(df: DataFrame, keys: list[str], columns: list[str]) -> dict[tuple[int, ...], Moments]:
+    """{keys: counts, sums and products of all columns}, for integer keys of which there are few combinations, in one job over the rows.
+
+    Every task multiplies its blocks with NumPy and gives a row for each combination; these are summed by Spark. A null is an error.
+    """
+    k = len(columns)
+    own = df.select(*[F.col(x).cast("long").alias(f"k{i}") for i, x in enumerate(keys)], *[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            if any(x.null_count for x in batch.columns):
+                raise ValueError("moments need values in all rows")
+            of = np.stack([batch.column(i).to_numpy() for i in range(len(keys))]) if keys else np.zeros((0, batch.num_rows))
+            x = np.stack([batch.column(len(keys) + i).to_numpy() for i in range(k)], axis=1)
+            groups, at = np.unique(of, axis=1, return_inverse=True)
+            for g in range(groups.shape[1]):
+                rows = x[at.ravel() == g]
+                m = sums.setdefault(tuple(groups[:, g].tolist()), [0, np.zeros(k), np.zeros((k, k))])
+                m[0] += len(rows)
+                m[1] += rows.sum(0)
+                m[2] += rows.T @ rows
+        if sums:
+            yield pa.RecordBatch.from_pydict({"key": [list(g) for g in sums], "v": [np.concatenate(([n], s, g.ravel())) for n, s, g in sums.values()]}, pa.schema([("key", pa.list_(pa.int64())), ("v", pa.list_(pa.float64()))]))
+
+    parts = own.mapInArrow(add, "key array<long>, v array<double>").select("key", F.posexplode("v").alias("i", "v"))
+    out: dict[tuple, np.ndarray] = {}
+    for r in parts.groupBy("key", "i").agg(F.sum("v").alias("v")).collect():  # 1 + k + k * k numbers for each combination
+        out.setdefault(tuple(r.key), np.zeros(1 + k + k * k))[r.i] = r.v
+    return {g: Moments(v[0], v[1 : k + 1], v[k + 1 :].reshape(k, k)) for g, v in out.items()}
+
+
 def moments_by_fold(df: DataFrame, fold: str, features: list[str], outcome: str) -> dict[int, Moments]:
-    k = len(features) + 1
-    out = {}
-    for r in fold_moments(df, fold, features, outcome).collect():  # a row for each fold
-        g = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                g[i, j] = g[j, i] = r[f"g_{i}_{j}"]
-        out[r.fold] = Moments(r.n, np.array([r[f"s_{i}"] for i in range(k)], float), g)
-    return out
+    return {g[0]: m for g, m in gram(df, [fold], [*features, outcome]).items()}
 
 
 def ridge(m: Moments, alpha: float) -> tuple[np.ndarray, float, np.ndarray]:
@@ -153,59 +179,135 @@ def nested_from_moments(by: dict[int, Moments], baseline: int, added: int) -> di
     }
 
 
-def nested_continuous(df: DataFrame, fold: str, baseline: list[str], added: list[str], outcome: str) -> tuple[DataFrame, dict]:
-    """Chromosome-held-out M0 (baseline) and M1 (with added features): out-of-fold predictions p0 and p1, and a summary.
+def _by_fold(fold: str, values: list[tuple[np.ndarray, float]], names: list[str], folds: list) -> Column:
+    """For each row the linear prediction of its fold's (coefficients, intercept)."""
+    out = None
+    for i, (c, b) in zip(folds, values):
+        p = F.lit(float(b))
+        for w, f in zip(c, names):
+            p = p + F.lit(float(w)) * F.col(f"`{f}`")
+        out = F.when(F.col(fold) == i, p) if out is None else out.when(F.col(fold) == i, p)
+    return out
+
+
+def nested_outcomes(df: DataFrame, fold: str, baseline: list[str], added: list[str], outcomes: list[str]) -> tuple[DataFrame, dict[str, dict]]:
+    """Chromosome-held-out M0 (baseline) and M1 (with added features) of several outcomes: out-of-fold predictions p0::<outcome> and p1::<outcome>, and a summary of each.
 
-    Fold i is tested, fold i + 1 chooses alpha, the others train. One pass gives all moments, one more predicts.
+    Fold i is tested, fold i + 1 chooses alpha, the others train. One pass gives all moments of all outcomes, one more predicts.
     """
     features = [*baseline, *added]
-    by = moments_by_fold(df, fold, features, outcome)
-    models, chosen, added_coefficients, _ = _nested_fits(by, len(baseline), len(added))
-    folds = sorted(by)
+    by = {g[0]: m for g, m in gram(df, [fold], [*features, *outcomes]).items()}
+    fits, columns = {}, {}
+    for j, outcome in enumerate(outcomes):
+        fits[outcome] = _nested_fits({i: m.only([*range(len(features)), len(features) + j]) for i, m in by.items()}, len(baseline), len(added))
+        for name, own in (("p0", baseline), ("p1", features)):
+            columns[f"{name}::{outcome}"] = _by_fold(fold, fits[outcome][0][name], own, sorted(by))
+    predicted = df.withColumns(columns)
+    errors = predicted.agg(*[F.avg((F.col(f"`{o}`") - F.col(f"`{n}::{o}`")) ** 2).alias(f"{n}_{j}") for j, o in enumerate(outcomes) for n in ("p0", "p1")]).first()
+    n = int(sum(m.n for m in by.values()))
+    out = {}
+    for j, o in enumerate(outcomes):
+        _, chosen, coefficients, _ = fits[o]
+        e0, e1 = errors[f"p0_{j}"], errors[f"p1_{j}"]
+        out[o] = {
+            "n": n, "mse_m0": e0, "mse_m1": e1, "partial_r2": 1 - e1 / e0, "alphas_m0": chosen["p0"], "alphas_m1": chosen["p1"],
+            "added_coefficients": coefficients, "median_added_coefficients": np.median(np.array(coefficients), axis=0).tolist(), "all_positive": all(x > 0 for r in coefficients for x in r),
+        }
+    return predicted, out
 
-    def prediction(name: str, names: list[str]) -> Column:
-        out = None
-        for i in folds:
-            c, b = models[name][i]
-            p = F.lit(b)
-            for w, f in zip(c, names):
-                p = p + F.lit(float(w)) * F.col(f)
-            out = F.when(F.col(fold) == i, p) if out is None else out.when(F.col(fold) == i, p)
-        return out
-
-    predicted = df.withColumns({"p0": prediction("p0", baseline), "p1": prediction("p1", features)})
-    e = predicted.agg(F.avg((F.col(outcome) - F.col("p0")) ** 2).alias("m0"), F.avg((F.col(outcome) - F.col("p1")) ** 2).alias("m1"), F.count("*").alias("n")).first()
-    median = np.median(np.array(added_coefficients), axis=0).tolist()
-    summary = {
-        "n": e.n, "mse_m0": e.m0, "mse_m1": e.m1, "partial_r2": 1 - e.m1 / e.m0, "alphas_m0": chosen["p0"], "alphas_m1": chosen["p1"],
-        "added_coefficients": added_coefficients, "median_added_coefficients": median, "all_positive": all(x > 0 for r in added_coefficients for x in r),
-    }
-    return predicted, summary
 
+def nested_continuous(df: DataFrame, fold: str, baseline: list[str], added: list[str], outcome: str) -> tuple[DataFrame, dict]:
+    """The same of one outcome, with predictions p0 and p1."""
+    predicted, summaries = nested_outcomes(df, fold, baseline, added, [outcome])
+    return predicted.withColumnsRenamed({f"p0::{outcome}": "p0", f"p1::{outcome}": "p1"}), summaries[outcome]
 
-def nested_binary(df: DataFrame, fold: str, baseline: list[str], added: list[str], outcome: str, c: float = 1.0) -> DataFrame:
-    """Out-of-fold probabilities p0 and p1 of class-balanced logistic models on standardised features, each trained on the other folds."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    folds, out = sorted(r[0] for r in df.select(fold).distinct().collect()), None
+def logistic_by_fold(df: DataFrame, fold: str, sets: dict[str, list[str]], outcome: str, c: float = 1.0, tolerance: float = 1e-9, most: int = 100) -> dict[str, dict]:
+    """{set: {fold: (coefficients, intercept)}} of class-balanced logistic models on standardised features, each trained without a fold; for features as they are.
+
+    Newton's method for all folds and sets at once: each step is one pass over the rows, in which every task sums gradients and Hessians. A step that raises a
+    model's loss is halved. The penalty is half the sum of squared standardised coefficients over c, the intercept is free.
+    """
+    names = sorted({x for own in sets.values() for x in own})
+    y, k = F.col(f"`{outcome}`").cast("double"), len(names)
+    rows = df.select(F.col(fold).cast("long").alias("f"), y.alias("y"), *[F.col(f"`{x}`").cast("double").alias(f"x{i}") for i, x in enumerate(names)])
+    by = {g[0]: m for g, m in gram(rows, ["f"], [*[f"x{i}" for i in range(k)], "y"]).items()}
+    folds = sorted(by)
+    total = None
+    for m in by.values():
+        total = m if total is None else total + m
+    scale, weight = {}, {}
     for i in folds:
-        train, test = df.filter(F.col(fold) != i), df.filter(F.col(fold) == i)
-        s = train.agg(F.count("*").alias("n"), F.sum(F.col(outcome).cast("double")).alias("pos"), *[f(x).alias(f"{n}_{x}") for x in [*baseline, *added] for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
-        weight = F.when(F.col(outcome) == 1, s.n / (2 * s.pos)).otherwise(s.n / (2 * (s.n - s.pos)))
-        z = {f"__z_{x}": (F.col(x) - s[f"mean_{x}"]) / (s[f"std_{x}"] or 1.0) for x in [*baseline, *added]}
-        scored = test.withColumns(z)
-        for name, columns in (("p0", baseline), ("p1", [*baseline, *added])):
-            assembler = VectorAssembler(inputCols=[f"__z_{x}" for x in columns], outputCol="__x")
-            fit = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", regParam=1 / (c * s.n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9, probabilityCol="__p", predictionCol="__pred", rawPredictionCol="__raw")
-            model = fit.fit(assembler.transform(train.withColumns(z | {"__w": weight, "__y": F.col(outcome).cast("double")})))
-            scored = model.transform(assembler.transform(scored)).withColumn(name, vector_to_array("__p")[1]).drop("__x", "__p", "__raw", "__pred")
-        scored = scored.drop(*z)
-        out = scored if out is None else out.unionByName(scored)
+        n, s, g = total.n - by[i].n, total.s - by[i].s, total.g - by[i].g
+        if not 0 < s[-1] < n:
+            raise ValueError(f"the rows outside of fold {i} are of one class")
+        mean = s[:-1] / n
+        std = np.sqrt(np.maximum(np.diag(g)[:-1] / n - mean**2, 0))
+        scale[i], weight[i] = (mean, np.where(std > 0, std, 1.0)), (n / (2 * (n - s[-1])), n / (2 * s[-1]))
+    models = [(i, name, [names.index(x) for x in own]) for i in folds for name, own in sets.items()]
+    at = [np.zeros(len(own) + 1) for _, _, own in models]
+    step = [np.zeros(len(own) + 1) for _, _, own in models]
+    loss = [np.inf] * len(models)
+
+    def sums(now: list[np.ndarray]) -> list[np.ndarray]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = [np.zeros(1 + len(w) + len(w) ** 2) for w in now]
+            for batch in batches:
+                f, label = batch.column("f").to_numpy(), batch.column("y").to_numpy()
+                x = np.stack([batch.column(f"x{j}").to_numpy() for j in range(k)], axis=1)
+                for j, (i, _, own) in enumerate(models):
+                    keep = f != i
+                    mean, std = scale[i]
+                    z = np.column_stack([(x[keep][:, own] - mean[own]) / std[own], np.ones(keep.sum())])
+                    t, s = label[keep], np.where(label[keep] == 1, weight[i][1], weight[i][0])
+                    eta = z @ now[j]
+                    p = 0.5 * (1 + np.tanh(eta / 2))
+                    out[j][0] += float(s @ (np.logaddexp(0, eta) - t * eta))
+                    out[j][1 : 1 + len(now[j])] += z.T @ (s * (p - t))
+                    out[j][1 + len(now[j]) :] += ((z.T * (s * p * (1 - p))) @ z).ravel()
+            yield pa.RecordBatch.from_pydict({"m": pa.array(range(len(out)), pa.int32()), "v": pa.array(out, pa.list_(pa.float64()))})
+
+        got = [np.zeros(1 + len(w) + len(w) ** 2) for w in now]
+        parts = rows.mapInArrow(add, "m int, v array<double>").select("m", F.posexplode("v").alias("i", "v"))
+        for r in parts.groupBy("m", "i").agg(F.sum("v").alias("v")).collect():
+            got[r.m][r.i] = r.v
+        return got
+
+    for _ in range(most):
+        moved = 0.0
+        for j, got in enumerate(sums(at)):
+            n = len(at[j])
+            free = np.append(np.ones(n - 1), 0.0) / c
+            value = got[0] + 0.5 * float(free @ at[j] ** 2)
+            if value > loss[j] + 1e-12 * abs(loss[j]):
+                step[j] = step[j] / 2
+                at[j] = at[j] - step[j]
+                moved = max(moved, float(np.abs(step[j]).max()))
+                continue
+            loss[j] = value
+            step[j] = -np.linalg.solve(got[1 + n :].reshape(n, n) + np.diag(free), got[1 : 1 + n] + free * at[j])
+            at[j] = at[j] + step[j]
+            moved = max(moved, float(np.abs(step[j]).max()))
+        if moved < tolerance:
+            break
+    out: dict[str, dict] = {name: {} for name in sets}
+    for (i, name, own), w in zip(models, at):
+        mean, std = scale[i]
+        out[name][i] = (w[:-1] / std[own], float(w[-1] - (w[:-1] / std[own]) @ mean[own]))
     return out
 
 
+def nested_binary(df: DataFrame, fold: str, baseline: list[str], added: list[str], outcome: str, c: float = 1.0) -> DataFrame:
+    """Out-of-fold probabilities p0 and p1 of class-balanced logistic models on standardised features, each trained on the other folds."""
+    sets = {"p0": sorted(baseline), "p1": sorted([*baseline, *added])}
+    found = logistic_by_fold(df, fold, sets, outcome, c)
+    columns = {}
+    for name, own in sets.items():
+        folds = sorted(found[name])
+        columns[name] = 1 / (1 + F.exp(-_by_fold(fold, [found[name][i] for i in folds], own, folds)))
+    return df.withColumns(columns)
+
+
 # --- resampling
 
 
@@ -227,7 +329,11 @@ def coefficient_summary(coefficients: DataFrame) -> DataFrame:
 def block_bootstrap(df: DataFrame, block: str, outcome: str, draws: int = 2000, seed: int = 0) -> dict[str, float]:
     """Percentiles of partial R2 over resampled blocks; the driver holds one row for each chromosome."""
     rows = sorted(sse_by_block(df, block, outcome).collect())
-    s0, s1 = np.array([r.sse0 for r in rows]), np.array([r.sse1 for r in rows])
+    return bootstrap_sse([r.sse0 for r in rows], [r.sse1 for r in rows], draws, seed)
+
+
+def bootstrap_sse(sse0: list[float], sse1: list[float], draws: int, seed: int) -> dict[str, float]:
+    s0, s1, rows = np.array(sse0), np.array(sse1), sse0
     at = np.random.default_rng(seed).integers(0, len(rows), (draws, len(rows)))
     r2 = 1 - s1[at].sum(1) / s0[at].sum(1)
     low, mid, high = np.percentile(r2, [2.5, 50, 97.5])

@@ -13,6 +13,7 @@ from lociweave.operators import metrics
 from lociweave.operators.loci import chromosome_fold, require_columns
 from lociweave.operators.models import cross_fitted_residuals, nested_binary, nested_continuous
 from lociweave.operators.pairs import apply_rates, eligible_panel, identity_baseline, leave_one_out, protein_features
+from lociweave.operators.scale import kept
 
 #: Columns that are, or begin like, baseline features.
 BASELINE_PREFIXES = ("ght_", "focal_monomer", "partner_monomer", "gc_", "cpg_", "n_fraction", "dnase", "atac", "tss_", "expression")
@@ -57,8 +58,18 @@ def evaluate_left_out(pairs: DataFrame, tf: str, target: str, models: dict | Non
 
 
 def evaluate_panel(pairs: DataFrame, target: str, least: tuple[int, int, int] = (10, 5, 5), models: dict | None = None) -> list[dict]:
-    """The same for every eligible factor, a short list."""
-    return [row for r in sorted(eligible_panel(pairs, least).collect()) for row in evaluate_left_out(pairs, r.tf, target, models)]
+    """The same for every eligible factor, a short list: each is fitted on its own, the metrics of all come from one job."""
+    scored = None
+    for r in sorted(eligible_panel(pairs, least).collect()):
+        train, test = leave_one_out(pairs, r.tf)
+        for name, fit in (models or BASELINES).items():
+            own = fit(train, test, target).select(F.lit(r.tf).alias("tf"), F.lit(name).alias("model"), F.col(target).cast("int").alias("__y"), F.col("probability").alias("__p"))
+            scored = own if scored is None else scored.unionByName(own)
+    if scored is None:
+        return []
+    order = {n: i for i, n in enumerate(models or BASELINES)}
+    rows = metrics.auroc_ap(kept(scored), "__y", "__p", ["tf", "model"]).collect()
+    return [r.asDict() for r in sorted(rows, key=lambda r: (r.tf, order[r.model]))]
 
 
 def baseline_features(df: DataFrame) -> list[str]:

@@ -115,14 +115,9 @@ def shifted_moments(rows: DataFrame, fold: str, baseline: list[str], added: str,
     moved = keep.select("chrom", "__i", "__n", F.col(added).alias("__v")).join(F.broadcast(by), "chrom").select("chrom", F.explode("__s").alias("s"), "__i", "__n", "__v")
     moved = moved.select("chrom", "s.permutation", F.pmod(F.col("__i") + F.col("s.shift"), F.col("__n")).alias("__i"), "__v")
     joined = keep.select("chrom", "__i", F.col(fold).alias("fold"), *baseline, outcome).join(moved, ["chrom", "__i"])
-    names = [*baseline, "__v", outcome]
-    sums = [F.sum(c).alias(f"s_{i}") for i, c in enumerate(names)]
-    products = [F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
     out: dict[int, dict[int, models.Moments]] = {}
-    k = len(names)
-    for r in joined.groupBy("permutation", "fold").agg(F.count("*").alias("n"), *sums, *products).collect():  # a row for each permutation and fold
-        g = np.array([[r[f"g_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-        out.setdefault(r.permutation, {})[r.fold] = models.Moments(r.n, np.array([r[f"s_{i}"] for i in range(k)], float), g)
+    for (permutation, i), m in models.gram(joined, ["permutation", "fold"], [*baseline, "__v", outcome]).items():
+        out.setdefault(permutation, {})[i] = m
     return out
 
 
@@ -139,12 +134,11 @@ def permutation_test(rows: DataFrame, fold: str, baseline: list[str], added: str
 
 
 def fit_outcomes(features: DataFrame, baseline: list[str], added: list[str], outcomes: list[str], contract: Contract = Contract(), seed: int = 0) -> dict[str, dict]:
-    """Nested models and bootstrap intervals of several outcomes on the same features."""
-    out = {}
-    for outcome in outcomes:
-        predicted, summary = models.nested_continuous(_fold(features, contract), "fold", baseline, added, outcome)
-        out[outcome] = summary | {"bootstrap": models.block_bootstrap(predicted, "chrom", outcome, contract.draws, seed)}
-    return out
+    """Nested models and bootstrap intervals of several outcomes on the same features: three jobs for any number of outcomes."""
+    predicted, out = models.nested_outcomes(_fold(features, contract), "fold", baseline, added, outcomes)
+    squares = [F.sum((F.col(f"`{o}`") - F.col(f"`{p}::{o}`")) ** 2).alias(f"{p}_{j}") for j, o in enumerate(outcomes) for p in ("p0", "p1")]
+    blocks = sorted(predicted.groupBy("chrom").agg(*squares).collect(), key=lambda r: r.chrom)  # a row for each chromosome
+    return {o: out[o] | {"bootstrap": models.bootstrap_sse([r[f"p0_{j}"] for r in blocks], [r[f"p1_{j}"] for r in blocks], contract.draws, seed)} for j, o in enumerate(outcomes)}
 
 
 def screen(features: DataFrame, baseline: list[str], added: str, outcome: str, replicates: list[str] = (), contract: Contract = Contract(), seed: int = 0) -> dict:

@@ -281,3 +281,52 @@ def test_kmers_and_one_hot(spark):
     assert r[0].t == "1000010000100001" == "".join(str(x) for row in r[0].h for x in row) and r[1].t == ""
     with pytest.raises(Exception, match="can be encoded"):
         spark.createDataFrame([("AN",)], "s string").select(S.one_hot_text(F.col("s"))).collect()
+
+
+def _newton(x, y, c):
+    """A class-balanced logistic model on standardised features, in NumPy."""
+    mean, std = x.mean(0), x.std(0)
+    z = np.c_[(x - mean) / std, np.ones(len(y))]
+    s = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    free, w = np.append(np.ones(x.shape[1]), 0) / c, np.zeros(x.shape[1] + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve((z.T * (s * p * (1 - p))) @ z + np.diag(free), z.T @ (s * (p - y)) + free * w)
+    return lambda v: 1 / (1 + np.exp(-(np.c_[(v - mean) / std, np.ones(len(v))] @ w)))
+
+
+def test_nested_logistic_models_match_numpy(spark):
+    rng = np.random.default_rng(8)
+    n = 600
+    a, b = rng.normal(3, 2, n), rng.normal(size=n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(a - 3 + 2 * b - 1)))).astype(int)
+    rows = [(i, float(a[i]), float(b[i]), int(y[i]), i % 4) for i in range(n)]
+    out = models.nested_binary(spark.createDataFrame(rows, "i int, b_two double, a_one double, y int, fold int").repartition(3), "fold", ["b_two"], ["a_one"], "y", 0.7)
+    got = {r.i: (r.p0, r.p1) for r in out.collect()}
+    for k in range(4):
+        train, test = np.arange(n) % 4 != k, np.flatnonzero(np.arange(n) % 4 == k)
+        for j, x in enumerate((a[:, None], np.c_[b, a])):
+            want = _newton(x[train], y[train], 0.7)(x[test])
+            assert [got[int(i)][j] for i in test] == pytest.approx(want.tolist(), abs=1e-6)
+    apart = spark.createDataFrame([(i, float(i), int(i > 20), i % 3) for i in range(40)], "i int, x double, y int, fold int")
+    assert models.nested_binary(apart.withColumn("z", F.lit(1.0)), "fold", ["x"], ["z"], "y", 100.0).filter("(p1 > 0.5) = (y = 1)").count() >= 38  # separable, and a constant column
+    with pytest.raises(ValueError, match="one class"):
+        models.nested_binary(apart.withColumn("y", F.lit(1)), "fold", ["x"], [], "y")
+
+
+def test_moments_of_many_outcomes_in_one_job(spark):
+    rng = np.random.default_rng(9)
+    n = 400
+    x = rng.normal(size=(n, 5))
+    fold, p = np.arange(n) % 3, np.arange(n) % 2
+    df = spark.createDataFrame([(*map(float, x[i]), int(fold[i]), int(p[i])) for i in range(n)], "a double, b double, c double, `o.1` double, o2 double, fold int, p int").repartition(4)
+    for (k, q), m in models.gram(df, ["fold", "p"], ["a", "b", "c", "o.1", "o2"]).items():
+        own = x[(fold == k) & (p == q)]
+        assert m.n == len(own) and np.allclose(m.s, own.sum(0)) and np.allclose(m.g, own.T @ own)
+    predicted, many = models.nested_outcomes(df, "fold", ["a", "b"], ["c"], ["o.1", "o2"])
+    assert {"p0::o.1", "p1::o2"} <= set(predicted.columns)
+    for o in ("o.1", "o2"):
+        one = models.nested_continuous(df, "fold", ["a", "b"], ["c"], o)[1]
+        assert many[o]["partial_r2"] == pytest.approx(one["partial_r2"]) and many[o]["alphas_m1"] == one["alphas_m1"]
+    with pytest.raises(Exception, match="all rows"):
+        models.gram(df.withColumn("a", F.lit(None).cast("double")), ["fold"], ["a"])
