@@ -113,10 +113,10 @@ def audit_asset(path: str) -> dict[str, object]:
     return {"path": path, "size_bytes": os.path.getsize(path), "sha256": sha256_file(path)}
 
 
-def asset_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size_bytes, sha256) of the files that a path, folder or glob names, in any store that Spark reads; a file is one task's."""
-    found = spark.read.format("binaryFile").load(path)
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+def asset_manifest(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """(name, size_bytes, sha256) of the files that a path, folder or glob names, in any store that Spark reads, or of a frame of (path, content); a file is one task's."""
+    found = spark.read.format("binaryFile").load(source) if isinstance(source, str) else source
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(found: DataFrame, wanted: DataFrame) -> DataFrame:

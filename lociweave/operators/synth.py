@@ -21,6 +21,12 @@ def derive_seed(*parts: object) -> int:
     return int.from_bytes(h[:8], "little") % (1 << 32)
 
 
+def seed_column(base: int, label: str, key: Column) -> Column:
+    """derive_seed() of every row's key, in the JVM: the first four bytes of the digest, the first one lowest."""
+    h = F.sha2(F.concat_ws("::", F.lit(str(base)), F.lit(label), key.cast("string")), 256)
+    return F.conv(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in (3, 2, 1, 0)]), 16, 10).cast("long")
+
+
 def background(rng: np.random.Generator, length: int, gc: float = 0.5, persistence: float = 0.0) -> str:
     """A base from the GC share, then the last one again with probability persistence, or a new draw."""
     p = [(1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2]

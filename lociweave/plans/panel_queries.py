@@ -191,13 +191,11 @@ def q115_protein_features(spark, sf_dir):
 
 @query("SELECT 'n' || n_nationkey || '.txt' AS name, octet_length(encode(n_name || n_regionkey))::BIGINT AS size_bytes, sha256(n_name || n_regionkey) AS sha256 FROM nation")
 def q116_asset_manifest(spark, sf_dir):
-    at, rows = writers.shared_folder(spark), table(spark, sf_dir, "nation").collect()
-    for r in rows:
-        writers.put(spark, f"{at}/n{r.n_nationkey}.txt", f"{r.n_name}{r.n_regionkey}".encode())
-    found = audit.asset_manifest(spark, f"{at}/*")
+    """A file of each nation, made by tasks, against what is expected of it."""
     text = F.concat("n_name", F.col("n_regionkey").cast("string"))
-    wanted = table(spark, sf_dir, "nation").select(F.format_string("n%s.txt", "n_nationkey").alias("name"), F.length(text.cast("binary")).cast("long").alias("size_bytes"), F.sha2(text, 256).alias("sha256"))
-    audit.exact_members([r.name for r in found.select("name").collect()], [f"n{r.n_nationkey}.txt" for r in rows], "files")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", text.alias("text"))
+    found = audit.asset_manifest(spark, writers.made_files(nation, ["n_nationkey"], lambda frame: frame["text"].iloc[0].encode(), "assets/n{}.txt"))
+    wanted = nation.select(F.format_string("n%s.txt", "n_nationkey").alias("name"), F.length(F.col("text").cast("binary")).cast("long").alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
     return audit.verify_manifest(found, wanted)
 
 
@@ -206,8 +204,7 @@ _NIBBLE = "(strpos('0123456789abcdef', substring(h, {0}, 1)) - 1)"
 
 @query(f"""WITH x AS (SELECT n_nationkey, sha256('7::pair::' || n_nationkey) AS h FROM nation) SELECT n_nationkey, ({' + '.join(f'(({_NIBBLE.format(2 * i + 1)}) * 16 + {_NIBBLE.format(2 * i + 2)}) * {256**i}' for i in range(4))})::BIGINT AS seed FROM x""")
 def q117_derive_seed(spark, sf_dir):
-    rows = [(r.n_nationkey, synth.derive_seed(7, "pair", r.n_nationkey)) for r in table(spark, sf_dir, "nation").collect()]
-    return spark.createDataFrame(rows, "n_nationkey int, seed long")
+    return table(spark, sf_dir, "nation").select("n_nationkey", synth.seed_column(7, "pair", F.col("n_nationkey")).alias("seed"))
 
 
 @query("SELECT n_nationkey::BIGINT AS pair_id, true AS valid FROM nation")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,6 @@ def _csv(df: DataFrame) -> str:
     return at
 
 
-def _one(spark: SparkSession, content: bytes, name: str) -> str:
-    return writers.put(spark, f"{writers.shared_folder(spark)}/{name}", content)
-
-
 @query(f"""WITH {_P} SELECT chrom, s AS start, s + 200 + l_quantity::BIGINT AS "end", CASE WHEN l_linenumber % 3 = 0 THEN (2 * s + 200 + l_quantity::BIGINT) // 2 ELSE s + l_linenumber * 7 END AS midpoint FROM p WHERE chrom <> 'chrX'""")
 def q70_read_narrowpeak(spark, sf_dir):
     p = _points(spark, sf_dir)
@@ -163,44 +161,64 @@ def q84_read_mex(spark, sf_dir):
 
 @query("SELECT n_name || '.txt' AS name, n_name || ',' || n_regionkey AS content FROM nation WHERE n_name NOT LIKE '%7'")
 def q85_read_archive(spark, sf_dir):
-    files = {f"{r.n_name}.{'bin' if r.n_name.endswith('7') else 'txt'}": f"{r.n_name},{r.n_regionkey}".encode() for r in table(spark, sf_dir, "nation").collect()}
-    out = binary.archive_members(spark, _one(spark, writers.zip_bytes(files), "a.zip"), r".*\.txt")
+    """A zip file of each region with a member for each nation."""
+
+    def make(frame: pd.DataFrame) -> bytes:
+        return writers.zip_bytes({f"{n}.{'bin' if n.endswith('7') else 'txt'}": f"{n},{r}".encode() for n, r in zip(frame["n_name"], frame["n_regionkey"])})
+
+    out = binary.archive_members(spark, writers.made_files(table(spark, sf_dir, "nation"), ["n_regionkey"], make, "{}.zip"), r".*\.txt")
     return out.select("name", F.col("content").cast("string").alias("content"))
 
 
-@query("SELECT (3 + row_number() OVER (ORDER BY n_nationkey))::BIGINT AS row_no, n_nationkey::VARCHAR AS \"Key\", CASE WHEN n_regionkey = 2 THEN NULL ELSE n_name END AS \"Name\" FROM nation")
+@query("SELECT (3 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey))::BIGINT AS row_no, n_nationkey::VARCHAR AS \"Key\", CASE WHEN n_regionkey = 2 THEN NULL ELSE n_name END AS \"Name\" FROM nation")
 def q86_read_workbook(spark, sf_dir):
-    nation = [[r.n_nationkey, None, None if r.n_regionkey == 2 else r.n_name] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-    book = writers.workbook_bytes({"notes": [["read <me> & go"]], "S1": [["title"], [None], ["Key", "x", "Name"], *nation]})
-    return binary.header_table(binary.xlsx_rows(spark, _one(spark, book, "w.xlsx"), "S1"), 3, ["Key", "Name"])
+    """A workbook of each region."""
+
+    def make(frame: pd.DataFrame) -> bytes:
+        own = frame.sort_values("n_nationkey")
+        rows = [[int(k), None, None if r == 2 else n] for k, r, n in zip(own["n_nationkey"], own["n_regionkey"], own["n_name"])]
+        return writers.workbook_bytes({"notes": [["read <me> & go"]], "S1": [["title"], [None], ["Key", "x", "Name"], *rows]})
+
+    return binary.header_table(binary.xlsx_rows(spark, writers.made_files(table(spark, sf_dir, "nation"), ["n_regionkey"], make, "{}.xlsx"), "S1"), 3, ["Key", "Name"])
+
+
+def _nations(spark: SparkSession, sf_dir: str, make: Callable[[pd.DataFrame], list[list]], sheet: str) -> DataFrame:
+    """The rows of a workbook of all nations, made by a task."""
+    book = lambda frame: writers.workbook_bytes({sheet: make(frame.sort_values("n_nationkey"))})
+    return binary.xlsx_rows(spark, writers.made_files(table(spark, sf_dir, "nation"), [], book, "{}.xlsx"), sheet)
 
 
 @query("""SELECT b.n_name AS bait, p.n_name AS prey, (b.n_nationkey + p.n_nationkey) % 4 <> 0 AS tested, (b.n_nationkey + p.n_nationkey) % 4 IN (2, 3) AS composite_motif, (b.n_nationkey + p.n_nationkey) % 4 = 3 AS spacing_or_orientation FROM nation b CROSS JOIN nation p""")
 def q87_read_interaction_matrix(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
-    value = ("N/A", "0", "1-FR", "1-FR, 2-RR")
-    rows = [["Section A"], ["Prey\\Bait", *(r.n_name for r in names)], *([p.n_name, *(value[(b.n_nationkey + p.n_nationkey) % 4] for b in names)] for p in names), ["Section B"], ["x", "y"]]
-    out = supplements.interaction_matrix(binary.xlsx_rows(spark, _one(spark, writers.workbook_bytes({"T2": rows}), "t.xlsx"), "T2"))
+    def make(frame: pd.DataFrame) -> list[list]:
+        names, value = list(zip(frame["n_nationkey"], frame["n_name"])), ("N/A", "0", "1-FR", "1-FR, 2-RR")
+        return [["Section A"], ["Prey\\Bait", *(n for _, n in names)], *([n, *(value[(b + k) % 4] for b, _ in names)] for k, n in names), ["Section B"], ["x", "y"]]
+
+    out = supplements.interaction_matrix(_nations(spark, sf_dir, make, "T2"))
     return out.select("bait", "prey", "tested", "composite_motif", "spacing_or_orientation")
 
 
 @query("""SELECT 'N' || n_nationkey || '_M' || n_regionkey AS pair, 'b' || n_regionkey AS batch, CASE WHEN n_regionkey % 2 = 0 THEN 'composite' ELSE 'spacing' END AS interaction_type, n_nationkey % 2 = 0 AS representative, 3::INTEGER AS positions, (4 * n_nationkey + 6)::DOUBLE AS first_total FROM nation""")
 def q88_read_pwm_models(spark, sf_dir):
-    rows: list[list] = [["Title"], ["Base", "TF_pairs", "ligand"]]
-    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
-        k = r.n_nationkey
-        rows.append(["Base", f"N{k}_M{r.n_regionkey}", "ACGTN", f"b{r.n_regionkey}", "NNN", 1, "3", "composite" if r.n_regionkey % 2 == 0 else "spacing", "YES" if k % 2 == 0 else "NO"])
-        rows += [[b, k + i, 1, 2] for i, b in enumerate("ACGT")]
-    out = supplements.pwm_models(binary.xlsx_rows(spark, _one(spark, writers.workbook_bytes({"T3": rows}), "t.xlsx"), "T3"))
+    def make(frame: pd.DataFrame) -> list[list]:
+        rows: list[list] = [["Title"], ["Base", "TF_pairs", "ligand"]]
+        for k, r in zip(map(int, frame["n_nationkey"]), frame["n_regionkey"]):
+            rows.append(["Base", f"N{k}_M{r}", "ACGTN", f"b{r}", "NNN", 1, "3", "composite" if r % 2 == 0 else "spacing", "YES" if k % 2 == 0 else "NO"])
+            rows += [[b, k + i, 1, 2] for i, b in enumerate("ACGT")]
+        return rows
+
+    out = supplements.pwm_models(_nations(spark, sf_dir, make, "T3"))
     total = F.aggregate(F.col("counts")[0], F.lit(0.0), lambda a, x: a + x)
     return out.select("pair", "batch", "interaction_type", "representative", F.size("counts").alias("positions"), total.alias("first_total"))
 
 
 @query("SELECT 'N' || n_nationkey || '_M' || n_regionkey AS pair, 'ACGT' AS left_kmer, 'TTT' AS right_kmer, (29 * n_nationkey + 406)::BIGINT AS counts FROM nation")
 def q89_read_spacing(spark, sf_dir):
-    rows: list[list] = [["Title"], ["TF1_TF2", "barcode", "batch", "type", "kmer1.kmer2", *(f"Count Gap {g}" for g in range(29))]]
-    rows += [[f"N{r.n_nationkey}_M{r.n_regionkey}", "bc", "b1", "t", "acgt.ttt", *(r.n_nationkey + g for g in range(29))] for r in table(spark, sf_dir, "nation").collect()]
-    out = supplements.spacing_counts(binary.xlsx_rows(spark, _one(spark, writers.workbook_bytes({"T7": rows}), "t.xlsx"), "T7"))
+    def make(frame: pd.DataFrame) -> list[list]:
+        rows = [[f"N{k}_M{r}", "bc", "b1", "t", "acgt.ttt", *(int(k) + g for g in range(29))] for k, r in zip(frame["n_nationkey"], frame["n_regionkey"])]
+        return [["Title"], ["TF1_TF2", "barcode", "batch", "type", "kmer1.kmer2", *(f"Count Gap {g}" for g in range(29))], *rows]
+
+    out = supplements.spacing_counts(_nations(spark, sf_dir, make, "T7"))
     return out.select("pair", "left_kmer", "right_kmer", F.aggregate("gap_counts", F.lit(0), lambda a, x: a + x).cast("long").alias("counts"))
 
 
@@ -303,16 +321,32 @@ def q98_count_columns(spark, sf_dir):
     return frame.select(F.col("gene").alias("row"), F.lit(",".join(sorted(found))).alias("columns"))
 
 
-def _book(spark: SparkSession, head: list[str], rows: list[list]) -> DataFrame:
-    """Rows of a workbook's table below its header, read back."""
-    book = writers.workbook_bytes({"S": [["title"], head, *rows]})
-    return binary.header_table(binary.xlsx_rows(spark, _one(spark, book, "t.xlsx"), "S"), 2, head)
+def _block() -> Column:
+    """The workbook of a supplier: a thousand go to each."""
+    return F.expr("s_suppkey div 1000").alias("block")
+
+
+def _books(rows: DataFrame, by: list[str], head: list[str], order: str, above: int = 1, header: bool = True) -> DataFrame:
+    """The rows of workbooks, one for each group and made by its task: some lines above, a header, and the columns named in it, as text."""
+
+    def make(frame: pd.DataFrame) -> bytes:
+        own = frame.sort_values(order)
+        values = [[None if v is None else str(v) for v in r] for r in own[head].itertuples(index=False, name=None)]
+        return writers.workbook_bytes({"S": [*([f"note {k}"] for k in range(above)), *([head] if header else []), *values]})
+
+    text_ = rows.select(*by, order, *[F.col(f"`{c}`").cast("string").alias(c) for c in head if c not in by and c != order])
+    return binary.xlsx_rows(rows.sparkSession, writers.made_files(text_, by, make, "-".join(["book", *["{}"] * len(by)])), "S")
+
+
+def _book(rows: DataFrame, by: list[str], head: list[str], order: str) -> DataFrame:
+    return binary.header_table(_books(rows, by, head, order), 2, head)
 
 
 @query("""SELECT 'E' || s_nationkey AS experiment, string_agg(s_suppkey || ':R' || s_suppkey, ',' ORDER BY s_suppkey) AS runs FROM supplier GROUP BY s_nationkey""")
 def q123_run_inventory(spark, sf_dir):
-    rows = [[f"E{r.s_nationkey}", r.s_suppkey, f"R{r.s_suppkey}"] for r in table(spark, sf_dir, "supplier").collect() for _ in range(2)]
-    out = supplements.run_inventory(_book(spark, ["experiment", "cycle", "run"], rows))
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(_block(), k, F.format_string("E%s", "s_nationkey").alias("experiment"), k.alias("cycle"), F.format_string("R%s", k).alias("run"))
+    out = supplements.run_inventory(_book(rows.unionByName(rows), ["block"], ["experiment", "cycle", "run"], "s_suppkey"))
     return out.select("experiment", F.array_join(F.transform("runs", lambda x: F.concat(x["cycle"].cast("string"), F.lit(":"), x["run"])), ",").alias("runs"))
 
 
@@ -320,10 +354,13 @@ _EXPERIMENTS = "SELECT 'X' || n_nationkey || CASE n_nationkey % 3 WHEN 0 THEN '_
 
 
 def _experiments(spark, sf_dir):
-    suffix = ("_b", "_12", "")
-    flag = ("NO", "yes", None, "")
-    rows = [[f"X{r.n_nationkey}{suffix[r.n_nationkey % 3]}", f"tf{r.n_regionkey}-dbd", f"B{r.n_regionkey}", "GHT" if r.n_nationkey % 2 else "ChIP", flag[r.n_nationkey % 4]] for r in table(spark, sf_dir, "nation").collect()]
-    return supplements.experiments(_book(spark, ["experiment", "tf", "batch", "assay", "approved"], rows), "ght")
+    k = F.col("n_nationkey")
+    pick = lambda *values: F.get(F.array(*[F.lit(v).cast("string") for v in values]), k % len(values))
+    rows = table(spark, sf_dir, "nation").select(
+        "n_regionkey", "n_nationkey", F.concat(F.format_string("X%s", k), pick("_b", "_12", "")).alias("experiment"), F.format_string("tf%s-dbd", "n_regionkey").alias("tf"),
+        F.format_string("B%s", "n_regionkey").alias("batch"), pick("ChIP", "GHT").alias("assay"), pick("NO", "yes", None, "").alias("approved"),
+    )
+    return supplements.experiments(_book(rows, ["n_regionkey"], ["experiment", "tf", "batch", "assay", "approved"], "n_nationkey"), "ght")
 
 
 @query(_EXPERIMENTS)
@@ -340,32 +377,36 @@ def q125_selected_runs(spark, sf_dir):
 
 @query("SELECT s_name AS filename, md5(s_suppkey::VARCHAR) AS md5 FROM supplier WHERE s_suppkey % 5 <> 0")
 def q126_expected_hashes(spark, sf_dir):
-    import hashlib
-
-    rows = [[r.s_name, hashlib.md5(str(r.s_suppkey).encode()).hexdigest().upper() if r.s_suppkey % 5 else None] for r in table(spark, sf_dir, "supplier").collect()]
-    book = writers.workbook_bytes({"S": [*([f"note {k}"] for k in range(8)), *rows]})
-    return supplements.expected_hashes(binary.xlsx_rows(spark, _one(spark, book, "m.xlsx"), "S"), 8)
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(_block(), k, "s_name", F.when(k % 5 != 0, F.upper(F.md5(k.cast("string")))).alias("md5"))
+    return supplements.expected_hashes(_books(rows, ["block"], ["s_name", "md5"], "s_suppkey", 8, False), 8)
 
 
 @query("""WITH r AS (SELECT 'TF' || (s_suppkey % 40) AS tf, 'F' || s_nationkey AS family, upper(replace(s_name, '#', '')) AS protein_sequence, s_suppkey FROM supplier) SELECT tf, family, protein_sequence FROM r QUALIFY row_number() OVER (PARTITION BY tf ORDER BY s_suppkey) = 1""")
 def q127_constructs(spark, sf_dir):
-    rows = [[f"tf{r.s_suppkey % 40}", f"F{r.s_nationkey}", r.s_name.replace("#", "")] for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect()]
-    return supplements.constructs(_book(spark, ["TF_name", "DBD", "Sequence"], rows))
+    """A workbook of each factor, of which the first row counts."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k, F.format_string("tf%s", k % 40).alias("TF_name"), F.format_string("F%s", "s_nationkey").alias("DBD"), F.replace("s_name", F.lit("#"), F.lit("")).alias("Sequence"))
+    return supplements.constructs(_book(rows, ["TF_name"], ["TF_name", "DBD", "Sequence"], "s_suppkey"))
 
 
 @query("""SELECT 'TF' || (s_suppkey % 10) AS bait, 'TF' || s_nationkey AS prey, arg_max(s_suppkey, s_suppkey)::VARCHAR AS value FROM supplier GROUP BY 1, 2""")
 def q128_interaction_table(spark, sf_dir):
-    rows = [[f"tf{r.s_suppkey % 10}", f"tf{r.s_nationkey}", r.s_suppkey] for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect()]
-    return supplements.interaction_table(_book(spark, ["TF1", "TF2", "signal"], rows), "row_no")
+    """A workbook of each pair, of which the last row counts."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(k, F.format_string("tf%s", k % 10).alias("TF1"), F.format_string("tf%s", "s_nationkey").alias("TF2"), k.alias("signal"))
+    return supplements.interaction_table(_book(rows, ["TF1", "TF2"], ["TF1", "TF2", "signal"], "s_suppkey"), "row_no")
 
 
 @query("""SELECT DISTINCT s_name AS gene FROM supplier WHERE s_suppkey % 3 = 1""")
 def q129_target_genes(spark, sf_dir):
-    rows = [[("ST", "EVT", "x")[r.s_suppkey % 3], f" {r.s_name} "] for r in table(spark, sf_dir, "supplier").collect() for _ in range(2)]
-    return supplements.target_genes(_book(spark, ["Cell_state", "Target"], rows), "evt")
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(_block(), k, F.get(F.array(F.lit("ST"), F.lit("EVT"), F.lit("x")), (k % 3).cast("int")).alias("Cell_state"), F.format_string(" %s ", "s_name").alias("Target"))
+    return supplements.target_genes(_book(rows.unionByName(rows), ["block"], ["Cell_state", "Target"], "s_suppkey"), "evt")
 
 
 @query("""SELECT s_name AS gene, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey::DOUBLE END AS "WT_1", s_nationkey::DOUBLE AS "KO_1" FROM supplier""")
 def q130_count_table(spark, sf_dir):
-    rows = [[r.s_name, "na" if r.s_suppkey % 4 == 0 else r.s_suppkey, r.s_nationkey] for r in table(spark, sf_dir, "supplier").collect()]
-    return supplements.count_table(_book(spark, ["GeneID", "WT_1", "KO_1"], rows))
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(_block(), k, F.col("s_name").alias("GeneID"), F.when(k % 4 == 0, "na").otherwise(k.cast("string")).alias("WT_1"), F.col("s_nationkey").alias("KO_1"))
+    return supplements.count_table(_book(rows, ["block"], ["GeneID", "WT_1", "KO_1"], "s_suppkey"))

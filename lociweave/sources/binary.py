@@ -25,39 +25,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lociweave.sources.random_access import expand, open_file
+from lociweave.sources.random_access import can_open, expand, open_file
 
 _CHUNK = 1 << 16
 #: Data blocks of a bigWig file that one task reads.
 _BLOCKS = 256
 
 
-def archive_members(spark: SparkSession, path: str, pattern: str = ".*", names: list[str] | None = None) -> DataFrame:
-    """(archive, name, content) of the members of zip and tar files, of the wanted names only; a missing name is an error."""
+def _content(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """(path, content) of the files at a path, or of a frame that has them."""
+    return (spark.read.format("binaryFile").load(source) if isinstance(source, str) else source).select("path", "content")
+
+
+def _members(file: io.IOBase, name: str, wanted: set[str] | None, pattern: str) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of an archive's members, one at a time. A tar file is read once from the front, and no further than the last wanted member."""
+    keep = lambda n: re.fullmatch(pattern, n) and (wanted is None or n in wanted)
+    left = set(wanted) if wanted is not None else None
+    head = file.read(4)
+    file.seek(0)
+    if head[:2] == b"PK":
+        with zipfile.ZipFile(file) as z:
+            for i in z.infolist():
+                if not i.is_dir() and keep(i.filename):
+                    left = left and left - {i.filename}
+                    yield i.filename, z.read(i)
+    else:
+        with tarfile.open(fileobj=file, mode="r|*") as t:
+            for m in t:
+                if m.isfile() and keep(m.name):
+                    yield m.name, t.extractfile(m).read()
+                    left = left and left - {m.name}
+                    if wanted is not None and not left:
+                        break
+                t.members.clear()  # what was read is not kept
+    if left:
+        raise ValueError(f"{name} lacks {', '.join(sorted(left))}")
+
+
+def archive_members(spark: SparkSession, source: str | DataFrame, pattern: str = ".*", names: list[str] | None = None) -> DataFrame:
+    """(archive, name, content) of the members of zip and tar files, of the wanted names only; a missing name is an error.
+
+    source: a path, or a frame of (path, content). At a path that tasks can open by seeking an archive is read as a stream, so a task holds one member at a time,
+    however large the archive is; in any other store, and in a frame, archives come whole, 2 GiB at most. A member is given whole or not at all.
+    """
     wanted = set(names) if names else None
+    streamed = isinstance(source, str) and can_open(spark, source)
 
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = lambda n: re.fullmatch(pattern, n) and (wanted is None or n in wanted)
+    def expand_(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for file, content in zip(frame["path"], frame["content"]):
-                rows, data = [], io.BytesIO(content)
-                if zipfile.is_zipfile(data):
-                    with zipfile.ZipFile(data) as z:
-                        rows = [(file, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and keep(i.filename)]
-                else:
-                    data.seek(0)
-                    with tarfile.open(fileobj=data, mode="r:*") as t:
-                        rows = [(file, m.name, t.extractfile(m).read()) for m in t if m.isfile() and keep(m.name)]
-                if wanted and (gone := wanted - {r[1] for r in rows}):
-                    raise ValueError(f"{file} lacks {', '.join(sorted(gone))}")
-                for row in rows:
-                    yield pd.DataFrame([row], columns=["archive", "name", "content"])
+            for k, path in enumerate(frame["path"]):
+                with open_file(path) if streamed else io.BytesIO(frame["content"].iloc[k]) as file:
+                    for name, content in _members(file, path, wanted, pattern):
+                        yield pd.DataFrame([(path, name, content)], columns=["archive", "name", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(expand, "archive string, name string, content binary")
+    if streamed:
+        paths = spark.read.format("binaryFile").load(source).select("path")
+        files = paths.repartition(max(1, min(paths.count(), 10_000)), "path")
+    else:
+        files = _content(spark, source)
+    return files.mapInPandas(expand_, "archive string, name string, content binary")
 
 
-def xlsx_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """(file, sheet, row_no, cells) of workbooks; row_no counts from 1 as in the file, cells are strings or null."""
+def xlsx_rows(spark: SparkSession, source: str | DataFrame, sheet: str | None = None) -> DataFrame:
+    """(file, sheet, row_no, cells) of workbooks at a path or in a frame of (path, content); row_no counts from 1 as in the file, cells are strings or null."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -68,7 +98,7 @@ def xlsx_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataF
                             part = rows[k : k + 4096]
                             yield pd.DataFrame({"file": file, "sheet": name, "row_no": [n for n, _ in part], "cells": [c for _, c in part]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "file string, sheet string, row_no long, cells array<string>")
+    return _content(spark, source).mapInPandas(read, "file string, sheet string, row_no long, cells array<string>")
 
 
 def workbook(content: bytes) -> list[tuple[str, list[tuple[int, list]]]]:

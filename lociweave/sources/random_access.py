@@ -61,18 +61,22 @@ def expand(path: str) -> list[str]:
     return found
 
 
+def can_open(spark: SparkSession, path: str) -> bool:
+    """Whether every task can open the path as it is: a local one where all tasks run on one host, or one of Arrow's file systems."""
+    master = spark.sparkContext.master
+    if _scheme(path) in _LOCAL:
+        return master.startswith("local") and not master.startswith("local-cluster")
+    try:
+        pafs.FileSystem.from_uri(path)
+        return True
+    except (pa.ArrowException, OSError):
+        return False
+
+
 def reachable(spark: SparkSession, path: str) -> str:
     """A path that open_file() can open in every task: the path itself, or that of a copy that Spark makes on every executor."""
-    master = spark.sparkContext.master
-    one_host = master.startswith("local") and not master.startswith("local-cluster")
-    if _scheme(path) in _LOCAL and one_host:
+    if can_open(spark, path):
         return path
-    if _scheme(path) not in _LOCAL:
-        try:
-            pafs.FileSystem.from_uri(path)
-            return path
-        except (pa.ArrowException, OSError):
-            pass
     spark.sparkContext.addFile(path)
     return _COPIED + posixpath.basename(path)
 

@@ -9,9 +9,11 @@ import struct
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,6 +46,17 @@ def put_lines(df: DataFrame, path: str, one: bool = False) -> str:
     return path
 
 
+def made_files(rows: DataFrame, by: list[str], make: Callable[[pd.DataFrame], bytes], name: str = "file-{}") -> DataFrame:
+    """(path, content): a file of each group of rows, made by the group's task, as Spark's binaryFile source would give them; name takes the group's values."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"path": [name.format(*(frame[c].iloc[0] for c in by))], "content": [make(frame)]})
+
+    if not by:
+        name = name.replace("{}", "0")
+    return rows.groupBy(*by).applyInPandas(one, "path string, content binary")
+
+
 def zip_bytes(files: dict[str, bytes]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

@@ -1,3 +1,4 @@
+import random
 import gzip
 import io
 import struct
@@ -188,3 +189,41 @@ def test_sinks(spark, tmp_path):
     c = count_export(spark.createDataFrame([("g", 2.5, 3.5), ("g", 9.0, 9.0)], "gene string, a double, b double"), "gene", ["a", "b"]).collect()
     assert [tuple(r) for r in c] == [("g", 2, 4)]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_archives_are_streams(spark, tmp_path):
+    """Tar files are read from the front, and no further than the last wanted member; members come whole, or the archive is an error."""
+    import io
+    import tarfile
+
+    def tar(path, members, mode="w:gz"):
+        with tarfile.open(path, mode) as t:
+            for name, content in members:
+                info = tarfile.TarInfo(name)
+                info.size = len(content)
+                t.addfile(info, io.BytesIO(content))
+
+    rng = random.Random(1)
+    big = [(f"m{i}.txt", rng.randbytes(200_000)) for i in range(20)]
+    tar(tmp_path / "a.tar.gz", big)
+    tar(tmp_path / "b.tar", [("m3.txt", b"x"), ("m0.txt", b""), ("d/other", b"y")], "w")
+    whole = (tmp_path / "a.tar.gz").read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.tar.gz").write_bytes(whole[: len(whole) // 2])
+    get = lambda path, **more: {(r.archive.rsplit("/", 1)[1], r.name): bytes(r.content) for r in binary.archive_members(spark, str(path), **more).collect()}
+    assert get(tmp_path / "*.gz") == {("a.tar.gz", n): c for n, c in big}
+    assert get(tmp_path, names=["m3.txt", "m0.txt"]) == {("a.tar.gz", "m0.txt"): big[0][1], ("a.tar.gz", "m3.txt"): big[3][1], ("b.tar", "m0.txt"): b"", ("b.tar", "m3.txt"): b"x"}
+    assert get(tmp_path / "cut", names=["m2.txt", "m0.txt"]) == {("a.tar.gz", "m0.txt"): big[0][1], ("a.tar.gz", "m2.txt"): big[2][1]}  # the damaged end is not reached
+    with pytest.raises(Exception):  # noqa: B017
+        get(tmp_path / "cut", names=["m19.txt"])
+    with pytest.raises(Exception, match="lacks nowhere"):
+        get(tmp_path / "b.tar", names=["m0.txt", "nowhere"])
+    content = binary.archive_members(spark, spark.read.format("binaryFile").load(str(tmp_path / "b.tar")), r"m.*")
+    assert {r.name for r in content.collect()} == {"m0.txt", "m3.txt"}
+
+
+def test_seeds_of_rows(spark):
+    from lociweave.operators import synth
+
+    got = spark.range(300).select("id", synth.seed_column(9, "pair", F.col("id")).alias("s")).collect()
+    assert all(r.s == synth.derive_seed(9, "pair", r.id) for r in got)
