@@ -30,8 +30,8 @@ from lociweave.llm.common import unused
 WIDTH = 16
 #: Digests that a table gets at most on average, of both texts, when a comparison is tried again, and the cells of its rows, one size after the other.
 LOAD, GROWTH = 6, (8, 16, 32)
-#: Where a text is cut: at the ends of lines, and behind the ends of sentences.
-CUT = r"\n|(?<=[.!?])[ \t]+"
+#: Ends of sentences, at whose space a line is cut.
+ENDS = ".!?"
 ADDED = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
@@ -42,7 +42,9 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs, in order."""
-    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(text, CUT), lambda x: x != ""), lambda x: F.xxhash64(x))))
+    for end in ENDS:
+        text = F.replace(text, F.lit(f"{end} "), F.lit(f"{end}\n"))
+    return F.sort_array(F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: x != ""), lambda x: F.xxhash64(x))))
 
 
 def places(keys: Column, width: int = WIDTH, salt: int = 0) -> Column:
