@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.operators.scale import at_ranks
 
+if TYPE_CHECKING:
+    from pyspark.ml import Transformer
+
 TARGETS = ("cooperative_signal", "composite_motif", "spacing_or_orientation")
 
 
@@ -159,9 +164,21 @@ def protein_features(pairs: DataFrame, k: int = 2) -> DataFrame:
     return pairs.withColumn("kmers", F.transform(F.array(sides), both)[0])
 
 
+def fitted(stages: list, rows: DataFrame) -> Transformer:
+    """A pipeline fitted to rows, as it is read back from the shared folder.
+
+    What fit() gives holds a summary with the session, which can't go to tasks once anything in the session was observed.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from lociweave.sources.writers import shared_folder
+
+    Pipeline(stages=stages).fit(rows).write().save(at := shared_folder(rows.sparkSession))
+    return PipelineModel.load(at)
+
+
 def identity_baseline(train: DataFrame, test: DataFrame, target: str, c: float = 1.0) -> DataFrame:
     """test with probability by class-balanced logistic regression on both sides' factor and family."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -175,4 +192,4 @@ def identity_baseline(train: DataFrame, test: DataFrame, target: str, c: float =
         VectorAssembler(inputCols=[f"__h_{n}" for n in names], outputCol="__x"),
         LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", regParam=1 / (c * s.n), standardization=False, maxIter=200, probabilityCol="__p", predictionCol="__q", rawPredictionCol="__r"),
     ]
-    return Pipeline(stages=steps).fit(rows).transform(test).select(*test.columns, vector_to_array("__p")[1].alias("probability"))
+    return fitted(steps, rows).transform(test).select(*test.columns, vector_to_array("__p")[1].alias("probability"))

@@ -12,7 +12,7 @@ from lociweave.functions.sequence import AMINO_ACIDS
 from lociweave.operators import metrics
 from lociweave.operators.loci import chromosome_fold, require_columns
 from lociweave.operators.models import cross_fitted_residuals, nested_binary, nested_continuous
-from lociweave.operators.pairs import apply_rates, eligible_panel, identity_baseline, leave_one_out, protein_features
+from lociweave.operators.pairs import apply_rates, eligible_panel, fitted, identity_baseline, leave_one_out, protein_features
 from lociweave.operators.scale import kept
 
 #: Columns that are, or begin like, baseline features.
@@ -25,7 +25,6 @@ def family_rate(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
 
 def kmer_baseline(train: DataFrame, test: DataFrame, target: str, k: int = 2, c: float = 1.0) -> DataFrame:
     """test with probability by class-balanced logistic regression on standardised k-mer features of both proteins."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -41,7 +40,7 @@ def kmer_baseline(train: DataFrame, test: DataFrame, target: str, k: int = 2, c:
         StandardScaler(inputCol="__x", outputCol="__z", withMean=True),
         LogisticRegression(featuresCol="__z", labelCol="__y", weightCol="__w", regParam=1 / (c * s.n), standardization=False, maxIter=100, probabilityCol="__p", predictionCol="__q", rawPredictionCol="__r"),
     ]
-    return Pipeline(stages=steps).fit(rows).transform(vector(test)).select(*test.columns, vector_to_array("__p")[1].alias("probability"))
+    return fitted(steps, rows).transform(vector(test)).select(*test.columns, vector_to_array("__p")[1].alias("probability"))
 
 
 BASELINES: dict[str, Callable[[DataFrame, DataFrame, str], DataFrame]] = {"family_rate": family_rate, "tf_identity": identity_baseline, "protein_kmer": kmer_baseline}

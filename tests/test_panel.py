@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from lociweave.operators import panel
 from lociweave.sources import supplements
@@ -38,9 +40,17 @@ def test_rebuild_audit(spark):
 
 
 def test_left_out_baselines(spark):
+    seen = Observation()  # a session that has observed anything can't go to tasks with a model
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get["n"] == 3
     rng = random.Random(4)
     tfs = {f"T{i}": (f"F{i % 3}", "".join(rng.choice("ACDEFGHIKL") for _ in range(30))) for i in range(9)}
     rows = [(a, b, int((i * 7 + j) % 3 == 0), 1, 1, tfs[a][0], tfs[b][0], tfs[a][1], tfs[b][1]) for i, a in enumerate(tfs) for j, b in enumerate(tfs)]
     pairs = spark.createDataFrame(rows, "bait string, prey string, cooperative_signal int, composite_motif int, spacing_or_orientation int, bait_family string, prey_family string, bait_sequence string, prey_sequence string")
     out = panel.evaluate_left_out(pairs, "T1", "cooperative_signal")
     assert [r["model"] for r in out] == ["family_rate", "tf_identity", "protein_kmer"] and all(r["n"] == 17 and 0 <= r["auroc"] <= 1 for r in out)
+    two = {"family_rate": panel.family_rate, "half": lambda train, test, target: test.withColumn("probability", F.lit(0.5))}
+    all_ = panel.evaluate_panel(pairs, "cooperative_signal", (1, 1, 1), two)
+    assert len(all_) == 18 and [r["tf"] for r in all_][:3] == ["T0", "T0", "T1"] and all(r["auroc"] == 0.5 for r in all_ if r["model"] == "half")
+    own = panel.evaluate_left_out(pairs, "T1", "cooperative_signal", two)
+    assert [{k: r[k] for k in ("n", "positives", "auroc")} for r in all_ if r["tf"] == "T1"] == [{k: r[k] for k in ("n", "positives", "auroc")} for r in own]
