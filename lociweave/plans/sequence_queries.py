@@ -120,12 +120,15 @@ def q26_kmer_vector(spark, sf_dir):
 
 
 
-@query(f"""WITH {_matrix_sql(MOTIF, 'm')}, counts(j, a, c, g, t) AS (VALUES {', '.join(f'({j}, {", ".join(f"{float(x)}::DOUBLE" for x in r)})' for j, r in enumerate(MOTIF))}),
+@query("""WITH counts AS (SELECT p_partkey % 6 AS j, count_if(p_size % 4 = 0)::DOUBLE AS a, count_if(p_size % 4 = 1)::DOUBLE AS c, count_if(p_size % 4 = 2)::DOUBLE AS g, count_if(p_size % 4 = 3)::DOUBLE AS t FROM part GROUP BY 1),
  p AS (SELECT j, [(a + 1e-6) / n, (c + 1e-6) / n, (g + 1e-6) / n, (t + 1e-6) / n] AS q FROM (SELECT *, a + c + g + t + 4e-6 AS n FROM counts))
 SELECT round(sum(2 + list_sum(list_transform(q, lambda x: x * log2(x)))), 6) AS bits, string_agg(substring('ACGT', list_position(q, list_max(q))::BIGINT, 1), '' ORDER BY j) AS consensus, count(*)::BIGINT AS positions FROM p""")
 def q61_pwm_algebra(spark, sf_dir):
-    p = pwm.probabilities(MOTIF)
-    return spark.createDataFrame([(round(pwm.information_bits(p), 6), pwm.consensus(p), len(p))], "bits double, consensus string, positions long")
+    """The matrix of counts by place and base, of which there are six, from all parts."""
+    base = F.col("p_size") % 4
+    rows = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 6).alias("j")).agg(*[F.count_if(base == k).cast("double").alias(b) for k, b in enumerate("ACGT")]).orderBy("j").collect()
+    m = pwm.probabilities(np.array([[r[b] for b in "ACGT"] for r in rows]))
+    return spark.createDataFrame([(round(float(pwm.information_bits(m)), 6), pwm.consensus(m), len(m))], "bits double, consensus string, positions long")
 
 
 @query(f"""WITH {SEQ} SELECT doc_id, substring(seq, 1, 20) || 'CCGCGNGG' || substring(seq, 29) AS implanted, (doc_id % 37) % 10 IN (0, 1, 9) AS positive FROM seqs WHERE length(seq) >= 40""")
