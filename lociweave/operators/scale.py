@@ -86,54 +86,63 @@ def at_ranks(df: DataFrame, columns: dict[str, Column], wanted: dict[tuple[str,
     names, conds = list(columns), list(parts)
     rows = df.select(*[c.cast("double").alias(f"v{i}") for i, c in enumerate(columns.values())], *[c.alias(f"c{j}") for j, c in enumerate(parts.values())])
     sizes = sizes or part_sizes(df, columns, parts)
-    inside = {k: (-math.inf, math.inf) for k in wanted for _ in wanted[k]}
-    ranges = {(*k, r): inside[k] for k, rs in wanted.items() for r in rs}
-    below = dict.fromkeys(ranges, 0)
-    within = {(*k, r): sizes[k] for k, rs in wanted.items() for r in rs}
     value = {k: F.when(F.col(f"c{conds.index(k[1])}"), F.col(f"v{names.index(k[0])}")) for k in wanted}
+    # neighbouring ranks share a bracket: [column and part, ranks, its ends, how many values lie below it and in it]
+    brackets: list[list] = []
+    for k, ranks in wanted.items():
+        for r in sorted(ranks):
+            if brackets and brackets[-1][0] == k and r - brackets[-1][1][0] <= 1:
+                brackets[-1][1].append(r)
+            else:
+                brackets.append([k, [r], (-math.inf, math.inf), 0, sizes[k]])
+    before = math.inf
     while True:
-        aggregates, spans = [], {}
-        for n, (at, (low, high)) in enumerate(ranges.items()):
-            own = value[at[:2]]
-            if (low, high) != (-math.inf, math.inf):
-                own = F.when((own >= low) & (own <= high), own)
-            p = (at[2] - below[at]) / max(1, within[at] - 1)
-            spans[at] = n
-            aggregates.append(F.percentile_approx(own, [max(0.0, p - 2 * ERROR), min(1.0, p + 2 * ERROR)], int(1 / ERROR)).alias(f"q{n}"))
-            aggregates += [F.min(own).alias(f"l{n}"), F.max(own).alias(f"h{n}")]
+        # one sketch for all brackets among the same values
+        spans: dict[tuple, list] = {}
+        for x in brackets:
+            spans.setdefault((x[0], x[2]), []).append(x)
+        aggregates = []
+        for n, ((k, (low, high)), own) in enumerate(spans.items()):
+            v = value[k] if (low, high) == (-math.inf, math.inf) else F.when((value[k] >= low) & (value[k] <= high), value[k])
+            ends = [min(1.0, max(0.0, (r - x[3]) / max(1, x[4] - 1) + e)) for x in own for r, e in ((x[1][0], -2 * ERROR), (x[1][-1], 2 * ERROR))]
+            aggregates += [F.percentile_approx(v, ends, int(1 / ERROR)).alias(f"q{n}"), F.min(v).alias(f"l{n}"), F.max(v).alias(f"h{n}")]
         got = rows.agg(*aggregates).first()
-        for at, n in spans.items():
-            p = (at[2] - below[at]) / max(1, within[at] - 1)
-            ranges[at] = (got[f"l{n}"] if p <= 2 * ERROR else got[f"q{n}"][0], got[f"h{n}"] if p >= 1 - 2 * ERROR else got[f"q{n}"][1])
-        counts = rows.agg(*[f.alias(f"{x}{n}") for n, (at, (low, high)) in enumerate(ranges.items()) for own in [value[at[:2]]] for x, f in (("b", F.count_if(own < low)), ("w", F.count_if((own >= low) & (own <= high))))]).first()
-        for n, at in enumerate(ranges):
-            below[at], within[at] = counts[f"b{n}"], counts[f"w{n}"]
-        near = {k: F.lit(False) for k in names}
-        for (c, p, _), (low, high) in ranges.items():
+        for n, own in enumerate(spans.values()):
+            for m, x in enumerate(own):
+                first, last = ((r - x[3]) / max(1, x[4] - 1) for r in (x[1][0], x[1][-1]))
+                x[2] = (got[f"l{n}"] if first <= 2 * ERROR else got[f"q{n}"][2 * m], got[f"h{n}"] if last >= 1 - 2 * ERROR else got[f"q{n}"][2 * m + 1])
+        counts = rows.agg(*[f(value[x[0]]).alias(f"{a}{n}") for n, x in enumerate(brackets) for low, high in [x[2]] for a, f in (("b", lambda v, low=low: F.count_if(v < low)), ("w", lambda v, low=low, high=high: F.count_if(v.between(low, high))))]).first()
+        for n, x in enumerate(brackets):
+            x[3], x[4] = counts[f"b{n}"], counts[f"w{n}"]
+        near = {c: F.lit(False) for c in names}
+        for (c, p), _, (low, high), *_ in brackets:
             near[c] |= value[c, p].between(low, high)
         long = F.explode(F.array_compact(F.array(*[F.when(near[c], F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v"))) for i, c in enumerate(names)])))
         found = rows.select(long.alias("x"), *[f"c{j}" for j in range(len(conds))]).groupBy("x.i", "x.v").agg(*[F.count_if(f"c{j}").alias(f"n{j}") for j in range(len(conds))])
-        # few values, or so few left in each bracket that another round wouldn't narrow it
         few = found.limit(MOST + 1).collect()
-        if len(few) <= MOST or all(low == high for low, high in ranges.values()):
+        if len(few) <= MOST:
             break
-    out = {}
+        if (now := sum(x[4] for x in brackets)) >= before:  # as narrow as they get
+            few = found.collect()
+            break
+        before = now
     by: dict[int, list] = {}
     for r in few:
         by.setdefault(r["i"], []).append(r)
     for own in by.values():
         own.sort(key=lambda r: r["v"])
     lists = {i: [r["v"] for r in own] for i, own in by.items()}
-    for (c, p, rank), (low, _) in ranges.items():
-        i, upto = names.index(c), below[c, p, rank]
-        j = f"n{conds.index(p)}"
-        if low == ranges[c, p, rank][1]:
-            out[c, p, rank] = low
+    out = {}
+    for (c, p), ranks, (low, high), below, _ in brackets:
+        if low == high:
+            out |= {(c, p, r): low for r in ranks}
             continue
+        i, j, left = names.index(c), f"n{conds.index(p)}", list(ranks)
         for r in by[i][bisect_left(lists[i], low) :]:
-            upto += r[j]
-            if upto > rank:
-                out[c, p, rank] = r["v"]
+            below += r[j]
+            while left and below > left[0]:
+                out[c, p, left.pop(0)] = r["v"]
+            if not left:
                 break
     return out
 
