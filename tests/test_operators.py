@@ -330,3 +330,25 @@ def test_moments_of_many_outcomes_in_one_job(spark):
         assert many[o]["partial_r2"] == pytest.approx(one["partial_r2"]) and many[o]["alphas_m1"] == one["alphas_m1"]
     with pytest.raises(Exception, match="all rows"):
         models.gram(df.withColumn("a", F.lit(None).cast("double")), ["fold"], ["a"])
+
+
+def test_equal_intervals_meet_once(spark):
+    """20,000 equal intervals on either side make no 400 million rows: links are counted, means are weighted."""
+    many = spark.range(20_000)
+    promoters = many.select(F.lit("chr1").alias("chrom"), F.lit("g").alias("gene"), F.lit(1000).cast("long").alias("promoter_start"), F.lit(1100).cast("long").alias("promoter_end"))
+    loops = many.select(F.lit("chr1").alias("chrom1"), F.lit(0).alias("start1"), F.lit(100).alias("end1"), F.lit("chr1").alias("chrom2"), F.lit(1000).alias("start2"), F.lit(1200).alias("end2"), (F.col("id") % 7).cast("double").alias("loop_score"))
+    own = spark.createDataFrame([("a", "chr1", 50, 60), ("b", "chr1", 1050, 1060), ("c", "chr1", 50, 60), ("c", "chr1", 60, 70), ("e", "chr1", 70, 70)], "locus_id string, chrom string, start long, end long")
+    got = {r.locus_id: (r.direct, r.loop_count, r.loop_score) for r in intervals.link_loci_to_promoters(own, promoters, loops).collect()}
+    n = 20_000**2
+    assert got == {"a": (False, n, 6.0), "b": (True, 20_000, 0.0), "c": (False, 2 * n, 6.0), "e": (False, n, 6.0)}
+    places = many.select(F.col("id").cast("string").alias("locus_id"), F.lit("chr1").alias("chrom"), F.lit(50).alias("start"), F.lit(60).alias("end"))
+    signal = many.select(F.lit("chr1").alias("chrom"), F.lit(0).alias("s_start"), F.lit(100).alias("s_end"), (F.col("id") % 2).cast("double").alias("value"))
+    assert intervals.interval_mean(places, signal, "v").agg(F.count("*"), F.min("v"), F.max("v")).first()[:] == (20_000, 0.5, 0.5)
+
+
+def test_bins_follow_the_intervals(spark):
+    """Short intervals get short bins, so that those of one neighbourhood aren't all compared with each other."""
+    short = spark.range(100).select(F.col("id").alias("s"), (F.col("id") + 90).alias("e"))
+    assert intervals.bin_width((short, "s", "e"), (short, "s", "e")) == 180
+    found = intervals.overlap_join(short.withColumn("c", F.lit(1)), short.select(F.lit(1).alias("c"), F.col("s").alias("x"), F.col("e").alias("y")), ["c"], ("s", "e"), ("x", "y"))
+    assert found.count() == sum(abs(i - j) < 90 for i in range(100) for j in range(100))
