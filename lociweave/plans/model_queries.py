@@ -177,10 +177,11 @@ def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = lambda x: F.max(x.cast("int"))
     rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     q = F.col("l_quantity")
-    return rows.groupBy("bait", "prey").agg(
+    # a row for each pair of nations, kept: what follows reads them several times, and the joins are made once
+    return kept(rows.groupBy("bait", "prey").agg(
         F.first("bf").alias("bf"), F.first("pf").alias("pf"), flag((F.col("l_discount") > 0.09) & (q > 45)).alias("cooperative_signal"),
         flag((F.col("l_tax") < 0.01) & (q > 40)).alias("composite_motif"), flag(q < 2).alias("spacing_or_orientation"),
-    )
+    ))
 
 
 @query(f"""WITH {PAIRS}, tr AS (SELECT * FROM pr WHERE pf <> 2), r AS (SELECT bf, pf, (sum(cooperative_signal) + 1.0::DOUBLE) / (count(*) + 2) AS rate FROM tr GROUP BY ALL)

@@ -352,3 +352,11 @@ def test_bins_follow_the_intervals(spark):
     assert intervals.bin_width((short, "s", "e"), (short, "s", "e")) == 180
     found = intervals.overlap_join(short.withColumn("c", F.lit(1)), short.select(F.lit(1).alias("c"), F.col("s").alias("x"), F.col("e").alias("y")), ["c"], ("s", "e"), ("x", "y"))
     assert found.count() == sum(abs(i - j) < 90 for i in range(100) for j in range(100))
+
+
+def test_nation_pairs_are_joined_once(spark):
+    """What q105 and q120 give stands on the kept pairs, not on the joins of the large tables again."""
+    from lociweave.plans import catalogue
+
+    for name in ("q105_assign_split", "q120_family_rate"):
+        assert not [f for f in catalogue.queries()[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
