@@ -153,6 +153,30 @@ def part_sizes(df: DataFrame, columns: dict[str, Column], parts: dict[str, Colum
     return {(c, p): got[f"{i}_{j}"] for i, c in enumerate(columns) for j, p in enumerate(parts)}
 
 
+def few_valued(df: DataFrame, columns: dict[str, Column]) -> list[str]:
+    """The columns with so few distinct values, by a sketch, that the driver can take all of them."""
+    got = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns.values())]).first()
+    return [n for i, n in enumerate(columns) if got[f"d{i}"] <= MOST // (4 * len(columns))]
+
+
+def ranks_by_counts(df: DataFrame, columns: dict[str, Column], wanted: dict[tuple[str, str], list[int]], parts: dict[str, Column]) -> dict[tuple[str, str, int], float]:
+    """at_ranks for columns of few distinct values: each value is counted in every part, in one job."""
+    names, conds = list(columns), list(parts)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("double").alias("v")) for i, c in enumerate(columns.values())]))
+    rows = df.select(pairs.alias("x"), *[c.alias(f"c{j}") for j, c in enumerate(parts.values())]).filter(F.col("x.v").isNotNull())
+    found = rows.groupBy("x.i", "x.v").agg(*[F.count_if(f"c{j}").alias(f"n{j}") for j in range(len(conds))]).collect()
+    found.sort(key=lambda r: (math.isnan(r["v"]), r["v"]))
+    out = {}
+    for (c, p), ranks in wanted.items():
+        i, j, below, left = names.index(c), f"n{conds.index(p)}", 0, sorted(ranks)
+        for r in found:
+            if r["i"] == i:
+                below += r[j]
+                while left and below > left[0]:
+                    out[c, p, left.pop(0)] = r["v"]
+    return out
+
+
 def quantiles(df: DataFrame, column: str | Column, probabilities: list[float], parts: dict[str, Column] | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles, linearly interpolated, of a number's values that aren't null: {part: quantiles of the rows where its condition holds}.
 
@@ -168,7 +192,11 @@ def quantiles_of(df: DataFrame, columns: dict[str, str | Column], probabilities:
     sizes = part_sizes(df, own, parts)
     at = {k: [p * (n - 1) for p in probabilities] for k, n in sizes.items() if n}
     ranks = {k: sorted({r for x in xs for r in (math.floor(x), math.ceil(x))}) for k, xs in at.items()}
-    value = at_ranks(df, own, ranks, parts, sizes) if ranks else {}
+    few = few_valued(df, own) if ranks else []
+    value = {}
+    for names, find in ((few, ranks_by_counts), ([n for n in own if n not in few], at_ranks)):
+        if some := {k: r for k, r in ranks.items() if k[0] in names}:
+            value |= find(df, {n: own[n] for n in names}, some, parts)
 
     def between(k: tuple[str, str], x: float) -> float:
         low, high = math.floor(x), math.ceil(x)

@@ -360,3 +360,17 @@ def test_nation_pairs_are_joined_once(spark):
 
     for name in ("q105_assign_split", "q120_family_rate"):
         assert not [f for f in catalogue.queries()[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
+
+
+def test_quantiles_of_few_values_by_counts(spark):
+    """Columns of few values need one job of counts, others brackets; both are exact, in parts and with nulls."""
+    from lociweave.operators import scale
+
+    df = spark.range(3000).select(F.when(F.col("id") % 11 != 0, F.col("id") % 7).alias("few"), (F.col("id") * 1.5).alias("many"), (F.col("id") % 3).alias("part"))
+    columns, parts = {"few": F.col("few")}, {"x": F.col("part") != 0, "y": F.col("part") == 0}
+    assert scale.few_valued(df, columns) == ["few"]
+    got = scale.quantiles_of(df, {"few": "few", "many": "many"}, [0, 0.3, 0.5, 1], parts)
+    frame = df.toPandas()
+    for c in ("few", "many"):
+        for p, rows in (("x", frame.part != 0), ("y", frame.part == 0)):
+            assert np.allclose(got[c][p], frame[c][rows].dropna().quantile([0, 0.3, 0.5, 1]))
