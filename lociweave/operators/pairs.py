@@ -7,7 +7,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.operators.scale import at_ranks
+from lociweave.operators.scale import at_ranks, spread
 
 if TYPE_CHECKING:
     from pyspark.ml import Transformer
@@ -161,7 +161,8 @@ def protein_features(pairs: DataFrame, k: int = 2) -> DataFrame:
 
     # both sides' maps are bound to a lambda's variable, so that each is worked out once
     sides = F.struct(kmer_columns(F.col("bait_sequence"), k).alias("a"), kmer_columns(F.col("prey_sequence"), k).alias("b"))
-    return pairs.withColumn("kmers", F.transform(F.array(sides), both)[0])
+    # a row becomes some hundred features, so that a file too small to be split is much work for one task
+    return spread(pairs).withColumn("kmers", F.transform(F.array(sides), both)[0])
 
 
 def fitted(stages: list, rows: DataFrame) -> Transformer:

@@ -22,6 +22,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over two tasks for each core: for rows that cost much more than they weigh, as a table of few row groups is read by as few tasks, whatever its splits."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _buckets(df: DataFrame, value: str, buckets: int | None) -> Column:
     """The number of a value's range among ranges cut at approximate quantiles, some for each shuffle partition."""
     n = buckets or max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
