@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import command, log
 from lociweave.functions import sequence as S
+from lociweave.operators.scale import spread
 
 DIGITS = 9
 
@@ -92,7 +93,7 @@ def run(spark: SparkSession, settings: Settings) -> dict:
         session = batch.sparkSession
         # batch 0 has nothing before it; a batch that is run again doesn't see its own rows
         known = session.read.schema("digest string, first boolean, batch long").parquet(settings.output).filter(F.col("batch") < number) if number else None
-        rows = features(batch, settings).persist()
+        rows = features(spread(batch.select(settings.key, settings.group, settings.sequence)), settings).persist()
         try:
             done = mark_first(rows, known).withColumn("batch", F.lit(number).cast("long"))
             done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "split", "group").parquet(settings.output)

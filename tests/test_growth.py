@@ -1,12 +1,14 @@
 """What grows with the tables: work in as many tasks as there are cores, and memory that doesn't follow the batches."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lociweave.functions import pwm
+from lociweave.functions import sequence as S
 from lociweave.operators import pairs
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +33,22 @@ def test_no_features_without_windows(spark):
     rows = spark.createDataFrame([(1, "A", "C"), (2, "", None), (3, "AC", "")], "i int, bait_sequence string, prey_sequence string")
     assert {r.i: dict(r.kmers or {}) for r in pairs.protein_features(rows, 2).collect()}[3] == {"a:AC": 1.0, "b:AC": 0.0, "d:AC": 1.0, "p:AC": 0.0}
     assert spark.createDataFrame([("A",), ("AC",)], "p string").select(F.explode(pwm.kmer_columns(F.col("p"))).alias("k", "v")).count() == 1
+
+
+def test_sequence_expressions_against_python(spark):
+    rng = random.Random(2)
+    letters = [*"ACGTacgtNn \n\0", "é", "İ", "😀"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(0, 80))) for _ in range(400)] + ["CGCGCG", ""]
+    s = S.canonical(F.col("t"))
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", s.alias("s"))
+    rows = rows.select("t", "s", *[f(F.col("s")).alias(n) for n, f in (("gc", S.gc_fraction), ("cpg", S.cpg_per_100bp), ("n", S.n_fraction))]).collect()
+    for r in rows:
+        if r.t is None:
+            assert r.s is r.gc is r.cpg is r.n is None
+            continue
+        want = "".join(c.upper() if c in "ACGTacgt" else "N" for c in r.t)
+        known = sum(c in "ACGT" for c in want)
+        assert r.s == want
+        assert r.gc == (want.count("G") + want.count("C")) / max(known, 1)
+        assert r.cpg == 100.0 * want.count("CG") / max(len(want) - 1, 1)
+        assert r.n == (len(want) - known) / max(len(want), 1)

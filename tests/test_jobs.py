@@ -125,3 +125,11 @@ def test_command_line(spark, tmp_path):
         assert done.returncode == 0, done.stderr[-2000:]
         assert json.loads(done.stdout.strip().splitlines()[-1])["written"] == n
         assert "reading what is new" in done.stderr and ("wrote 2 rows" in done.stderr) == (n == 2)
+
+
+def test_a_file_of_one_split_is_worked_on_by_all_cores(spark, tmp_path, features, monkeypatch):
+    put(spark, f"{tmp_path}/in", "a", [(i, "ACGT" * i, "s") for i in range(1, 40)])
+    seen, own = [], sequence_features.features
+    monkeypatch.setattr(sequence_features, "features", lambda batch, settings: seen.append(batch.rdd.getNumPartitions()) or own(batch, settings))
+    assert sequence_features.run(spark, features)["written"] == 39
+    assert seen[0] >= spark.sparkContext.defaultParallelism
