@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +69,25 @@ def spaced_score(sequence: str | None, focal: np.ndarray, partner: np.ndarray, g
     return float(spaced_scores([sequence], focal, partner, gaps, orientations)[0])
 
 
-def joined_codes(sequences: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all sequences in one array, each with a 4 behind it, and where each begins. A window over two sequences has that 4 in it."""
-    parts = [(x or "").encode("ascii", "replace") + b"." for x in sequences]
-    starts = np.cumsum([0, *(len(x) for x in parts[:-1])]) if parts else np.empty(0, np.int64)
-    return _CODE[np.frombuffer(b"".join(parts), np.uint8)], np.asarray(starts, np.int64)
+def joined_letters(sequences: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all sequences as bytes in one array, and where each begins and how long it is; of an Arrow array of ASCII without a copy."""
+    if isinstance(sequences, pa.Array):
+        sequences = sequences.fill_null("") if sequences.null_count else sequences
+        _, offsets, data = sequences.buffers()
+        kind = np.int64 if pa.types.is_large_string(sequences.type) else np.int32
+        ends = np.frombuffer(offsets, kind, len(sequences) + 1, sequences.offset * kind().itemsize).astype(np.int64) if offsets else np.zeros(1, np.int64)
+        letters = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+        starts, lengths = ends[:-1] - ends[0], np.diff(ends)
+        if len(letters) and letters.max() > 127:
+            # one byte for each letter: the first of those that UTF-8 has for it
+            first = (letters & 0xC0) != 0x80
+            some = np.flatnonzero(lengths)
+            lengths[some] = np.add.reduceat(first, starts[some], dtype=np.int64)
+            letters, starts = letters[first], np.cumsum(lengths) - lengths
+        return letters, starts, lengths
+    parts = [(x or "").encode("ascii", "replace") for x in sequences]
+    lengths = np.array([len(x) for x in parts], np.int64)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 def panel_offsets(codes: np.ndarray, odds: np.ndarray) -> np.ndarray:
@@ -100,34 +114,46 @@ def _best_by_sequence(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     return best
 
 
-#: Codes scored at a time, so that scores take at most some 8 MB a motif.
+#: Scores worked out at a time, some 8 MB; no more letters than that are coded at once, however large a batch is.
 _PART = 1 << 20
 
 
-def maximum_scores(sequences: Sequence[str | None], matrices: Sequence[np.ndarray]) -> np.ndarray:
+def _pieces(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray, motifs: int, reach: int):
+    """Pieces of the joined letters with the reach of a window behind each: (from where, up to how many letters, codes, slice of the sequences that have letters there)."""
+    step = max(reach, _PART // motifs)
+    for at in range(0, len(letters), step):
+        own = slice(int(np.searchsorted(starts + lengths, at, "right")), int(np.searchsorted(starts, at + step)))
+        yield at, step, _CODE[letters[at : at + step + reach - 1]], own
+
+
+def maximum_scores(sequences: Sequence[str | None] | pa.Array, matrices: Sequence[np.ndarray]) -> np.ndarray:
     """(sequence, motif): the best offset of both strands, -inf if there is none. Motifs of equal length are scored together, all sequences in one pass."""
-    codes, starts = joined_codes(sequences)
-    lengths = np.diff(np.append(starts, len(codes))) - 1
+    letters, starts, lengths = joined_letters(sequences)
     out = np.full((len(sequences), len(matrices)), -np.inf)
     for n in sorted({len(m) for m in matrices}):
         group = [k for k, m in enumerate(matrices) if len(m) == n]
         odds = np.stack([o for k in group for o in (matrices[k], matrices[k][::-1, ::-1])])
-        last = starts + np.maximum(lengths - n + 1, 0)
-        for at in range(0, max(1, len(codes)), _PART):
-            scores = panel_offsets(codes[at : at + _PART + n - 1], odds)
-            lo, hi = np.clip(starts - at, 0, _PART), np.clip(last - at, 0, _PART)
-            best = _best_by_sequence(scores, lo, hi)
-            out[:, group] = np.maximum(out[:, group], np.maximum(best[::2], best[1::2]).T)
+        for at, step, codes, own in _pieces(letters, starts, lengths, len(odds), n):
+            # a window within one sequence: it ends before the sequence does
+            lo = np.clip(starts[own] - at, 0, step)
+            hi = np.clip(starts[own] + np.maximum(lengths[own] - n + 1, 0) - at, 0, step)
+            best = _best_by_sequence(panel_offsets(codes, odds), lo, hi)
+            out[own, group] = np.maximum(out[own, group], np.maximum(best[::2], best[1::2]).T)
     return out
 
 
+def _rows(scores: np.ndarray) -> pa.Array:
+    """A list of scores for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel()))
+
+
 def scan_column(sequence: Column, matrices: dict[str, np.ndarray]) -> Column:
     """map<name, best score> by an Arrow UDF, for panels of any number of motifs: each batch is scored as arrays."""
     names, odds = list(matrices), [log_odds(p) for p in matrices.values()]
 
-    @F.pandas_udf("array<double>")
-    def scan(s: pd.Series) -> pd.Series:
-        return pd.Series(list(maximum_scores(s.tolist(), odds)), index=s.index)
+    @F.arrow_udf("array<double>")
+    def scan(s: pa.Array) -> pa.Array:
+        return _rows(maximum_scores(s, odds))
 
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), scan(sequence))
 
@@ -136,22 +162,20 @@ def best_column(sequence: Column, matrix: np.ndarray) -> Column:
     """The best score of one motif."""
     odds = [log_odds(matrix)]
 
-    @F.pandas_udf("double")
-    def scan(s: pd.Series) -> pd.Series:
-        return pd.Series(maximum_scores(s.tolist(), odds)[:, 0], index=s.index)
+    @F.arrow_udf("double")
+    def scan(s: pa.Array) -> pa.Array:
+        return pa.array(maximum_scores(s, odds)[:, 0])
 
     return scan(sequence)
 
 
-def spaced_scores(sequences: Sequence[str | None], focal: np.ndarray, partner: np.ndarray, gaps: Sequence[int], orientations: Sequence[str] = ORIENTATIONS) -> np.ndarray:
+def spaced_scores(sequences: Sequence[str | None] | pa.Array, focal: np.ndarray, partner: np.ndarray, gaps: Sequence[int], orientations: Sequence[str] = ORIENTATIONS) -> np.ndarray:
     """The best focal score plus the partner's behind it, over orientations and gaps, for each sequence."""
-    codes, starts = joined_codes(sequences)
-    lengths = np.diff(np.append(starts, len(codes))) - 1
+    letters, starts, lengths = joined_letters(sequences)
     turn = {"F": lambda m: m, "R": lambda m: m[::-1, ::-1]}
     out = np.full(len(sequences), -np.inf)
     reach = len(focal) + max(gaps, default=0) + len(partner)
-    for at in range(0, max(1, len(codes)), _PART):
-        part = codes[at : at + _PART + reach]
+    for at, step, part, own in _pieces(letters, starts, lengths, 4, reach):
         scores = {(k, x): panel_offsets(part, turn[x](m)[None])[0] for k, m in enumerate((focal, partner)) for x in "FR"}
         for o in orientations:
             a, b = scores[0, o[0]], scores[1, o[1]]
@@ -159,9 +183,9 @@ def spaced_scores(sequences: Sequence[str | None], focal: np.ndarray, partner: n
                 n = min(len(a), len(b) - len(focal) - g)
                 if n > 0:
                     # a pair within one sequence: its windows end before the sequence does
-                    last = starts + np.maximum(lengths - len(focal) - g - len(partner) + 1, 0)
-                    lo, hi = np.clip(starts - at, 0, _PART), np.clip(last - at, 0, _PART)
-                    out = np.maximum(out, _best_by_sequence((a[:n] + b[len(focal) + g : len(focal) + g + n])[None], lo, hi)[0])
+                    last = starts[own] + np.maximum(lengths[own] - len(focal) - g - len(partner) + 1, 0)
+                    lo, hi = np.clip(starts[own] - at, 0, step), np.clip(last - at, 0, step)
+                    out[own] = np.maximum(out[own], _best_by_sequence((a[:n] + b[len(focal) + g : len(focal) + g + n])[None], lo, hi)[0])
     return out
 
 
@@ -189,9 +213,9 @@ def grammar_matrix(sequence: Column, profiles: Sequence[GrammarProfile]) -> Colu
     own = [(log_odds(p.focal), log_odds(p.partner), p.gaps, p.orientations) for p in profile_lookup(profiles).values()]
     names = [p.name for p in profiles]
 
-    @F.pandas_udf("array<double>")
-    def scan(s: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack([spaced_scores(s.tolist(), *p) for p in own], axis=1)), index=s.index)
+    @F.arrow_udf("array<double>")
+    def scan(s: pa.Array) -> pa.Array:
+        return _rows(np.stack([spaced_scores(s, *p) for p in own], axis=1))
 
     return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), scan(sequence))
 
@@ -199,9 +223,9 @@ def grammar_matrix(sequence: Column, profiles: Sequence[GrammarProfile]) -> Colu
 def spaced_column(sequence: Column, focal: np.ndarray, partner: np.ndarray, gaps: Sequence[int], orientations: Sequence[str] = ORIENTATIONS) -> Column:
     a, b, gaps = log_odds(focal), log_odds(partner), list(gaps)
 
-    @F.pandas_udf("double")
-    def scan(s: pd.Series) -> pd.Series:
-        return pd.Series(spaced_scores(s.tolist(), a, b, gaps, orientations), index=s.index)
+    @F.arrow_udf("double")
+    def scan(s: pa.Array) -> pa.Array:
+        return pa.array(spaced_scores(s, a, b, gaps, orientations))
 
     return scan(sequence)
 
@@ -231,9 +255,9 @@ def presence_scores(docs: DataFrame, sequence: str, a: np.ndarray, b: np.ndarray
     background = np.array([(1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2])
     odds = [np.log(np.clip(m, 1e-8, 1) / background) for m in (a, b)]
 
-    @F.pandas_udf("double")
-    def scan(s: pd.Series) -> pd.Series:
-        return pd.Series(maximum_scores(s.tolist(), odds).min(1), index=s.index)
+    @F.arrow_udf("double")
+    def scan(s: pa.Array) -> pa.Array:
+        return pa.array(maximum_scores(s, odds).min(1))
 
     return docs.withColumn("score", scan(sequence))
 

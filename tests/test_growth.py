@@ -2,7 +2,10 @@
 
 import os
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +55,30 @@ def test_sequence_expressions_against_python(spark):
         assert r.gc == (want.count("G") + want.count("C")) / max(known, 1)
         assert r.cpg == 100.0 * want.count("CG") / max(len(want) - 1, 1)
         assert r.n == (len(want) - known) / max(len(want), 1)
+
+
+def test_scans_take_no_more_memory_for_larger_batches(spark):
+    rng = np.random.default_rng(4)
+    odds = [pwm.log_odds(pwm.probabilities(rng.integers(0, 9, (n, 4)) + 1.0)) for n in (3, 2)]
+    peaks = []
+    for n in (4_000, 16_000):
+        batch = pa.array(["".join(rng.choice(list("ACGTN"), 1000))] * n)
+        tracemalloc.start()
+        best, spaced = pwm.maximum_scores(batch, odds), pwm.spaced_scores(batch, *odds, (0, 2))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(np.unique(best, axis=0)) == 1 and len(np.unique(spaced)) == 1
+    assert peaks[1] < 64 << 20 and peaks[1] < peaks[0] + 4 * 12_000 * 8 * 4
+
+
+def test_scans_of_arrow_batches_equal_those_of_lists(monkeypatch):
+    rng = random.Random(3)
+    odds = [pwm.log_odds(pwm.probabilities(np.random.default_rng(n).integers(0, 9, (n, 4)) + 1.0)) for n in (3, 2, 3)]
+    for part in (1 << 20, 40):
+        monkeypatch.setattr(pwm, "_PART", part)
+        for _ in range(40):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choices("ACGTacgtNé😀", k=rng.choice([0, 1, 2, 9, 50]))) for _ in range(rng.randrange(0, 9))]
+            batch = pa.array(["ACG", *texts, "TTT"], pa.string())[1 : len(texts) + 1]
+            alone = [pwm.maximum_scores([t], odds)[0] for t in texts]
+            assert np.array_equal(pwm.maximum_scores(batch, odds), np.array(alone).reshape(len(texts), 3))
+            assert np.array_equal(pwm.spaced_scores(batch, *odds[:2], (0, 2, 5)), [pwm.spaced_score(t, *odds[:2], (0, 2, 5)) for t in texts])
